@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparvane.llm import annsearch, bpe, packing, topk, urlfilter, warc
+from sparvane.llm import annsearch, bpe, neardup, packing, topk, urlfilter, warc
 from sparvane.llm.common import read
 
 URL_RULES = [
@@ -33,6 +33,10 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read(spark, sf_dir, "documents"))
+
+
 def op9_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annsearch.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -41,7 +45,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op4_best_fit_packing, op6_url_filter, op7_exact_top_k, op9_additive_ann, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op4_best_fit_packing, op6_url_filter, op7_exact_top_k, op8_dart_minhash, op9_additive_ann, op10_warc)}
 
 ORACLE_SQL = {
     "op6_url_filter": """
