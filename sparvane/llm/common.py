@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,16 +43,16 @@ def fresh_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/sparvane-{kind}-{uuid.uuid4().hex}"
 
 
-def map_batches(df: DataFrame, work: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, work: Callable[[], Callable[[dict], dict]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with a state made once per task.
 
     ``work()`` runs on the executor and returns a function from a batch's columns
     (name to Arrow array) to the columns of the output batch.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    target = to_arrow_schema(_parse_datatype_string(schema))
+    schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = work()
