@@ -26,6 +26,7 @@ import math
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,7 +160,8 @@ def _verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
                 common = len(np.intersect1d(left, right, assume_unique=True))
                 if common >= SIMILAR * (len(left) + len(right) - common) - 1e-9:
                     keep.append(i)
-            return {"a": batch["a"].take(keep), "b": batch["b"].take(keep)}
+            at = pa.array(keep, pa.int64())
+            return {"a": batch["a"].take(at), "b": batch["b"].take(at)}
 
         return step
 
@@ -217,11 +219,9 @@ def _links(docs: DataFrame, signed: DataFrame) -> DataFrame:
 
 
 def _exploded(batch: dict) -> dict:
-    import pyarrow as pa
-
     parts = [np.frombuffer(u.as_buffer(), np.int64) for u in batch["units"]]
     at = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    return {"key": batch["key"].take(pa.array(at)), "unit": np.concatenate(parts) if parts else np.zeros(0, np.int64)}
+    return {"key": batch["key"].take(pa.array(at, pa.int64())), "unit": np.concatenate(parts) if parts else np.zeros(0, np.int64)}
 
 
 def _classed(docs: DataFrame) -> DataFrame:
