@@ -26,7 +26,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sparvane.llm.common import cut_lineage, map_batches
 
-ORDER, SHARED, DISCOUNT, WINDOW, SAMPLE = 6, 4, 0.75, 4, 4000
+ORDER, SHARED, DISCOUNT, WINDOW, SAMPLE = 6, 4, 0.75, 4, 1500
 _WORD = re.compile(r"[^\W\d_]+")
 _START, _END = 1, 2
 
@@ -96,9 +96,9 @@ class KneserNey:
         grams, contexts = (np.concatenate(x, axis=1) for x in zip(*both))
         self.shared = []
         for n in range(SHARED):  # continuation counts: how many different letters precede the n-gram
-            pairs = np.unique(np.stack([grams[n + 1], grams[n], contexts[n]]), axis=1)
-            codes, first, counts = np.unique(pairs[1], return_index=True, return_counts=True)
-            self.shared.append(_level(codes, pairs[2][first], counts))
+            longer = np.unique(grams[n + 1], return_index=True)[1]
+            codes, first, counts = np.unique(grams[n][longer], return_index=True, return_counts=True)
+            self.shared.append(_level(codes, contexts[n][longer[first]], counts))
         self.letters = max(2, len(self.shared[0].codes))
 
     @staticmethod
@@ -193,9 +193,9 @@ def _counts(rows: DataFrame) -> tuple[list[dict[str, int]], list[dict[str, int]]
 
     found: dict = {(f, t): {} for f in (0, 1) for t in (0, 1)}
     counted = map_batches(rows, work, "toxic int, fold int, word string").groupBy("toxic", "fold", "word").agg(F.count("*").alias("n"))
-    table = counted.toArrow()
-    for toxic, fold, word, n in zip(*(table.column(c).to_pylist() for c in ("toxic", "fold", "word", "n"))):
-        found[fold, int(toxic == 1)][word] = n
+    for batch in counted.toArrow().to_batches(max_chunksize=50_000):
+        for toxic, fold, word, n in zip(*(batch.column(c).to_pylist() for c in ("toxic", "fold", "word", "n"))):
+            found[fold, int(toxic == 1)][word] = n
     return [found[f, 1] for f in (0, 1)], [found[f, 0] for f in (0, 1)]
 
 
