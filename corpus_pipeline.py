@@ -2,23 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from sparvane.llm import packing
+from sparvane.llm import neardup, packing, pii, toxicity
+from sparvane.llm.common import fresh_folder, read
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.7 stay, unchanged; the models learn from the labelled ones among ``docs``."""
+    return toxicity.keep_ordinary(docs, read(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the smallest doc_id stays."""
+    return neardup.keep_one(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; spans of personal data become their kind in angle brackets."""
+    return pii.redact(docs)
 
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing of all documents that are left."""
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document with its place in a sequence of at most 4096 tokens."""
     return packing.pack(docs, capacity=4096)
 
 
-STAGES = [("packing", pack_stage)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("pii", redact_personal_data),
+    ("packing", pack),
+]
 
-ORACLE_SQL = None  # models and packing are beyond SQL; tests hold the stages against brute force
+ORACLE_SQL = None  # trained models and packing are beyond SQL; tests hold the stages against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """Applies the stages to ``documents``; what each returns is written as Parquet and read again."""
+    docs = read(spark, sf_dir, "documents")
+    folder = fresh_folder(spark, "pipeline")
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{folder}/{name}")
+        docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparvane.llm import annsearch, bpe, neardup, packing, pii, topk, toxicity, urlfilter, warc
+from sparvane.llm import annsearch, bpe, hpylm, neardup, packing, pii, topk, toxicity, urlfilter, warc
 from sparvane.llm.common import read
 
 URL_RULES = [
@@ -25,6 +25,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
+def op3_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(read(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), capacity=4096)
 
@@ -53,7 +57,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op4_best_fit_packing, op5_toxicity, op6_url_filter, op7_exact_top_k, op8_dart_minhash, op9_additive_ann, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_hpylm, op4_best_fit_packing, op5_toxicity, op6_url_filter, op7_exact_top_k, op8_dart_minhash, op9_additive_ann, op10_warc)}
 
 ORACLE_SQL = {
     "op6_url_filter": """
