@@ -174,6 +174,7 @@ def _training(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = known.filter(F.coalesce(*(F.when(F.col("toxic") == t, draw < min(1.0, sample / n)) for t, n in sizes.items()), F.lit(False))) if sizes else known
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    chosen = F.broadcast(chosen)  # ids alone, about twice ``sample`` at most
     return texts.join(chosen, "doc_id").select("toxic", (F.crc32(F.concat(F.lit("fold"), F.col("doc_id").cast("string"))) % 2).cast("int").alias("fold"), "text")
 
 
@@ -228,12 +229,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     """Learns from ``labels`` (``doc_id, toxic``); without both classes every score is 0.5."""
     rows = cut_lineage(_training(docs, labels, sample))
     toxic, ordinary = _counts(rows)
-    merge = lambda parts: {w: parts[0].get(w, 0) + parts[1].get(w, 0) for w in parts[0] | parts[1]}
-    model = KneserNey(merge(toxic), merge(ordinary))
     if not any(toxic) or not any(ordinary):
-        return Scorer(model, np.zeros(4))
+        return Scorer(KneserNey({}, {}), np.zeros(4))
     others = [KneserNey(toxic[1 - f], ordinary[1 - f]) for f in (0, 1)]
     shared = docs.sparkSession.sparkContext.broadcast(others)
+    del others  # the driver holds one model at a time
 
     def work():
         ratios = [Ratios(m) for m in shared.value]
@@ -248,6 +248,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
         return step
 
     seen = map_batches(rows, work, "toxic int, a double, b double, c double").toArrow().to_pandas().sort_values(["toxic", "a", "b", "c"])
+    shared.unpersist()
+    merge = lambda parts: {w: parts[0].get(w, 0) + parts[1].get(w, 0) for w in parts[0] | parts[1]}
+    model = KneserNey(merge(toxic), merge(ordinary))
     return Scorer(model, _logistic(seen[["a", "b", "c"]].to_numpy(), (seen["toxic"] == 1).to_numpy().astype(float)))
 
 
