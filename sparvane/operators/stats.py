@@ -18,7 +18,7 @@ def draws(iterations: int, slots: DataFrame, seed: int = 42) -> DataFrame:
         square = F.col(x) * F.col(x) % PRIME
         return square * square % PRIME * F.col(x) % PRIME
 
-    grid = slots.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).cast("bigint"))
+    grid = slots.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(iterations - 1).cast("bigint"))))
     grid = grid.withColumn("x0", (F.col("b") * 48271 + F.col("k") * 69621 + F.col("a") * 40692 + seed * 16807 + 1) % PRIME)
     grid = grid.withColumn("x1", power("x0")).withColumn("x2", (F.col("x1") * 48271 + 11) % PRIME)
     return grid.withColumn("i", (power("x2") % F.col("n"))).drop("x0", "x1", "x2")

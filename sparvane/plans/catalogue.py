@@ -231,12 +231,12 @@ n AS (SELECT agent, run, event_type, count(*) AS n FROM e GROUP BY ALL),
 t AS (SELECT agent, run, n / CAST(sum(n) OVER (PARTITION BY agent, run) AS DOUBLE) AS p FROM n),
 d AS (SELECT agent, run, round_even(CASE WHEN count(*) > 1 THEN -sum(p * ln(p)) / ln(count(*)) ELSE 0 END, 4) AS artifact_diversity FROM t GROUP BY ALL)
 SELECT e.agent, e.run, count(*) AS n_files, """ + ", ".join(f"count_if(event_type = '{x}') AS n_{x}" for x in ("click", "error", "purchase", "signup", "view")) + """,
-  round_even(sum(value), 4) AS total_size, round_even(avg(value), 4) AS mean_size, any_value(artifact_diversity) AS artifact_diversity
+  round_even(sum(value), 4) AS total_size, round_even(avg(value), 6) AS mean_size, any_value(artifact_diversity) AS artifact_diversity
 FROM e JOIN d ON e.agent = d.agent AND e.run = d.run GROUP BY e.agent, e.run""")
 def volume_metrics(spark, sf):
     kinds = ("click", "error", "purchase", "signup", "view")
     rows = table(spark, sf, "events").select((F.col("event_id") % 4).alias("agent"), (1 + F.floor(F.col("event_id") / 4) % 8).alias("run"), "event_type", "value")
-    per = rows.groupBy("agent", "run").agg(F.count("*").alias("n_files"), *(F.count_if(F.col("event_type") == k).alias(f"n_{k}") for k in kinds), F.bround(F.sum("value"), 4).alias("total_size"), F.bround(F.avg("value"), 4).alias("mean_size"))
+    per = rows.groupBy("agent", "run").agg(F.count("*").alias("n_files"), *(F.count_if(F.col("event_type") == k).alias(f"n_{k}") for k in kinds), F.bround(F.sum("value"), 4).alias("total_size"), F.bround(F.avg("value"), 6).alias("mean_size"))
     shares = [F.col(f"n_{k}") / F.col("n_files") for k in kinds]
     entropy = sum(F.when(p > 0, -p * F.log(p)).otherwise(0.0) for p in shares)
     used = sum((F.col(f"n_{k}") > 0).cast("int") for k in kinds)
