@@ -15,9 +15,10 @@ Links: documents that share a band meet in a bucket.  Buckets of two or three no
 compared throughout.  In a larger one every node meets the node with the fewest shingles
 of its own (the copy closest to the common original); links of at least 0.8 form
 components.  What is left are pairs of a bucket whose components differ: of these, pairs
-that could still reach 0.8, by their weights and by the shingles that no other node of
-such buckets has, are compared one by one.  So no candidate pair is given up unless it is
-connected already or can't be similar, and no group is expanded into all its pairs.
+that could still reach 0.8 are compared one by one.  What two nodes can share is bounded by
+what each shares with that leader and by the shingles beyond it that other nodes of such
+buckets have too.  So no candidate pair is given up unless it is connected already or
+can't be similar, and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -149,24 +150,22 @@ def _units_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return map_batches(texts.join(keys, "key", "left_semi"), work, "key binary, units binary").dropDuplicates(["key"])
 
 
-def _verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
-    """Those of the pairs ``a, b`` whose similarity is at least SIMILAR."""
+def _compared(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` with ``common`` weight and whether they are ``similar``."""
 
     def work():
         def step(batch: dict) -> dict:
-            keep = []
-            for i, (ua, ub) in enumerate(zip(batch["ua"], batch["ub"])):
+            common, similar = [], []
+            for ua, ub in zip(batch["ua"], batch["ub"]):
                 left, right = np.frombuffer(ua.as_buffer(), np.uint64), np.frombuffer(ub.as_buffer(), np.uint64)
-                common = len(np.intersect1d(left, right, assume_unique=True))
-                if common >= SIMILAR * (len(left) + len(right) - common) - 1e-9:
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            return {"a": batch["a"].take(at), "b": batch["b"].take(at)}
+                common.append(len(np.intersect1d(left, right, assume_unique=True)))
+                similar.append(common[-1] >= SIMILAR * (len(left) + len(right) - common[-1]) - 1e-9)
+            return {"a": batch["a"], "b": batch["b"], "common": common, "similar": similar}
 
         return step
 
     a, b = (shingles.select(F.col("key").alias(x), F.col("units").alias(f"u{x}")) for x in "ab")
-    return map_batches(pairs.join(a, "a").join(b, "b"), work, "a binary, b binary")
+    return map_batches(pairs.join(a, "a").join(b, "b"), work, "a binary, b binary, common long, similar boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -203,18 +202,26 @@ def _links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     )
     large = cut_lineage(large.select("band", "key", "weight").join(alone, "key", "left").fillna(0, ["own"]))
     leaders = large.groupBy("band").agg(F.min(F.struct("own", "key")).alias("least")).select("band", F.col("least.key").alias("leader"))
-    first = first.union(large.join(leaders, "band").filter("key != leader").select(*pair("key", "leader"))).distinct()
-    links = cut_lineage(_verified(first, shingles))
+    led = large.join(leaders, "band")
+    first = first.union(led.filter("key != leader").select(*pair("key", "leader"))).distinct()
+    stars = cut_lineage(_compared(first, shingles))
+    links = stars.filter("similar").select("a", "b")
 
-    labelled = large.join(components(links), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    labelled = led.join(components(links), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     mixed = labelled.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("band")
-    left = cut_lineage(labelled.join(mixed, "band", "left_semi"))
-    x, y = (left.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "weight", "own", "comp"))) for s in "xy")
-    common = F.least(F.col("weight_x") - F.col("own_x"), F.col("weight_y") - F.col("own_y"))
+    left = labelled.join(mixed, "band", "left_semi").withColumns({"a": F.least("key", "leader"), "b": F.greatest("key", "leader")})
+    left = left.join(stars.select("a", "b", "common"), ["a", "b"], "left").withColumn("inside", F.coalesce("common", "weight"))
+    left = left.withColumn("outside", F.when(F.col("key") == F.col("leader"), 0).otherwise(F.col("weight") - F.col("inside") - F.col("own")))
+    left = cut_lineage(left.select("band", "key", "weight", "comp", "inside", "outside").join(nodes.select("key", "bands"), "key"))
+    x, y = (left.select("band", *(F.col(c).alias(f"{c}_{s}") for c in left.columns if c != "band")) for s in "xy")
+    # What two nodes share lies in their bucket's leader or among what neither has alone.
+    common = F.least("inside_x", "inside_y") + F.least("outside_x", "outside_y")
     could = common >= SIMILAR * (F.col("weight_x") + F.col("weight_y") - common) - 1e-9
-    rest = x.join(y, (x.band == y.band) & (F.col("key_x") < F.col("key_y")) & (F.col("comp_x") != F.col("comp_y")) & could)
-    rest = rest.select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = cut_lineage(_verified(rest, shingles))
+    meeting = F.filter(F.zip_with("bands_x", "bands_y", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
+    # A pair counts in the first band that it shares.
+    rest = x.join(y, (x.band == y.band) & (F.col("key_x") < F.col("key_y")) & (F.col("comp_x") != F.col("comp_y")) & could & (F.element_at(meeting, 1) == x.band))
+    rest = rest.select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    more = cut_lineage(_compared(rest, shingles).filter("similar").select("a", "b"))
     return components(links.union(more))
 
 
