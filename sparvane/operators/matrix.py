@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def quality(cells: DataFrame, most_missing: float = 0.5, most_cv: float = 0.30) -> DataFrame:
@@ -80,21 +81,29 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
         return 1 - _incomplete_beta(b, a, 1 - x)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
     f, c, d = 1.0, 1.0, 0.0
-    for i in range(200):
+    for i in range(300):
         m = i // 2
-        term = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / (1 + term * d or 1e-300)
-        c = 1 + term / c or 1e-300
+        if i == 0:
+            term = 1.0
+        elif i % 2 == 0:
+            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        else:
+            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / ((1 + term * d) or 1e-300)
+        c = (1 + term / c) or 1e-300
         f *= c * d
-        if abs(1 - c * d) < 1e-12:
+        if abs(1 - c * d) < 1e-13:
             break
-    return front * (f - 1) if f > 1 else front * f
+    return front * (f - 1)
 
 
-@F.pandas_udf("double")
-def two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Two-sided p-value of Student's t."""
-    return pd.Series([None if pd.isna(x) or pd.isna(n) else _incomplete_beta(n / 2, 0.5, n / (n + x * x)) for x, n in zip(t, df)], dtype="float64")
+def two_sided_p(t: Column, df: Column) -> Column:
+    """Two-sided p-value of Student's t; null where either is null."""
+
+    def p(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) or pd.isna(n) else _incomplete_beta(n / 2, 0.5, n / (n + x * x)) for x, n in zip(t, df)], dtype="float64")
+
+    return F.pandas_udf(p, DoubleType())(t, df)
 
 
 def over_representation(members: DataFrame, hits: DataFrame) -> DataFrame:

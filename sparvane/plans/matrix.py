@@ -107,6 +107,13 @@ def regulation_flags(spark, sf):
     return rows.select("feature", F.when(F.col("log2fc") > 0, "up").when(F.col("log2fc") < 0, "down").otherwise("ns").alias("regulation"), ((F.abs("log2fc") >= 0.005) & (F.abs("welch_t") > 0.5)).alias("candidate"))
 
 
+@query(None)
+def differential_abundance(spark, sf):
+    """Welch's t, its p-value and the step-up q-value per feature (no SQL twin: the t distribution; see the tests)."""
+    rows = tests(spark, sf).withColumn("p", M.two_sided_p(F.col("welch_t"), F.col("df")))
+    return T.benjamini_hochberg(rows.select("feature", "log2fc", "welch_t", "df", "p"))
+
+
 # Pathways are part types, metabolites are brands; hits are brands of even number.
 PATH = "mem AS (SELECT DISTINCT p_type AS pathway, p_brand AS metabolite FROM part WHERE p_size % 3 = 0 OR ascii(p_type) % 2 = 0), hit AS (SELECT DISTINCT metabolite FROM mem WHERE TRY_CAST(regexp_extract(metabolite, '(\\d+)', 1) AS INTEGER) % 2 = 0)"
 
