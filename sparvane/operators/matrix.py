@@ -106,6 +106,23 @@ def two_sided_p(t: Column, df: Column) -> Column:
     return F.pandas_udf(p, DoubleType())(t, df)
 
 
+def hypergeometric_tail(hits: str, size: str, drawn: str, total: str) -> Column:
+    """Chance of at least ``hits`` of ``size`` marked ones among ``drawn`` of ``total`` (Fisher's exact test, greater)."""
+    k, m, n, t = (F.col(c).cast("int") for c in (hits, size, drawn, total))
+
+    def log_factorial(x: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.greatest(x, F.lit(0))), F.lit(0.0), lambda a, i: a + F.log(F.greatest(i, F.lit(1)).cast("double")))
+
+    def choose(a: Column, b: Column) -> Column:
+        return log_factorial(a) - log_factorial(b) - log_factorial(a - b)
+
+    def term(a: Column, i: Column) -> Column:
+        return a + F.when(n - i > t - m, 0.0).otherwise(F.exp(choose(m, i) + choose(t - m, n - i) - choose(t, n)))
+
+    possible = F.filter(F.sequence(F.lit(0), F.least(m, n)), lambda i: i >= k)
+    return F.least(F.lit(1.0), F.aggregate(possible, F.lit(0.0), term))
+
+
 def over_representation(members: DataFrame, hits: DataFrame) -> DataFrame:
     """Per pathway: size, hits, background, significant, expected hits, ratio and the hits' list."""
     totals = members.agg(F.count_distinct("metabolite").alias("background")).crossJoin(hits.agg(F.count("*").alias("significant")))  # one row
