@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparvane.functions.omics import MODALITIES
 from sparvane.operators import matrix as M
 from sparvane.operators import stats as T
 from sparvane.plans import catalogue as C
@@ -107,3 +108,24 @@ def covariance_ellipse(spark, sf):
     c = R.event_scores(spark, sf).groupBy("agent").agg(F.avg("score").alias("mx"), F.avg("n").alias("my"), F.var_samp("score").alias("a"), F.var_samp("n").alias("d"), F.covar_samp("score", "n").alias("b"))
     half, root = (F.col("a") + F.col("d")) / 2, F.sqrt((F.col("a") - F.col("d")) * (F.col("a") - F.col("d")) / 4 + F.col("b") * F.col("b"))
     return c.select("agent", F.bround("mx", 6).alias("x"), F.bround("my", 6).alias("y"), F.bround(2 * F.sqrt(half + root), 5).alias("major"), F.bround(2 * F.sqrt(F.greatest(F.lit(0.0), half - root)), 4).alias("minor"))
+
+
+def _modality(name: str) -> None:
+    """Registers the term counts of a modality per agent and run, in long form."""
+    lexicons = MODALITIES[name]
+    terms = [(x.family, t, x) for x in lexicons for t in x.terms]
+    sums = ", ".join(f'CAST(sum({x.sql(t, "t")}) AS BIGINT) AS "{f}_{t}"' for f, t, x in terms)
+    long = " UNION ALL ".join(f"SELECT agent, run, '{f}' AS family, '{t}' AS term, \"{f}_{t}\" AS cnt FROM r" for f, t, _ in terms)
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        rows = C.corpus(spark, sf).withColumn("low", F.lower("text"))
+        counted = rows.select("agent", "run", *(x.count(t, F.col("text"), F.col("low")).alias(f"{f}_{t}") for f, t, x in terms))
+        runs = counted.groupBy("agent", "run").agg(*(F.sum(f"`{f}_{t}`").alias(f"{f}_{t}") for f, t, _ in terms))
+        return runs.select("agent", "run", F.inline(F.array(*(F.struct(F.lit(f).alias("family"), F.lit(t).alias("term"), F.col(f"`{f}_{t}`").alias("cnt")) for f, t, _ in terms))))
+
+    run.__name__ = f"{name}_terms"
+    query(f"WITH {C.CORPUS}, r AS (SELECT agent, run, {sums} FROM ascii GROUP BY agent, run) {long}")(run)
+
+
+for _name in MODALITIES:
+    _modality(_name)
