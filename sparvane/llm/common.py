@@ -7,8 +7,11 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -62,3 +65,68 @@ def map_batches(df: DataFrame, work: Callable[[], Callable[[dict], dict]], schem
             yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
     return df.mapInArrow(run, schema)
+
+
+ROW = "__sparvane_row"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """Adds ROW: partition and place of each row in a scan, the same in every scan of the same files."""
+    return df.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def write_row_sets(rows: DataFrame) -> str:
+    """Writes the numbers in column ROW, one file for each scan partition that has some; returns the folder.
+
+    With these a later scan picks its rows itself, and nothing but numbers is shuffled.
+    """
+    spark = rows.sparkSession
+    folder, tasks = fresh_folder(spark, "rows"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+        attempt, part, held, files = TaskContext.get().taskAttemptId(), None, [], 0
+
+        def flush() -> None:
+            nonlocal files
+            if part is not None:
+                with system.open_output_stream(f"{path}/{part}.{attempt}", compression=None) as out:
+                    out.write(np.concatenate(held).tobytes())
+                system.move(f"{path}/{part}.{attempt}", f"{path}/{part}")  # all attempts write the same
+                files += 1
+
+        for batch in batches:
+            numbers = batch.column(ROW).to_numpy()
+            for piece in np.split(numbers, np.flatnonzero(np.diff(numbers >> 33)) + 1) if len(numbers) else []:
+                if int(piece[0] >> 33) != part:
+                    flush()
+                    part, held = int(piece[0] >> 33), []
+                held.append(piece)
+        flush()
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    dealt = rows.select(ROW).repartition(tasks, F.shiftright(ROW, 33)).sortWithinPartitions(ROW)
+    dealt.mapInArrow(run, "files long").agg(F.sum("files")).collect()
+    return folder
+
+
+def pick_rows(numbered_df: DataFrame, folder: str, keep: bool = True) -> DataFrame:
+    """Those rows of a numbered scan whose numbers :func:`write_row_sets` wrote (or, if not ``keep``, the others)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(folder)
+        part, chosen = None, np.zeros(0, np.int64)
+        for batch in batches:
+            numbers = batch.column(ROW).to_numpy()
+            if len(numbers) and int(numbers[0] >> 33) != part:
+                part = int(numbers[0] >> 33)
+                there = system.get_file_info(f"{path}/{part}").type == fs.FileType.File
+                chosen = np.frombuffer(system.open_input_file(f"{path}/{part}").readall(), np.int64) if there else chosen[:0]
+            yield batch.filter(pa.array(np.isin(numbers, chosen) == keep))
+
+    return numbered_df.mapInArrow(run, numbered_df.schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparvane.llm.common import cut_lineage, map_batches
+from sparvane.llm.common import ROW, cut_lineage, map_batches, numbered, pick_rows, write_row_sets
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -121,7 +121,7 @@ def text_key(text: Column) -> Column:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, weight, bands``: no bands for a text without words."""
+    """``row, doc_id, key, weight, bands`` of numbered documents: no bands for a text without words."""
 
     def work():
         def step(batch: dict) -> dict:
@@ -132,22 +132,23 @@ def _signed(docs: DataFrame) -> DataFrame:
                 part = full[start : start + 256]
                 for i, row in zip(part, bands(signatures([found[i] for i in part])).view(np.int64)):
                     keys[i] = row
-            return {"doc_id": batch["doc_id"], "key": batch["key"], "weight": [len(u) for u in found], "bands": keys}
+            return {ROW: batch[ROW], "doc_id": batch["doc_id"], "key": batch["key"], "weight": [len(u) for u in found], "bands": keys}
 
         return step
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
-    return map_batches(source, work, "doc_id long, key binary, weight long, bands array<long>")
+    source = docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
+    return map_batches(source, work, f"{ROW} long, doc_id long, key binary, weight long, bands array<long>")
 
 
-def _units_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``key, units`` (sorted, packed) of the texts with these keys, one row a key."""
+def _units_of(docs: DataFrame, signed: DataFrame, keys: DataFrame) -> DataFrame:
+    """``key, units`` (sorted, packed) of the texts with these keys: a second scan picks a row for each."""
 
     def work():
         return lambda batch: {"key": batch["key"], "units": [units(t.as_py()).tobytes() for t in batch["text"]]}
 
-    texts = docs.select(text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
-    return map_batches(texts.join(keys, "key", "left_semi"), work, "key binary, units binary").dropDuplicates(["key"])
+    rows = signed.join(keys, "key", "left_semi").groupBy("key").agg(F.min(ROW).alias(ROW))
+    texts = docs.select(ROW, text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
+    return map_batches(pick_rows(texts, write_row_sets(rows)), work, "key binary, units binary")
 
 
 def _compared(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -188,7 +189,7 @@ def _links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     spread = nodes.select("key", "weight", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).filter("n > 1")
     members = cut_lineage(spread.join(shared, "band"))
-    shingles = cut_lineage(_units_of(docs, members.select("key").distinct()))
+    shingles = cut_lineage(_units_of(docs, signed, members.select("key").distinct()))
 
     def pair(x: str, y: str) -> list[Column]:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
@@ -232,10 +233,10 @@ def _exploded(batch: dict) -> dict:
 
 
 def _classed(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, class`` of every row; the class is a key."""
+    """``row, doc_id, class`` of every row of numbered documents; the class is a key."""
     signed = cut_lineage(_signed(docs))
     linked = _links(docs, signed)
-    return signed.select("doc_id", "key").join(linked, "key", "left").select("doc_id", "key", F.coalesce("comp", "key").alias("class"))
+    return signed.select(ROW, "doc_id", "key").join(linked, "key", "left").select(ROW, "doc_id", F.coalesce("comp", "key").alias("class"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -246,7 +247,7 @@ def classes(docs: DataFrame) -> DataFrame:
     and ``n_docs`` its number of rows.  Texts without words equal only texts of the same
     characters.  Other columns are ignored; an empty table gives no rows.
     """
-    found = _classed(docs)
+    found = _classed(numbered(docs))
     ids = found.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs"))
     return found.join(ids, "class").select("doc_id", "class_id", "n_docs")
 
@@ -257,9 +258,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     All columns of ``docs`` are returned.  Of rows that share the smallest id and their
     text, one stays.  Texts without words are all kept unless they are equal.
     """
-    row = "__sparvane_row"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    classes_ = _classed(docs).select("key", "class").distinct()
-    rows = numbered.select(row, F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"))
-    winners = rows.join(classes_, "key").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("best")).select(F.col(f"best.{row}").alias(row))
-    return numbered.join(winners, row, "left_semi").drop(row)
+    rows = numbered(docs)
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
+    winners = _classed(rows).groupBy("class").agg(F.min(first).alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
+    return pick_rows(rows, write_row_sets(winners)).drop(ROW)
