@@ -7,9 +7,9 @@ that parent, and every table of a child is a customer of its parent.  Longer con
 folded into a fixed number of restaurants, so the letter part has a fixed bound and lives
 on the driver and in broadcasts, while words, which grow with the corpus, stay in tables.
 
-Chinese-restaurant seating is sampled by random-scan Gibbs: a sweep takes customers from
-their tables and seats them again, by table sizes less the discount or, at a new table,
-by the parent's probability.  Words are independent given their parent and the number of
+Chinese-restaurant seating is sampled by Gibbs sweeps: a sweep seats all customers of a dish
+anew, by drawing its number of tables (which is all that probabilities need) from its
+distribution given the customers and the parent's probability, however many they are.  Words are independent given their parent and the number of
 tables so far, so a sweep over them runs in parallel.  Scores are logarithms of predictive
 probabilities averaged over the sweeps after the first.
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -32,12 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparvane.llm.common import fresh_folder, map_batches
+from sparvane.llm.neardup import _mix
 
 END = b""  #: the end of a text, a dish that no word equals
 BLOCK_BYTES = 8_000_000
 DISCOUNT, STRENGTH = 0.7, 10.0
 LETTER_DISCOUNT, LETTER_STRENGTH = 0.5, 2.0
-SWEEPS, MOVES = 3, 8
+SWEEPS, EXACT = 3, 1024
 SYMBOLS, STOP, START = 258, 256, 257
 FOLDED = 8192
 
@@ -69,12 +71,13 @@ def _sit(sizes: list[int], fresh: float, discount: float, dice: Dice) -> None:
     sizes.append(1)
 
 
-def reseat(sizes: list[int], customers: int, fresh: float, discount: float, dice: Dice, moves: int = MOVES) -> list[int]:
-    """One sweep over a dish with table ``sizes``; ``customers`` may have changed since the last.
+def reseat(sizes: list[int], customers: int, fresh: float, discount: float, dice: Dice, moves: int | None = None) -> list[int]:
+    """One sweep over a dish with table ``sizes``, customer by customer; ``customers`` may have changed since the last.
 
     ``fresh``: the weight of a new table, parent probability included.  New customers sit
-    down one by one; beyond 64 at once they join tables in proportion.  Then at most
-    ``moves`` customers, drawn at random, stand up and sit down again.
+    down one by one.  Then ``moves`` customers (all, if None), drawn at random, stand up and
+    sit down again.  The model itself uses :func:`draw_tables`, which has the distribution
+    that such sweeps tend to and costs nothing per customer.
     """
     sizes, held = list(sizes), sum(sizes)
     while held > customers:
@@ -84,15 +87,10 @@ def reseat(sizes: list[int], customers: int, fresh: float, discount: float, dice
         held -= out
         if not sizes[i]:
             sizes.pop(i)
-    for _ in range(min(64, customers - held)):
+    for _ in range(customers - held):
         _sit(sizes, fresh, discount, dice)
-        held += 1
-    if held < customers:
-        grow = customers / held
-        sizes = [int(n * grow) for n in sizes]
-        sizes[0] += customers - sum(sizes)
     if customers > 1:
-        for _ in range(min(moves, customers)):
+        for _ in range(customers if moves is None else moves):
             at, i = dice() * customers, 0
             while i < len(sizes) - 1 and at >= sizes[i]:
                 at -= sizes[i]
@@ -104,13 +102,93 @@ def reseat(sizes: list[int], customers: int, fresh: float, discount: float, dice
     return sizes
 
 
+@cache
+def _stirling(discount: float) -> list[np.ndarray]:
+    """Logarithms of the generalised Stirling numbers: row c has 1..c tables, c up to EXACT."""
+    rows = [np.zeros(0), np.zeros(1)]
+    for c in range(1, EXACT):
+        row = np.full(c + 1, -np.inf)
+        row[:c] = rows[-1] + np.log(c - np.arange(1, c + 1) * discount)
+        row[1:] = np.logaddexp(row[1:], rows[-1])
+        rows.append(row)
+    return rows
+
+
+def _saddle(c: int, t: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Saddle-point logarithms of the Stirling numbers of c customers and t < c tables, less lgamma(c + 1); and t * y**discount at the saddle 1 - y."""
+    low, high = np.full(len(t), -400.0), np.full(len(t), -1e-12)
+    for _ in range(60):
+        m = (low + high) / 2
+        few = t * -np.expm1(m) * discount * np.exp((discount - 1) * m) > -c * np.expm1(discount * m)
+        low, high = np.where(few, m, low), np.where(few, high, m)
+    m = (low + high) / 2
+    y, z, f = np.exp(m), -np.expm1(m), -np.expm1(discount * m) / discount
+    g = z * np.exp((discount - 1) * m) / f
+    spread = t * g * (1 + z * (1 - discount) / y - g)
+    return t * np.log(f) - c * np.log1p(-y) - 0.5 * np.log(2 * np.pi * spread) - np.array([math.lgamma(x) for x in (t + 1).tolist()]), t * np.exp(discount * m)
+
+
+@cache
+def _off(discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """How far the saddle point is off in the last exact row; beyond it this depends on t * y**discount alone."""
+    approximate, place = _saddle(EXACT, np.arange(1.0, EXACT), discount)
+    return np.log(place), _stirling(discount)[EXACT][:-1] - math.lgamma(EXACT + 1) - approximate
+
+
+def _many(c: int, fresh: float, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of tables that c > EXACT customers can be expected at, and the logarithms of their weights."""
+    low, high = -400.0, -1e-12  # the mode: fresh * z * y ** (discount - 1) = c
+    for _ in range(60):
+        m = (low + high) / 2
+        low, high = (m, high) if fresh * -math.expm1(m) * math.exp((discount - 1) * m) > c else (low, m)
+    mode = min(float(c), fresh * -math.expm1(discount * low) / discount)
+    reach = 12 * math.sqrt(mode) + 40
+    t = np.arange(max(1, int(mode - reach)), min(c - 1, int(mode + reach)) + 1, dtype=float)
+    logs, place = _saddle(c, t, discount)
+    x, off = _off(discount)
+    below = np.minimum(np.log(place) - x[0], 0) * (off[1] - off[0]) / (x[1] - x[0])  # few tables of many customers: a straight line
+    return t, logs + np.interp(np.log(place), x, off) + below + t * math.log(fresh)
+
+
+def draw_tables(customers: np.ndarray, fresh: np.ndarray, discount: float, at: np.ndarray) -> np.ndarray:
+    """Each dish's number of tables, drawn from its distribution given its ``customers``, at the uniform numbers ``at``.
+
+    The weight of t tables is the generalised Stirling number of (customers, t) times
+    ``fresh`` (the weight of a new table) to the power of t: exact up to EXACT customers,
+    beyond by saddle points set right on the last exact row.
+    """
+    tables = np.minimum(customers, 1)
+    log_fresh = np.log(np.maximum(fresh, 1e-300))
+    order = np.argsort(customers, kind="stable")
+    order = order[np.searchsorted(customers[order], 2) :]
+    for same in np.split(order, np.flatnonzero(np.diff(customers[order])) + 1):
+        c = int(customers[same[0]]) if len(same) else 0
+        for part in np.split(same, range(0, len(same), 1 + 1_000_000 // max(c, 1))[1:]) if c <= EXACT else same.reshape(-1, 1):
+            if not len(part):
+                continue
+            if c <= EXACT:
+                t = np.arange(1.0, c + 1)
+                logs = _stirling(discount)[c] + t * log_fresh[part, None]
+            else:
+                t, logs = _many(c, math.exp(log_fresh[part[0]]), discount)
+                logs = logs[None]
+            sums = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), 1)
+            tables[part] = t[np.minimum((sums <= at[part, None] * sums[:, -1:]).sum(1), len(t) - 1)]
+    return tables
+
+
+def _uniform(keys: np.ndarray, seed: int) -> np.ndarray:
+    """Numbers in [0, 1) that depend on 64-bit keys and a seed alone."""
+    return (_mix(_mix(keys.astype(np.uint64)) + np.uint64(seed)) >> np.uint64(11)).astype(float) / 9007199254740992.0
+
+
 class Letters:
     """The letter restaurants: contexts of 2, 1 and 0 bytes, and their predictive probabilities."""
 
     contexts = (1, SYMBOLS, FOLDED)
 
     def __init__(self) -> None:
-        self.seats: list[dict[int, list[int]]] = [{}, {}, {}]
+        self.seats: list[dict[int, tuple[int, int]]] = [{}, {}, {}]  # customers who opened a table, and who joined one
         self.p = np.full((FOLDED, SYMBOLS), 1.0 / SYMBOLS)
 
     def sweep(self, cells: np.ndarray, counts: np.ndarray, seed: int) -> None:
@@ -124,21 +202,17 @@ class Letters:
                 up: Counter = Counter()
                 for cell, n in need[-1].items():
                     context, symbol = divmod(cell, SYMBOLS)
-                    up[int(parent_of[level][context]) * SYMBOLS + symbol] += max(1, min(n, len(self.seats[level].get(cell, ()))))
+                    up[int(parent_of[level][context]) * SYMBOLS + symbol] += max(1, min(n, self.seats[level].get(cell, (1, 0))[0]))
                 need.append(up)
         for level, wanted in zip((0, 1, 2), reversed(need)):  # down: parents first, so children know their probabilities
             base = predictive[-1][parent_of[level]] if level else predictive[-1]
             tables = np.zeros(self.contexts[level])
-            for cell, sizes in self.seats[level].items():
-                tables[cell // SYMBOLS] += len(sizes)
-            seats = {}
-            for cell, n in wanted.items():
-                context, symbol = divmod(cell, SYMBOLS)
-                fresh = (LETTER_STRENGTH + LETTER_DISCOUNT * tables[context]) * base[context, symbol]
-                seats[cell] = reseat(self.seats[level].get(cell, []), n, fresh, LETTER_DISCOUNT, Dice(cell * 31 + level * 7 + seed))
-            self.seats[level] = seats
-            at = np.array(list(seats), np.int64)
-            n, t = np.array([sum(s) for s in seats.values()], float), np.array([len(s) for s in seats.values()], float)
+            for cell, (opened, _) in self.seats[level].items():
+                tables[cell // SYMBOLS] += opened
+            at, n = np.array(list(wanted), np.int64), np.array(list(wanted.values()), np.int64)
+            fresh = (LETTER_STRENGTH + LETTER_DISCOUNT * tables[at // SYMBOLS]) * base[at // SYMBOLS, at % SYMBOLS]
+            t = draw_tables(n, fresh, LETTER_DISCOUNT, _uniform(at, level * 7 + seed * 31))
+            self.seats[level] = {cell: (x, y) for cell, x, y in zip(at.tolist(), t.tolist(), (n - t).tolist())}
             total, number = np.bincount(at // SYMBOLS, n, self.contexts[level]), np.bincount(at // SYMBOLS, t, self.contexts[level])
             p = (LETTER_STRENGTH + LETTER_DISCOUNT * number)[:, None] * base
             p.reshape(-1)[at] += n - LETTER_DISCOUNT * t
@@ -237,23 +311,21 @@ def _drop(df: DataFrame) -> None:
 
 
 def _sweep(state: DataFrame, letters: Letters, tables: int, seed: int, keep: bool) -> DataFrame:
-    """Seats every word of ``word, c, sizes, t, spelled`` anew; a kept sweep adds to ``t`` and ``spelled``."""
+    """Seats every word of ``word, c, tables, t, spelled`` anew; a kept sweep adds to ``t`` and ``spelled``."""
     shared = state.sparkSession.sparkContext.broadcast(np.log(letters.p).reshape(-1))
 
     def work():
         log_p = shared.value
 
         def step(batch: dict) -> dict:
-            words, counts = batch["word"].to_pylist(), batch["c"].to_pylist()
+            words, counts = batch["word"].to_pylist(), batch["c"].to_numpy()
             spelled = _spelling(words, log_p)
             fresh = (STRENGTH + DISCOUNT * tables) * np.exp(spelled)
-            sizes = [
-                [1] if c == 1 else reseat(s, c, f, DISCOUNT, Dice(crc32(w) * 8191 + seed)) if c else []
-                for w, c, s, f in zip(words, counts, batch["sizes"].to_pylist(), fresh.tolist())
-            ]
-            out = batch | {"sizes": sizes}
+            keys = np.fromiter(map(crc32, words), np.int64, len(words))
+            drawn = draw_tables(counts, fresh, DISCOUNT, _uniform(keys, seed))
+            out = batch | {"tables": pa.array(drawn, pa.int64())}
             if keep:
-                out["t"] = [[*old, len(s)] for old, s in zip(batch["t"].to_pylist(), sizes)]
+                out["t"] = [[*old, n] for old, n in zip(batch["t"].to_pylist(), drawn.tolist())]
                 out["spelled"] = [[*old, x] for old, x in zip(batch["spelled"].to_pylist(), spelled.tolist())]
             return out
 
@@ -275,7 +347,7 @@ def _letter_customers(state: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["cell", "n"])
 
-    rows = state.filter("c > 0").select("word", F.size("sizes").alias("tables")).mapInArrow(run, "cell long, n long")
+    rows = state.filter("c > 0").select("word", "tables").mapInArrow(run, "cell long, n long")
     found = rows.groupBy("cell").agg(F.sum("n").alias("n")).toArrow().sort_by("cell")
     return found.column("cell").to_numpy(), found.column("n").to_numpy()
 
@@ -283,14 +355,14 @@ def _letter_customers(state: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _probabilities(words: DataFrame, n: int, v: int, seed: int) -> DataFrame:
     """``word, known, base, score``: base-10 logarithms of the add-one estimate and of the model's probability."""
     empty = F.array().cast("array<int>")
-    state = words.select("word", "c", empty.alias("sizes"), empty.alias("t"), F.array().cast("array<double>").alias("spelled"))
+    state = words.select("word", "c", F.lit(0).cast("long").alias("tables"), empty.alias("t"), F.array().cast("array<double>").alias("spelled"))
     letters, tables, kept = Letters(), 0, []
     for k in range(SWEEPS + 1):
         new = _sweep(state, letters, tables, seed + k, keep=k > 0)
         if k:
             _drop(state)
         state = new
-        tables = state.agg(F.coalesce(F.sum(F.size("sizes")), F.lit(0)).alias("t")).first().t
+        tables = state.agg(F.coalesce(F.sum("tables"), F.lit(0)).alias("t")).first().t
         if k:
             kept.append(tables)
         if k < SWEEPS:

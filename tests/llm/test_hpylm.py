@@ -83,3 +83,34 @@ def test_gibbs_seating_has_the_exact_distribution_of_tables():
         found[len(sizes)] += 1
     for tables, w in weights.items():
         assert abs(found[tables] / 6000 - w / sum(weights.values())) < 0.03
+
+
+@pytest.mark.parametrize("discount", [hpylm.DISCOUNT, hpylm.LETTER_DISCOUNT])
+@pytest.mark.parametrize("fresh", [1e-3, 1.0, 30.0])
+def test_tables_of_frequent_dishes_have_the_exact_distribution(discount, fresh):
+    """3000 customers: Stirling numbers by their recursion, against the draws' weights beyond EXACT."""
+    row = np.zeros(1)
+    for c in range(1, 3000):
+        new = np.full(c + 1, -np.inf)
+        new[:c] = row + np.log(c - np.arange(1, c + 1) * discount)
+        new[1:] = np.logaddexp(new[1:], row)
+        row = new
+    p = np.exp(row + np.arange(1, 3001) * np.log(fresh) - (row + np.arange(1, 3001) * np.log(fresh)).max())
+    mean = (p * np.arange(1, 3001)).sum() / p.sum()
+    at = (np.arange(2000) + 0.5) / 2000
+    drawn = np.concatenate([hpylm.draw_tables(np.array([3000]), np.array([fresh]), discount, at[i : i + 1]) for i in range(0, 2000, 20)])
+    assert abs(drawn.mean() - mean) < 0.05 + 0.02 * mean
+
+
+def test_draws_agree_with_moving_every_customer():
+    moved, sizes = [], []
+    for k in range(3000):
+        sizes = hpylm.reseat(sizes, 40, 2.0, 0.6, hpylm.Dice(k * 7919))
+        moved.append(len(sizes))
+    drawn = hpylm.draw_tables(np.full(3000, 40), np.full(3000, 2.0), 0.6, (np.arange(3000) + 0.5) / 3000)
+    assert abs(np.mean(moved[50:]) - drawn.mean()) < 0.3
+
+
+def test_all_arriving_customers_may_open_tables():
+    sizes = [len(hpylm.reseat([], 4000, 20.0, 0.7, hpylm.Dice(k), moves=0)) for k in range(5)]
+    assert min(sizes) > 64
