@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -67,16 +67,20 @@ def map_batches(df: DataFrame, work: Callable[[], Callable[[dict], dict]], schem
     return df.mapInArrow(run, schema)
 
 
-ROW = "__sparvane_row"
+ROW, CHECK = "__sparvane_row", "__sparvane_check"
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """Adds ROW: partition and place of each row in a scan, the same in every scan of the same files."""
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+def numbered(df: DataFrame, content: Column) -> DataFrame:
+    """Adds ROW, partition and place of each row in a scan, and CHECK, a hash of its ``content``.
+
+    Another scan may number rows differently (other splits, another order), so whoever
+    picks rows by their numbers compares CHECK as well.
+    """
+    return df.withColumns({ROW: F.monotonically_increasing_id(), CHECK: F.xxhash64(content)})
 
 
-def write_row_sets(rows: DataFrame) -> str:
-    """Writes the numbers in column ROW, one file for each scan partition that has some; returns the folder.
+def write_row_sets(rows: DataFrame) -> tuple[str, int]:
+    """Writes the numbers in column ROW with their CHECK, one file for each scan partition that has some; returns the folder and how many.
 
     With these a later scan picks its rows itself, and nothing but numbers is shuffled.
     """
@@ -88,45 +92,59 @@ def write_row_sets(rows: DataFrame) -> str:
 
         system, path = fs.FileSystem.from_uri(folder)
         system.create_dir(path, recursive=True)
-        attempt, part, held, files = TaskContext.get().taskAttemptId(), None, [], 0
+        attempt, part, held, written = TaskContext.get().taskAttemptId(), None, [], 0
 
         def flush() -> None:
-            nonlocal files
+            nonlocal written
             if part is not None:
                 with system.open_output_stream(f"{path}/{part}.{attempt}", compression=None) as out:
                     out.write(np.concatenate(held).tobytes())
                 system.move(f"{path}/{part}.{attempt}", f"{path}/{part}")  # all attempts write the same
-                files += 1
+                written += sum(map(len, held))
 
         for batch in batches:
-            numbers = batch.column(ROW).to_numpy()
-            for piece in np.split(numbers, np.flatnonzero(np.diff(numbers >> 33)) + 1) if len(numbers) else []:
-                if int(piece[0] >> 33) != part:
+            numbers = np.stack([batch.column(ROW).to_numpy(), batch.column(CHECK).to_numpy()], 1)
+            for piece in np.split(numbers, np.flatnonzero(np.diff(numbers[:, 0] >> 33)) + 1) if len(numbers) else []:
+                if int(piece[0, 0] >> 33) != part:
                     flush()
-                    part, held = int(piece[0] >> 33), []
+                    part, held = int(piece[0, 0] >> 33), []
                 held.append(piece)
         flush()
-        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], names=["n"])
 
-    dealt = rows.select(ROW).repartition(tasks, F.shiftright(ROW, 33)).sortWithinPartitions(ROW)
-    dealt.mapInArrow(run, "files long").agg(F.sum("files")).collect()
-    return folder
+    dealt = rows.select(ROW, CHECK).repartition(tasks, F.shiftright(ROW, 33)).sortWithinPartitions(ROW)
+    return folder, dealt.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def pick_rows(numbered_df: DataFrame, folder: str, keep: bool = True) -> DataFrame:
-    """Those rows of a numbered scan whose numbers :func:`write_row_sets` wrote (or, if not ``keep``, the others)."""
+def pick_rows(numbered_df: DataFrame, folder: str) -> DataFrame:
+    """Those rows of a numbered scan that :func:`write_row_sets` wrote; fails if a number stands for other content.
+
+    Rows that this scan lacks show in the number of rows only: see :func:`all_there`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         system, path = fs.FileSystem.from_uri(folder)
-        part, chosen = None, np.zeros(0, np.int64)
+        part, chosen = None, np.zeros((0, 2), np.int64)
         for batch in batches:
             numbers = batch.column(ROW).to_numpy()
             if len(numbers) and int(numbers[0] >> 33) != part:
                 part = int(numbers[0] >> 33)
                 there = system.get_file_info(f"{path}/{part}").type == fs.FileType.File
-                chosen = np.frombuffer(system.open_input_file(f"{path}/{part}").readall(), np.int64) if there else chosen[:0]
-            yield batch.filter(pa.array(np.isin(numbers, chosen) == keep))
-
-    return numbered_df.mapInArrow(run, numbered_df.schema)
+                chosen = np.frombuffer(system.open_input_file(f"{path}/{part}").readall(), np.int64).reshape(-1, 2) if there else chosen[:0]
+            at = np.minimum(np.searchsorted(chosen[:, 0], numbers), max(len(chosen) - 1, 0))
+            picked = chosen[at, 0] == numbers if len(chosen) else np.zeros(len(numbers), bool)
+            if (chosen[at[picked], 1] != batch.column(CHECK).to_numpy()[picked]).any():
+                raise RuntimeError("two scans number the rows differently: a chosen number stands for other content")
+            yield batch.filter(pa.array(picked))
+
+    return numbered_df.mapInArrow(run, numbered_df.schema).drop(ROW, CHECK)
+
+
+def all_there(picked: DataFrame, n: int) -> DataFrame:
+    """``picked`` (written, so that it can't change any more), if it has ``n`` rows; else fails."""
+    found = picked.count()
+    if found != n:
+        raise RuntimeError(f"two scans number the rows differently: {found} of {n} chosen rows were found")
+    return picked

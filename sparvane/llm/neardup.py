@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparvane.llm.common import ROW, cut_lineage, map_batches, numbered, pick_rows, write_row_sets
+from sparvane.llm.common import CHECK, ROW, all_there, cut_lineage, fresh_folder, map_batches, numbered, pick_rows, write_row_sets
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -121,7 +121,7 @@ def text_key(text: Column) -> Column:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, key, weight, bands`` of numbered documents: no bands for a text without words."""
+    """``row, check, doc_id, key, weight, bands`` of numbered documents: no bands for a text without words."""
 
     def work():
         def step(batch: dict) -> dict:
@@ -132,12 +132,12 @@ def _signed(docs: DataFrame) -> DataFrame:
                 part = full[start : start + 256]
                 for i, row in zip(part, bands(signatures([found[i] for i in part])).view(np.int64)):
                     keys[i] = row
-            return {ROW: batch[ROW], "doc_id": batch["doc_id"], "key": batch["key"], "weight": [len(u) for u in found], "bands": keys}
+            return {ROW: batch[ROW], CHECK: batch[CHECK], "doc_id": batch["doc_id"], "key": batch["key"], "weight": [len(u) for u in found], "bands": keys}
 
         return step
 
-    source = docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
-    return map_batches(source, work, f"{ROW} long, doc_id long, key binary, weight long, bands array<long>")
+    source = docs.select(ROW, CHECK, F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
+    return map_batches(source, work, f"{ROW} long, {CHECK} long, doc_id long, key binary, weight long, bands array<long>")
 
 
 def _units_of(docs: DataFrame, signed: DataFrame, keys: DataFrame) -> DataFrame:
@@ -146,9 +146,10 @@ def _units_of(docs: DataFrame, signed: DataFrame, keys: DataFrame) -> DataFrame:
     def work():
         return lambda batch: {"key": batch["key"], "units": [units(t.as_py()).tobytes() for t in batch["text"]]}
 
-    rows = signed.join(keys, "key", "left_semi").groupBy("key").agg(F.min(ROW).alias(ROW))
-    texts = docs.select(ROW, text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
-    return map_batches(pick_rows(texts, write_row_sets(rows)), work, "key binary, units binary")
+    rows = signed.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.struct(ROW, CHECK)).alias("first")).select("first.*")
+    texts = docs.select(ROW, CHECK, text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
+    folder, n = write_row_sets(rows)
+    return all_there(cut_lineage(map_batches(pick_rows(texts, folder), work, "key binary, units binary")), n)
 
 
 def _compared(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -189,7 +190,7 @@ def _links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     spread = nodes.select("key", "weight", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).filter("n > 1")
     members = cut_lineage(spread.join(shared, "band"))
-    shingles = cut_lineage(_units_of(docs, signed, members.select("key").distinct()))
+    shingles = _units_of(docs, signed, members.select("key").distinct())
 
     def pair(x: str, y: str) -> list[Column]:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
@@ -232,11 +233,16 @@ def _exploded(batch: dict) -> dict:
     return {"key": batch["key"].take(pa.array(at, pa.int64())), "unit": np.concatenate(parts) if parts else np.zeros(0, np.int64)}
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """Numbered documents, with text and doc_id as the content that two scans must agree on."""
+    return numbered(docs, F.struct(text_key(F.col("text")), F.col("doc_id").cast("long")))
+
+
 def _classed(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, class`` of every row of numbered documents; the class is a key."""
+    """``row, check, doc_id, class`` of every row of numbered documents; the class is a key."""
     signed = cut_lineage(_signed(docs))
     linked = _links(docs, signed)
-    return signed.select(ROW, "doc_id", "key").join(linked, "key", "left").select(ROW, "doc_id", F.coalesce("comp", "key").alias("class"))
+    return signed.select(ROW, CHECK, "doc_id", "key").join(linked, "key", "left").select(ROW, CHECK, "doc_id", F.coalesce("comp", "key").alias("class"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -247,7 +253,7 @@ def classes(docs: DataFrame) -> DataFrame:
     and ``n_docs`` its number of rows.  Texts without words equal only texts of the same
     characters.  Other columns are ignored; an empty table gives no rows.
     """
-    found = _classed(numbered(docs))
+    found = _classed(_rows(docs))
     ids = found.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs"))
     return found.join(ids, "class").select("doc_id", "class_id", "n_docs")
 
@@ -255,10 +261,13 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class the row with the smallest doc_id (nulls last).
 
-    All columns of ``docs`` are returned.  Of rows that share the smallest id and their
+    All columns of ``docs`` are returned, written to the shared folder.  Of rows that share the smallest id and their
     text, one stays.  Texts without words are all kept unless they are equal.
     """
-    rows = numbered(docs)
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
-    winners = _classed(rows).groupBy("class").agg(F.min(first).alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
-    return pick_rows(rows, write_row_sets(winners)).drop(ROW)
+    rows = _rows(docs)
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", ROW, CHECK)
+    winners = _classed(rows).groupBy("class").agg(F.min(first).alias("best")).select(f"best.{ROW}", f"best.{CHECK}")
+    folder, n = write_row_sets(winners)
+    where = fresh_folder(docs.sparkSession, "kept")
+    pick_rows(rows, folder).write.parquet(where)
+    return all_there(docs.sparkSession.read.schema(docs.schema).parquet(where), n)

@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from sparvane.llm import neardup
+from sparvane.llm import common, neardup
 
 SCHEMA = "doc_id long, text string, class string, key string, band string"
 
@@ -89,3 +91,20 @@ def test_agreement_of_signatures_estimates_weighted_similarity():
             assert not (s == neardup._EMPTY).any()
             gaps.append((s[0] == s[1]).mean() - common / (len(x) + len(y) - common))
     assert abs(np.mean(gaps)) < 0.03 and np.std(gaps) < 0.1
+
+
+def test_picking_fails_if_rows_are_numbered_differently(spark):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string").coalesce(1)
+    folder, n = common.write_row_sets(neardup._rows(rows).filter("doc_id % 5 = 1"))
+    assert n == 10
+    picked = common.all_there(common.pick_rows(neardup._rows(rows), folder), n)
+    assert sorted(r.doc_id for r in picked.collect()) == list(range(1, 50, 5))
+    with pytest.raises(Exception, match="number the rows differently"):
+        common.pick_rows(neardup._rows(rows.orderBy(F.desc("doc_id")).coalesce(1)), folder).collect()
+
+
+def test_missing_rows_fail(spark):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string").repartition(3, "doc_id")
+    folder, n = common.write_row_sets(neardup._rows(rows))
+    with pytest.raises(RuntimeError, match="of 50 chosen rows"):
+        common.all_there(common.pick_rows(neardup._rows(rows.limit(0)), folder), n)
