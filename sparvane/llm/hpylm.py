@@ -1,17 +1,19 @@
 """A hierarchical Pitman-Yor language model over whole words and their letters.
 
-Words are dishes of one restaurant.  Its parent draws words letter by letter: every
-context of two bytes has a restaurant of its own, whose parent is the context of one byte,
-then the empty context, then the uniform distribution; contexts that share an ending share
-that parent, and every table of a child is a customer of its parent.  Longer contexts are
-folded into a fixed number of restaurants, so the letter part has a fixed bound and lives
-on the driver and in broadcasts, while words, which grow with the corpus, stay in tables.
+Words are dishes of one restaurant.  Its parent draws words letter by letter: contexts of
+two bytes have restaurants whose parent is the context of one byte, then the empty context,
+then the uniform distribution; contexts that share an ending share that parent, and every
+table of a child is a customer of its parent.  The byte before the last is folded into 31
+values, so about eight contexts of two bytes share a restaurant.  The letter part has a fixed
+bound and lives on the driver and in broadcasts, while words, which grow with the corpus,
+stay in tables.
 
 Chinese-restaurant seating is sampled by Gibbs sweeps: a sweep seats all customers of a dish
 anew, by drawing its number of tables (which is all that probabilities need) from its
-distribution given the customers and the parent's probability, however many they are.  Words are independent given their parent and the number of
-tables so far, so a sweep over them runs in parallel.  Scores are logarithms of predictive
-probabilities averaged over the sweeps after the first.
+distribution given the customers and the parent's probability, however many they are.  Words
+are independent given their parent and the number of tables so far, so a sweep over them
+runs in parallel.  Scores are logarithms of predictive probabilities averaged over the
+sweeps after the first.
 
 Documents are scored in blocks in scan order: a block's distinct words meet their
 probabilities in a join and come back as one small side file in the shared folder.  Texts
