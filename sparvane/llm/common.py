@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a temporary folder is set.
+    Where the session names none, a local master (tests, one machine) gets a temporary
+    folder; on a cluster that is an error, as executors would not see each other's files.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return where or current.get()
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), "sparvane-checkpoints")
     spark.sparkContext.setCheckpointDir(where)
     return where
@@ -46,6 +51,29 @@ def fresh_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/sparvane-{kind}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of :func:`fresh_folder` and all in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def steady_scans(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile all scans of a table split it alike, whatever executors come and go, and shuffle files go when their job ends."""
+    wanted = {"spark.sql.files.minPartitionNum": str(spark.sparkContext.defaultParallelism), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, before[k] if before[k] and k.endswith("Num") else v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def map_batches(df: DataFrame, work: Callable[[], Callable[[dict], dict]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with a state made once per task.
 

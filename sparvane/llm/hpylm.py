@@ -1,54 +1,227 @@
-"""A hierarchical Pitman-Yor language model over whole words and their letters.
-
-Words are dishes of one restaurant.  Its parent draws words letter by letter: contexts of
-two bytes have restaurants whose parent is the context of one byte, then the empty context,
-then the uniform distribution; contexts that share an ending share that parent, and every
-table of a child is a customer of its parent.  The byte before the last is folded into 31
-values, so about eight contexts of two bytes share a restaurant.  The letter part has a fixed
-bound and lives on the driver and in broadcasts, while words, which grow with the corpus,
-stay in tables.
-
-Chinese-restaurant seating is sampled by Gibbs sweeps: a sweep seats all customers of a dish
-anew, by drawing its number of tables (which is all that probabilities need) from its
-distribution given the customers and the parent's probability, however many they are.  Words
-are independent given their parent and the number of tables so far, so a sweep over them
-runs in parallel.  Scores are logarithms of predictive probabilities averaged over the
-sweeps after the first.
-
-Documents are scored in blocks in scan order: a block's distinct words meet their
-probabilities in a join and come back as one small side file in the shared folder.  Texts
-are never shuffled, and memory is bounded by a block.
+"""A hierarchical Pitman-Yor language model over word contexts, words and letters.
+
+The word before opens a restaurant whose dishes are the words that follow it.  All these
+restaurants share one parent, the restaurant of words without context; its parent draws
+words letter by letter: contexts of two bytes have restaurants whose parent is the context of
+one byte, then the empty context, then the uniform distribution.  Every table of a child is a
+customer of its parent.  The byte before the last is folded into 31 values, so about eight
+contexts of two bytes share a restaurant; the letter part thus has a fixed bound and lives on
+the driver and in broadcasts, while words and their contexts grow with the corpus and stay in
+files of the shared folder.
+
+Chinese-restaurant seating is sampled by blocked Gibbs: a sweep over a level seats all
+customers of every dish anew, by drawing the dish's number of tables (which is all that
+probabilities need) from its distribution given the customers and the parent's probability,
+however many they are.  At first each (context, word) has one table; the levels above are
+swept, then the contexts several times, and after each of the KEPT last sweeps the levels
+above once more.  Scores are logarithms of predictive probabilities averaged over these.
+
+How it runs: tokens become 64-bit word hashes.  A block of documents sends its distinct
+(context, word) cells with their counts to buckets by context; a context with more than its
+share of the corpus is spread over several buckets by word, and its totals are added up.
+Words belong to owners, by hash.  Buckets tell owners the tables of their words, owners
+answer with the words' probabilities, and at the end buckets answer each block in the order
+of its cells.  So only cells are shuffled, never texts, and memory is bounded by a block,
+a bucket or an owner, whose numbers follow ``spark.sql.shuffle.partitions``.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparvane.llm.common import fresh_folder, map_batches
+from sparvane.llm.common import fresh_folder, remove_folder, steady_scans
 from sparvane.llm.neardup import _mix
 
-END = b""  #: the end of a text, a dish that no word equals
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 16_000_000
 DISCOUNT, STRENGTH = 0.7, 10.0
+CONTEXT_DISCOUNT, CONTEXT_STRENGTH = 0.8, 5.0
 LETTER_DISCOUNT, LETTER_STRENGTH = 0.5, 2.0
-SWEEPS, EXACT = 3, 1024
+BURN_IN, KEPT, EXACT = 2, 3, 1024
 SYMBOLS, STOP, START = 258, 256, 257
 FOLDED = 8192
+CHUNK = 1 << 20
+END_WORD, START_WORD = np.uint64(0x5D1F0A3C9E2B7745), np.uint64(0xA17C3E5590D24B1F)  #: hashes of a text's end and of the context before its first word
+_FACTOR = 0x9E6C63D0873F52A5
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+MESSAGE = "target int, source string, data binary"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's factor and of its inverse modulo 2**64."""
+    factors = [np.full(n, x, np.uint64) for x in (_FACTOR, pow(_FACTOR, -1, 2**64))]
+    for f in factors:
+        f[0] = 1
+    return tuple(np.cumprod(f) for f in factors)
+
+
+def _words(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hash, start and length of the words of ``data``, bytes of texts that begin and end at ``bounds``.
+
+    A word's hash is a polynomial of its bytes, so one running sum gives those of all words.
+    """
+    begin = 0
+    while begin < len(data):
+        end = len(data)
+        if end - begin > CHUNK:  # cut at the next white space or text
+            end = begin + CHUNK
+            limit = int(bounds[np.searchsorted(bounds, end)])
+            while end < limit and not _SPACE[data[end]]:
+                found = np.flatnonzero(_SPACE[data[end : min(limit, end + 65536)]])
+                end = end + int(found[0]) if len(found) else min(limit, end + 65536)
+        part = data[begin:end]
+        solid = ~_SPACE[part]
+        fresh = np.ones(len(part), bool)
+        fresh[1:] = ~solid[:-1]
+        cuts = bounds[np.searchsorted(bounds, begin) : np.searchsorted(bounds, end)] - begin
+        fresh[cuts] = True
+        starts = np.flatnonzero(solid & fresh)
+        last = np.ones(len(part), bool)
+        last[:-1] = ~solid[1:] | fresh[1:]
+        ends = np.flatnonzero(solid & last) + 1
+        size = CHUNK + 65536 if len(part) <= CHUNK + 65536 else len(part)
+        power, inverse = _powers(size)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((_LOWER[part].astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=total[1:])
+        yield _mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts + begin, ends - starts
+        begin = end
+
+
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all texts, each text closed by END_WORD; tokens of each text; and the words' first bytes, lengths and the bytes they point to (A-Z lower-cased)."""
+    binary = texts.fill_null("").cast(pa.large_binary())
+    offsets = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(binary) + 1]
+    data = np.frombuffer(binary.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(binary) else np.zeros(0, np.uint8)
+    bounds = offsets - offsets[0]
+    parts = list(_words(data, bounds))
+    h, starts, lengths = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.uint64, np.int64, np.int64)))
+    text = np.searchsorted(bounds[1:], starts, side="right")
+    tokens = np.full(len(h) + len(binary), END_WORD)
+    tokens[np.arange(len(h)) + text] = h
+    return tokens, np.bincount(text, minlength=len(binary)) + 1, starts, lengths, _LOWER[data]
+
+
+def contexts_of(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The token before each token, START_WORD at a text's first."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[np.cumsum(sizes) - sizes] = START_WORD
+    return before
+
+
+def ordered(contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal (context, word) together, contexts mostly so as well, and marks where a new one begins."""
+    mixed = _mix(contexts)
+    key = mixed & np.uint64(0xFFFFFFFF00000000) | _mix(mixed ^ words) >> np.uint64(32)
+    order = np.argsort(key)
+
+    def changes() -> tuple[np.ndarray, np.ndarray]:
+        k, c, w = key[order], contexts[order], words[order]
+        same = k[1:] == k[:-1]
+        return np.r_[np.ones(min(1, len(k)), bool), ~same | (c[1:] != c[:-1]) | (w[1:] != w[:-1])], same
+
+    new, same = changes()
+    if (new[1:] & same).any():  # different cells with one key: order by all there is
+        order = np.lexsort((words, contexts, key))
+        new, _ = changes()
+    return order, new
+
+
+class Split:
+    """Which bucket holds a cell: that of its context, or one of several, by word, for a context above a quarter of a bucket's share."""
+
+    def __init__(self, buckets: int, frequent: dict[int, int], total: int) -> None:
+        self.buckets, self.counts = buckets, dict(sorted(frequent.items()))
+        self.hot = np.array(list(self.counts), np.uint64)
+        self.pieces = np.array([min(buckets, 1 + 4 * buckets * n // max(total, 1)) for n in self.counts.values()], np.uint64)
+
+    def of(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        n = np.uint64(self.buckets)
+        at = (_mix(contexts) >> np.uint64(32)) * n >> np.uint64(32)
+        if len(self.hot):
+            i = np.minimum(np.searchsorted(self.hot, contexts), len(self.hot) - 1)
+            hot = np.flatnonzero(self.hot[i] == contexts)
+            at[hot] = (at[hot] + (_mix(words[hot] ^ _mix(contexts[hot])) >> np.uint64(20)) % self.pieces[i[hot]]) % n
+        return at.astype(np.int64)
+
+
+def owners(hashes: np.ndarray, tasks: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)).astype(np.int64)
+
+
+class Store:
+    """Numbered files of a shared folder; a file appears whole, and all attempts write the same."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+
+    def _path(self, kind: str, number: int | str) -> tuple:
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(self.folder)
+        return system, f"{path}/{kind}", f"{path}/{kind}/{number}"
+
+    def put(self, kind: str, number: int | str, what: object) -> None:
+        system, folder, path = self._path(kind, number)
+        system.create_dir(folder, recursive=True)
+        temporary = f"{path}.{TaskContext.get().taskAttemptId()}"
+        with system.open_output_stream(temporary, compression=None) as out:
+            out.write(dumped(what))
+        system.move(temporary, path)
+
+    def get(self, kind: str, number: int | str) -> object:
+        system, _, path = self._path(kind, number)
+        with system.open_input_stream(path, compression=None) as file:
+            return loaded(file.readall())
+
+    def there(self, kind: str, number: int | str) -> bool:
+        from pyarrow import fs
+
+        system, _, path = self._path(kind, number)
+        return system.get_file_info(path).type == fs.FileType.File
+
+
+def dumped(what: object) -> bytes:
+    raw = pickle.dumps(what, protocol=5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def loaded(data: bytes) -> object:
+    return pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))
+
+
+def _messages(rows: list[tuple[int, str, object]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([dumped(r[2]) for r in rows], pa.binary())], names=["target", "source", "data"])
+
+
+def _received(batches: Iterator[pa.RecordBatch]) -> list[tuple[int, str, object]]:
+    """All messages of a task, ordered by target and source."""
+    rows = [(t, s, d) for b in batches for t, s, d in zip(*(b.column(i).to_pylist() for i in range(3)))]
+    return [(t, s, loaded(d)) for t, s, d in sorted(rows, key=lambda r: (r[0], r[1]))]
+
+
+def _name(number: int) -> str:
+    return f"{number:010d}"
+
+
+def _parts(at: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Values of a sorted array, and where each stands."""
+    cuts = np.flatnonzero(np.diff(at)) + 1
+    for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(at)]) if len(at) else ():
+        yield int(at[a]), slice(int(a), int(b))
 
 
 class Dice:
@@ -233,26 +406,36 @@ class Letters:
 _FOLD = FOLDED // SYMBOLS  #: restaurants that share the same last byte
 
 
-def cells_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each letter and end of each word: its cell among the longest contexts, and the word's number."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
+def letter_cells(lengths: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each letter and end of each word (given by lengths and joined bytes): its cell among the longest contexts, and the word's number."""
     starts = np.cumsum(lengths + 3) - lengths - 3
     symbols = np.full(int((lengths + 3).sum()), START, np.int64)
-    owner = np.repeat(np.arange(len(words)), lengths + 3)
+    owner = np.repeat(np.arange(len(lengths)), lengths + 3)
     place = np.arange(len(symbols)) - starts[owner]
     inside = (place >= 2) & (place < lengths[owner] + 2)
-    symbols[inside] = np.frombuffer(b"".join(words), np.uint8)
-    ends = place == lengths[owner] + 2
-    symbols[ends] = STOP
+    symbols[inside] = letters
+    symbols[place == lengths[owner] + 2] = STOP
     at = np.flatnonzero(place >= 2)
     context = symbols[at - 1] * _FOLD + (symbols[at - 2] * 2654435761 >> 7) % _FOLD
     return context * SYMBOLS + symbols[at], owner[at]
 
 
-def _spelling(words: list[bytes], log_p: np.ndarray) -> np.ndarray:
+def cells_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`letter_cells` of a list of words."""
+    return letter_cells(np.array([len(w) for w in words], np.int64), np.frombuffer(b"".join(words), np.uint8))
+
+
+def spelled(lengths: np.ndarray, letters: np.ndarray, log_p: np.ndarray) -> np.ndarray:
     """Natural logarithm of each word's probability by letters."""
-    cells, owner = cells_of(words)
-    return np.bincount(owner, log_p[cells], len(words)) if len(words) else np.zeros(0)
+    cells, owner = letter_cells(lengths, letters)
+    return np.bincount(owner, log_p[cells], len(lengths)) if len(lengths) else np.zeros(0)
+
+
+def take_words(lengths: np.ndarray, letters: np.ndarray, at: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and joined bytes of the words numbered ``at``."""
+    starts = np.cumsum(lengths) - lengths if starts is None else starts
+    n = lengths[at]
+    return n, letters[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], task: int) -> Iterator[tuple[str, pa.RecordBatch]]:
@@ -272,194 +455,428 @@ def _blocks(batches: Iterator[pa.RecordBatch], task: int) -> Iterator[tuple[str,
             start = end
 
 
-def _count(docs: DataFrame) -> DataFrame:
-    """``block, word, n``: each block's distinct words (and END), and how often its training rows have them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, seen, trained = "", set(), Counter()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            words = list(seen)
-            for start in range(0, len(words), 50_000):
-                part = words[start : start + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part)), pa.array(part, pa.binary()), pa.array([trained[w] for w in part], pa.int64())], names=["block", "word", "n"])
-
-        for name, batch in _blocks(batches, TaskContext.get().partitionId()):
-            if name != block:
-                yield from flush()
-                block, seen, trained = name, set(), Counter()
-            for text, held_out in zip(batch.column("text"), batch.column("held_out").to_pylist()):
-                words = [*words_of(text.as_py()), END]
-                seen.update(words)
-                if not held_out:
-                    trained.update(words)
-        yield from flush()
-
-    return docs.mapInArrow(run, "block string, word binary, n long")
-
-
-def _table(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it from there."""
-    spark = df.sparkSession
-    where = fresh_folder(spark, name)
-    df.write.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
-
-
-def _drop(df: DataFrame) -> None:
-    for file in df.inputFiles()[:1]:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def _sweep(state: DataFrame, letters: Letters, tables: int, seed: int, keep: bool) -> DataFrame:
-    """Seats every word of ``word, c, tables, t, spelled`` anew; a kept sweep adds to ``t`` and ``spelled``."""
-    shared = state.sparkSession.sparkContext.broadcast(np.log(letters.p).reshape(-1))
-
-    def work():
-        log_p = shared.value
-
-        def step(batch: dict) -> dict:
-            words, counts = batch["word"].to_pylist(), batch["c"].to_numpy()
-            spelled = _spelling(words, log_p)
-            fresh = (STRENGTH + DISCOUNT * tables) * np.exp(spelled)
-            keys = np.fromiter(map(crc32, words), np.int64, len(words))
-            drawn = draw_tables(counts, fresh, DISCOUNT, _uniform(keys, seed))
-            out = batch | {"tables": pa.array(drawn, pa.int64())}
-            if keep:
-                out["t"] = [[*old, n] for old, n in zip(batch["t"].to_pylist(), drawn.tolist())]
-                out["spelled"] = [[*old, x] for old, x in zip(batch["spelled"].to_pylist(), spelled.tolist())]
-            return out
-
-        return step
-
-    return _table(map_batches(state, work, state.schema), "words")
-
-
-def _letter_customers(state: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Cells and customers of the letter restaurants: every table of the words is spelled once (at most FOLDED x SYMBOLS rows)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(FOLDED * SYMBOLS, np.int64)
-        for batch in batches:
-            words, tables = batch.column("word").to_pylist(), batch.column("tables").to_numpy()
-            if words:
-                cells, owner = cells_of(words)
-                sums += np.bincount(cells, tables[owner], len(sums)).astype(np.int64)
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["cell", "n"])
-
-    rows = state.filter("c > 0").select("word", "tables").mapInArrow(run, "cell long, n long")
-    found = rows.groupBy("cell").agg(F.sum("n").alias("n")).toArrow().sort_by("cell")
-    return found.column("cell").to_numpy(), found.column("n").to_numpy()
-
-
-def _probabilities(words: DataFrame, n: int, v: int, seed: int) -> DataFrame:
-    """``word, known, base, score``: base-10 logarithms of the add-one estimate and of the model's probability."""
-    empty = F.array().cast("array<int>")
-    state = words.select("word", "c", F.lit(0).cast("long").alias("tables"), empty.alias("t"), F.array().cast("array<double>").alias("spelled"))
-    letters, tables, kept = Letters(), 0, []
-    for k in range(SWEEPS + 1):
-        new = _sweep(state, letters, tables, seed + k, keep=k > 0)
-        if k:
-            _drop(state)
-        state = new
-        tables = state.agg(F.coalesce(F.sum("tables"), F.lit(0)).alias("t")).first().t
-        if k:
-            kept.append(tables)
-        if k < SWEEPS:
-            letters.sweep(*_letter_customers(state), seed + k)
-    whole = n + STRENGTH
-    shares = F.array(*(F.lit(math.log((STRENGTH + DISCOUNT * t) / whole)) for t in kept))
-    fresh = F.zip_with("spelled", shares, lambda a, b: a + b)
-    own = F.when(F.col("c") > 0, F.zip_with("t", fresh, lambda t, f: F.log((F.col("c") - DISCOUNT * t) / whole + F.exp(f)))).otherwise(fresh)
-    logs = state.select("word", "c", own.alias("l")).withColumn("top", F.array_max("l"))
-    mean = F.aggregate(F.transform("l", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x) / F.size("l")
-    return logs.select("word", (F.col("c") > 0).alias("known"), F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("base"), ((F.col("top") + F.log(mean)) / math.log(10)).alias("score"))
-
-
-def _side_files(rows: DataFrame, folder: str) -> int:
-    """Writes ``block, word, known, base, score``, sorted by block, as one file a block; returns their number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import feather, fs
-
-        system, path = fs.FileSystem.from_uri(folder)
-        system.create_dir(path, recursive=True)
-        context, block, parts, files = TaskContext.get(), None, [], 0
-
-        def flush() -> None:
-            nonlocal files
-            if block is not None:
-                temporary = f"{path}/{block}.{context.taskAttemptId()}"
-                with system.open_output_stream(temporary) as out:
-                    feather.write_feather(pa.Table.from_batches(parts).drop_columns(["block"]), out, compression="lz4")
-                system.move(temporary, f"{path}/{block}")  # all attempts write the same rows
-                files += 1
-
-        for batch in batches:
-            names = batch.column("block").to_pylist()
-            start = 0
-            while start < len(names):
-                end = start
-                while end < len(names) and names[end] == names[start]:
-                    end += 1
-                if names[start] != block:
-                    flush()
-                    block, parts = names[start], []
-                parts.append(batch.slice(start, end - start))
-                start = end
-        flush()
-        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
-
-    return rows.mapInArrow(run, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[pa.RecordBatch]]]:
+    name, parts = "", []
+    for block, batch in _blocks(batches, TaskContext.get().partitionId()):
+        if block != name and parts:
+            yield name, parts
+            parts = []
+        name = block
+        parts.append(batch)
+    if parts:
+        yield name, parts
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of the runs of equal neighbours."""
+    first = np.flatnonzero(np.r_[np.ones(min(1, len(values)), bool), values[1:] != values[:-1]])
+    return values[first], np.diff(np.r_[first, len(values)])
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """The same numbers in the narrowest unsigned type."""
+    return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x.astype(np.uint8)
+
+
+class Model:
+    """The jobs that count, sample and score; files of one folder hold what they hand on."""
+
+    def __init__(self, rows: DataFrame, seed: int) -> None:
+        self.rows, self.seed = rows, seed
+        self.spark: SparkSession = rows.sparkSession
+        self.tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.store = Store(fresh_folder(self.spark, "hpylm"))
+        self.letters, self.tables, self.customers = [Letters()], [0], [0]
+
+    def _sent(self, df: DataFrame, run: Callable) -> DataFrame:
+        return df.mapInArrow(run, MESSAGE).repartitionById(self.tasks, F.col("target"))
+
+    def _numbers(self) -> DataFrame:
+        return self.spark.range(0, self.tasks, 1, self.tasks)
+
+    def count_words(self) -> None:
+        """Owners' vocabularies: words, and how often training rows have them."""
+        tasks, store = self.tasks, self.store
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, parts in _whole_blocks(batches):
+                found = []
+                for part in parts:
+                    tokens, sizes, starts, lengths, data = tokens_of(part.column("text"))
+                    train = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool), sizes)
+                    words = tokens != END_WORD
+                    h, first, inverse = np.unique(tokens[words], return_index=True, return_inverse=True)
+                    found.append((h, np.bincount(inverse, train[words], len(h)).astype(np.int64), *take_words(lengths, data, first, starts)))
+                    found.append((np.array([END_WORD]), np.array([int(train[~words].sum())]), np.zeros(1, np.int64), np.zeros(0, np.uint8)))
+                merged = merge_words(found)
+                first = np.r_[0, np.cumsum(merged[2])]
+                yield _messages([(o, block, (*(x[at] for x in merged[:2]), _small(merged[2][at]), merged[3][first[at.start] : first[at.stop]])) for o, at in _parts(owners(merged[0], tasks))])
+
+        def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = _received(batches)
+            if got:
+                merged = merge_words([m for _, _, m in got])
+                store.put("vocabulary", got[0][0], merged)
+                yield pa.RecordBatch.from_arrays([pa.array([int(merged[1].sum())], pa.int64()), pa.array([int((merged[1] > 0).sum())], pa.int64())], names=["n", "v"])
+
+        self.n, self.v = self._sent(self.rows, send).mapInArrow(receive, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+        least = self.n // (4 * tasks)
+
+        def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for o in (int(i) for b in batches for i in b.column(0).to_pylist()):
+                if store.there("vocabulary", o):
+                    h, c, *_ = store.get("vocabulary", o)
+                    hot = (c > least) | (h == END_WORD)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[hot].view(np.int64)), pa.array(c[hot])], names=["h", "c"])
+
+        found = {r.h % 2**64: r.c for r in self._numbers().mapInArrow(frequent, "h long, c long").collect()}  # 4 x tasks rows at most
+        texts = found.pop(int(END_WORD), 0)
+        if texts > least:
+            found[int(START_WORD)] = texts
+        self.split = Split(tasks, {h: c for h, c in found.items() if c > least}, self.n)
+
+    def count_cells(self) -> dict[int, int]:
+        """Buckets' cells with their counts, and where each block's cells are among them; returns the frequent contexts' numbers of different words."""
+        split, store = self.split, self.store
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, parts in _whole_blocks(batches):
+                contexts, words, train, _ = block_tokens(parts)
+                order, new = ordered(contexts, words)
+                first = order[new]
+                n = np.add.reduceat(train[order].astype(np.int64), np.flatnonzero(new))
+                c, w = contexts[first], words[first]
+                at = split.of(c, w)
+                dealt = np.argsort(at, kind="stable")
+                c, w, n = c[dealt], w[dealt], n[dealt]
+                for b, i in _parts(at[dealt]):
+                    values, lengths = _runs(c[i])
+                    yield _messages([(b, block, (values, _small(lengths), w[i], _small(n[i])))])
+
+        def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = _received(batches)
+            if not got:
+                return
+            contexts = np.concatenate([np.repeat(m[0], m[1]) for _, _, m in got])
+            words, n = (np.concatenate([m[i].astype(t) for _, _, m in got]) for i, t in ((2, np.uint64), (3, np.int64)))
+            order, new = ordered(contexts, words)
+            first = order[new]
+            c = np.add.reduceat(n[order], np.flatnonzero(new))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.cumsum(new) - 1
+            ends = np.cumsum([len(m[2]) for _, _, m in got])
+            check = _mix(contexts ^ _mix(words))
+            places = [(block, np.diff(place[e - len(m[2]) : e], prepend=0).astype(np.int32), check[e - len(m[2]) : e].sum()) for (_, block, m), e in zip(got, ends)]
+            values, lengths = _runs(contexts[first])
+            v, run = np.unique(values, return_inverse=True)
+            w, at = np.unique(words[first], return_inverse=True)
+            store.put("places", got[0][0], places)
+            store.put("cells", got[0][0], (v, np.repeat(run, lengths).astype(np.uint32), w, at.astype(np.uint32), _small(c)))
+            hot = np.isin(v, split.hot)
+            tables = np.bincount(np.repeat(run, lengths), c > 0, len(v)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(v[hot].view(np.int64)), pa.array(tables[hot])], names=["h", "n"])
+
+        found = self._sent(self.rows, send).mapInArrow(receive, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        return {r.h % 2**64: r.n for r in found.collect()}  # 4 x tasks rows at most
+
+    def first_customers(self) -> None:
+        """Each (context, word) has one table; owners learn how many customers that makes, and which buckets ask for which words."""
+        tasks, store = self.tasks, self.store
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in (int(i) for x in batches for i in x.column(0).to_pylist()):
+                if store.there("cells", b):
+                    _, _, w, at, c = store.get("cells", b)
+                    n = np.bincount(at, c > 0, len(w)).astype(np.int64)
+                    yield _messages([(o, _name(b), (w[i], _small(n[i]))) for o, i in _parts(owners(w, tasks))])
+
+        def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = _received(batches)
+            if got:
+                h = store.get("vocabulary", got[0][0])[0]
+                sums, requests = np.zeros(len(h), np.int64), []
+                for _, bucket, (w, n) in got:
+                    at = np.searchsorted(h, w)
+                    sums[at] += n
+                    requests.append((int(bucket), np.diff(at, prepend=0).astype(np.int32)))
+                store.put("requests", got[0][0], requests)
+                store.put("customers0", got[0][0], [sums])
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["n"])
+
+        self._sent(self._numbers(), send).mapInArrow(receive, "n long").agg(F.sum("n")).first()
+
+    def sweep_words(self, step: int) -> None:
+        """One sweep over the restaurant without context and, with its tables, over the letters, for each sample of ``customers{step}``."""
+        store, seed = self.store, self.seed + 101 * step
+        shared = self.spark.sparkContext.broadcast([(np.log(x.p).reshape(-1), t) for x, t in zip(self.letters, self.tables)])
+        kind, out = ("customers2" if step == 2 else "customers0"), f"tables{step}"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for o in (int(i) for x in batches for i in x.column(0).to_pylist()):
+                if not store.there(kind, o):
+                    continue
+                h, _, lengths, letters = store.get("vocabulary", o)
+                cells, owner = letter_cells(lengths.astype(np.int64), letters)
+                drawn = []
+                for s, (n, (log_p, tables)) in enumerate(zip(store.get(kind, o), shared.value)):
+                    fresh = (STRENGTH + DISCOUNT * tables) * np.exp(np.bincount(owner, log_p[cells], len(h)))
+                    t = draw_tables(n, fresh, DISCOUNT, _uniform(h, seed + 7919 * s))
+                    drawn.append(t)
+                    sums = np.bincount(cells, t[owner], len(log_p)).astype(np.int64)
+                    at = np.flatnonzero(sums)
+                    rows = np.r_[-1, -2, at], np.r_[int(t.sum()), int(n.sum()), sums[at]]
+                    yield pa.RecordBatch.from_arrays([pa.array([s] * len(rows[0]), pa.int32()), pa.array(rows[0]), pa.array(rows[1])], names=["sample", "cell", "n"])
+                store.put(out, o, drawn)
+
+        sums = self._numbers().mapInArrow(run, "sample int, cell long, n long").groupBy("sample", "cell").agg(F.sum("n").alias("n")).toArrow().sort_by("cell")
+        sample, cell, n = (sums.column(c).to_numpy() for c in ("sample", "cell", "n"))
+        for s, letters in enumerate(self.letters):
+            own = sample == s
+            of = dict(zip(cell[own & (cell < 0)].tolist(), n[own & (cell < 0)].tolist()))
+            self.tables[s], self.customers[s] = of.get(-1, 0), of.get(-2, 0)
+            letters.sweep(cell[own & (cell >= 0)], n[own & (cell >= 0)], seed + s)
+        shared.unpersist()
+
+    def _answers(self, step: int) -> DataFrame:
+        """Owners tell buckets, for each word these asked for, the logarithm of its probability in each sample, and its count."""
+        store = self.store
+        shared = self.spark.sparkContext.broadcast([(np.log(x.p).reshape(-1), t, n) for x, t, n in zip(self.letters, self.tables, self.customers)])
+        kind, seats = ("customers2" if step == 2 else "customers0"), f"tables{step}"
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for o in (int(i) for x in batches for i in x.column(0).to_pylist()):
+                if not store.there("requests", o):
+                    continue
+                _, c, lengths, letters = store.get("vocabulary", o)
+                cells, owner = letter_cells(lengths.astype(np.int64), letters)
+                logs = []
+                for n, t, (log_p, tables, customers) in zip(store.get(kind, o), store.get(seats, o), shared.value):
+                    below = np.bincount(owner, log_p[cells], len(c)) + math.log((STRENGTH + DISCOUNT * tables) / (STRENGTH + customers))
+                    own = np.maximum(n - DISCOUNT * t, 0) / (STRENGTH + customers)
+                    with np.errstate(divide="ignore"):
+                        logs.append(np.logaddexp(np.log(own), below).astype(np.float32))
+                for bucket, steps in store.get("requests", o):
+                    at = np.cumsum(steps.astype(np.int64))
+                    yield _messages([(bucket, _name(o), ([x[at] for x in logs], _small(c[at])))])
+
+        return self._sent(self._numbers(), send)
+
+    def sweep_contexts(self, totals: dict[int, int]) -> dict[int, list[int]]:
+        """Sweeps over the context restaurants; owners get the customers that the kept ones make. Returns the frequent contexts' tables in these."""
+        tasks, store, seed, hot_totals = self.tasks, self.store, self.seed, totals
+
+        def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = _received(batches)
+            if not got:
+                return
+            b = got[0][0]
+            v, context, w, at, c = store.get("cells", b)
+            log_p = np.concatenate([m[0][0] for _, _, m in got])
+            live = np.flatnonzero(c)
+            kept, sums = [], []
+            for t, number in context_sweeps(v, w, context[live], at[live], c[live].astype(np.int64), log_p, hot_totals, seed):
+                kept.append((_small(t), number))
+                sums.append(np.bincount(at[live], t, len(w)).astype(np.int64))
+            store.put("seats", b, kept)
+            yield _messages([(o, _name(b), [_small(x[i]) for x in sums]) for o, i in _parts(owners(w, tasks))])
+
+        def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = _received(batches)
+            if got:
+                places = dict(store.get("requests", got[0][0]))
+                sums = np.zeros((KEPT, len(store.get("vocabulary", got[0][0])[0])), np.int64)
+                for _, bucket, counts in got:
+                    at = np.cumsum(places[int(bucket)].astype(np.int64))
+                    for s in range(KEPT):
+                        sums[s, at] += counts[s]
+                store.put("customers2", got[0][0], list(sums))
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["n"])
+
+        self._sent(self._answers(1).mapInArrow(sweep, MESSAGE), lambda batches: batches).mapInArrow(receive, "n long").agg(F.sum("n")).first()
+        hot = self.split.hot
+
+        def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in (int(i) for x in batches for i in x.column(0).to_pylist()):
+                if store.there("seats", b):
+                    v = store.get("cells", b)[0]
+                    own = np.flatnonzero(np.isin(v, hot))
+                    for s, (_, number) in enumerate(store.get("seats", b)):
+                        yield pa.RecordBatch.from_arrays([pa.array([s] * len(own), pa.int32()), pa.array(v[own].view(np.int64)), pa.array(number[own])], names=["sample", "h", "n"])
+
+        found: dict[int, list[int]] = {int(h): [0] * KEPT for h in hot}
+        for r in self._numbers().mapInArrow(frequent, "sample int, h long, n long").groupBy("sample", "h").agg(F.sum("n").alias("n")).collect():  # KEPT x 4 x tasks rows at most
+            found[r.h % 2**64][r.sample] = r.n
+        return found
+
+    def answer_blocks(self, totals: dict[int, list[int]]) -> None:
+        """Buckets tell each block the averaged log10 probability of its cells and the counts of their words."""
+        tasks, store, customers = self.tasks, self.store, self.split.counts
+
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = _received(batches)
+            if not got:
+                return
+            b = got[0][0]
+            v, context, w, at, c = store.get("cells", b)
+            logs = [np.concatenate([m[0][s] for _, _, m in got]) for s in range(KEPT)]
+            known = np.concatenate([m[1] for _, _, m in got])[at]
+            scores = predictive(v, context, at, c.astype(np.int64), logs, store.get("seats", b), customers, totals).astype(np.float32)
+            for block, steps, check in store.get("places", b):
+                place = np.cumsum(steps.astype(np.int64))
+                yield _messages([(int(block.split("-")[0]) % tasks, block, (b, check, scores[place], _small(known[place])))])
+
+        def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            name, parts, written = None, {}, 0
+            for batch in batches:
+                for block, data in zip(batch.column("source").to_pylist(), batch.column("data").to_pylist()):
+                    if block != name and parts:
+                        store.put("answers", name, parts)
+                        parts, written = {}, written + 1
+                    b, *rest = loaded(data)
+                    name, parts[b] = block, rest
+            if parts:
+                store.put("answers", name, parts)
+            yield pa.RecordBatch.from_arrays([pa.array([written + bool(parts)], pa.int64())], names=["n"])
+
+        self._sent(self._answers(2).mapInArrow(answer, MESSAGE), lambda batches: batches).sortWithinPartitions("source").mapInArrow(receive, "n long").agg(F.sum("n")).first()
+
+    def scored(self) -> DataFrame:
+        """The scores of all rows, written."""
+        store, split, n, v = self.store, self.split, self.n, self.v
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, parts in _whole_blocks(batches):
+                contexts, words, _, sizes = block_tokens(parts)
+                order, new = ordered(contexts, words)
+                first = order[new]
+                c, w = contexts[first], words[first]
+                at = split.of(c, w)
+                dealt = np.argsort(at, kind="stable")
+                check = _mix(c ^ _mix(w))[dealt]
+                answers = store.get("answers", block) if len(first) else {}
+                model, count = np.empty(len(first)), np.empty(len(first), np.int64)
+                for b, i in _parts(at[dealt]):
+                    total, scores, counts = answers.get(b, (None, (), ()))
+                    if total != check[i].sum() or len(scores) != i.stop - i.start:
+                        raise RuntimeError("two scans deal the rows differently: a block's words have changed")
+                    model[dealt[i]], count[dealt[i]] = scores, counts
+                place = np.empty(len(order), np.int64)
+                place[order] = np.cumsum(new) - 1
+                base = np.log10((count + 1) / float(n + v + 1))
+                known = count > 0
+                starts = np.cumsum(sizes) - sizes
+                total = lambda x: np.add.reduceat(x[place], starts)
+                out = [sizes, total(known.astype(np.int64)), np.full(len(sizes), n), total(base), total(model), total(np.where(known, base, 0.0)), total(np.where(known, model, 0.0))]
+                keep = pa.Table.from_batches(parts).select(["doc_id", "held_out"]).combine_chunks().to_batches()[0]
+                yield pa.RecordBatch.from_arrays([*keep.columns, *(pa.array(x) for x in out)], names=["doc_id", "held_out", *NUMBERS])
+
+        where = fresh_folder(self.spark, "scores")
+        schema = "doc_id long, held_out boolean, " + ", ".join(f"{c} {t}" for c, t in NUMBERS.items())
+        self.rows.mapInArrow(run, schema).write.parquet(where)
+        return self.spark.read.schema(schema).parquet(where)
+
+    def run(self) -> DataFrame:
+        self.count_words()
+        distinct = self.count_cells()
+        self.first_customers()
+        for step in (0, 1):
+            self.sweep_words(step)
+        totals = self.sweep_contexts(distinct)
+        state = pickle.dumps((self.letters[0], self.tables[0]))
+        self.letters, self.tables, self.customers = ([pickle.loads(state)[i] for _ in range(KEPT)] if i < 2 else [0] * KEPT for i in range(3))
+        self.sweep_words(2)
+        self.answer_blocks(totals)
+        return self.scored()
+
+
+NUMBERS = {"n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double", "known_base_score": "double", "known_score": "double"}
+
+
+def merge_words(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes in order, summed counts, lengths and joined bytes of the words of all parts."""
+    h, c = (np.concatenate([p[i].astype(t) for p in parts]) for i, t in ((0, np.uint64), (1, np.int64)))
+    lengths, letters = np.concatenate([p[2].astype(np.int64) for p in parts]), np.concatenate([p[3] for p in parts])
+    order = np.argsort(h, kind="stable")
+    first = np.flatnonzero(np.r_[True, h[order[1:]] != h[order[:-1]]])
+    return (h[order[first]], np.add.reduceat(c[order], first), *take_words(lengths, letters, order[first]))
+
+
+def block_tokens(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts and words of a block's tokens, whether they are learned from, and the tokens of each text."""
+    found = [tokens_of(p.column("text"))[:2] for p in parts]
+    words, sizes = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+    held_out = np.concatenate([p.column("held_out").to_numpy(zero_copy_only=False) for p in parts]).astype(bool)
+    return contexts_of(words, sizes), words, np.repeat(~held_out, sizes), sizes
+
+
+def context_sweeps(v: np.ndarray, w: np.ndarray, context: np.ndarray, at: np.ndarray, c: np.ndarray, log_p: np.ndarray, totals: dict[int, int], seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of tables of the cells (number of context, number of word, customers) and of the contexts, for each kept sweep.
+
+    ``log_p``: the words' probabilities without context.  ``totals``: tables at the start of
+    the contexts that other buckets have parts of; their parts are taken to grow as this one does.
+    """
+    p, keys = np.exp(log_p.astype(float))[at], _mix(v[context] ^ _mix(w[at]))
+    number = start = np.bincount(context, minlength=len(v)).astype(np.int64)
+    shared = np.flatnonzero(np.isin(v, np.array(list(totals), np.uint64)))
+    grown = np.ones(len(v))
+    grown[shared] = [totals[int(h)] / max(n, 1) for h, n in zip(v[shared], start[shared])]
+    for k in range(BURN_IN + KEPT):
+        fresh = (CONTEXT_STRENGTH + CONTEXT_DISCOUNT * (number * grown)[context]) * p
+        t = draw_tables(c, fresh, CONTEXT_DISCOUNT, _uniform(keys, seed + 13 * k))
+        number = np.bincount(context, t, len(v)).astype(np.int64)
+        if k >= BURN_IN:
+            yield t, number
+
+
+def predictive(v: np.ndarray, context: np.ndarray, at: np.ndarray, c: np.ndarray, logs: list[np.ndarray], seats: list[tuple], customers: dict[int, int], totals: dict[int, list[int]]) -> np.ndarray:
+    """Log10 of each cell's predictive probability, averaged over the samples.
+
+    ``customers`` and ``totals`` (tables in each sample) are those of contexts that other buckets have parts of.
+    """
+    live = np.flatnonzero(c)
+    shared = np.flatnonzero(np.isin(v, np.array(list(totals), np.uint64)))
+    held = np.bincount(context, c, len(v))
+    held[shared] = [customers[int(h)] for h in v[shared]]
+    mean = None
+    for s, (t, number) in enumerate(seats):
+        number = number.astype(float)
+        number[shared] = [totals[int(h)][s] for h in v[shared]]
+        log_p = logs[s].astype(float)[at] + np.log((CONTEXT_STRENGTH + CONTEXT_DISCOUNT * number) / (CONTEXT_STRENGTH + held))[context]
+        own = (c[live] - CONTEXT_DISCOUNT * t) / (CONTEXT_STRENGTH + held[context[live]])
+        log_p[live] = np.logaddexp(np.log(own), log_p[live])
+        mean = log_p if mean is None else np.logaddexp(mean, log_p)
+    return (mean - math.log(len(seats))) / math.log(10)
 
 
 def score(docs: DataFrame, remainder: int = 2, modulus: int = 7, seed: int = 11) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs``.
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, known_base_score, known_score`` of every row of ``docs``.
 
     Rows with crc32(doc_id as text) mod ``modulus`` = ``remainder`` are held out of the
     learning (a null id counts as an empty text, so it is learned from unless 0 is the
-    remainder).  A null or empty text is its end alone.  Repeated rows are learned from and
-    scored each; other columns are ignored; an empty table gives no rows.
+    remainder).  A null or empty text is its end alone.  Very long texts are one block each,
+    held as numbers of their words.  Repeated rows are learned from and scored each; other
+    columns are ignored; an empty table gives no rows.  The columns ``known_*`` are the parts
+    that words of the learned rows have in the scores.  The result is written to the shared folder.
     """
-    spark = docs.sparkSession
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-        (F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))) % modulus == remainder).alias("held_out"),
-    )
-    counted = _table(_count(rows), "blocks")
-    words = _table(counted.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    probabilities = _probabilities(words, n, v, seed)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    joined = counted.select("block", "word").join(probabilities, "word").repartition(tasks, "block").sortWithinPartitions("block")
-    folder = fresh_folder(spark, "scores")
-    _side_files(joined, folder)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import feather, fs
-
-        system, path = fs.FileSystem.from_uri(folder)
-        block = None
-        for name, batch in _blocks(batches, TaskContext.get().partitionId()):
-            if name != block:
-                table = feather.read_table(system.open_input_file(f"{path}/{name}"))
-                place = {w: i for i, w in enumerate(table.column("word").to_pylist())}
-                known, base, model = (table.column(c).to_numpy().astype(float) for c in ("known", "base", "score"))
-                block = name
-            out = []
-            for text in batch.column("text"):
-                # A word that its block lacks would mean that the two scans differ: fail, don't guess.
-                at = np.fromiter(map(place.__getitem__, [*words_of(text.as_py()), END]), np.int64)
-                out.append((len(at), int(known[at].sum()), base[at].sum(), model[at].sum()))
-            columns = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array([n] * len(out), pa.int64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    doc_id = F.col("doc_id").cast("long")
+    held_out = F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus == remainder
+    rows = docs.select(doc_id.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held_out.alias("held_out"))
+    with steady_scans(docs.sparkSession):
+        model = Model(rows, seed)
+        scored = model.run()
+    remove_folder(docs.sparkSession, model.store.folder)
+    return scored
 
 
 def perplexity(scored: DataFrame) -> DataFrame:
-    """``held_out, tokens, perplexity, base_perplexity`` of :func:`score`'s rows."""
-    per = lambda c: F.pow(F.lit(10.0), -F.sum(c) / F.sum("n_tokens"))
-    return scored.groupBy("held_out").agg(F.sum("n_tokens").alias("tokens"), per("score").alias("perplexity"), per("base_score").alias("base_perplexity"))
+    """``held_out, tokens, perplexity, base_perplexity`` of :func:`score`'s rows, and the same over known tokens and over unseen ones."""
+    known, unseen = F.sum("n_known"), F.sum(F.col("n_tokens") - F.col("n_known"))
+
+    def per(total: Column, n: Column) -> Column:
+        return F.pow(F.lit(10.0), -total / F.nullif(n, F.lit(0)))
+
+    figures = {"perplexity": per(F.sum("score"), F.sum("n_tokens")), "base_perplexity": per(F.sum("base_score"), F.sum("n_tokens"))}
+    for name, part in (("", "score"), ("base_", "base_score")):
+        figures[f"known_{name}perplexity"] = per(F.sum(f"known_{part}"), known)
+        figures[f"unseen_{name}perplexity"] = per(F.sum(F.col(part) - F.col(f"known_{part}")), unseen)
+    return scored.groupBy("held_out").agg(F.sum("n_tokens").alias("tokens"), known.alias("known_tokens"), *(x.alias(c) for c, x in figures.items()))
