@@ -2,12 +2,12 @@
 
 The word before opens a restaurant whose dishes are the words that follow it.  All these
 restaurants share one parent, the restaurant of words without context; its parent draws
-words letter by letter: contexts of two bytes have restaurants whose parent is the context of
-one byte, then the empty context, then the uniform distribution.  Every table of a child is a
-customer of its parent.  The byte before the last is folded into 31 values, so about eight
-contexts of two bytes share a restaurant; the letter part thus has a fixed bound and lives on
-the driver and in broadcasts, while words and their contexts grow with the corpus and stay in
-files of the shared folder.
+words letter by letter: contexts of three bytes have restaurants whose parent is the context
+of one byte, then the empty context, then the uniform distribution.  Every table of a child is
+a customer of its parent.  The two bytes before the last are folded into 127 values, so many
+contexts of three bytes share a restaurant; the letter part thus has a fixed bound and lives
+on the driver and in broadcasts, while words and their contexts grow with the corpus and stay
+in files of the shared folder.
 
 Chinese-restaurant seating is sampled by blocked Gibbs: a sweep over a level seats all
 customers of every dish anew, by drawing the dish's number of tables (which is all that
@@ -44,11 +44,11 @@ from sparvane.llm.neardup import _mix
 
 BLOCK_BYTES = 16_000_000
 DISCOUNT, STRENGTH = 0.7, 10.0
-CONTEXT_DISCOUNT, CONTEXT_STRENGTH = 0.8, 5.0
+CONTEXT_DISCOUNT, CONTEXT_STRENGTH = 0.7, 0.3
 LETTER_DISCOUNT, LETTER_STRENGTH = 0.5, 2.0
 BURN_IN, KEPT, EXACT = 2, 3, 1024
 SYMBOLS, STOP, START = 258, 256, 257
-FOLDED = 8192
+FOLDED = 32768
 CHUNK = 1 << 20
 END_WORD, START_WORD = np.uint64(0x5D1F0A3C9E2B7745), np.uint64(0xA17C3E5590D24B1F)  #: hashes of a text's end and of the context before its first word
 _FACTOR = 0x9E6C63D0873F52A5
@@ -358,20 +358,20 @@ def _uniform(keys: np.ndarray, seed: int) -> np.ndarray:
 
 
 class Letters:
-    """The letter restaurants: contexts of 2, 1 and 0 bytes, and their predictive probabilities."""
+    """The letter restaurants: contexts of 3, 1 and 0 bytes, and their predictive probabilities."""
 
     contexts = (1, SYMBOLS, FOLDED)
 
     def __init__(self) -> None:
         self.seats: list[dict[int, tuple[int, int]]] = [{}, {}, {}]  # customers who opened a table, and who joined one
-        self.p = np.full((FOLDED, SYMBOLS), 1.0 / SYMBOLS)
+        self.p = np.full((FOLDED, SYMBOLS), 1.0 / SYMBOLS, np.float32)
 
     def sweep(self, cells: np.ndarray, counts: np.ndarray, seed: int) -> None:
         """Seats the customers ``counts`` of the cells (context * SYMBOLS + symbol) of the longest contexts, then their parents'."""
         parent_of = self._parents()
         customers = dict(zip(cells.tolist(), counts.tolist()))
         need = [customers]
-        predictive = [np.full((1, SYMBOLS), 1.0 / SYMBOLS)]
+        predictive = [np.full((1, SYMBOLS), 1.0 / SYMBOLS, np.float32)]
         for level in (2, 1, 0):  # up: tables of the last sweep (or one each) are the parents' customers
             if level:
                 up: Counter = Counter()
@@ -389,16 +389,16 @@ class Letters:
             t = draw_tables(n, fresh, LETTER_DISCOUNT, _uniform(at, level * 7 + seed * 31))
             self.seats[level] = {cell: (x, y) for cell, x, y in zip(at.tolist(), t.tolist(), (n - t).tolist())}
             total, number = np.bincount(at // SYMBOLS, n, self.contexts[level]), np.bincount(at // SYMBOLS, t, self.contexts[level])
-            p = (LETTER_STRENGTH + LETTER_DISCOUNT * number)[:, None] * base
-            p.reshape(-1)[at] += n - LETTER_DISCOUNT * t
-            predictive.append(p / (total + LETTER_STRENGTH)[:, None])
+            p = ((LETTER_STRENGTH + LETTER_DISCOUNT * number) / (total + LETTER_STRENGTH)).astype(np.float32)[:, None] * base
+            p.reshape(-1)[at] += (n - LETTER_DISCOUNT * t) / (total + LETTER_STRENGTH)[at // SYMBOLS]
+            predictive.append(p)
         self.p = predictive[-1]
 
     @staticmethod
     def _parents() -> list[np.ndarray]:
         """For each level the parent's context of every context.
 
-        A folded context of two bytes keeps its last byte: (last byte, hash of the one before).
+        A folded context of three bytes keeps its last byte: (last byte, hash of the two before).
         """
         return [np.zeros(1, np.int64), np.zeros(SYMBOLS, np.int64), np.minimum(np.arange(FOLDED) // _FOLD, SYMBOLS - 1)]
 
@@ -408,15 +408,15 @@ _FOLD = FOLDED // SYMBOLS  #: restaurants that share the same last byte
 
 def letter_cells(lengths: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each letter and end of each word (given by lengths and joined bytes): its cell among the longest contexts, and the word's number."""
-    starts = np.cumsum(lengths + 3) - lengths - 3
-    symbols = np.full(int((lengths + 3).sum()), START, np.int64)
-    owner = np.repeat(np.arange(len(lengths)), lengths + 3)
+    starts = np.cumsum(lengths + 4) - lengths - 4
+    symbols = np.full(int((lengths + 4).sum()), START, np.int64)
+    owner = np.repeat(np.arange(len(lengths)), lengths + 4)
     place = np.arange(len(symbols)) - starts[owner]
-    inside = (place >= 2) & (place < lengths[owner] + 2)
+    inside = (place >= 3) & (place < lengths[owner] + 3)
     symbols[inside] = letters
-    symbols[place == lengths[owner] + 2] = STOP
-    at = np.flatnonzero(place >= 2)
-    context = symbols[at - 1] * _FOLD + (symbols[at - 2] * 2654435761 >> 7) % _FOLD
+    symbols[place == lengths[owner] + 3] = STOP
+    at = np.flatnonzero(place >= 3)
+    context = symbols[at - 1] * _FOLD + ((symbols[at - 2] * SYMBOLS + symbols[at - 3]) * 2654435761 >> 7) % _FOLD
     return context * SYMBOLS + symbols[at], owner[at]
 
 
@@ -617,14 +617,14 @@ class Model:
                     continue
                 h, _, lengths, letters = store.get("vocabulary", o)
                 cells, owner = letter_cells(lengths.astype(np.int64), letters)
+                different, of = np.unique(cells, return_inverse=True)
                 drawn = []
                 for s, (n, (log_p, tables)) in enumerate(zip(store.get(kind, o), shared.value)):
                     fresh = (STRENGTH + DISCOUNT * tables) * np.exp(np.bincount(owner, log_p[cells], len(h)))
                     t = draw_tables(n, fresh, DISCOUNT, _uniform(h, seed + 7919 * s))
                     drawn.append(t)
-                    sums = np.bincount(cells, t[owner], len(log_p)).astype(np.int64)
-                    at = np.flatnonzero(sums)
-                    rows = np.r_[-1, -2, at], np.r_[int(t.sum()), int(n.sum()), sums[at]]
+                    sums = np.bincount(of, t[owner], len(different)).astype(np.int64)
+                    rows = np.r_[-1, -2, different[sums > 0]], np.r_[int(t.sum()), int(n.sum()), sums[sums > 0]]
                     yield pa.RecordBatch.from_arrays([pa.array([s] * len(rows[0]), pa.int32()), pa.array(rows[0]), pa.array(rows[1])], names=["sample", "cell", "n"])
                 store.put(out, o, drawn)
 
