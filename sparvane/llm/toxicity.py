@@ -16,15 +16,19 @@ class in expectation, chosen by a hash.  Everything else runs over all documents
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sparvane.llm.common import cut_lineage, map_batches
+from sparvane.llm.common import cut_lineage, fresh_folder, map_batches
 
 ORDER, SHARED, DISCOUNT, WINDOW, SAMPLE = 6, 4, 0.75, 4, 1500
 _WORD = re.compile(r"[^\W\d_]+")
@@ -79,28 +83,51 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class KneserNey:
-    """The two class models over distinct words with their document counts."""
-
-    def __init__(self, toxic: dict[str, int], ordinary: dict[str, int]) -> None:
-        self.classes, both = [], []
-        for counts in (toxic, ordinary):
-            words = list(counts)
-            grams, contexts, owner = self._inner(words)
-            weight = np.array([counts[w] for w in words], np.float64)[owner] if words else np.zeros(0)
-            tops = []
-            for n in range(SHARED, ORDER):
-                codes, first, inverse = np.unique(grams[n], return_index=True, return_inverse=True)
-                tops.append(_level(codes, contexts[n][first], np.bincount(inverse, weight, len(codes))))
-            self.classes.append(tops)
-            both.append((grams, contexts))
-        grams, contexts = (np.concatenate(x, axis=1) for x in zip(*both))
+    """The two class models over distinct words with their document counts, built chunk by chunk."""
+
+    def __init__(self, toxic: dict[str, int] | None = None, ordinary: dict[str, int] | None = None) -> None:
+        none = np.zeros(0, np.uint64)
+        self._tops = [[(none, none, np.zeros(0)) for _ in range(SHARED, ORDER)] for _ in range(2)]
+        self._longer = [(none, none, none) for _ in range(SHARED)]
+        self._waiting: tuple[list, list, list] = ([], [], [])
+        for words, of in ((toxic or {}, 0), (ordinary or {}, 1)):
+            self.add(list(words), *([*words.values()] if of == c else [0] * len(words) for c in (0, 1)))
+        self.finish()
+
+    def add(self, words: list[str], toxic: list[int], ordinary: list[int]) -> None:
+        """Counts words; one may come again, with further documents."""
+        for held, new in zip(self._waiting, (words, toxic, ordinary)):
+            held += new
+        if len(self._waiting[0]) >= 50_000:
+            self._count()
+
+    def _count(self) -> None:
+        words, *numbers = self._waiting
+        grams, contexts, owner = self._inner(words)
+        self._waiting = ([], [], [])
+        for tops, n in zip(self._tops, numbers):
+            weight = np.array(n, np.float64)[owner] if words else np.zeros(0)
+            own = weight > 0
+            for k, (codes, of, counts) in enumerate(tops):
+                every, first, inverse = np.unique(np.r_[codes, grams[SHARED + k][own]], return_index=True, return_inverse=True)
+                tops[k] = every, np.r_[of, contexts[SHARED + k][own]][first], np.bincount(inverse, np.r_[counts, weight[own]], len(every))
+        for k, (longer, codes, of) in enumerate(self._longer):
+            every, first = np.unique(np.r_[longer, grams[k + 1]], return_index=True)
+            self._longer[k] = every, np.r_[codes, grams[k]][first], np.r_[of, contexts[k]][first]
+
+    def finish(self) -> None:
+        """Makes the models of all that was added."""
+        self._count()
+        self.classes = [[_level(*top) for top in tops] for tops in self._tops]
         self.shared = []
-        for n in range(SHARED):  # continuation counts: how many different letters precede the n-gram
-            longer = np.unique(grams[n + 1], return_index=True)[1]
-            codes, first, counts = np.unique(grams[n][longer], return_index=True, return_counts=True)
-            self.shared.append(_level(codes, contexts[n][longer[first]], counts))
+        for _, grams, contexts in self._longer:  # continuation counts: how many different letters precede the n-gram
+            codes, first, counts = np.unique(grams, return_index=True, return_counts=True)
+            self.shared.append(_level(codes, contexts[first], counts))
         self.letters = max(2, len(self.shared[0].codes))
 
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in ("classes", "shared", "letters")}
+
     @staticmethod
     def _inner(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """N-grams that end in a letter or a word's end, and their contexts."""
@@ -178,8 +205,14 @@ def _training(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return texts.join(chosen, "doc_id").select("toxic", (F.crc32(F.concat(F.lit("fold"), F.col("doc_id").cast("string"))) % 2).cast("int").alias("fold"), "text")
 
 
-def _counts(rows: DataFrame) -> tuple[list[dict[str, int]], list[dict[str, int]]]:
-    """By fold, then class: words and in how many of the sampled documents they stand (bounded by the sample)."""
+def _models(rows: DataFrame) -> str | None:
+    """Builds three models of the sampled ``toxic, fold, text``: without fold 0, without fold 1, of all; None if a class is missing.
+
+    Words with the numbers of documents that have them go to one task a model, which writes
+    it to a file of the folder returned; the driver holds none.  Their size follows the
+    different words of the sample.
+    """
+    folder = fresh_folder(rows.sparkSession, "toxicity")
 
     def work():
         def step(batch: dict) -> dict:
@@ -192,12 +225,36 @@ def _counts(rows: DataFrame) -> tuple[list[dict[str, int]], list[dict[str, int]]
 
         return step
 
-    found: dict = {(f, t): {} for f in (0, 1) for t in (0, 1)}
-    counted = map_batches(rows, work, "toxic int, fold int, word string").groupBy("toxic", "fold", "word").agg(F.count("*").alias("n"))
-    for batch in counted.toArrow().to_batches(max_chunksize=50_000):
-        for toxic, fold, word, n in zip(*(batch.column(c).to_pylist() for c in ("toxic", "fold", "word", "n"))):
-            found[fold, int(toxic == 1)][word] = n
-    return [found[f, 1] for f in (0, 1)], [found[f, 0] for f in (0, 1)]
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        model, number, seen = KneserNey(), None, np.zeros(2)
+        for batch in batches:
+            number = batch.column("model")[0].as_py() if batch.num_rows else number
+            counts = [batch.column(c).to_pylist() for c in ("t", "o")]
+            model.add(batch.column("word").to_pylist(), *counts)
+            seen += [sum(c) for c in counts]
+        if number is None:
+            return
+        model.finish()
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+        with system.open_output_stream(f"{path}/{number}.{TaskContext.get().taskAttemptId()}", compression=None) as out:
+            pickle.dump(model, out, protocol=5)
+        system.move(f"{path}/{number}.{TaskContext.get().taskAttemptId()}", f"{path}/{number}")
+        yield pa.RecordBatch.from_arrays([pa.array([int(seen.min() > 0)], pa.int32())], names=["both"])
+
+    words = map_batches(rows, work, "toxic int, fold int, word string").groupBy("fold", "word").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") != 1).alias("o"))
+    sent = words.select(F.explode(F.array(1 - F.col("fold"), F.lit(2))).alias("model"), "word", "t", "o").repartitionById(3, F.col("model")).sortWithinPartitions("model", "word")
+    return folder if sent.mapInArrow(build, "both int").agg(F.coalesce(F.sum("both"), F.lit(0))).first()[0] == 3 else None
+
+
+def _load(folder: str, number: int) -> KneserNey:
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(folder)
+    with system.open_input_stream(f"{path}/{number}", compression=None) as file:
+        return pickle.load(file)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -215,9 +272,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 @dataclass
 class Scorer:
-    model: KneserNey
+    """Where the model's file is (None: every score is 0.5), and the weights of its features."""
+
+    folder: str | None
     weights: np.ndarray
 
+    def ratios(self) -> Ratios:
+        return Ratios(_load(self.folder, 2) if self.folder else KneserNey())
+
     def scores(self, texts: list[str | None], ratios: Ratios) -> list[float]:
         words = [words_of(t) for t in texts]
         ratios.learn(words)
@@ -226,17 +288,14 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
-    """Learns from ``labels`` (``doc_id, toxic``); without both classes every score is 0.5."""
+    """Learns from ``labels`` (``doc_id, toxic``); without both classes in both folds every score is 0.5."""
     rows = cut_lineage(_training(docs, labels, sample))
-    toxic, ordinary = _counts(rows)
-    if not any(toxic) or not any(ordinary):
-        return Scorer(KneserNey({}, {}), np.zeros(4))
-    others = [KneserNey(toxic[1 - f], ordinary[1 - f]) for f in (0, 1)]
-    shared = docs.sparkSession.sparkContext.broadcast(others)
-    del others  # the driver holds one model at a time
+    folder = _models(rows)
+    if folder is None:
+        return Scorer(None, np.zeros(4))
 
     def work():
-        ratios = [Ratios(m) for m in shared.value]
+        ratios = [Ratios(_load(folder, f)) for f in (0, 1)]
 
         def step(batch: dict) -> dict:
             words, folds = [words_of(t) for t in batch["text"].to_pylist()], batch["fold"].to_pylist()
@@ -248,24 +307,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
         return step
 
     seen = map_batches(rows, work, "toxic int, a double, b double, c double").toArrow().to_pandas().sort_values(["toxic", "a", "b", "c"])
-    shared.unpersist()
-    merge = lambda parts: {w: parts[0].get(w, 0) + parts[1].get(w, 0) for w in parts[0] | parts[1]}
-    model = KneserNey(merge(toxic), merge(ordinary))
-    return Scorer(model, _logistic(seen[["a", "b", "c"]].to_numpy(), (seen["toxic"] == 1).to_numpy().astype(float)))
+    return Scorer(folder, _logistic(seen[["a", "b", "c"]].to_numpy(), (seen["toxic"] == 1).to_numpy().astype(float)))
 
 
 def _scored(docs: DataFrame, scorer: Scorer, columns: list[Column]) -> DataFrame:
     """Adds ``score`` (of column ``text``) to the chosen columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def work():
-        own = shared.value
-        ratios = Ratios(own.model)
+        ratios = scorer.ratios()
 
         def step(batch: dict) -> dict:
             out, texts = [], batch["text"]
             for start in range(0, len(texts), 200):
-                out += own.scores(texts[start : start + 200].to_pylist(), ratios)
+                out += scorer.scores(texts[start : start + 200].to_pylist(), ratios)
             return batch | {"score": out}
 
         return step
@@ -278,7 +332,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: in
     """``doc_id, held_out, score, predicted`` of every row of ``docs`` (``doc_id, text``).
 
     ``held_out``: crc32(doc_id as text) mod 3 is 1 (false for a null id); such rows are
-    never learned from.  Null and empty texts score as texts without any window.  A label
+    never learned from.  Very long texts are scored whole.  Null and empty texts score as texts without any window.  A label
     that stands twice counts as toxic if one says so; null labels are ignored.  Repeated
     rows keep a row each; other columns are ignored; an empty table gives no rows.
     """
