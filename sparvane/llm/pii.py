@@ -19,6 +19,7 @@ matching is linear and needs no stack on very long texts.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,26 +104,91 @@ def _is(kind: str):
     return lambda span: span.kind == kind
 
 
+_SPAN = "array<struct<kind:string,start:int,end:int,match:string,before:string>>"
+_WIDTH = 64
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(items: Column) -> Column:
+    """An array, which may not be empty, as arrays of _WIDTH items each."""
+    return F.transform(F.sequence(F.lit(0), ((F.size(items) - 1) / _WIDTH).cast("int")), lambda b: F.slice(items, b * _WIDTH + 1, F.lit(_WIDTH)))
+
+
+def _fold(items: Column, zero: Column, value: Callable[[Column], Column], combine: Callable[[Column, Column], Column]) -> Column:
+    return F.aggregate(items, zero, lambda a, x: combine(a, value(x)))
+
+
+def _scan(items: Column, kind: str, value: Callable[[Column], Column], combine: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column]) -> Column:
+    """``emit(fold of all items before, item)`` of every item, in time that grows with their number.
+
+    Arrays can't be appended to in place, so the folds before each block of _WIDTH items, and
+    before each block of blocks, come first; ``kind`` is the type of the array emitted.
+    """
+    zero, same, none = F.lit(0), lambda x: x, F.array().cast(kind)
+
+    def before(totals: Column) -> Column:
+        def place(whole: Column) -> Column:
+            return F.transform(totals, lambda t, i: combine(
+                _fold(F.slice(whole, F.lit(1), (i / _WIDTH).cast("int")), zero, same, combine),
+                _fold(F.slice(totals, (i / _WIDTH).cast("int") * _WIDTH + 1, i % _WIDTH), zero, same, combine)))
+
+        return _let(F.transform(_blocks(totals), lambda b: _fold(b, zero, same, combine)), place)
+
+    def emitted(block: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), none.alias("all"))
+        step = lambda acc, x: F.struct(combine(acc["at"], value(x)).alias("at"), F.concat(acc["all"], F.array(emit(acc["at"], x))).alias("all"))
+        return F.aggregate(block, start, step, lambda acc: acc["all"])
+
+    def whole(some: Column) -> Column:
+        scanned = _let(_blocks(some), lambda blocks: _let(F.transform(blocks, lambda b: _fold(b, zero, value, combine)), lambda totals: F.flatten(F.zip_with(blocks, before(totals), emitted))))
+        return F.when(F.size(some) > 0, scanned).otherwise(none)
+
+    return _let(items, whole)
+
+
+def _without(items: Column, others: Column, clash: Callable[[Column, Column], Column]) -> Column:
+    """Items (structs with start and end) that clash with none of the others, which they can only if they overlap.
+
+    Sorted items are taken in blocks of blocks and blocks, each with the others that reach into it.
+    """
+    def inside(block: Column, some: Column) -> Column:
+        low, high = F.array_min(F.transform(block, lambda x: x["start"])), F.array_max(F.transform(block, lambda x: x["end"]))
+        return _let(F.struct(low.alias("low"), high.alias("high")), lambda r: F.filter(some, lambda o: (o["start"] < r["high"]) & (o["end"] > r["low"])))
+
+    def one(block: Column, some: Column) -> Column:
+        return _let(inside(block, some), lambda near: F.filter(block, lambda x: ~F.exists(near, lambda o: (o["start"] < x["end"]) & (x["start"] < o["end"]) & clash(o, x))))
+
+    def many(blocks: Column, some: Column) -> Column:
+        return _let(inside(F.flatten(blocks), some), lambda near: F.flatten(F.transform(blocks, lambda b: one(b, near))))
+
+    def whole(pair: Column) -> Column:
+        kept = F.flatten(F.transform(_blocks(_blocks(pair["a"])), lambda b: many(b, pair["b"])))
+        return F.when((F.size(pair["a"]) > 0) & (F.size(pair["b"]) > 0), kept).otherwise(pair["a"])
+
+    return _let(F.struct(F.array_sort(items).alias("a"), others.alias("b")), whole)
+
+
 def _matches(text: Column, pattern: str, kind: str) -> Column:
     """All matches as structs ``kind, start, end, match, before``: from the pieces between them.
 
     Split and extraction scan alike, so piece i lies before match i.
     """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<kind:string,start:int,end:int,match:string,before:string>>").alias("all"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc.end + F.length(pair.piece)
-        end = begin + F.length(pair.match)
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), pair.match.alias("match"), F.right(pair.piece, F.lit(40)).alias("before"))
-        return F.struct(end.alias("end"), F.concat(acc["all"], F.array(span)).alias("all"))
+    def span(at: Column, pair: Column) -> Column:
+        begin = at + F.length(pair["piece"])
+        return F.struct(F.lit(kind).alias("kind"), begin.alias("start"), (begin + F.length(pair["match"])).alias("end"), pair["match"].alias("match"), F.right(pair["piece"], F.lit(40)).alias("before"))
 
     pairs = F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-    return F.aggregate(F.filter(pairs, lambda x: x.match.isNotNull()), start, step, lambda acc: acc["all"])
+    return _scan(F.filter(pairs, lambda x: x.match.isNotNull()), _SPAN, lambda x: F.length(x["piece"]) + F.length(x["match"]), lambda a, b: a + b, span)
 
 
 def _none() -> Column:
-    return F.array().cast("array<struct<kind:string,start:int,end:int,match:string,before:string>>")
+    return F.array().cast(_SPAN)
 
 
 def _vote(good: Column, bad: Column) -> Column:
@@ -146,7 +212,7 @@ def _judged(span: Column, base: Column) -> Column:
     reserved = pick({"email": F.lower(match).rlike(r"example|invalid|localhost"), "ip": match.rlike(_RESERVED), "card": ~_luhn(digits), "phone": digits.rlike(r"^(.)\1+$")})
     told = pick({k: span.before.rlike(p) for k, p in CONTEXT.items()})
     return F.struct(
-        kind.alias("kind"), span.start.alias("start"), span.end.alias("end"), base.alias("base"),
+        span.start.alias("start"), span.end.alias("end"), kind.alias("kind"), base.alias("base"),
         _vote(shape, ~shape).alias("regex"), _vote(listed, reserved & ~listed).alias("gazetteer"), _vote(told, span.before.rlike(AGAINST) & ~told).alias("context"),
         F.length(digits).between(7, 19).cast("int").alias("digits"), (F.length(match) > 12).cast("int").alias("long"),
         *((kind == k).cast("int").alias(f"is_{k}") for k in KINDS if k != "card"),
@@ -168,7 +234,7 @@ def _spans(docs: DataFrame) -> DataFrame:
     failed = [F.filter(f"__raw_{k}", _failed(k)) for k in KINDS if k != "email"]
     maybe = F.transform(F.concat(*failed, *(F.col(f"__loose_{k}") for k in LOOSE)), lambda s: _judged(s, F.lit(False)))
     found = found.withColumn("base", good).withColumn("__maybe", maybe)
-    return found.withColumn("more", F.filter("__maybe", lambda c: ~F.exists("base", lambda b: (b.start < c.end) & (c.start < b.end)))).drop("__maybe", *raw)
+    return found.withColumn("more", _without(F.col("__maybe"), F.col("base"), lambda o, x: F.lit(True))).drop("__maybe", *raw)
 
 
 def _expectation(cells: list[tuple], rounds: int = 50) -> dict[tuple, float]:
@@ -231,7 +297,8 @@ def _accepted(weights: list[float]) -> Column:
         return sum((F.lit(w) * s[f].cast("double") for w, f in zip(weights, FEATURES)), F.lit(weights[-1]))
 
     taken = F.filter("more", lambda s: logit(s) > 0)
-    return F.filter(taken, lambda s: ~F.exists(taken, lambda o: (o.start < s.end) & (s.start < o.end) & (F.struct(o.start, -o.end, o.kind) < F.struct(s.start, -s.end, s.kind))))
+    first = lambda s: F.struct(s["start"], -s["end"], s["kind"])
+    return _let(taken, lambda t: _without(t, t, lambda o, s: first(o) < first(s)))
 
 
 def _order(spans: Column) -> Column:
@@ -248,7 +315,8 @@ def find(docs: DataFrame) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` for every row of ``docs``.
 
     Counts and ``base_sha256`` are of base spans; ``spans`` lists all, as
-    ``kind:start:end`` in code points, by start, then kind.  Null texts count as empty.
+    ``kind:start:end`` in code points, by start, then kind.  Very long texts and texts full of
+    matches take time in proportion.  Null texts count as empty.
     Null or repeated ids and repeated rows keep a row each; other columns are ignored; an
     empty table gives no rows.
     """
@@ -270,14 +338,15 @@ def redact(docs: DataFrame) -> DataFrame:
     whole = F.struct(*docs.columns)
     found = _spans(docs.select(whole.alias("__row"), text.alias("text")))
     ordered = _order(F.concat("base", _accepted(weights)))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        new = s.start >= acc["at"]
-        added = F.concat(acc["out"], F.substr("text", acc["at"] + 1, F.greatest(s.start - acc["at"], F.lit(0))), F.lit("<"), s.kind, F.lit(">"))
-        return F.struct(F.greatest(acc["at"], s.end).alias("at"), F.when(new, added).otherwise(acc["out"]).alias("out"))
+    def part(at: Column, s: Column) -> Column:
+        """What stands before a span that begins beyond all earlier ones, and its kind."""
+        return F.when(s["start"] >= at, F.concat(F.substr("text", at + 1, s["start"] - at), F.lit("<"), s["kind"], F.lit(">"))).otherwise("")
+
+    def clean(spans: Column) -> Column:
+        parts = _scan(spans, "array<string>", lambda s: s["end"], lambda a, b: F.greatest(a, b), part)
+        return F.concat(F.array_join(parts, ""), F.substr("text", F.array_max(F.transform(spans, lambda s: s["end"])) + 1))
 
-    clean = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1)))
-    clean = F.when(F.size(ordered) > 0, clean).otherwise(F.col("text"))
+    clean = F.when(F.size(ordered) > 0, _let(ordered, clean)).otherwise(F.col("text"))
     found = found.withColumn("__text", F.when(F.col("__row.text").isNotNull(), clean))
     return found.select(*[F.col("__text").alias("text") if c == "text" else F.col("__row").getField(c).alias(c) for c in docs.columns])
