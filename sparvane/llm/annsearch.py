@@ -115,20 +115,22 @@ def build_index(table: DataFrame, settings: Settings = Settings()) -> tuple[Data
         points = V.matrix(picked, dim) if len(picked) else np.ones((1, dim))
         books[dim] = fit(_unit(points), settings)
     shared = table.sparkSession.sparkContext.broadcast({d: b.words for d, b in books.items()})
-    ready: dict[int, Codebooks] = {}
 
-    def more(dim: int, block: np.ndarray) -> bytes:
-        if dim not in ready:
-            ready[dim] = Codebooks(shared.value[dim])
-        codes, norms = ready[dim].encode(_unit(block), settings.beam)
-        return codes.tobytes() + norms.astype(np.float32).tobytes()
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: dict[int, Codebooks] = {}
+        for dim, grp, ids, block in V.packed(batches):
+            if dim not in ready:
+                ready[dim] = Codebooks(shared.value[dim])
+            codes, norms = ready[dim].encode(_unit(block), settings.beam)
+            out = [dim], [grp], [ids.tobytes()], [block.tobytes()], [codes.tobytes() + norms.astype(np.float32).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int32(), *[pa.binary()] * 3))], names=["dim", "grp", "ids", "vectors", "more"])
 
-    return cut_lineage(V.blocks(rows, more)), books
+    return cut_lineage(rows.mapInArrow(index, "dim int, grp int, ids binary, vectors binary, more binary")), books
 
 
 def search(index: DataFrame, books: dict[int, Codebooks], queries: DataFrame, k: int = 5, settings: Settings = Settings()) -> DataFrame:
     """``query_id, rank, vec_id, score`` (cosine in double precision) of each query's k nearest found."""
-    tile_rows, count = V.tiles(V.clean(queries, nonzero=True))
+    tiles = V.Tiles.write(V.clean(queries, nonzero=True))
     shared = queries.sparkSession.sparkContext.broadcast({d: b.words for d, b in books.items()})
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,29 +143,31 @@ def search(index: DataFrame, books: dict[int, Codebooks], queries: DataFrame, k:
                 packed = batch.column("more")[i].as_py()
                 codes = np.frombuffer(packed, np.uint8, len(ids) * len(words)).reshape(len(ids), -1)
                 norms = np.frombuffer(packed, np.float32, offset=codes.size)
-                query_ids, vectors = V.tile_arrays(batch.column("queries")[i].values, dim)
                 size, lengths = np.maximum(norms, 1e-12), _norms(block)
-                units = _unit(vectors)
-                found: list[tuple[np.ndarray, ...]] = []
-                for start in range(0, len(query_ids), 64):
-                    table = np.einsum("qd,bwd->bqw", units[start : start + 64], words, optimize=True)
-                    near = table[0][:, codes[:, 0]]
-                    for book in range(1, len(words)):
-                        near += table[book][:, codes[:, book]]
-                    near /= size
-                    for j, query in enumerate(query_ids[start : start + 64].tolist()):
-                        near[j][ids == query] = -np.inf
-                        at = np.sort(V.best(near[j], settings.shortlist))
-                        at = at[ids[at] != query]
-                        vector = vectors[start + j]
-                        exact = (block[at] / lengths[at, None] * (vector / _norms(vector[None])[0])).sum(1)
-                        top = V.best(exact, k)
-                        found.append((np.full(len(top), query), ids[at[top]], exact[top]))
-                columns = [np.concatenate(x) for x in zip(*found)]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(np.full(len(columns[0]), grp, np.int32)), *map(pa.array, columns[1:])], names=["query_id", "grp", "vec_id", "score"])
-
-    lists = V.meet(index, tile_rows, count).mapInArrow(score, "query_id long, grp int, vec_id long, score double")
-    return V.merge(lists, k)
+                for query_ids, vectors in tiles.of(dim):
+                    yield V.lists(grp, _found(ids, block, codes, size, lengths, words, query_ids, vectors, k, settings))
+
+    return V.merge(index.mapInArrow(score, "query_id long, grp int, vec_id long, score double"), k)
+
+
+def _found(ids: np.ndarray, block: np.ndarray, codes: np.ndarray, size: np.ndarray, lengths: np.ndarray, words: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, k: int, settings: Settings) -> list[tuple[np.ndarray, ...]]:
+    """For each query of a tile its best k of a block: shortlisted by table sums over the stored norms, ranked exactly."""
+    units, found = _unit(vectors), []
+    for start in range(0, len(query_ids), 64):
+        table = np.einsum("qd,bwd->bqw", units[start : start + 64], words, optimize=True)
+        near = table[0][:, codes[:, 0]]
+        for book in range(1, len(words)):
+            near += table[book][:, codes[:, book]]
+        near /= size
+        for j, query in enumerate(query_ids[start : start + 64].tolist()):
+            near[j][ids == query] = -np.inf
+            at = np.sort(V.best(near[j], settings.shortlist))
+            at = at[ids[at] != query]
+            vector = vectors[start + j]
+            exact = (block[at] / lengths[at, None] * (vector / _norms(vector[None])[0])).sum(1)
+            top = V.best(exact, k)
+            found.append((np.full(len(top), query), ids[at[top]], exact[top]))
+    return found
 
 
 def _norms(block: np.ndarray) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Exact top-k by inner product: tiles of queries times blocks of vectors.
 
-A block meets a tile in one matrix product; each query keeps its best k of the block, and
-a tree of two levels merges these lists.  Scores are integers: products run in double
+A block meets each tile in matrix products; each query keeps its best k of the block, and
+a tree of two levels merges these lists.  Vectors never leave the task that scans them.  Scores are integers: products run in double
 precision while that is exact, else in 64-bit or unbounded integers.
 """
 
@@ -40,25 +40,19 @@ def top_k(table: DataFrame, is_query: Column, k: int = 10, scale: int = 1024) ->
     length are compared.  Other columns are ignored; an empty table gives no rows.
     """
     rows = V.clean(table)
-    tile_rows, count = V.tiles(rows.filter(is_query))
+    tiles = V.Tiles.write(rows.filter(is_query))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                dim, grp = batch.column("dim")[i].as_py(), batch.column("grp")[i].as_py()
-                ids = np.frombuffer(batch.column("ids")[i].as_buffer(), np.int64)
-                block = _whole(np.frombuffer(batch.column("vectors")[i].as_buffer(), np.float64).reshape(len(ids), dim), scale)
-                query_ids, queries = V.tile_arrays(batch.column("queries")[i].values, dim)
-                queries = _whole(queries, scale)
+        for dim, grp, ids, block in V.packed(batches):
+            block = _whole(block, scale)
+            for query_ids, queries in tiles.of(dim):
                 found: list[tuple[np.ndarray, ...]] = []
                 for start in range(0, len(query_ids), 256):
                     part = slice(start, start + 256)
-                    for query, scores in zip(query_ids[part].tolist(), _products(queries[part], block)):
+                    for query, scores in zip(query_ids[part].tolist(), _products(_whole(queries[part], scale), block)):
                         others = np.flatnonzero(ids != query)
                         at = others[V.best(scores[others], k)]
                         found.append((np.full(len(at), query), ids[at], scores[at]))
-                columns = [np.concatenate(x) for x in zip(*found)]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(np.full(len(columns[0]), grp, np.int32)), *map(pa.array, columns[1:])], names=["query_id", "grp", "vec_id", "score"])
+                yield V.lists(grp, found)
 
-    lists = V.meet(V.blocks(rows), tile_rows, count).mapInArrow(score, "query_id long, grp int, vec_id long, score long")
-    return V.merge(lists, k)
+    return V.merge(rows.mapInArrow(score, "query_id long, grp int, vec_id long, score long"), k)

@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparvane.llm.common import fresh_folder
+
 BLOCK, TILE, MERGE = 4096, 4096, 64
 
 
@@ -28,49 +31,81 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def blocks(vectors: DataFrame, extra=None) -> DataFrame:
-    """``dim, grp, ids, vectors [, more]`` with up to BLOCK vectors a row, packed as bytes.
+Block = tuple[int, int, np.ndarray, np.ndarray]
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """``dim, grp, ids, vectors`` of up to BLOCK rows of :func:`clean` each; ``grp`` deals the blocks out over MERGE groups for the first level of merging."""
+    number = 0
+    for batch in batches:
+        dims = batch.column("dim").to_numpy()
+        for dim in np.unique(dims).tolist():
+            part = batch.filter(pa.array(dims == dim))
+            for start in range(0, part.num_rows, BLOCK):
+                rows = part.slice(start, BLOCK)
+                ids, block = rows.column("vec_id").to_numpy(), matrix(rows.column("embedding"), dim)
+                order = np.argsort(ids, kind="stable")
+                yield dim, number % MERGE, ids[order], np.ascontiguousarray(block[order])
+                number += 1
+
+
+class Tiles:
+    """Queries in files of about TILE rows in the shared folder; a task reads one at a time.
 
-    ``extra(matrix) -> bytes`` adds a column ``more``.  ``grp`` deals the blocks out over
-    MERGE groups for the first level of merging.
+    So neither the vectors nor the queries are shuffled or broadcast to meet, and what a
+    task holds is a block and a tile.
     """
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
-        for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims).tolist():
-                part = batch.filter(pa.array(dims == dim))
-                for start in range(0, part.num_rows, BLOCK):
-                    rows = part.slice(start, BLOCK)
-                    ids, block = rows.column("vec_id").to_numpy(), matrix(rows.column("embedding"), dim)
-                    order = np.argsort(ids, kind="stable")
-                    ids, block = ids[order], np.ascontiguousarray(block[order])
-                    out = {"dim": [dim], "grp": [number % MERGE], "ids": [ids.tobytes()], "vectors": [block.tobytes()]}
-                    if extra:
-                        out["more"] = [extra(dim, block)]
-                    number += 1
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int32(), pa.int32(), *[pa.binary()] * 3))], names=list(out))
-
-    return vectors.mapInArrow(pack, "dim int, grp int, ids binary, vectors binary" + ", more binary" * bool(extra))
-
-
-def tiles(queries: DataFrame) -> tuple[DataFrame, int]:
-    """``dim, tile, queries`` with about TILE queries a row (one row an id), and the number of tiles."""
-    queries = queries.dropDuplicates(["vec_id"])
-    count = max(1, -(-queries.count() // TILE))
-    dealt = queries.withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"))
-    return dealt.groupBy("dim", "tile").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries")), count
-
-
-def meet(block_rows: DataFrame, tile_rows: DataFrame, count: int) -> DataFrame:
-    """Every block with every tile of queries, joined by tile number."""
-    dealt = block_rows.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    return dealt.join(tile_rows, ["dim", "tile"])
-
-
-def tile_arrays(queries: pa.Array | pa.StructArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return queries.field("vec_id").to_numpy(), matrix(queries.field("embedding"), dim)
+    def __init__(self, folder: str, count: int) -> None:
+        self.folder, self.count = folder, count
+
+    @staticmethod
+    def write(queries: DataFrame) -> Tiles:
+        """One row an id of :func:`clean` rows."""
+        folder = fresh_folder(queries.sparkSession, "tiles")
+        queries = queries.dropDuplicates(["vec_id"])
+        count = max(1, -(-queries.count() // TILE))
+
+        def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyarrow import fs
+
+            system, path = fs.FileSystem.from_uri(folder)
+            system.create_dir(path, recursive=True)
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    dim, tile = batch.column("dim")[i].as_py(), batch.column("tile")[i].as_py()
+                    rows = batch.column("queries")[i].values
+                    ids, block = rows.field("vec_id").to_numpy(), matrix(rows.field("embedding"), dim)
+                    order = np.argsort(ids)
+                    name = f"{path}/{dim}-{tile}"
+                    with system.open_output_stream(f"{name}.{TaskContext.get().taskAttemptId()}", compression=None) as out:
+                        out.write(ids[order].tobytes() + np.ascontiguousarray(block[order]).tobytes())
+                    system.move(f"{name}.{TaskContext.get().taskAttemptId()}", name)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+        dealt = queries.withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"))
+        rows = dealt.groupBy("dim", "tile").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
+        rows.mapInArrow(save, "n long").agg(F.sum("n")).first()
+        return Tiles(folder, count)
+
+    def of(self, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and vectors of each tile of this dimension."""
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(self.folder)
+        for tile in range(self.count):
+            name = f"{path}/{dim}-{tile}"
+            if system.get_file_info(name).type == fs.FileType.File:
+                with system.open_input_stream(name, compression=None) as file:
+                    data = file.readall()
+                n = len(data) // (8 + 8 * dim)
+                yield np.frombuffer(data, np.int64, n), np.frombuffer(data, np.float64, offset=8 * n).reshape(n, dim)
+
+
+def lists(grp: int, found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """``query_id, grp, vec_id, score`` of (query ids, vector ids, scores)."""
+    columns = [np.concatenate(x) for x in zip(*found)]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(np.full(len(columns[0]), grp, np.int32)), *map(pa.array, columns[1:])], names=["query_id", "grp", "vec_id", "score"])
 
 
 def best(scores: np.ndarray, k: int) -> np.ndarray:

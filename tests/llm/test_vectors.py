@@ -3,7 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparvane.llm import annsearch, topk
+from sparvane.llm import annsearch, topk, vectors
 
 SCHEMA = "vec_id long, embedding array<double>, score string, rank string"
 
@@ -36,6 +36,29 @@ def test_exact_top_k(spark):
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_many_blocks_and_tiles_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TILE", 8)
+    data = rows(n=300)
+    frame = spark.createDataFrame(data, SCHEMA).repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        got = sorted(map(tuple, topk.top_k(frame, F.col("vec_id") % 2 == 0, k=4).collect()))
+        near = sorted(map(tuple, annsearch.nearest(frame, F.col("vec_id") % 2 == 0, k=4).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole = lambda v: [math.floor(1024 * x) for x in v]
+    assert got == brute(data, 2, 4, lambda a, b: sum(x * y for x, y in zip(whole(a), whole(b))), False)
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a)) / math.sqrt(sum(x * x for x in b))
+    wanted = brute(data, 2, 4, cosine, True)
+    assert np.allclose([x[3] for x in near], [x[3] for x in wanted])
+
+
+def test_no_vector_is_shuffled_to_meet_a_query(spark):
+    frame = spark.createDataFrame(rows(), SCHEMA)
+    plan = topk.top_k(frame, F.col("vec_id") % 10 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "embedding" not in plan.split("MapInArrow")[0]
+
+
 def test_products_stay_exact_for_large_numbers():
     left, right = np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 1.0], [2.0**30, 3.0]])
     assert topk._products(left, right).tolist() == [[2**60 + 1, 2**63 - 1]]
