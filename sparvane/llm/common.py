@@ -59,11 +59,15 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
 
 @contextmanager
 def steady_scans(spark: SparkSession) -> Iterator[None]:
-    """Meanwhile all scans of a table split it alike, whatever executors come and go, and shuffle files go when their job ends."""
-    wanted = {"spark.sql.files.minPartitionNum": str(spark.sparkContext.defaultParallelism), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    """Meanwhile all scans of a table split it alike, whatever executors come and go, batches for Python stay small, and shuffle files go when their job ends."""
+    wanted = {
+        "spark.sql.files.minPartitionNum": spark.conf.get("spark.sql.files.minPartitionNum", None) or str(spark.sparkContext.defaultParallelism),
+        "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    }
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
-        spark.conf.set(k, before[k] if before[k] and k.endswith("Num") else v)
+        spark.conf.set(k, v)
     try:
         yield
     finally:

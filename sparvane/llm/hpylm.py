@@ -42,20 +42,17 @@ from pyspark.sql import functions as F
 from sparvane.llm.common import fresh_folder, remove_folder, steady_scans
 from sparvane.llm.neardup import _mix
 
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 DISCOUNT, STRENGTH = 0.7, 10.0
 CONTEXT_DISCOUNT, CONTEXT_STRENGTH = 0.7, 0.3
 LETTER_DISCOUNT, LETTER_STRENGTH = 0.5, 2.0
-BURN_IN, KEPT, EXACT = 2, 3, 1024
+BURN_IN, KEPT, EXACT, DIRECT = 2, 3, 1024, 24
 SYMBOLS, STOP, START = 258, 256, 257
 FOLDED = 32768
 CHUNK = 1 << 20
 END_WORD, START_WORD = np.uint64(0x5D1F0A3C9E2B7745), np.uint64(0xA17C3E5590D24B1F)  #: hashes of a text's end and of the context before its first word
 _FACTOR = 0x9E6C63D0873F52A5
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MESSAGE = "target int, source string, data binary"
 
 
@@ -68,6 +65,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.cumprod(f) for f in factors)
 
 
+def _spaces(data: np.ndarray) -> np.ndarray:
+    """Which bytes are ASCII white space."""
+    return (data - np.uint8(9) < 5) | (data == 32)
+
+
+def _lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    return np.frombuffer(data.tobytes().translate(_LOWER), np.uint8)
+
+
 def _words(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Hash, start and length of the words of ``data``, bytes of texts that begin and end at ``bounds``.
 
@@ -79,11 +86,11 @@ def _words(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, n
         if end - begin > CHUNK:  # cut at the next white space or text
             end = begin + CHUNK
             limit = int(bounds[np.searchsorted(bounds, end)])
-            while end < limit and not _SPACE[data[end]]:
-                found = np.flatnonzero(_SPACE[data[end : min(limit, end + 65536)]])
+            while end < limit and not _spaces(data[end : end + 1])[0]:
+                found = np.flatnonzero(_spaces(data[end : min(limit, end + 65536)]))
                 end = end + int(found[0]) if len(found) else min(limit, end + 65536)
-        part = data[begin:end]
-        solid = ~_SPACE[part]
+        part = _lowered(data[begin:end])
+        solid = ~_spaces(part)
         fresh = np.ones(len(part), bool)
         fresh[1:] = ~solid[:-1]
         cuts = bounds[np.searchsorted(bounds, begin) : np.searchsorted(bounds, end)] - begin
@@ -95,23 +102,25 @@ def _words(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, n
         size = CHUNK + 65536 if len(part) <= CHUNK + 65536 else len(part)
         power, inverse = _powers(size)
         total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((_LOWER[part].astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=total[1:])
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=total[1:])
         yield _mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts + begin, ends - starts
         begin = end
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all texts, each text closed by END_WORD; tokens of each text; and the words' first bytes, lengths and the bytes they point to (A-Z lower-cased)."""
+    """Word hashes of all texts, each text closed by END_WORD; tokens of each text; and the words' first bytes, lengths and the bytes they point to."""
     binary = texts.fill_null("").cast(pa.large_binary())
     offsets = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(binary) + 1]
     data = np.frombuffer(binary.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(binary) else np.zeros(0, np.uint8)
     bounds = offsets - offsets[0]
     parts = list(_words(data, bounds))
     h, starts, lengths = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.uint64, np.int64, np.int64)))
-    text = np.searchsorted(bounds[1:], starts, side="right")
+    sizes = np.diff(np.searchsorted(starts, bounds)) + 1
     tokens = np.full(len(h) + len(binary), END_WORD)
-    tokens[np.arange(len(h)) + text] = h
-    return tokens, np.bincount(text, minlength=len(binary)) + 1, starts, lengths, _LOWER[data]
+    inside = np.ones(len(tokens), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    tokens[inside] = h
+    return tokens, sizes, starts, lengths, data
 
 
 def contexts_of(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -122,22 +131,41 @@ def contexts_of(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return before
 
 
-def ordered(contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that puts equal (context, word) together, contexts mostly so as well, and marks where a new one begins."""
-    mixed = _mix(contexts)
-    key = mixed & np.uint64(0xFFFFFFFF00000000) | _mix(mixed ^ words) >> np.uint64(32)
-    order = np.argsort(key)
-
-    def changes() -> tuple[np.ndarray, np.ndarray]:
-        k, c, w = key[order], contexts[order], words[order]
-        same = k[1:] == k[:-1]
-        return np.r_[np.ones(min(1, len(k)), bool), ~same | (c[1:] != c[:-1]) | (w[1:] != w[:-1])], same
+def ordered(hashes: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts rows of equal columns together, and marks where a new one begins.
 
-    new, same = changes()
-    if (new[1:] & same).any():  # different cells with one key: order by all there is
-        order = np.lexsort((words, contexts, key))
-        new, _ = changes()
-    return order, new
+    ``hashes``: 64 bits of each row, equal for equal columns.  Their upper bits are sorted
+    together with the rows' numbers; the few rows of which only these bits are equal are
+    put in order by all columns.
+    """
+    n = len(hashes)
+    low = np.uint64((1 << max(1, (n - 1).bit_length())) - 1)
+    packed = np.sort(hashes & ~low | np.arange(n, dtype=np.uint64))
+    order, same = (packed & low).astype(np.int64), packed[1:] & ~low == packed[:-1] & ~low
+
+    def changes() -> np.ndarray:
+        differs = np.zeros(max(n - 1, 0), bool)
+        for column in columns:
+            taken = column[order]
+            differs |= taken[1:] != taken[:-1]
+        return differs
+
+    differs = changes()
+    if (differs & same).any():
+        run = np.cumsum(np.r_[0, ~same])
+        at = np.flatnonzero(np.isin(run, run[1:][differs & same]))
+        order[at] = order[at][np.lexsort((*(c[order[at]] for c in columns), run[at]))]
+        differs = changes()
+    return order, np.r_[np.ones(min(1, n), bool), differs]
+
+
+def cells_in_order(contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different (context, word), those of a context together: a token of each, its number of tokens' first place in the order, that order, and the rank of each in the first order."""
+    mixed = _mix(contexts)
+    order, new = ordered(_mix(mixed ^ words), contexts, words)
+    first = order[new]
+    by_context = ordered(mixed[first], contexts[first])[0]
+    return first[by_context], np.flatnonzero(new), order, by_context
 
 
 class Split:
@@ -289,9 +317,9 @@ def _stirling(discount: float) -> list[np.ndarray]:
     return rows
 
 
-def _saddle(c: int, t: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+def _saddle(c: float | np.ndarray, t: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
     """Saddle-point logarithms of the Stirling numbers of c customers and t < c tables, less lgamma(c + 1); and t * y**discount at the saddle 1 - y."""
-    low, high = np.full(len(t), -400.0), np.full(len(t), -1e-12)
+    low, high = np.full(t.shape, -400.0), np.full(t.shape, -1e-12)
     for _ in range(60):
         m = (low + high) / 2
         few = t * -np.expm1(m) * discount * np.exp((discount - 1) * m) > -c * np.expm1(discount * m)
@@ -300,7 +328,7 @@ def _saddle(c: int, t: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndar
     y, z, f = np.exp(m), -np.expm1(m), -np.expm1(discount * m) / discount
     g = z * np.exp((discount - 1) * m) / f
     spread = t * g * (1 + z * (1 - discount) / y - g)
-    return t * np.log(f) - c * np.log1p(-y) - 0.5 * np.log(2 * np.pi * spread) - np.array([math.lgamma(x) for x in (t + 1).tolist()]), t * np.exp(discount * m)
+    return t * np.log(f) - c * np.log1p(-y) - 0.5 * np.log(2 * np.pi * spread) - np.array(list(map(math.lgamma, (t + 1).ravel().tolist()))).reshape(t.shape), t * np.exp(discount * m)
 
 
 @cache
@@ -310,22 +338,88 @@ def _off(discount: float) -> tuple[np.ndarray, np.ndarray]:
     return np.log(place), _stirling(discount)[EXACT][:-1] - math.lgamma(EXACT + 1) - approximate
 
 
-def _many(c: int, fresh: float, discount: float) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of tables that c > EXACT customers can be expected at, and the logarithms of their weights."""
-    low, high = -400.0, -1e-12  # the mode: fresh * z * y ** (discount - 1) = c
+def _many(customers: np.ndarray, fresh: np.ndarray, discount: float, at: np.ndarray) -> np.ndarray:
+    """Numbers of tables of dishes with more than EXACT customers, drawn at the uniform numbers ``at``.
+
+    Around each dish's mode the logarithms of the weights are a smooth function of t: they
+    are computed at all t if these are few, else at Chebyshev's places.
+    """
+    c = customers.astype(float)
+    low, high = np.full(len(c), -400.0), np.full(len(c), -1e-12)  # the mode: fresh * z * y ** (discount - 1) = c
     for _ in range(60):
         m = (low + high) / 2
-        low, high = (m, high) if fresh * -math.expm1(m) * math.exp((discount - 1) * m) > c else (low, m)
-    mode = min(float(c), fresh * -math.expm1(discount * low) / discount)
-    reach = 12 * math.sqrt(mode) + 40
-    t = np.arange(max(1, int(mode - reach)), min(c - 1, int(mode + reach)) + 1, dtype=float)
-    logs, place = _saddle(c, t, discount)
+        more = fresh * -np.expm1(m) * np.exp((discount - 1) * m) > c
+        low, high = np.where(more, m, low), np.where(more, high, m)
+    mode = np.minimum(c, fresh * -np.expm1(discount * low) / discount)
+    reach = 12 * np.sqrt(mode) + 40
+    first, last = np.maximum(1, np.floor(mode - reach)), np.minimum(c - 1, np.floor(mode + reach)) + 1
     x, off = _off(discount)
-    below = np.minimum(np.log(place) - x[0], 0) * (off[1] - off[0]) / (x[1] - x[0])  # few tables of many customers: a straight line
-    return t, logs + np.interp(np.log(place), x, off) + below + t * math.log(fresh)
+    slope = (off[1] - off[0]) / (x[1] - x[0])
+    share = (1 - np.cos(np.pi * np.arange(33) / 32)) / 2
+    out, few = np.empty(len(c), np.int64), last - first < 160
+    for own, width in ((few, 160), (~few, 33)):
+        for part in np.split(np.flatnonzero(own), range(0, int(own.sum()), 2000)[1:]):
+            begin, end = first[part, None], last[part, None] - 1
+            places = np.minimum(begin + np.arange(width), end) if width == 160 else begin + (end - begin) * share
+            logs, place = _saddle(c[part, None], places, discount)
+            near = np.log(place)
+            # Few tables of many customers lie below the last exact row's places: a straight line.
+            logs = logs + np.interp(near, x, off) + np.minimum(near - x[0], 0) * slope + places * np.log(fresh[part, None])
+            for i, a, b, row in zip(part, begin[:, 0], end[:, 0], logs):
+                t = np.arange(a, b + 1)
+                w = row[: len(t)] if width == 160 else np.polynomial.chebyshev.chebval(2 * (t - a) / (b - a) - 1, _chebyshev() @ row)
+                sums = np.cumsum(np.exp(w - w.max()))
+                out[i] = t[min(int(np.searchsorted(sums, at[i] * sums[-1], side="right")), len(t) - 1)]
+    return out
+
+
+@cache
+def _chebyshev() -> np.ndarray:
+    """From values at 33 places to the coefficients of the polynomial of degree 20 that fits them best."""
+    places = -np.cos(np.pi * np.arange(33) / 32)
+    return np.linalg.pinv(np.polynomial.chebyshev.chebvander(places, 20))
+
+
+@cache
+def _padded(discount: float) -> np.ndarray:
+    """The exact rows side by side, minus infinity beyond their ends."""
+    table = np.full((EXACT + 1, EXACT), -np.inf)
+    for c, row in enumerate(_stirling(discount)):
+        table[c, :c] = row
+    return table
+
+
+@cache
+def _direct(discount: float) -> list[list[float]]:
+    """The generalised Stirling numbers themselves, up to DIRECT customers."""
+    return [np.exp(row).tolist() for row in _stirling(discount)[: DIRECT + 1]]
+
+
+def _drawn(numbers: list[float], fresh: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Numbers of tables of dishes with equally many customers: weights ``numbers[t - 1] * fresh ** (t - 1)``, summed in order."""
+    total = np.zeros(len(fresh))
+    for x in reversed(numbers):
+        total = total * fresh + x
+    wanted, power, below, t = at * total, np.ones(len(fresh)), np.zeros(len(fresh)), np.ones(len(fresh), np.int64)
+    for x in numbers[:-1]:
+        below += x * power
+        power *= fresh
+        t += below <= wanted
+    return t
+
+
+def groups_of(customers: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Dishes of two customers or more with the most that one of the group has: equally many up to DIRECT, similarly many up to EXACT, all beyond."""
+    order = np.argsort(customers, kind="stable")
+    order = order[np.searchsorted(customers[order], 2) :]
+    held = customers[order]
+    limits = [*range(2, DIRECT + 1), *(DIRECT << k for k in range(1, 12) if DIRECT << k < EXACT), EXACT]
+    cuts = np.searchsorted(held, limits, side="right")
+    groups = [(limit, order[a:b]) for limit, a, b in zip(limits, np.r_[0, cuts[:-1]], cuts)] + [(EXACT + 1, order[cuts[-1] :])]
+    return [(limit, same) for limit, same in groups if len(same)]
 
 
-def draw_tables(customers: np.ndarray, fresh: np.ndarray, discount: float, at: np.ndarray) -> np.ndarray:
+def draw_tables(customers: np.ndarray, fresh: np.ndarray, discount: float, at: np.ndarray, groups: list[tuple[int, np.ndarray]] | None = None) -> np.ndarray:
     """Each dish's number of tables, drawn from its distribution given its ``customers``, at the uniform numbers ``at``.
 
     The weight of t tables is the generalised Stirling number of (customers, t) times
@@ -333,22 +427,18 @@ def draw_tables(customers: np.ndarray, fresh: np.ndarray, discount: float, at: n
     beyond by saddle points set right on the last exact row.
     """
     tables = np.minimum(customers, 1)
-    log_fresh = np.log(np.maximum(fresh, 1e-300))
-    order = np.argsort(customers, kind="stable")
-    order = order[np.searchsorted(customers[order], 2) :]
-    for same in np.split(order, np.flatnonzero(np.diff(customers[order])) + 1):
-        c = int(customers[same[0]]) if len(same) else 0
-        for part in np.split(same, range(0, len(same), 1 + 1_000_000 // max(c, 1))[1:]) if c <= EXACT else same.reshape(-1, 1):
-            if not len(part):
-                continue
-            if c <= EXACT:
-                t = np.arange(1.0, c + 1)
-                logs = _stirling(discount)[c] + t * log_fresh[part, None]
-            else:
-                t, logs = _many(c, math.exp(log_fresh[part[0]]), discount)
-                logs = logs[None]
-            sums = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), 1)
-            tables[part] = t[np.minimum((sums <= at[part, None] * sums[:, -1:]).sum(1), len(t) - 1)]
+    fresh = np.maximum(fresh, 1e-300)
+    for most, same in groups_of(customers) if groups is None else groups:
+        if most <= DIRECT:
+            tables[same] = _drawn(_direct(discount)[most], fresh[same], at[same])
+        elif most > EXACT:
+            tables[same] = _many(customers[same], fresh[same], discount, at[same])
+        else:
+            t = np.arange(1.0, most + 1)
+            for part in np.split(same, range(0, len(same), 1 + 500_000 // most)[1:]):
+                logs = _padded(discount)[customers[part], :most] + t * np.log(fresh[part, None])
+                sums = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), 1)
+                tables[part] = 1 + np.minimum((sums <= at[part, None] * sums[:, -1:]).sum(1), customers[part] - 1)
     return tables
 
 
@@ -364,7 +454,12 @@ class Letters:
 
     def __init__(self) -> None:
         self.seats: list[dict[int, tuple[int, int]]] = [{}, {}, {}]  # customers who opened a table, and who joined one
-        self.p = np.full((FOLDED, SYMBOLS), 1.0 / SYMBOLS, np.float32)
+        #: Cells of the longest contexts with their own mass, each context's mass for its parent, and the parents' probabilities.
+        self.parts = np.zeros(0, np.int32), np.zeros(0, np.float32), np.ones(FOLDED, np.float32), np.full((SYMBOLS, SYMBOLS), 1.0 / SYMBOLS, np.float32)
+
+    @property
+    def p(self) -> np.ndarray:
+        return letter_table(self.parts)
 
     def sweep(self, cells: np.ndarray, counts: np.ndarray, seed: int) -> None:
         """Seats the customers ``counts`` of the cells (context * SYMBOLS + symbol) of the longest contexts, then their parents'."""
@@ -380,19 +475,24 @@ class Letters:
                     up[int(parent_of[level][context]) * SYMBOLS + symbol] += max(1, min(n, self.seats[level].get(cell, (1, 0))[0]))
                 need.append(up)
         for level, wanted in zip((0, 1, 2), reversed(need)):  # down: parents first, so children know their probabilities
-            base = predictive[-1][parent_of[level]] if level else predictive[-1]
+            above = predictive[-1]
+            base = above[parent_of[level]] if level == 1 else above
             tables = np.zeros(self.contexts[level])
             for cell, (opened, _) in self.seats[level].items():
                 tables[cell // SYMBOLS] += opened
             at, n = np.array(list(wanted), np.int64), np.array(list(wanted.values()), np.int64)
-            fresh = (LETTER_STRENGTH + LETTER_DISCOUNT * tables[at // SYMBOLS]) * base[at // SYMBOLS, at % SYMBOLS]
+            fresh = (LETTER_STRENGTH + LETTER_DISCOUNT * tables[at // SYMBOLS]) * above[parent_of[level][at // SYMBOLS], at % SYMBOLS]
             t = draw_tables(n, fresh, LETTER_DISCOUNT, _uniform(at, level * 7 + seed * 31))
             self.seats[level] = {cell: (x, y) for cell, x, y in zip(at.tolist(), t.tolist(), (n - t).tolist())}
             total, number = np.bincount(at // SYMBOLS, n, self.contexts[level]), np.bincount(at // SYMBOLS, t, self.contexts[level])
-            p = ((LETTER_STRENGTH + LETTER_DISCOUNT * number) / (total + LETTER_STRENGTH)).astype(np.float32)[:, None] * base
-            p.reshape(-1)[at] += (n - LETTER_DISCOUNT * t) / (total + LETTER_STRENGTH)[at // SYMBOLS]
+            share = ((LETTER_STRENGTH + LETTER_DISCOUNT * number) / (total + LETTER_STRENGTH)).astype(np.float32)
+            own = ((n - LETTER_DISCOUNT * t) / (total + LETTER_STRENGTH)[at // SYMBOLS]).astype(np.float32)
+            if level == 2:
+                self.parts = at.astype(np.int32), own, share, predictive[-1]
+                return
+            p = share[:, None] * base
+            p.reshape(-1)[at] += own
             predictive.append(p)
-        self.p = predictive[-1]
 
     @staticmethod
     def _parents() -> list[np.ndarray]:
@@ -403,21 +503,43 @@ class Letters:
         return [np.zeros(1, np.int64), np.zeros(SYMBOLS, np.int64), np.minimum(np.arange(FOLDED) // _FOLD, SYMBOLS - 1)]
 
 
+def letter_table(parts: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Probabilities of all symbols after all longest contexts, from :attr:`Letters.parts`."""
+    cells, own, share, parents = parts
+    p = share[:, None] * parents[Letters._parents()[2]]
+    p.reshape(-1)[cells] += own
+    return p
+
+
+_LOGS: dict[tuple, np.ndarray] = {}
+
+
+def log_table(key: tuple, parts: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Logarithms of :func:`letter_table`, flat; a worker remembers those of the last KEPT keys."""
+    if key not in _LOGS:
+        while len(_LOGS) >= KEPT:
+            del _LOGS[next(iter(_LOGS))]
+        _LOGS[key] = np.log(letter_table(parts)).reshape(-1)
+    return _LOGS[key]
+
+
 _FOLD = FOLDED // SYMBOLS  #: restaurants that share the same last byte
 
 
 def letter_cells(lengths: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each letter and end of each word (given by lengths and joined bytes): its cell among the longest contexts, and the word's number."""
-    starts = np.cumsum(lengths + 4) - lengths - 4
-    symbols = np.full(int((lengths + 4).sum()), START, np.int64)
-    owner = np.repeat(np.arange(len(lengths)), lengths + 4)
-    place = np.arange(len(symbols)) - starts[owner]
-    inside = (place >= 3) & (place < lengths[owner] + 3)
+    wide = lengths + 4  # three before the word, one after it
+    ends = np.cumsum(wide)
+    symbols = np.full(int(wide.sum()), START, np.int32)
+    inside = np.ones(len(symbols), bool)
+    for k in range(3):
+        inside[ends - wide + k] = False
+    symbols[ends - 1] = STOP
+    at = np.flatnonzero(inside)
+    inside[ends - 1] = False
     symbols[inside] = letters
-    symbols[place == lengths[owner] + 3] = STOP
-    at = np.flatnonzero(place >= 3)
-    context = symbols[at - 1] * _FOLD + ((symbols[at - 2] * SYMBOLS + symbols[at - 3]) * 2654435761 >> 7) % _FOLD
-    return context * SYMBOLS + symbols[at], owner[at]
+    context = symbols[at - 1] * np.int32(_FOLD) + ((symbols[at - 2] * np.int32(SYMBOLS) + symbols[at - 3]) * np.int32(40503) >> 7) % np.int32(_FOLD)
+    return context * np.int32(SYMBOLS) + symbols[at], np.repeat(np.arange(len(lengths)), lengths + 1)
 
 
 def cells_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -505,8 +627,11 @@ class Model:
                     tokens, sizes, starts, lengths, data = tokens_of(part.column("text"))
                     train = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool), sizes)
                     words = tokens != END_WORD
-                    h, first, inverse = np.unique(tokens[words], return_index=True, return_inverse=True)
-                    found.append((h, np.bincount(inverse, train[words], len(h)).astype(np.int64), *take_words(lengths, data, first, starts)))
+                    h = tokens[words]
+                    order, new = ordered(h, h)
+                    first = order[new]
+                    n, letters = take_words(lengths, data, first, starts)
+                    found.append((h[first], np.add.reduceat(train[words][order].astype(np.int64), np.flatnonzero(new)) if len(h) else np.zeros(0, np.int64), n, _lowered(letters)))
                     found.append((np.array([END_WORD]), np.array([int(train[~words].sum())]), np.zeros(1, np.int64), np.zeros(0, np.uint8)))
                 merged = merge_words(found)
                 first = np.r_[0, np.cumsum(merged[2])]
@@ -542,13 +667,11 @@ class Model:
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block, parts in _whole_blocks(batches):
                 contexts, words, train, _ = block_tokens(parts)
-                order, new = ordered(contexts, words)
-                first = order[new]
-                n = np.add.reduceat(train[order].astype(np.int64), np.flatnonzero(new))
-                c, w = contexts[first], words[first]
-                at = split.of(c, w)
-                dealt = np.argsort(at, kind="stable")
-                c, w, n = c[dealt], w[dealt], n[dealt]
+                first, starts, order, rank = cells_in_order(contexts, words)
+                n = np.add.reduceat(train[order].astype(np.int64), starts)[rank]
+                at = split.of(contexts[first], words[first])
+                dealt = np.argsort(at.astype(np.uint16) if split.buckets < 65536 else at, kind="stable")
+                c, w, n = contexts[first[dealt]], words[first[dealt]], n[dealt]
                 for b, i in _parts(at[dealt]):
                     values, lengths = _runs(c[i])
                     yield _messages([(b, block, (values, _small(lengths), w[i], _small(n[i])))])
@@ -559,17 +682,15 @@ class Model:
                 return
             contexts = np.concatenate([np.repeat(m[0], m[1]) for _, _, m in got])
             words, n = (np.concatenate([m[i].astype(t) for _, _, m in got]) for i, t in ((2, np.uint64), (3, np.int64)))
-            order, new = ordered(contexts, words)
-            first = order[new]
-            c = np.add.reduceat(n[order], np.flatnonzero(new))
-            place = np.empty(len(order), np.int64)
-            place[order] = np.cumsum(new) - 1
+            first, starts, order, rank = cells_in_order(contexts, words)
+            c = np.add.reduceat(n[order], starts)[rank]
+            place = places_of(starts, order, rank)
             ends = np.cumsum([len(m[2]) for _, _, m in got])
             check = _mix(contexts ^ _mix(words))
             places = [(block, np.diff(place[e - len(m[2]) : e], prepend=0).astype(np.int32), check[e - len(m[2]) : e].sum()) for (_, block, m), e in zip(got, ends)]
             values, lengths = _runs(contexts[first])
             v, run = np.unique(values, return_inverse=True)
-            w, at = np.unique(words[first], return_inverse=True)
+            w, at = numbered_words(words[first])
             store.put("places", got[0][0], places)
             store.put("cells", got[0][0], (v, np.repeat(run, lengths).astype(np.uint32), w, at.astype(np.uint32), _small(c)))
             hot = np.isin(v, split.hot)
@@ -608,7 +729,8 @@ class Model:
     def sweep_words(self, step: int) -> None:
         """One sweep over the restaurant without context and, with its tables, over the letters, for each sample of ``customers{step}``."""
         store, seed = self.store, self.seed + 101 * step
-        shared = self.spark.sparkContext.broadcast([(np.log(x.p).reshape(-1), t) for x, t in zip(self.letters, self.tables)])
+        shared = self.spark.sparkContext.broadcast([(x.parts, t) for x, t in zip(self.letters, self.tables)])
+        name = (self.store.folder, "sweep", step)
         kind, out = ("customers2" if step == 2 else "customers0"), f"tables{step}"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -617,14 +739,15 @@ class Model:
                     continue
                 h, _, lengths, letters = store.get("vocabulary", o)
                 cells, owner = letter_cells(lengths.astype(np.int64), letters)
-                different, of = np.unique(cells, return_inverse=True)
                 drawn = []
-                for s, (n, (log_p, tables)) in enumerate(zip(store.get(kind, o), shared.value)):
+                for s, (n, (parts, tables)) in enumerate(zip(store.get(kind, o), shared.value)):
+                    log_p = log_table((*name, s), parts)
                     fresh = (STRENGTH + DISCOUNT * tables) * np.exp(np.bincount(owner, log_p[cells], len(h)))
                     t = draw_tables(n, fresh, DISCOUNT, _uniform(h, seed + 7919 * s))
                     drawn.append(t)
-                    sums = np.bincount(of, t[owner], len(different)).astype(np.int64)
-                    rows = np.r_[-1, -2, different[sums > 0]], np.r_[int(t.sum()), int(n.sum()), sums[sums > 0]]
+                    sums = np.bincount(cells, t[owner], len(log_p))
+                    different = np.flatnonzero(sums)
+                    rows = np.r_[-1, -2, different], np.r_[int(t.sum()), int(n.sum()), sums[different].astype(np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array([s] * len(rows[0]), pa.int32()), pa.array(rows[0]), pa.array(rows[1])], names=["sample", "cell", "n"])
                 store.put(out, o, drawn)
 
@@ -640,7 +763,8 @@ class Model:
     def _answers(self, step: int) -> DataFrame:
         """Owners tell buckets, for each word these asked for, the logarithm of its probability in each sample, and its count."""
         store = self.store
-        shared = self.spark.sparkContext.broadcast([(np.log(x.p).reshape(-1), t, n) for x, t, n in zip(self.letters, self.tables, self.customers)])
+        shared = self.spark.sparkContext.broadcast([(x.parts, t, n) for x, t, n in zip(self.letters, self.tables, self.customers)])
+        name = (self.store.folder, "answer", step)
         kind, seats = ("customers2" if step == 2 else "customers0"), f"tables{step}"
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -650,7 +774,8 @@ class Model:
                 _, c, lengths, letters = store.get("vocabulary", o)
                 cells, owner = letter_cells(lengths.astype(np.int64), letters)
                 logs = []
-                for n, t, (log_p, tables, customers) in zip(store.get(kind, o), store.get(seats, o), shared.value):
+                for s, (n, t, (parts, tables, customers)) in enumerate(zip(store.get(kind, o), store.get(seats, o), shared.value)):
+                    log_p = log_table((*name, s), parts)
                     below = np.bincount(owner, log_p[cells], len(c)) + math.log((STRENGTH + DISCOUNT * tables) / (STRENGTH + customers))
                     own = np.maximum(n - DISCOUNT * t, 0) / (STRENGTH + customers)
                     with np.errstate(divide="ignore"):
@@ -747,11 +872,10 @@ class Model:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block, parts in _whole_blocks(batches):
                 contexts, words, _, sizes = block_tokens(parts)
-                order, new = ordered(contexts, words)
-                first = order[new]
+                first, begins, order, rank = cells_in_order(contexts, words)
                 c, w = contexts[first], words[first]
                 at = split.of(c, w)
-                dealt = np.argsort(at, kind="stable")
+                dealt = np.argsort(at.astype(np.uint16) if split.buckets < 65536 else at, kind="stable")
                 check = _mix(c ^ _mix(w))[dealt]
                 answers = store.get("answers", block) if len(first) else {}
                 model, count = np.empty(len(first)), np.empty(len(first), np.int64)
@@ -760,8 +884,7 @@ class Model:
                     if total != check[i].sum() or len(scores) != i.stop - i.start:
                         raise RuntimeError("two scans deal the rows differently: a block's words have changed")
                     model[dealt[i]], count[dealt[i]] = scores, counts
-                place = np.empty(len(order), np.int64)
-                place[order] = np.cumsum(new) - 1
+                place = places_of(begins, order, rank)
                 base = np.log10((count + 1) / float(n + v + 1))
                 known = count > 0
                 starts = np.cumsum(sizes) - sizes
@@ -792,13 +915,35 @@ class Model:
 NUMBERS = {"n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double", "known_base_score": "double", "known_score": "double"}
 
 
+def places_of(starts: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each token the place of its cell, from :func:`cells_in_order`."""
+    at = np.empty(len(rank), np.int64)
+    at[rank] = np.arange(len(rank))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.repeat(at, np.diff(np.r_[starts, len(order)]))
+    return place
+
+
+def numbered_words(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different hashes, sorted, and the number of each one among them."""
+    order, new = ordered(words, words)
+    w = words[order[new]]
+    number = np.empty(len(words), np.int64)
+    number[order] = np.cumsum(new) - 1
+    back = np.argsort(w)
+    at = np.empty(len(w), np.int64)
+    at[back] = np.arange(len(w))
+    return w[back], at[number]
+
+
 def merge_words(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes in order, summed counts, lengths and joined bytes of the words of all parts."""
     h, c = (np.concatenate([p[i].astype(t) for p in parts]) for i, t in ((0, np.uint64), (1, np.int64)))
     lengths, letters = np.concatenate([p[2].astype(np.int64) for p in parts]), np.concatenate([p[3] for p in parts])
-    order = np.argsort(h, kind="stable")
-    first = np.flatnonzero(np.r_[True, h[order[1:]] != h[order[:-1]]])
-    return (h[order[first]], np.add.reduceat(c[order], first), *take_words(lengths, letters, order[first]))
+    order, new = ordered(h, h)
+    sums, first = np.add.reduceat(c[order], np.flatnonzero(new)), order[new]
+    up = np.argsort(h[first])
+    return (h[first[up]], sums[up], *take_words(lengths, letters, first[up]))
 
 
 def block_tokens(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -815,17 +960,21 @@ def context_sweeps(v: np.ndarray, w: np.ndarray, context: np.ndarray, at: np.nda
     ``log_p``: the words' probabilities without context.  ``totals``: tables at the start of
     the contexts that other buckets have parts of; their parts are taken to grow as this one does.
     """
-    p, keys = np.exp(log_p.astype(float))[at], _mix(v[context] ^ _mix(w[at]))
+    own = np.flatnonzero(c > 1)  # a lone customer has a table of its own
+    alone = np.bincount(context, c == 1, len(v)).astype(np.int64)
+    p, keys, many = np.exp(log_p.astype(float))[at[own]], _mix(v[context[own]] ^ _mix(w[at[own]])), c[own]
+    groups, of, t = groups_of(many), context[own], np.ones(len(c), np.int64)
     number = start = np.bincount(context, minlength=len(v)).astype(np.int64)
     shared = np.flatnonzero(np.isin(v, np.array(list(totals), np.uint64)))
     grown = np.ones(len(v))
     grown[shared] = [totals[int(h)] / max(n, 1) for h, n in zip(v[shared], start[shared])]
     for k in range(BURN_IN + KEPT):
-        fresh = (CONTEXT_STRENGTH + CONTEXT_DISCOUNT * (number * grown)[context]) * p
-        t = draw_tables(c, fresh, CONTEXT_DISCOUNT, _uniform(keys, seed + 13 * k))
-        number = np.bincount(context, t, len(v)).astype(np.int64)
+        fresh = (CONTEXT_STRENGTH + CONTEXT_DISCOUNT * (number * grown)[of]) * p
+        drawn = draw_tables(many, fresh, CONTEXT_DISCOUNT, _uniform(keys, seed + 13 * k), groups)
+        number = alone + np.bincount(of, drawn, len(v)).astype(np.int64)
         if k >= BURN_IN:
-            yield t, number
+            t[own] = drawn
+            yield t.copy(), number
 
 
 def predictive(v: np.ndarray, context: np.ndarray, at: np.ndarray, c: np.ndarray, logs: list[np.ndarray], seats: list[tuple], customers: dict[int, int], totals: dict[int, list[int]]) -> np.ndarray:

@@ -17,8 +17,10 @@ of its own (the copy closest to the common original); links of at least 0.8 form
 components.  What is left are pairs of a bucket whose components differ: of these, pairs
 that could still reach 0.8 are compared one by one.  What two nodes can share is bounded by
 what each shares with that leader and by the shingles beyond it that other nodes of such
-buckets have too.  So no candidate pair is given up unless it is connected already or
-can't be similar, and no group is expanded into all its pairs.
+buckets have too; a node that can't share 0.8 of itself is out at once, the others of a
+bucket meet in tiles of TILE nodes, so no task gets a whole bucket.  So no candidate pair is
+given up unless it is connected already or can't be similar, and no group is expanded into
+all its pairs.  Python sees batches bounded in bytes.
 """
 
 from __future__ import annotations
@@ -31,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparvane.llm.common import CHECK, ROW, all_there, cut_lineage, fresh_folder, map_batches, numbered, pick_rows, write_row_sets
+from sparvane.llm.common import CHECK, ROW, all_there, cut_lineage, fresh_folder, map_batches, numbered, pick_rows, remove_folder, steady_scans, write_row_sets
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
+TILE = 512
 K = BANDS * ROWS
 DARTS = K * math.log(K) + 2 * K
 _EMPTY = np.uint64(2**64 - 1)
@@ -149,7 +152,9 @@ def _units_of(docs: DataFrame, signed: DataFrame, keys: DataFrame) -> DataFrame:
     rows = signed.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.struct(ROW, CHECK)).alias("first")).select("first.*")
     texts = docs.select(ROW, CHECK, text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
     folder, n = write_row_sets(rows)
-    return all_there(cut_lineage(map_batches(pick_rows(texts, folder), work, "key binary, units binary")), n)
+    found = all_there(cut_lineage(map_batches(pick_rows(texts, folder), work, "key binary, units binary")), n)
+    remove_folder(docs.sparkSession, folder)
+    return found
 
 
 def _compared(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -215,14 +220,21 @@ def _links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     left = left.join(stars.select("a", "b", "common"), ["a", "b"], "left").withColumn("inside", F.coalesce("common", "weight"))
     left = left.withColumn("outside", F.when(F.col("key") == F.col("leader"), 0).otherwise(F.col("weight") - F.col("inside") - F.col("own")))
     left = cut_lineage(left.select("band", "key", "weight", "comp", "inside", "outside").join(nodes.select("key", "bands"), "key"))
-    x, y = (left.select("band", *(F.col(c).alias(f"{c}_{s}") for c in left.columns if c != "band")) for s in "xy")
+
+    # A node that has too much alone is similar to none; the others of a bucket are dealt over tiles.
+    left = left.filter(F.col("inside") + F.col("outside") >= SIMILAR * F.col("weight") - 1e-9)
+    sizes = left.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("band", "tiles")
+    left = left.join(sizes, "band").withColumn("tile", F.pmod(F.xxhash64("key", "band"), F.col("tiles")).cast("int"))
+    x, y = (left.select("band", "tile", "tiles", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "weight", "comp", "inside", "outside", "bands"))) for s in "xy")
+    x = x.select("*", F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("other")).drop("tiles")
+    y = y.select("*", F.explode(F.sequence(F.lit(0), "tile")).alias("first")).withColumnsRenamed({"tile": "other", "first": "tile"}).drop("tiles")
     # What two nodes share lies in their bucket's leader or among what neither has alone.
     common = F.least("inside_x", "inside_y") + F.least("outside_x", "outside_y")
     could = common >= SIMILAR * (F.col("weight_x") + F.col("weight_y") - common) - 1e-9
     meeting = F.filter(F.zip_with("bands_x", "bands_y", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
     # A pair counts in the first band that it shares.
-    rest = x.join(y, (x.band == y.band) & (F.col("key_x") < F.col("key_y")) & (F.col("comp_x") != F.col("comp_y")) & could & (F.element_at(meeting, 1) == x.band))
-    rest = rest.select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    met = x.join(y, ["band", "tile", "other"]).filter(((F.col("tile") < F.col("other")) | (F.col("key_x") < F.col("key_y"))) & (F.col("comp_x") != F.col("comp_y")) & could & (F.element_at(meeting, 1) == F.col("band")))
+    rest = met.select(*pair("key_x", "key_y")).join(stars.select("a", "b"), ["a", "b"], "left_anti")
     more = cut_lineage(_compared(rest, shingles).filter("similar").select("a", "b"))
     return components(links.union(more))
 
@@ -251,9 +263,11 @@ def classes(docs: DataFrame) -> DataFrame:
     Documents with equal texts (nulls count as empty) or linked by similarity, directly or
     over others, share a class; its id is the smallest doc_id in it (null if all are null)
     and ``n_docs`` its number of rows.  Texts without words equal only texts of the same
-    characters.  Other columns are ignored; an empty table gives no rows.
+    characters.  Very long texts are compared whole.  Other columns are ignored; an empty
+    table gives no rows.
     """
-    found = _classed(_rows(docs))
+    with steady_scans(docs.sparkSession):
+        found = cut_lineage(_classed(_rows(docs)).select("doc_id", "class"))
     ids = found.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs"))
     return found.join(ids, "class").select("doc_id", "class_id", "n_docs")
 
@@ -264,10 +278,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     All columns of ``docs`` are returned, written to the shared folder.  Of rows that share the smallest id and their
     text, one stays.  Texts without words are all kept unless they are equal.
     """
-    rows = _rows(docs)
+    rows, where = _rows(docs), fresh_folder(docs.sparkSession, "kept")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", ROW, CHECK)
-    winners = _classed(rows).groupBy("class").agg(F.min(first).alias("best")).select(f"best.{ROW}", f"best.{CHECK}")
-    folder, n = write_row_sets(winners)
-    where = fresh_folder(docs.sparkSession, "kept")
-    pick_rows(rows, folder).write.parquet(where)
+    with steady_scans(docs.sparkSession):
+        winners = _classed(rows).groupBy("class").agg(F.min(first).alias("best")).select(f"best.{ROW}", f"best.{CHECK}")
+        folder, n = write_row_sets(winners)
+        pick_rows(rows, folder).write.parquet(where)
+    remove_folder(docs.sparkSession, folder)
     return all_there(docs.sparkSession.read.schema(docs.schema).parquet(where), n)

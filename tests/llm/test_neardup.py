@@ -65,6 +65,43 @@ def test_classes_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
 
 
+def test_a_large_group_of_near_copies_over_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 16)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmno", k=6))
+    base, texts = [word() for _ in range(120)], []
+    for _ in range(1200):  # copies near the limit: a chain holds together what no one member is close to
+        new = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            new[rng.randrange(120)] = word()
+        texts.append(" ".join(new))
+    template = base[:60]
+    texts += [" ".join(template + [word() for _ in range(60)]) for _ in range(150)]
+    frame = spark.createDataFrame([(i, t, "c", None, "b") for i, t in enumerate(texts)], SCHEMA).repartition(4)
+    got = {r.doc_id: r.class_id for r in neardup.classes(frame).collect()}
+    assert [got[i] for i in range(len(texts))] == fast_classes(texts)
+
+
+def fast_classes(texts):
+    """:func:`brute_force` for texts without repeated shingles, in one matrix product."""
+    codes, rows = {}, []
+    for t in texts:
+        w = t.split()
+        rows.append([codes.setdefault(tuple(w[i : i + 5]), len(codes)) for i in range(len(w) - 4)])
+    have = np.zeros((len(texts), len(codes)), np.float32)
+    for i, r in enumerate(rows):
+        have[i, r] = 1
+    common = have @ have.T
+    size = have.sum(1)
+    near = common >= 0.8 * (size[:, None] + size[None] - common) - 1e-4
+    label = np.arange(len(texts))
+    while True:
+        new = np.array([label[near[i]].min() for i in range(len(texts))])
+        if (new == label).all():
+            return label.tolist()
+        label = new
+
+
 def test_null_ids_repeated_rows_and_empty_table(spark):
     rows = [(None, "same text here again and again", "", "", ""), (4, "same text here again and again", "", "", ""), (4, "same text here again and again", "", "", ""), (4, "another", "", "", ""), (None, "alone", "", "", ""), (None, None, "", "", "")]
     frame = spark.createDataFrame(rows, SCHEMA)
