@@ -103,10 +103,15 @@ STRUCTURE = {
 
 
 def literal(pattern: str) -> str:
-    """The longest run of letters and digits that every match holds, lower case; '' if none has two."""
+    """The longest run of letters and digits that every match holds; '' if none has two."""
     plain = re.sub(r"\((?:[^()])*\)\??|\[[^\]]*\][?+*]?|\\[bsdw][+*?]?|\\.", " ", pattern)
     runs = re.findall(r"[A-Za-z0-9]{2,}", re.sub(r"[A-Za-z0-9]\?", " ", plain))
-    return max(runs, key=len, default="").lower() if "|" not in plain else ""
+    return max(runs, key=len, default="") if "|" not in plain else ""
+
+
+def _folded(text: Column) -> Column:
+    """Lower case, with the letters that case-insensitive ASCII patterns match beyond ASCII: long s, Kelvin sign, i without and with its dot."""
+    return F.lower(F.translate(text, "\u017f\u212a\u0131\u0130", "skii"))
 
 
 @dataclass(frozen=True)
@@ -121,17 +126,17 @@ class Lexicon:
         rows = [line.split("  ") for line in lines.strip("\n").split("\n")]
         return cls(family, {term: tuple(patterns) for term, *patterns in rows})
 
-    def count(self, term: str, text: Column, lowered: Column) -> Column:
-        """Non-overlapping matches of all patterns; a pattern runs only where its literal part stands."""
+    def count(self, term: str, text: Column) -> Column:
+        """Non-overlapping matches of all patterns; a pattern runs only where its literal part stands, in any case that Unicode knows."""
         total = F.lit(0)
         for pattern in self.terms[term]:
             matches = F.regexp_count(text, F.lit(f"(?iuUd){pattern}"))
             stem = literal(pattern)
-            total = total + (F.when(lowered.contains(stem), matches).otherwise(0) if stem else matches)
+            total = total + (F.when(_folded(text).contains(stem.lower()), matches).otherwise(0) if stem else matches)
         return F.coalesce(total, F.lit(0)).cast("bigint")
 
-    def counts(self, text: Column, lowered: Column) -> dict[str, Column]:
-        return {f"{self.family}_{term}": self.count(term, text, lowered) for term in self.terms}
+    def counts(self, text: Column) -> dict[str, Column]:
+        return {f"{self.family}_{term}": self.count(term, text) for term in self.terms}
 
     def sql(self, term: str, text: str) -> str:
         """The same count for DuckDB; ``text`` must have its non-ASCII letters replaced by ASCII ones."""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+
+from sparvane.functions import special
+from sparvane.operators.stats import average_rank, benjamini_hochberg
+
+EXACT_RANKS, EXACT_SIGNS = 8, 25
 
 
 def quality(cells: DataFrame, most_missing: float = 0.5, most_cv: float = 0.30) -> DataFrame:
@@ -24,9 +25,58 @@ def quality_filter(cells: DataFrame, **limits: float) -> DataFrame:
 
 
 def impute(cells: DataFrame, how: str) -> DataFrame:
-    """Missing values become the feature's minimum (``min``) or half of it (``half_min``)."""
+    """Missing values become the feature's minimum (``min``), half of it (``half_min``), 0 if it has none, or the mean of its nearest samples (``knn``)."""
+    if how == "knn":
+        return nearest_impute(cells)
     share = {"min": 1.0, "half_min": 0.5}[how]
-    return cells.withColumn("v", F.coalesce("v", share * F.min("v").over(Window.partitionBy("feature"))))
+    return cells.withColumn("v", F.coalesce("v", share * F.min("v").over(Window.partitionBy("feature")), F.lit(0.0)))
+
+
+def nearest_impute(cells: DataFrame, k: int = 5) -> DataFrame:
+    """Missing values become the mean over the k nearest samples that have the feature (ties by sample).
+
+    Samples are as far apart as the root of their squared differences over the features that
+    both have, scaled up to all features; pairs of samples are few, features are summed
+    where they lie.
+    """
+    known = cells.filter("v is not null").select("feature", "sample", "v")
+    width = cells.agg(F.count_distinct("feature").alias("width"))  # one row
+    other = known.select("feature", F.col("sample").alias("donor"), F.col("v").alias("w"))
+    apart = known.join(other, "feature").filter("sample <> donor").groupBy("sample", "donor").agg(F.sum((F.col("v") - F.col("w")) * (F.col("v") - F.col("w"))).alias("d"), F.count("*").alias("n"))
+    apart = apart.crossJoin(F.broadcast(width)).select("sample", "donor", (F.col("d") * F.col("width") / F.col("n")).alias("far"))
+    missing = cells.filter("v is null").select("feature", "sample").join(apart, "sample").join(other, ["feature", "donor"])
+    ranked = missing.withColumn("__r", F.row_number().over(Window.partitionBy("feature", "sample").orderBy("far", "donor"))).filter(F.col("__r") <= k)
+    filled = ranked.groupBy("feature", "sample").agg(F.avg("w").alias("__fill"))
+    means = known.groupBy("feature").agg(F.avg("v").alias("__mean"))  # for samples without any neighbour
+    return cells.join(filled, ["feature", "sample"], "left").join(means, "feature", "left").withColumn("v", F.coalesce("v", "__fill", "__mean")).drop("__fill", "__mean")
+
+
+def preprocess(cells: DataFrame, impute_how: str = "half_min", normalise_how: str | None = "pqn", log_how: str = "log2", scale_how: str | None = "pareto", most_missing: float = 0.5, most_cv: float = 0.30) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The scaled matrix, its features' quality (``feature, qc_cv, missing_frac, mean_intensity``) and the log (``step, text``)."""
+    stats = quality(cells, most_missing, most_cv)
+    kept = cells.join(stats.filter("kept").select("feature"), "feature", "left_semi").filter("grp <> 'qc'")
+    normal = normalise(impute(kept, impute_how), normalise_how)
+    scaled = scale(normal.withColumn("v", log("v", log_how)), scale_how)
+    rows = kept.groupBy("feature").agg(F.avg(F.col("v").isNull().cast("double")).alias("missing_frac"), F.avg("v").alias("mean_intensity"))
+    feature_qc = rows.join(stats.select("feature", F.col("cv").alias("qc_cv")), "feature").select("feature", "qc_cv", "missing_frac", "mean_intensity")
+    some, lost = F.col("missing") < 1, F.col("missing") <= most_missing
+    n = stats.agg(F.count("*").alias("a"), F.count_if(some).alias("b"), F.count_if(some & lost).alias("c"), F.count_if("kept").alias("d"))
+    texts = [
+        F.format_string("Removed %d all-missing features (%d -> %d).", F.col("a") - F.col("b"), "a", "b"),
+        F.format_string(f"Removed %d features with >{most_missing:.0%}% missingness (-> %d).", F.col("b") - F.col("c"), "c"),
+        F.format_string(f"Removed %d features with QC CV>{most_cv:.0%}% (-> %d).", F.col("c") - F.col("d"), "d"),
+        *(F.lit(x) for x in (f"Imputed missing values with '{impute_how}'.", f"Sample normalization: '{normalise_how}'.", f"Transform: '{log_how}'.", f"Scaling (multivariate only): '{scale_how}'.")),
+    ]
+    steps = n.select(F.posexplode(F.array(*texts)).alias("step", "text")).select((F.col("step") + 1).alias("step"), "text")
+    return scaled, feature_qc, steps
+
+
+def scale_like(qc: DataFrame, logged: DataFrame, how: str | None, log_how: str = "log2") -> DataFrame:
+    """Quality controls (not normalised, gaps filled by their feature's minimum) on the scale of the biological samples' log values."""
+    stats = logged.groupBy("feature").agg(F.avg("v").alias("__m"), F.nullif(F.stddev_samp("v"), F.lit(0.0)).alias("__s"))
+    filled = qc.withColumn("v", F.coalesce("v", F.min("v").over(Window.partitionBy("feature")), F.lit(0.0))).withColumn("v", log("v", log_how))
+    by = {"auto": F.col("__s"), "pareto": F.sqrt("__s")}.get(how or "", F.lit(1.0))
+    return filled.join(stats, "feature").withColumn("v", F.coalesce(F.try_divide(F.col("v") - F.col("__m"), by), F.lit(0.0))).drop("__m", "__s")
 
 
 def normalise(cells: DataFrame, how: str | None) -> DataFrame:
@@ -73,37 +123,63 @@ def group_tests(cells: DataFrame) -> DataFrame:
     )
 
 
-def _incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _incomplete_beta(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
-    f, c, d = 1.0, 1.0, 0.0
-    for i in range(300):
-        m = i // 2
-        if i == 0:
-            term = 1.0
-        elif i % 2 == 0:
-            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / ((1 + term * d) or 1e-300)
-        c = (1 + term / c) or 1e-300
-        f *= c * d
-        if abs(1 - c * d) < 1e-13:
-            break
-    return front * (f - 1)
-
-
-def two_sided_p(t: Column, df: Column) -> Column:
-    """Two-sided p-value of Student's t; null where either is null."""
-
-    def p(t: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(x) or pd.isna(n) else _incomplete_beta(n / 2, 0.5, n / (n + x * x)) for x, n in zip(t, df)], dtype="float64")
-
-    return F.pandas_udf(p, DoubleType())(t, df)
+def rank_test(cells: DataFrame) -> DataFrame:
+    """``feature, u, p_nonparam``: Mann-Whitney's U of the cases and its two-sided p.
+
+    Exact without ties for groups of up to EXACT_RANKS, else by the normal approximation
+    with corrections for ties and continuity.
+    """
+    ranks = cells.filter("v is not null").select("feature", "grp", average_rank("v", ["feature"]).alias("r"), F.count("*").over(Window.partitionBy("feature", "v")).alias("same"))
+    n1, n0 = (F.count_if(F.col("grp") == g).alias(n) for g, n in (("case", "n1"), ("control", "n0")))
+    sums = ranks.groupBy("feature").agg(F.sum(F.when(F.col("grp") == "case", F.col("r"))).alias("r1"), n1, n0, F.sum(F.col("same") * F.col("same") - 1).cast("double").alias("ties"))
+    u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
+    rows = sums.withColumn("u", u).withColumn("__most", F.greatest("u", F.col("n1") * F.col("n0") - F.col("u")))
+    ways = {100 * a + b: special.rank_sums(a, b) for a in range(1, EXACT_RANKS + 1) for b in range(1, EXACT_RANKS + 1)}
+    exact = special.exact_tail(F.col("__most"), 100 * F.col("n1") + F.col("n0"), ways)
+    n = F.col("n1") + F.col("n0")
+    spread = F.sqrt(F.col("n1") * F.col("n0") / 12.0 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
+    z = F.try_divide(F.col("__most") - F.col("n1") * F.col("n0") / 2.0 - 0.5, spread)
+    p = F.when(F.col("ties") == 0, F.coalesce(exact, special.normal_two_sided(z))).otherwise(special.normal_two_sided(z))
+    return rows.select("feature", F.col("u").cast("double").alias("u"), F.when((F.col("n1") > 0) & (F.col("n0") > 0), p).alias("p_nonparam"))
+
+
+def signed_rank_test(pairs: DataFrame) -> DataFrame:
+    """``feature, w, p``: Wilcoxon's signed ranks of ``feature, x`` (differences; zeros are dropped), two-sided; exact without ties up to EXACT_SIGNS, else the normal approximation; features whose differences are all 0 are left out."""
+    ranks = pairs.filter("x <> 0").withColumn("size", F.abs("x")).select("feature", "x", average_rank("size", ["feature"]).alias("r"), F.count("*").over(Window.partitionBy("feature", "size")).alias("same"))
+    rows = ranks.groupBy("feature").agg(F.sum(F.when(F.col("x") > 0, F.col("r")).otherwise(0.0)).alias("w"), F.count("*").alias("n"), F.sum(F.col("same") * F.col("same") - 1).cast("double").alias("ties"))
+    most = F.greatest("w", F.col("n") * (F.col("n") + 1) / 2 - F.col("w"))
+    exact = special.exact_tail(most, F.col("n"), {n: special.signed_rank_sums(n) for n in range(1, EXACT_SIGNS + 1)})
+    spread = F.sqrt((F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) - F.col("ties") / 2) / 24.0)
+    p = F.when(F.col("ties") == 0, F.coalesce(exact, special.normal_two_sided(F.try_divide(most - F.col("n") * (F.col("n") + 1) / 4, spread)))).otherwise(special.normal_two_sided(F.try_divide(most - F.col("n") * (F.col("n") + 1) / 4, spread)))
+    return rows.select("feature", "w", p.alias("p"))
+
+
+def differential(cells: DataFrame, alpha: float = 0.05, threshold: float = 1.0, least: int = 3) -> DataFrame:
+    """The differential table of ``feature, sample, grp, v``: means, fold change, Welch's and the rank test, effect size, AUC, adjusted values and what follows.
+
+    Features with fewer than ``least`` values in a group are left out.
+    """
+    pick = lambda g: F.when(F.col("grp") == g, F.col("v"))
+    means = cells.groupBy("feature").agg(F.avg(pick("control")).alias("mean_control"), F.avg(pick("case")).alias("mean_case"))
+    ranked = rank_test(cells)
+    rows = group_tests(cells).filter((F.col("n1") >= least) & (F.col("n0") >= least)).join(means, "feature").join(ranked, "feature")
+    share = F.try_divide(F.col("u"), F.col("n1") * F.col("n0"))
+    p = special.t_two_sided(F.col("welch_t"), F.col("df"))
+    rows = rows.select(
+        "feature", "mean_control", "mean_case", "log2fc", F.try_divide("mean_case", "mean_control").alias("fold_change"), p.alias("p_param"), "p_nonparam", "cohens_d",
+        F.greatest(share, 1 - share).alias("auc"), F.col("n0").alias("n_control"), F.col("n1").alias("n_case"),
+    ).withColumn("p_value", F.coalesce("p_param", "p_nonparam"))
+    rows = benjamini_hochberg(benjamini_hochberg(rows, "p_value", "q_value"), "p_nonparam", "q_nonparam")
+    significant = F.coalesce(F.col("q_value") < alpha, F.lit(False))
+    up = F.when(significant & (F.col("log2fc") > 0), "up").when(significant & (F.col("log2fc") < 0), "down").otherwise("ns")
+    return rows.withColumns({"neg_log10_p": -F.log10(F.greatest("p_value", F.lit(1e-300))), "significant": significant, "regulation": up, "candidate_biomarker": significant & F.coalesce(F.abs("log2fc") >= threshold, F.lit(False))})
+
+
+def summarise(table: DataFrame, top: int = 10) -> DataFrame:
+    """One row: numbers tested, significant, up, down and of candidates, and the first names up and down by (q, p)."""
+    names = lambda side: F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("regulation") == side, F.struct("q_value", "p_value", "feature")))), 1, top), lambda x: x.feature), "; ")
+    side = lambda x: F.count_if(F.col("regulation") == x)
+    return table.agg(F.count("*").alias("n_tested"), F.count_if("significant").alias("n_significant"), side("up").alias("n_up"), side("down").alias("n_down"), F.count_if("candidate_biomarker").alias("n_candidate_biomarkers"), names("up").alias("top_up"), names("down").alias("top_down"))
 
 
 def hypergeometric_tail(hits: str, size: str, drawn: str, total: str) -> Column:

@@ -64,3 +64,13 @@ def average_rank(value: str, group: list[str], descending: bool = False) -> Colu
     """Ranks within a group, ties at their average."""
     order = F.desc(value) if descending else F.asc(value)
     return F.rank().over(Window.partitionBy(*group).orderBy(order)) + (F.count("*").over(Window.partitionBy(*group, value)) - 1) / 2.0
+
+
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation of a group; null where either is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+
+def share(part: Column, whole: Column) -> Column:
+    """A quotient that is null where the whole is 0."""
+    return F.try_divide(part, whole)

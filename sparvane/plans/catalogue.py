@@ -18,8 +18,8 @@ PHRASES = [
     "Normalization with TMM and scaling to unit variance.", "DESeq2 and edgeR give differential expression of 12 genes.", "FDR below 0.05 after Benjamini-Hochberg, p-value 0.01.",
     "The fold change and log2FC are in the table | - | - |.", "KEGG pathway analysis and GSEA find an immune mechanism.", "One limitation is uncertainty of annotation.",
     "Genes: gene, gene, gene, gene, gene, gene in a pathway.", "See ```code``` and ![plot](a.png).", "Wilcoxon and t-test, ANOVA.", "RNA-seq reads were aligned by STAR and counted by salmon.",
-    "Imputation of missing counts; preprocessing by trimming.", "Cell cycle and signaling are plausible.", "Consistent across runs.", "Batch correction with ComBat.",
-    "Significant DEGs were annotated, level 2.", "Heatmap and volcano plot.", "Exploratory, preliminary and not conclusive.", "Nothing to report.",
+    "Imputation of missing counts; preprocessing by trimming.", "Cell cycle and signaling are plausible.", "Consistent across runs: LC-MS/MS with DIA, label-free, pooled QC samples.", "Batch correction with ComBat.",
+    "Significant DEGs were annotated, level 2.", "Heatmap and volcano plot.", "Exploratory, preliminary and not conclusive: lipid and amino acid metabolites, kinase and phosphorylation.", "Untargeted metabolomics: metabolite, metabolite, metabolite, metabolites, metabolites, metabolite; protein, protein, proteins, protein, proteins, protein.",
 ]
 
 
@@ -50,12 +50,14 @@ CORPUS = f"""corpus AS (SELECT source AS agent, CAST(1 + (doc_id // 20) % 8 AS I
 ascii AS (SELECT *, regexp_replace(text, '[\\x{{80}}-\\x{{10FFFF}}]', 'x', 'g') AS t FROM corpus)"""
 
 
-def features(spark: SparkSession, sf: str) -> DataFrame:
-    rows = corpus(spark, sf).withColumn("low", F.lower("text"))
+def features(spark: SparkSession, sf: str, lexicons: tuple = L.ALL, entity: str = "gene") -> DataFrame:
+    """Per file the structural counts, the terms of all families, and how often entities and pathways are named."""
+    rows = corpus(spark, sf)
     columns = L.structure(F.col("text"))
-    for lexicon in L.ALL:
-        columns |= lexicon.counts(F.col("text"), F.col("low"))
-    return rows.select("agent", "run", "file_id", *(c.alias(n) for n, c in columns.items()))
+    for lexicon in lexicons:
+        columns |= lexicon.counts(F.col("text"))
+    counted = rows.select("agent", "run", "file_id", *(c.alias(n) for n, c in columns.items()))
+    return counted.withColumns({f"n_{entity}_mentions": F.col(f"bio_{entity}"), "n_pathway_mentions": F.col("bio_pathway")})
 
 
 def _hits(name: str) -> str:
@@ -69,9 +71,33 @@ _STRUCT_SQL = {
 }
 _TERM_SQL = {f"{x.family}_{t}": x.sql(t, "t") for x in L.ALL for t in x.terms}
 STRUCT = list(_STRUCT_SQL)
-FEATURES = CORPUS + ", features AS (SELECT agent, run, file_id, " + ", ".join(f'CAST({q} AS BIGINT) AS "{n}"' for n, q in (_STRUCT_SQL | _TERM_SQL).items()) + " FROM ascii)"
-RUNS = FEATURES + ", runs AS (SELECT agent, run, count(*) AS n_files, " + ", ".join(f'CAST(sum("{n}") AS BIGINT) AS "{n}"' for n in _STRUCT_SQL | _TERM_SQL) + " FROM features GROUP BY ALL)"
-PARTS = RUNS + ", parts AS (SELECT agent, run, " + ", ".join(f"{S.component_sql(x)} AS {c}" for c, x in (S.PROCESS | S.RESULT | S.DEPTH).items()) + " FROM runs)"
+
+
+def runs_sql(terms: dict[str, str], entity: str = "gene") -> str:
+    """CTEs up to ``runs``: all counts of files summed by run."""
+    files = ", ".join(f'CAST({q} AS BIGINT) AS "{n}"' for n, q in (_STRUCT_SQL | terms).items())
+    sums = ", ".join(f'CAST(sum("{n}") AS BIGINT) AS "{n}"' for n in _STRUCT_SQL | terms)
+    names = f'CAST(sum("bio_{entity}") AS BIGINT) AS n_{entity}_mentions, CAST(sum(bio_pathway) AS BIGINT) AS n_pathway_mentions'
+    return f"{CORPUS}, features AS (SELECT agent, run, file_id, {files} FROM ascii), runs AS (SELECT agent, run, count(*) AS n_files, {sums}, {names} FROM features GROUP BY ALL)"
+
+
+def known_features(terms: dict[str, str], entity: str = "gene") -> set[str]:
+    return {*_STRUCT_SQL, *terms, f"n_{entity}_mentions", "n_pathway_mentions"}
+
+
+def parts_sql(terms: dict[str, str], scheme: S.Scheme) -> str:
+    known = known_features(terms, scheme.entity)
+    return ", parts AS (SELECT agent, run, " + ", ".join(f"{S.component_sql(x, known)} AS {c}" for c, x in scheme.components.items()) + " FROM runs)"
+
+
+def graded_sql(terms: dict[str, str], scheme: S.Scheme) -> str:
+    known = known_features(terms, scheme.entity)
+    grades = ", ".join(f"{S.grade_sql(r, known)} AS {c}" for c, r in scheme.rubric.items())
+    return f", graded0 AS (SELECT agent, run, {grades} FROM runs), graded AS (SELECT *, round_even(CAST({' + '.join(scheme.rubric)} AS DOUBLE) * 100 / 32, 2) AS DomainScore FROM graded0)"
+
+
+RUNS = runs_sql(_TERM_SQL)
+PARTS = RUNS + parts_sql(_TERM_SQL, S.TRANSCRIPTS)
 
 
 def _mean_sql(group: dict, without: tuple = ()) -> str:
@@ -79,23 +105,23 @@ def _mean_sql(group: dict, without: tuple = ()) -> str:
     return f"round_even(CAST({' + '.join(names)} AS DOUBLE) / {len(names)} * 100, 2)"
 
 
-def _scores_sql(name: str, without: tuple = ()) -> str:
+def scores_sql(name: str, without: tuple = (), scheme: S.Scheme = S.TRANSCRIPTS) -> str:
     return f""", {name} AS (SELECT *, P * (0.50::DOUBLE + 0.30::DOUBLE * D / 100 + 0.20::DOUBLE * R / 100) AS AgentScore FROM (
-  SELECT agent, run, {_mean_sql(S.RESULT, without)} AS R, {_mean_sql(S.PROCESS, without)} AS P, {_mean_sql(S.DEPTH, without)} AS D FROM parts))"""
+  SELECT agent, run, {_mean_sql(scheme.result, without)} AS R, {_mean_sql(scheme.process, without)} AS P, {_mean_sql(scheme.depth, without)} AS D FROM parts))"""
 
 
-SCORES = PARTS + _scores_sql("scores")
-GRADED = RUNS + ", graded0 AS (SELECT agent, run, " + ", ".join(f"{S.grade_sql(r)} AS {c}" for c, r in S.RUBRIC.items()) + " FROM runs), graded AS (SELECT *, round_even(CAST(" + " + ".join(S.RUBRIC) + " AS DOUBLE) * 100 / 32, 2) AS DomainScore FROM graded0)"
+SCORES = PARTS + scores_sql("scores")
+GRADED = RUNS + graded_sql(_TERM_SQL, S.TRANSCRIPTS)
 
 
-def _summary_sql(source: str, value: str) -> str:
+def summary_sql(source: str, value: str) -> str:
     return f"""SELECT agent, mean, sd, n_runs, sd / sqrt(n_runs) AS sem,
   CAST(floor(rank() OVER (ORDER BY mean DESC) + (count(*) OVER (PARTITION BY mean) - 1) / 2.0) AS BIGINT) AS rank
 FROM (SELECT agent, round_even(avg({value}), 6) AS mean, coalesce(stddev_samp({value}), 0) AS sd, count(*) AS n_runs FROM {source} GROUP BY agent)"""
 
 
-def run_features_frame(spark: SparkSession, sf: str) -> DataFrame:
-    files = features(spark, sf)
+def run_features_frame(spark: SparkSession, sf: str, lexicons: tuple = L.ALL, entity: str = "gene") -> DataFrame:
+    files = features(spark, sf, lexicons, entity)
     return files.groupBy("agent", "run").agg(F.count("*").alias("n_files"), *(F.sum(c).alias(c) for c in files.columns[3:]))
 
 
@@ -118,9 +144,9 @@ def agent_features(spark, sf):
     return run_features_frame(spark, sf).groupBy("agent").agg(*(F.bround(F.avg(n), 6).alias(f"mean_{n}") for n in STRUCT))
 
 
-@query(f"WITH {PARTS} SELECT * FROM parts")
+@query(f"WITH {PARTS} SELECT *, P_subtotal + R_subtotal + D_subtotal AS total FROM (SELECT *, {' + '.join(S.PROCESS)} AS P_subtotal, {' + '.join(S.RESULT)} AS R_subtotal, {' + '.join(S.DEPTH)} AS D_subtotal FROM parts)")
 def proxy_components(spark, sf):
-    return S.components(run_features_frame(spark, sf))
+    return S.decomposition(S.components(run_features_frame(spark, sf)))
 
 
 @query(f"WITH {SCORES} SELECT agent, run, R, P, D, round_even(AgentScore, 6) AS AgentScore FROM scores")
@@ -128,7 +154,7 @@ def run_scores(spark, sf):
     return scores_frame(spark, sf).withColumn("AgentScore", F.bround("AgentScore", 6))
 
 
-@query(f"WITH {PARTS}{_scores_sql('less', S.VOLUME)} SELECT agent, run, R, P, D, round_even(AgentScore, 6) AS AgentScore FROM less")
+@query(f"WITH {PARTS}{scores_sql('less', S.VOLUME)} SELECT agent, run, R, P, D, round_even(AgentScore, 6) AS AgentScore FROM less")
 def scores_without_volume(spark, sf):
     return S.run_scores(S.components(run_features_frame(spark, sf)), S.VOLUME).withColumn("AgentScore", F.bround("AgentScore", 6))
 
@@ -138,12 +164,12 @@ def domain_rubric(spark, sf):
     return S.rubric(run_features_frame(spark, sf))
 
 
-@query(f"WITH {GRADED} {_summary_sql('graded', 'DomainScore')}")
+@query(f"WITH {GRADED} {summary_sql('graded', 'DomainScore')}")
 def domain_summary(spark, sf):
     return S.summary(S.rubric(run_features_frame(spark, sf)), "DomainScore")
 
 
-@query(f"WITH {SCORES} {_summary_sql('scores', 'AgentScore')}")
+@query(f"WITH {SCORES} {summary_sql('scores', 'AgentScore')}")
 def agent_ranking(spark, sf):
     return S.summary(scores_frame(spark, sf), "AgentScore")
 
@@ -243,11 +269,11 @@ def volume_metrics(spark, sf):
     return per.withColumn("artifact_diversity", F.bround(F.when(used > 1, entropy / F.log(used)).otherwise(0.0), 4))
 
 
-@query("""WITH r AS (SELECT source AS agent, 1 + (doc_id // 20) % 8 AS run FROM documents WHERE doc_id % 7 <> 3 GROUP BY ALL)
+@query("""WITH r AS (SELECT source AS agent, 1 + (doc_id // 20) % 8 AS run FROM documents GROUP BY ALL)
 SELECT agent, count(*) AS runs_detected, array_to_string(list_sort(list_filter([1,2,3,4,5,6,7,8], lambda x: NOT list_contains(list(run), x))), ',') AS missing_runs,
   CASE WHEN count(*) = 8 THEN 'complete' ELSE 'incomplete' END AS status FROM r GROUP BY agent""")
 def design_validation(spark, sf):
-    rows = table(spark, sf, "documents").filter("doc_id % 7 <> 3").select(F.col("source").alias("agent"), (1 + F.floor(F.col("doc_id") / 20) % 8).cast("int").alias("run")).distinct()
+    rows = table(spark, sf, "documents").select(F.col("source").alias("agent"), (1 + F.floor(F.col("doc_id") / 20) % 8).cast("int").alias("run")).distinct()
     missing = F.array_except(F.sequence(F.lit(1), F.lit(8)), F.collect_set("run"))
     return rows.groupBy("agent").agg(F.count("*").alias("runs_detected"), F.array_join(missing.cast("array<string>"), ",").alias("missing_runs"), F.when(F.count("*") == 8, "complete").otherwise("incomplete").alias("status"))
 
@@ -259,21 +285,6 @@ def transcripts(spark, sf):
     return rows.select("conv_id", "turns", F.md5(F.array_join(F.transform("lines", lambda x: x.line), "\n\n")).alias("transcript_md5"))
 
 
-PATHS = "split_part(url, '://', 2)"
-
-
-@query(f"""SELECT page_id, CASE WHEN lower({PATHS}) LIKE '%k-dense%' OR lower({PATHS}) LIKE '%kdense%' THEN 'KDense' WHEN lower({PATHS}) LIKE '%biomni%' THEN 'Biomni' ELSE split_part({PATHS}, '/', 1) END AS agent,
-  TRY_CAST(coalesce(nullif(regexp_extract(lower({PATHS}), 'run[_\\-\\s]*(\\d+)', 1), ''), nullif(regexp_extract(lower({PATHS}), 'r(\\d+)', 1), ''), nullif(regexp_extract({PATHS}, '(\\d+)', 1), '')) AS INTEGER) AS run,
-  CASE WHEN regexp_matches(lower(url), '\\.(png|jpg|jpeg|svg)$') THEN 'image' WHEN regexp_matches(lower(url), '\\.(csv|tsv|xlsx|xls)$') THEN 'table' WHEN regexp_matches(lower(url), '\\.(pdf|docx|html)$') THEN 'document'
-  WHEN regexp_matches(lower(url), '\\.(py|r|ipynb)$') THEN 'code' WHEN regexp_matches(lower(url), '\\.(txt|md|log)$') THEN 'text' ELSE 'other' END AS file_type
-FROM pages WHERE NOT regexp_matches(lower(url), '(thumbs\\.db|\\.ds_store|desktop\\.ini)$|__macosx')""")
-def path_columns(spark, sf):
-    from sparvane.sources.paths import agent_of, file_type_of, ignored, run_of
-
-    rows = table(spark, sf, "pages").withColumn("path", F.element_at(F.split("url", "://"), 2))
-    return rows.filter(~ignored(F.col("url"))).select("page_id", agent_of(F.col("path")).alias("agent"), run_of(F.col("path")).alias("run"), file_type_of(F.col("url")).alias("file_type"))
-
-
 # Vectors: labels are agents, vec_id mod 8 is the run.
 VEC = """cent AS (SELECT label AS agent, d, avg(x) AS x FROM (SELECT label, unnest(generate_series(1, 64)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY ALL),
 runv AS (SELECT label AS agent, vec_id % 8 AS run, d, avg(x) AS x FROM (SELECT label, vec_id, unnest(generate_series(1, 64)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY ALL),

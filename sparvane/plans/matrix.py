@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparvane.functions import special
 from sparvane.operators import matrix as M
+from sparvane.operators import names as N
 from sparvane.operators import stats as T
 from sparvane.plans.catalogue import query, table
 
@@ -87,7 +89,8 @@ SELECT feature, round_even(CAST(greatest(a, 1 - a) AS DOUBLE), 6) AS auc FROM a"
 def feature_auc(spark, sf):
     rows = M.normalise(imputed(spark, sf), "pqn").select("feature", "grp", T.average_rank("v", ["feature"]).alias("r"))
     n1, n0 = F.count_if(F.col("grp") == "case"), F.count_if(F.col("grp") == "control")
-    a = (F.sum(F.when(F.col("grp") == "case", F.col("r"))) - n1 * (n1 + 1) / 2.0) / (n1 * n0)
+    a = (F.sum(F.when(F.col("grp") == "case", F.col("r"))) - n1 * (n1 + 1) / 2.0)
+    a = F.try_divide(a, n1 * n0)
     return rows.groupBy("feature").agg(F.bround(F.greatest(a, 1 - a), 6).alias("auc"))
 
 
@@ -101,25 +104,104 @@ def benjamini_hochberg(spark, sf):
     return T.benjamini_hochberg(p).select("feature", "p", F.bround("q", 9).alias("q"))
 
 
-@query(f"""WITH {TESTS} SELECT feature, CASE WHEN log2fc > 0 THEN 'up' WHEN log2fc < 0 THEN 'down' ELSE 'ns' END AS regulation, abs(log2fc) >= 0.005 AND abs((m1 - m0) / sqrt(v1 / n1 + v0 / n0)) > 0.5 AS candidate FROM st""")
-def regulation_flags(spark, sf):
-    rows = tests(spark, sf)
-    return rows.select("feature", F.when(F.col("log2fc") > 0, "up").when(F.col("log2fc") < 0, "down").otherwise("ns").alias("regulation"), ((F.abs("log2fc") >= 0.005) & (F.abs("welch_t") > 0.5)).alias("candidate"))
+def bh_sql(source: str, p: str, q: str) -> str:
+    """Query that adds step-up values of p to a table; null p stay null."""
+    return f"""SELECT * EXCLUDE (i, m, a), CASE WHEN {p} IS NOT NULL THEN least(1.0, min(a) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) END AS {q}
+  FROM (SELECT *, {p} * m / i AS a FROM (SELECT *, row_number() OVER (ORDER BY {p} NULLS LAST, feature) AS i, count({p}) OVER () AS m FROM {source}))"""
+
+
+WELCH, WELCH_DF = "((m1 - m0) / sqrt(v1 / n1 + v0 / n0))", "((v1 / n1 + v0 / n0) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v0 / n0) ** 2 / (n0 - 1)))"
+# All groups have four samples: U's exact distribution by the 70 ways to choose four of eight ranks.
+RANKED = TESTS + """, rk AS (SELECT feature, grp, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS r FROM lg),
+ways AS (SELECT list_sum(list_transform(generate_series(0, 7), lambda i: ((m >> i) & 1) * (i + 1))) - 10 AS u FROM (SELECT unnest(generate_series(0, 255)) AS m) WHERE bit_count(m) = 4),
+mw AS (SELECT feature, CAST(sum(r) FILTER (grp = 'case') - 10 AS DOUBLE) AS u FROM rk GROUP BY feature),
+np AS (SELECT feature, mw.u, least(1.0, 2 * count_if(ways.u >= greatest(mw.u, 16 - mw.u)) / 70.0::DOUBLE) AS p_nonparam FROM mw, ways GROUP BY feature, mw.u)"""
+DIFF = RANKED + f""", d0 AS (SELECT st.feature, mc AS mean_control, mk AS mean_case, log2fc, mk / mc AS fold_change, {special.t_two_sided_sql(WELCH, WELCH_DF)} AS p_param, p_nonparam,
+ (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)) AS cohens_d, greatest(u / 16, 1 - u / 16) AS auc, n0 AS n_control, n1 AS n_case
+ FROM st JOIN np ON st.feature = np.feature JOIN (SELECT feature, avg(v) FILTER (grp = 'control') AS mc, avg(v) FILTER (grp = 'case') AS mk FROM lg GROUP BY feature) x ON x.feature = st.feature WHERE n1 >= 3 AND n0 >= 3),
+d1 AS (SELECT *, coalesce(p_param, p_nonparam) AS p_value FROM d0), d2 AS ({bh_sql("d1", "p_value", "q_value")}), d3 AS ({bh_sql("d2", "p_nonparam", "q_nonparam")}),
+diff AS (SELECT *, -log10(greatest(p_value, 1e-300)) AS neg_log10_p, q_value < ALPHA AS significant,
+ CASE WHEN q_value < ALPHA AND log2fc > 0 THEN 'up' WHEN q_value < ALPHA AND log2fc < 0 THEN 'down' ELSE 'ns' END AS regulation, q_value < ALPHA AND abs(log2fc) >= LEAST_CHANGE AS candidate_biomarker FROM d3)"""
+_ROUND = {"mean_control": 3, "mean_case": 3, "log2fc": 6, "fold_change": 6, "p_param": 6, "p_nonparam": 6, "cohens_d": 5, "auc": 6, "p_value": 6, "q_value": 6, "q_nonparam": 6, "neg_log10_p": 5}
+_DIFF_COLUMNS = ", ".join(["feature", *(f"round_even({c}, {n}) AS {c}" for c, n in _ROUND.items()), "n_control", "n_case", "significant", "regulation", "candidate_biomarker"])
+
 
+def diff_sql(alpha: float = 0.05, change: float = 1.0) -> str:
+    return DIFF.replace("ALPHA", str(alpha)).replace("LEAST_CHANGE", str(change))
 
-@query(None)
+
+def differential_frame(spark: SparkSession, sf: str, **limits: float) -> DataFrame:
+    return M.differential(M.normalise(imputed(spark, sf), "pqn"), **limits)
+
+
+@query(f"WITH {diff_sql()} SELECT {_DIFF_COLUMNS} FROM diff ORDER BY q_value, p_value")
 def differential_abundance(spark, sf):
-    """Welch's t, its p-value and the step-up q-value per feature (no SQL twin: the t distribution; see the tests)."""
-    rows = tests(spark, sf).withColumn("p", M.two_sided_p(F.col("welch_t"), F.col("df")))
-    return T.benjamini_hochberg(rows.select("feature", "log2fc", "welch_t", "df", "p"))
+    """The whole differential table at the reference's limits, sorted by q, then p."""
+    rows = differential_frame(spark, sf)
+    return rows.orderBy(F.asc_nulls_last("q_value"), F.asc_nulls_last("p_value")).withColumns({c: F.bround(c, n) for c, n in _ROUND.items()})
+
+
+@query(f"WITH {diff_sql(0.99, 0.001)} SELECT feature, significant, regulation, candidate_biomarker FROM diff")
+def regulation_flags(spark, sf):
+    """Regulation and candidates at limits wide enough to mark some of these features."""
+    return differential_frame(spark, sf, alpha=0.99, threshold=0.001).select("feature", "significant", "regulation", "candidate_biomarker")
+
+
+@query(f"""WITH {diff_sql(0.99, 0.001)}, top AS (SELECT regulation, feature, row_number() OVER (PARTITION BY regulation ORDER BY q_value, p_value, feature) AS r FROM diff)
+SELECT count(*) AS n_tested, count_if(significant) AS n_significant, count_if(regulation = 'up') AS n_up, count_if(regulation = 'down') AS n_down, count_if(candidate_biomarker) AS n_candidate_biomarkers,
+ coalesce((SELECT string_agg(feature, '; ' ORDER BY r) FROM top WHERE regulation = 'up' AND r <= 10), '') AS top_up, coalesce((SELECT string_agg(feature, '; ' ORDER BY r) FROM top WHERE regulation = 'down' AND r <= 10), '') AS top_down FROM diff""")
+def differential_summary(spark, sf):
+    return M.summarise(differential_frame(spark, sf, alpha=0.99, threshold=0.001))
+
+
+# Nearest-sample imputation of the features that pass the filter.
+KNN = QC + """, width AS (SELECT count(DISTINCT feature) AS w FROM kept), known AS (SELECT feature, sample, v FROM kept WHERE v IS NOT NULL),
+far AS (SELECT a.sample, b.sample AS donor, sum((a.v - b.v) * (a.v - b.v)) * any_value(w) / count(*) AS far FROM known a JOIN known b ON a.feature = b.feature AND a.sample <> b.sample, width GROUP BY ALL),
+cand AS (SELECT m.feature, m.sample, k.v, row_number() OVER (PARTITION BY m.feature, m.sample ORDER BY far, far.donor) AS r FROM kept m JOIN far ON far.sample = m.sample JOIN known k ON k.sample = far.donor AND k.feature = m.feature WHERE m.v IS NULL),
+fill AS (SELECT feature, sample, avg(v) AS f FROM cand WHERE r <= 5 GROUP BY ALL)"""
+
+
+@query(f"WITH {KNN} SELECT kept.feature, kept.sample, round_even(coalesce(v, f), 5) AS v FROM kept LEFT JOIN fill ON kept.feature = fill.feature AND kept.sample = fill.sample")
+def knn_impute(spark, sf):
+    return M.impute(M.quality_filter(raw(spark, sf)), "knn").select("feature", "sample", F.bround("v", 5).alias("v"))
+
+
+@query(f"""WITH {QC}, n AS (SELECT count(*) AS a, count_if(missing < 1) AS b, count_if(missing < 1 AND missing <= 0.5) AS c, count_if(missing <= 0.5 AND missing < 1 AND coalesce(cv, 0) <= 0.30) AS d FROM qc)
+SELECT CAST(unnest(generate_series(1, 7)) AS INTEGER) AS step, unnest([printf('Removed %d all-missing features (%d -> %d).', a - b, a, b), printf('Removed %d features with >50%% missingness (-> %d).', b - c, c),
+ printf('Removed %d features with QC CV>30%% (-> %d).', c - d, d), 'Imputed missing values with ''half_min''.', 'Sample normalization: ''pqn''.', 'Transform: ''log2''.', 'Scaling (multivariate only): ''pareto''.']) AS text FROM n""")
+def preprocess_steps(spark, sf):
+    return M.preprocess(raw(spark, sf))[2]
+
+
+@query(f"WITH {QC} SELECT kept.feature, round_even(any_value(cv), 6) AS qc_cv, round_even(avg(CASE WHEN v IS NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS missing_frac, round_even(avg(v), 4) AS mean_intensity FROM kept JOIN qc ON kept.feature = qc.feature GROUP BY kept.feature")
+def feature_quality(spark, sf):
+    return M.preprocess(raw(spark, sf))[1].select("feature", F.bround("qc_cv", 6).alias("qc_cv"), F.bround("missing_frac", 6).alias("missing_frac"), F.bround("mean_intensity", 4).alias("mean_intensity"))
+
+
+# Quality controls among the biological samples' scale: neither normalised nor scaled by their own spread.
+@query(f"""WITH {TESTS}, sd AS (SELECT feature, avg(l) AS m, nullif(stddev_samp(l), 0) AS s FROM lg GROUP BY feature), q AS (SELECT feature, sample, coalesce(v, min(v) OVER (PARTITION BY feature), 0) AS v FROM raw WHERE grp = 'qc')
+SELECT q.feature, q.sample, round_even(coalesce((log2(greatest(v, 0) + 1) - m) / sqrt(s), 0), 5) AS v FROM q JOIN sd ON q.feature = sd.feature""")
+def qc_projection(spark, sf):
+    logged = M.normalise(imputed(spark, sf), "pqn").withColumn("v", M.log("v", "log2"))
+    return M.scale_like(raw(spark, sf).filter("grp = 'qc'"), logged, "pareto").select("feature", "sample", F.bround("v", 5).alias("v"))
+
+
+@query(f"""WITH {TESTS}, sc AS (SELECT feature, sample, coalesce((l - avg(l) OVER w) / nullif(sqrt(stddev_samp(l) OVER w), 0), 0) AS v FROM lg WINDOW w AS (PARTITION BY feature)),
+z AS (SELECT feature, sample, (v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0) AS z FROM sc WINDOW w AS (PARTITION BY feature)) SELECT sample, count(*) AS n, round_even(sum(z), 5) AS total, md5(string_agg(feature, ',' ORDER BY feature)) AS features_md5 FROM z GROUP BY sample""")
+def sample_rows(spark, sf):
+    """The matrix turned: per sample its features with their row z-scores."""
+    scaled = M.scale(M.normalise(imputed(spark, sf), "pqn").withColumn("v", M.log("v", "log2")), "pareto")
+    w = Window.partitionBy("feature")
+    z = scaled.withColumn("z", F.try_divide(F.col("v") - F.avg("v").over(w), F.stddev_samp("v").over(w)))
+    return z.groupBy("sample").agg(F.count("*").alias("n"), F.bround(F.sum("z"), 5).alias("total"), F.md5(F.array_join(F.array_sort(F.collect_list("feature")), ",")).alias("features_md5"))
 
 
 # Pathways are part types, metabolites are brands; hits are brands of even number.
-PATH = "mem AS (SELECT DISTINCT p_type AS pathway, p_brand AS metabolite FROM part WHERE p_size % 3 = 0 OR ascii(p_type) % 2 = 0), hit AS (SELECT DISTINCT metabolite FROM mem WHERE TRY_CAST(regexp_extract(metabolite, '(\\d+)', 1) AS INTEGER) % 2 = 0)"
+PATH = "mem AS (SELECT DISTINCT p_type AS pathway, p_brand AS metabolite FROM part), hit AS (SELECT DISTINCT metabolite FROM mem WHERE TRY_CAST(regexp_extract(metabolite, '(\\d+)', 1) AS INTEGER) % 2 = 0)"
 
 
 def members(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").filter((F.col("p_size") % 3 == 0) | (F.ascii("p_type") % 2 == 0)).select(F.col("p_type").alias("pathway"), F.col("p_brand").alias("metabolite")).distinct()
+    return table(spark, sf, "part").select(F.col("p_type").alias("pathway"), F.col("p_brand").alias("metabolite")).distinct()
 
 
 @query(f"""WITH {PATH}, t AS (SELECT count(DISTINCT metabolite) AS n_background FROM mem), s AS (SELECT count(*) AS n_significant FROM hit)
@@ -148,3 +230,36 @@ def unique_names(spark, sf):
     number = F.row_number().over(Window.partitionBy("p_name").orderBy("p_partkey")) - 1
     return table(spark, sf, "part").select("p_partkey", F.when(number == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit("#"), number)).alias("name"))
 
+
+# A knowledge base and names that meet every rule of the mapping.
+KNOWN = [("Glycine, serine and threonine metabolism", "L-Serine"), ("Glycine, serine and threonine metabolism", "Glycine"), ("Taurine metabolism", "Taurine"), ("Carnitine shuttle", "Carnitine"), ("Carnitine shuttle", "Acetylcarnitine"), ("Purine metabolism", "Hypoxanthine"), ("Purine metabolism", "Uric acid"), ("TCA cycle", "Citrate"), ("Short", "Urea")]
+NAMES = ["L-Serine", "serine", "D-Serine", "DL-Serine_(principal)", "Glycine (qualifier)", "taurine#1", "Carnitine-d3", "octanoylcarnitine", "PC(34:1)", "SM 18:0", "Ceramide d18:1", "LysoPC 16:0", "Hypoxanthine pool", "uric  acid", "acid", "citr", "urea", "x-urea", "unknown", "  TAURINE ", "CL(72:8) with ceramide"]
+
+
+def _rows_sql(rows: list, *columns: str) -> str:
+    quoted = ", ".join("(" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in (r if isinstance(r, tuple) else (r,))) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {quoted}) t({', '.join(columns)})"
+
+
+def _form_sql(column: str) -> str:
+    out = f"lower(trim({column}))"
+    for pattern, new in N.STEPS:
+        out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
+    return f"trim({out})"
+
+
+_LIPID_SQL = " UNION ALL ".join(f"SELECT name, '{p}' AS pathway FROM f WHERE " + " OR ".join(f"contains(form, '{x}')" for x in parts) for p, parts in N.LIPIDS.items())
+MAPPED = f"""kb AS ({_rows_sql(KNOWN, 'pathway', 'metabolite')}), nm AS ({_rows_sql(NAMES, 'name')}), f AS (SELECT name, {_form_sql('name')} AS form FROM nm),
+k0 AS (SELECT pathway, {_form_sql('metabolite')} AS key FROM kb), k AS (SELECT DISTINCT pathway, key FROM (SELECT * FROM k0 UNION ALL SELECT pathway, regexp_replace(key, '^[ld]-', '') FROM k0)),
+lip AS ({_LIPID_SQL}), eq AS (SELECT DISTINCT name, pathway FROM f JOIN k ON key = form OR key = regexp_replace(form, '^[ld]-', '')), sub AS (SELECT DISTINCT name, pathway FROM f JOIN k ON length(key) >= 5 AND (contains(form, key) OR contains(key, form))),
+maps AS (SELECT * FROM lip UNION ALL SELECT * FROM eq WHERE name NOT IN (SELECT name FROM lip) UNION ALL SELECT * FROM sub WHERE name NOT IN (SELECT name FROM lip) AND name NOT IN (SELECT name FROM eq))"""
+
+
+@query(f"WITH {MAPPED} SELECT nm.name, count(pathway) AS n_pathways, coalesce(string_agg(pathway, '; ' ORDER BY pathway), '') AS pathways, count(pathway) > 0 AS mapped FROM nm LEFT JOIN maps ON nm.name = maps.name GROUP BY nm.name")
+def metabolite_annotation(spark, sf):
+    return N.annotate(spark.createDataFrame([(n,) for n in NAMES], "name string"), spark.createDataFrame(KNOWN, "pathway string, metabolite string"))
+
+
+@query(f"WITH {MAPPED} SELECT name, form FROM f")
+def name_forms(spark, sf):
+    return spark.createDataFrame([(n,) for n in NAMES], "name string").select("name", N.normal_form(F.col("name")).alias("form"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparvane.operators import stats as T
 from sparvane.plans.catalogue import query, table
 
-DRAWS = 400
+DRAWS = 10_000
 
 # Events stand for artifacts of 4 agents with 8 runs each.
 EV = """ev AS (SELECT 'agent' || event_id % 4 AS agent, CAST(1 + (event_id // 4) % 8 AS INTEGER) AS run, event_type, value FROM events),
@@ -87,27 +87,17 @@ def agent_error_stats(spark, sf):
 
 
 @query(f"""WITH {EV}, q AS (SELECT *, quantile_cont(score, 0.25) OVER w AS q1, quantile_cont(score, 0.75) OVER w AS q3, avg(score) OVER w AS m, stddev_samp(score) OVER w AS sd, count(*) OVER w AS c FROM sc WINDOW w AS (PARTITION BY agent)),
-f AS (SELECT agent, run, score, c >= 4 AND (score < q1 - 1.0 * (q3 - q1) OR score > q3 + 1.0 * (q3 - q1)) AS iqr, coalesce(abs((score - m) / nullif(sd, 0)) > 1.5, false) AS z FROM q)
+f AS (SELECT agent, run, score, c >= 4 AND (score < q1 - 1.5 * (q3 - q1) OR score > q3 + 1.5 * (q3 - q1)) AS iqr, coalesce(abs((score - m) / nullif(sd, 0)) > 2.5, false) AS z FROM q)
 SELECT agent, run, iqr OR z AS flagged, concat_ws('+', CASE WHEN iqr THEN 'IQR' END, CASE WHEN z THEN 'Z' END) AS reason FROM f""")
 def outlier_runs(spark, sf):
     runs = event_scores(spark, sf)
     stats = runs.groupBy("agent").agg(F.percentile("score", F.lit(0.25)).alias("q1"), F.percentile("score", F.lit(0.75)).alias("q3"), F.avg("score").alias("m"), F.stddev_samp("score").alias("sd"), F.count("*").alias("c"))
-    wide = F.col("q3") - F.col("q1")
+    wide = 1.5 * (F.col("q3") - F.col("q1"))
     rows = runs.join(stats, "agent").withColumn("iqr", (F.col("c") >= 4) & ((F.col("score") < F.col("q1") - wide) | (F.col("score") > F.col("q3") + wide)))
-    rows = rows.withColumn("z", F.coalesce(F.abs(F.try_divide(F.col("score") - F.col("m"), F.col("sd"))) > 1.5, F.lit(False)))
+    rows = rows.withColumn("z", F.coalesce(F.abs(F.try_divide(F.col("score") - F.col("m"), F.col("sd"))) > 2.5, F.lit(False)))
     return rows.select("agent", "run", (F.col("iqr") | F.col("z")).alias("flagged"), F.concat_ws("+", F.when(F.col("iqr"), "IQR"), F.when(F.col("z"), "Z")).alias("reason"))
 
 
-@query(f"""WITH {EV}, l AS (SELECT agent, run, score, unnest(['n', 'purchases', 'errors']) AS metric, unnest([n, purchases, errors]) AS x FROM sc),
-r AS (SELECT metric, rank() OVER (PARTITION BY metric ORDER BY score) + (count(*) OVER (PARTITION BY metric, score) - 1) / 2.0 AS rs, rank() OVER (PARTITION BY metric ORDER BY x) + (count(*) OVER (PARTITION BY metric, x) - 1) / 2.0 AS rx FROM l)
-SELECT metric, count(*) AS n, CASE WHEN count(DISTINCT rx) > 1 THEN round_even(corr(CAST(rs AS DOUBLE), CAST(rx AS DOUBLE)), 6) END AS rho FROM r GROUP BY metric""")
-def spearman_volume(spark, sf):
-    metrics = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in ("n", "purchases", "errors")))
-    rows = event_scores(spark, sf).select("score", F.inline(metrics))
-    rows = rows.select("metric", T.average_rank("score", ["metric"]).alias("rs"), T.average_rank("x", ["metric"]).alias("rx"))
-    return rows.groupBy("metric").agg(F.count("*").alias("n"), F.when(F.count_distinct("rx") > 1, F.bround(F.corr("rs", "rx"), 6)).alias("rho"))
-
-
 @query(f"""WITH {EV}, r AS (SELECT agent, run, rank() OVER (PARTITION BY agent ORDER BY score DESC) + (count(*) OVER (PARTITION BY agent, score) - 1) / 2.0 AS r FROM sc),
 t AS (SELECT run, sum(r) AS t FROM r GROUP BY run), k AS (SELECT count(DISTINCT agent) AS m, count(DISTINCT run) AS n FROM sc)
 SELECT round_even(CAST(12 * sum((t - mean) * (t - mean)) / (max(m) * max(m) * (max(n) * max(n) * max(n) - max(n))) AS DOUBLE), 6) AS kendall_w FROM (SELECT t, avg(t) OVER () AS mean FROM t), k""")
@@ -116,16 +106,16 @@ def kendall_w(spark, sf):
     totals = runs.select("run", T.average_rank("score", ["agent"], True).alias("r")).groupBy("run").agg(F.sum("r").alias("t"))
     sizes = runs.agg(F.count_distinct("agent").alias("m"), F.count_distinct("run").alias("n"))
     spread = totals.agg((F.var_pop("t") * F.count("*")).alias("s"))
-    return spread.crossJoin(sizes).select(F.bround(12 * F.col("s") / (F.col("m") * F.col("m") * (F.col("n") * F.col("n") * F.col("n") - F.col("n"))), 6).alias("kendall_w"))
+    return spread.crossJoin(sizes).select(F.bround(F.try_divide(12 * F.col("s"), F.col("m") * F.col("m") * (F.col("n") * F.col("n") * F.col("n") - F.col("n"))), 6).alias("kendall_w"))  # one row each
 
 
 @query(f"""WITH {EV}, i AS (SELECT sum(v) AS items, count(*) AS k FROM (SELECT agent, var_samp(score) AS v FROM sc GROUP BY agent)), t AS (SELECT var_samp(s) AS total FROM (SELECT run, sum(score) AS s FROM sc GROUP BY run))
-SELECT round_even(k / (k - 1.0) * (1 - items / total), 6) AS cronbach_alpha FROM i, t""")
+SELECT round_even(CASE WHEN k >= 3 THEN k / (k - 1.0) END * (1 - items / nullif(total, 0)), 6) AS cronbach_alpha FROM i, t""")
 def cronbach_alpha(spark, sf):
     runs = event_scores(spark, sf)
     items = runs.groupBy("agent").agg(F.var_samp("score").alias("v")).agg(F.sum("v").alias("items"), F.count("*").alias("k"))
     total = runs.groupBy("run").agg(F.sum("score").alias("s")).agg(F.var_samp("s").alias("total"))
-    return items.crossJoin(total).select(F.bround(F.col("k") / (F.col("k") - 1.0) * (1 - F.col("items") / F.col("total")), 6).alias("cronbach_alpha"))
+    return items.crossJoin(total).select(F.bround(F.when(F.col("k") >= 3, F.try_divide(F.col("k"), F.col("k") - 1.0)) * (1 - F.try_divide("items", "total")), 6).alias("cronbach_alpha"))  # one row each
 
 
 @query(f"WITH {EV} SELECT round_even(regr_slope(score, n), 6) AS slope, round_even(regr_intercept(score, n), 4) AS intercept, count(*) AS n_runs FROM sc")
@@ -133,34 +123,6 @@ def linear_fit(spark, sf):
     return event_scores(spark, sf).agg(F.bround(F.regr_slope("score", "n"), 6).alias("slope"), F.bround(F.regr_intercept("score", "n"), 4).alias("intercept"), F.count("*").alias("n_runs"))
 
 
-_DEFS = {"A": "score", "B": "purchases", "C": "-errors", "D": "score + purchases - errors"}
-SENS = EV + ", defs AS (" + " UNION ALL ".join(f"SELECT '{d}' AS definition, agent, round_even(avg(CAST({x} AS DOUBLE)), 6) AS mean FROM sc GROUP BY agent" for d, x in _DEFS.items()) + "), sens AS (SELECT definition, agent, mean, rank() OVER (PARTITION BY definition ORDER BY mean DESC) AS rank FROM defs)"
-
-
-def sensitivity(spark: SparkSession, sf: str) -> DataFrame:
-    values = F.array(*(F.struct(F.lit(d).alias("definition"), F.expr(f"cast({x} as double)").alias("v")) for d, x in _DEFS.items()))
-    means = event_scores(spark, sf).select("agent", F.inline(values)).groupBy("definition", "agent").agg(F.bround(F.avg("v"), 6).alias("mean"))
-    return means.withColumn("rank", F.rank().over(Window.partitionBy("definition").orderBy(F.desc("mean"))).cast("bigint"))
-
-
-@query(f"WITH {SENS} SELECT * FROM sens")
-def ranking_sensitivity(spark, sf):
-    return sensitivity(spark, sf)
-
-
-@query(f"WITH {SENS} SELECT agent, " + ", ".join(f"max(rank) FILTER (definition = '{d}') AS {d}" for d in _DEFS) + ", count(DISTINCT rank) > 1 AS changes FROM sens GROUP BY agent")
-def sensitivity_pivot(spark, sf):
-    wide = sensitivity(spark, sf).groupBy("agent").pivot("definition", list(_DEFS)).agg(F.first("rank"))
-    return wide.withColumn("changes", F.size(F.array_distinct(F.array(*_DEFS))) > 1)
-
-
-@query(f"""WITH {SENS}, w AS (SELECT definition, arg_min(agent, (rank, agent)) AS winner FROM sens GROUP BY definition)
-SELECT winner, count(*) AS wins, count(*) / 4.0::DOUBLE AS share FROM w GROUP BY winner""")
-def winner_share(spark, sf):
-    winners = sensitivity(spark, sf).groupBy("definition").agg(F.min_by("agent", F.struct("rank", "agent")).alias("winner"))
-    return winners.groupBy("winner").agg(F.count("*").alias("wins"), (F.count("*") / 4.0).alias("share"))
-
-
 # Registry: who was given metadata; manual scores: a part of the runs.
 REG = EV + """, reg AS (SELECT agent, run, lower(trim(flag)) IN ('1', 'true', 'yes', 'y', 't') AS metadata FROM (SELECT agent, run, CASE (run + length(agent) + ascii(right(agent, 1))) % 4 WHEN 0 THEN 'YES' WHEN 1 THEN 'no' WHEN 2 THEN ' t ' ELSE '' END AS flag FROM sc WHERE run <> 8)),
 mrg AS (SELECT sc.*, coalesce(metadata, false) AS metadata FROM sc LEFT JOIN reg ON sc.agent = reg.agent AND sc.run = reg.run)"""

@@ -76,13 +76,20 @@ def paired_tests(spark, sf):
     return pairs.groupBy("feature").agg(F.count("*").alias("n"), F.bround(t, 5).alias("t"), F.bround(F.try_divide(F.avg("x"), F.stddev_samp("x")), 5).alias("d"))
 
 
-@query(f"""WITH {X.TESTS}, r AS (SELECT feature, grp, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS r FROM lg)
-SELECT feature, CAST(sum(r) FILTER (grp = 'case') - 10 AS DOUBLE) AS u, round_even(CAST((sum(r) FILTER (grp = 'case') - 10 - 8) / sqrt(4 * 4 * 9 / 12.0) AS DOUBLE), 6) AS z FROM r GROUP BY feature""")
+@query(f"WITH {X.RANKED} SELECT feature, u, round_even(p_nonparam, 8) AS p_nonparam FROM np")
 def mann_whitney(spark, sf):
-    ranks = M.normalise(X.imputed(spark, sf), "pqn").select("feature", "grp", T.average_rank("v", ["feature"]).alias("r"))
-    n1, n0 = F.count_if(F.col("grp") == "case"), F.count_if(F.col("grp") == "control")
-    u = F.sum(F.when(F.col("grp") == "case", F.col("r"))) - n1 * (n1 + 1) / 2
-    return ranks.groupBy("feature").agg(u.cast("double").alias("u"), F.bround((u - n1 * n0 / 2) / F.sqrt(n1 * n0 * (n1 + n0 + 1) / 12), 6).alias("z"))
+    return M.rank_test(M.normalise(X.imputed(spark, sf), "pqn")).select("feature", "u", F.bround("p_nonparam", 8).alias("p_nonparam"))
+
+
+# Four pairs: the sum of positive ranks by the 16 ways to give them signs.
+@query(f"""WITH {X.TESTS}, p AS (SELECT a.feature, b.l - a.l AS x FROM lg a JOIN lg b ON a.feature = b.feature AND a.sample + 4 = b.sample),
+r AS (SELECT feature, x, rank() OVER (PARTITION BY feature ORDER BY abs(x)) AS r FROM p WHERE x <> 0), w AS (SELECT feature, CAST(coalesce(sum(r) FILTER (x > 0), 0) AS DOUBLE) AS w FROM r GROUP BY feature),
+s AS (SELECT list_sum(list_transform(generate_series(0, 3), lambda i: ((m >> i) & 1) * (i + 1))) AS s FROM (SELECT unnest(generate_series(0, 15)) AS m))
+SELECT feature, w, least(1.0, 2 * count_if(s >= greatest(w, 10 - w)) / 16.0::DOUBLE) AS p FROM w, s GROUP BY feature, w""")
+def signed_ranks(spark, sf):
+    logged = M.normalise(X.imputed(spark, sf), "pqn").select("feature", "sample", M.log("v", "log2").alias("l"))
+    case = logged.select("feature", (F.col("sample") - 4).alias("sample"), F.col("l").alias("l1"))
+    return M.signed_rank_test(logged.join(case, ["feature", "sample"]).select("feature", (F.col("l1") - F.col("l")).alias("x")))
 
 
 @query("""WITH l AS (SELECT n_chars AS score, quality AS y FROM documents JOIN labels ON documents.doc_id = labels.doc_id), g AS (SELECT score, count_if(y = 1) AS p, count_if(y = 0) AS n FROM l GROUP BY score)
@@ -91,14 +98,14 @@ def roc_points(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("score")).join(table(spark, sf, "labels"), "doc_id")
     counts = rows.groupBy("score").agg(F.count_if(F.col("quality") == 1).alias("p"), F.count_if(F.col("quality") == 0).alias("n"))
     down, every = Window.orderBy(F.desc("score")), Window.partitionBy()
-    return counts.select("score", *(F.bround(F.sum(c).over(down) / F.sum(c).over(every), 8).alias(a) for c, a in (("p", "tpr"), ("n", "fpr"))))
+    return counts.select("score", *(F.bround(F.try_divide(F.sum(c).over(down), F.sum(c).over(every)), 8).alias(a) for c, a in (("p", "tpr"), ("n", "fpr"))))
 
 
-@query("""WITH r AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT least(CAST(floor((value - lo) / (hi - lo) * 40) AS BIGINT), 39) AS bin, count(*) AS n FROM events, r GROUP BY bin""")
+@query("""WITH r AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT least(coalesce(CAST(floor((value - lo) / nullif(hi - lo, 0) * 40) AS BIGINT), 0), 39) AS bin, count(*) AS n FROM events, r GROUP BY bin""")
 def value_histogram(spark, sf):
     events = table(spark, sf, "events").select("value")
     limits = events.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))  # one row
-    place = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 40)
+    place = F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")) * 40), F.lit(0))  # one value alone is in the first bin
     return events.crossJoin(F.broadcast(limits)).groupBy(F.least(place, F.lit(39)).cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -111,20 +118,33 @@ def covariance_ellipse(spark, sf):
 
 
 def _modality(name: str) -> None:
-    """Registers the term counts of a modality per agent and run, in long form."""
-    lexicons = MODALITIES[name]
-    terms = [(x.family, t, x) for x in lexicons for t in x.terms]
-    sums = ", ".join(f'CAST(sum({x.sql(t, "t")}) AS BIGINT) AS "{f}_{t}"' for f, t, x in terms)
-    long = " UNION ALL ".join(f"SELECT agent, run, '{f}' AS family, '{t}' AS term, \"{f}_{t}\" AS cnt FROM r" for f, t, _ in terms)
-
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = C.corpus(spark, sf).withColumn("low", F.lower("text"))
-        counted = rows.select("agent", "run", *(x.count(t, F.col("text"), F.col("low")).alias(f"{f}_{t}") for f, t, x in terms))
-        runs = counted.groupBy("agent", "run").agg(*(F.sum(f"`{f}_{t}`").alias(f"{f}_{t}") for f, t, _ in terms))
-        return runs.select("agent", "run", F.inline(F.array(*(F.struct(F.lit(f).alias("family"), F.lit(t).alias("term"), F.col(f"`{f}_{t}`").alias("cnt")) for f, t, _ in terms))))
-
-    run.__name__ = f"{name}_terms"
-    query(f"WITH {C.CORPUS}, r AS (SELECT agent, run, {sums} FROM ascii GROUP BY agent, run) {long}")(run)
+    """Registers a modality's term counts in long form, its components, scores, ranking and rubric."""
+    lexicons, scheme = MODALITIES[name], C.S.SCHEMES[name]
+    terms = {f"{x.family}_{t}": x.sql(t, "t") for x in lexicons for t in x.terms}
+    runs = C.runs_sql(terms, scheme.entity)
+    parts = runs + C.parts_sql(terms, scheme)
+    scores, graded = parts + C.scores_sql("scores", scheme=scheme), runs + C.graded_sql(terms, scheme)
+    long = " UNION ALL ".join(f"SELECT agent, run, '{n.partition('_')[0]}' AS family, '{n.partition('_')[2]}' AS term, \"{n}\" AS cnt FROM runs" for n in terms)
+
+    def register(kind: str, sql: str, build) -> None:
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            return build(C.run_features_frame(spark, sf, lexicons, scheme.entity))
+
+        run.__name__ = f"{name}_{kind}"
+        query(f"WITH {sql}")(run)
+
+    def in_long_form(rows: DataFrame) -> DataFrame:
+        pairs = (F.struct(F.lit(n.partition("_")[0]).alias("family"), F.lit(n.partition("_")[2]).alias("term"), F.col(f"`{n}`").alias("cnt")) for n in terms)
+        return rows.select("agent", "run", F.inline(F.array(*pairs)))
+
+    def scored(rows: DataFrame) -> DataFrame:
+        return C.S.run_scores(C.S.components(rows, scheme), scheme=scheme)
+
+    register("terms", f"{runs} {long}", in_long_form)
+    register("components", f"{parts} SELECT * FROM parts", lambda rows: C.S.components(rows, scheme))
+    register("scores", f"{scores} SELECT agent, run, R, P, D, round_even(AgentScore, 6) AS AgentScore FROM scores", lambda rows: scored(rows).withColumn("AgentScore", F.bround("AgentScore", 6)))
+    register("ranking", f"{scores} {C.summary_sql('scores', 'AgentScore')}", lambda rows: C.S.summary(scored(rows), "AgentScore"))
+    register("rubric", f"{graded} SELECT * FROM graded", lambda rows: C.S.rubric(rows, scheme))
 
 
 for _name in MODALITIES:

@@ -1,182 +1,56 @@
-"""Reads a tree ``<producer>/<run>/<file>`` into one row per file with its text.
+"""Reads a tree ``<producer>/<run>/<file>`` into one row per file with its text, and the tables beside it.
 
 Paths decide which files count and where they belong (:mod:`sparvane.sources.paths`);
-contents are parsed on the executors, a file that can't be parsed gives an empty text.
+contents are parsed on the executors (:mod:`sparvane.sources.formats`).  Spark's listing
+leaves out names that begin with an underscore.
 """
 
 from __future__ import annotations
 
-import csv
-import io
-import json
 import re
-import tomllib
-import xml.etree.ElementTree as ElementTree
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparvane.sources import paths
-
-MOST_ROWS = 10_000
-
-
-def decode(content: bytes) -> str:
-    """UTF-8 where valid, else Latin-1, which never fails."""
-    try:
-        return content.decode("utf-8")
-    except UnicodeDecodeError:
-        return content.decode("latin-1")
-
-
-def delimited(content: bytes, extension: str) -> str:
-    """Rows with their cells tab-separated; the separator is sniffed; MOST_ROWS rows, then a mark."""
-    text, separator = content.decode("utf-8", "replace"), "\t" if extension == "tsv" else ","
-    try:
-        separator = csv.Sniffer().sniff(text[:4096], delimiters=",\t;|").delimiter
-    except csv.Error:
-        pass
-    rows = []
-    for i, row in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=separator)):
-        if i >= MOST_ROWS:
-            rows.append(f"[... truncated after {MOST_ROWS} rows ...]")
-            break
-        rows.append("\t".join(row))
-    return "\n".join(rows)
-
-
-def pretty_json(content: bytes) -> str:
-    text = decode(content)
-    try:
-        return json.dumps(json.loads(text), indent=2, ensure_ascii=False)
-    except ValueError:
-        return text
-
-
-def _said(role: object, text: str) -> str:
-    return f"[{role}] {text}" if role else text
-
-
-def message(line: object) -> str:
-    """What one JSON line says: role and content of a message, else the first telling key, else the line itself."""
-    if not isinstance(line, dict):
-        return str(line)
-    inner = line.get("message")
-    if isinstance(inner, dict):
-        content = inner.get("content", "")
-        if isinstance(content, list):
-            blocks = [(b.get("text") or b.get("content") or "") if isinstance(b, dict) else b for b in content if isinstance(b, (dict, str))]
-            content = " ".join(b for b in blocks if b.strip())
-        if isinstance(content, str) and content.strip():
-            return _said(inner.get("role"), content.strip())
-    role = next((line[k] for k in ("role", "type", "author") if isinstance(line.get(k), str)), "")
-    for key in ("content", "text", "message", "value", "output", "result"):
-        value = line.get(key)
-        if isinstance(value, str) and value.strip():
-            return _said(role, value.strip())
-        if isinstance(value, (dict, list)):
-            return _said(role, json.dumps(value, ensure_ascii=False))
-    return json.dumps(line, ensure_ascii=False, separators=(",", ":"))
-
-
-def json_lines(content: bytes) -> str:
-    said = []
-    for line in filter(str.strip, decode(content).splitlines()):
-        try:
-            said.append(message(json.loads(line)))
-        except ValueError:
-            said.append(line.strip())
-    return "\n\n".join(said)
-
-
-def notebook(content: bytes) -> str:
-    """Cells under their kind, with the text of their outputs."""
-    parts = []
-    text = lambda x: "".join(x) if isinstance(x, list) else str(x or "")
-    for cell in json.loads(decode(content)).get("cells", []):
-        kind = {"markdown": "MARKDOWN", "code": "CODE"}.get(cell.get("cell_type"))
-        if kind:
-            parts.append(f"[{kind}]\n{text(cell.get('source'))}")
-        parts += [f"[OUTPUT]\n{text(o['text'])}" for o in cell.get("outputs", []) if o.get("text")]
-    return "\n\n".join(parts)
-
-
-def toml(content: bytes) -> str:
-    """One line for each leaf: ``a.b[0] = value``."""
-    def leaves(prefix: str, node: object) -> Iterator[str]:
-        if isinstance(node, dict):
-            for key, value in node.items():
-                yield from leaves(f"{prefix}.{key}" if prefix else key, value)
-        elif isinstance(node, list):
-            for i, value in enumerate(node):
-                yield from leaves(f"{prefix}[{i}]", value)
-        else:
-            yield f"{prefix} = {node!r}"
-
-    return "\n".join(leaves("", tomllib.loads(decode(content))))
-
-
-def svg(content: bytes) -> str:
-    """Title, description, text elements and labels, in order of appearance."""
-    found = []
-    for element in ElementTree.fromstring(decode(content)).iter():
-        if element.tag.rpartition("}")[2] in ("title", "desc", "text"):
-            found.append(" ".join("".join(element.itertext()).split()))
-        if element.get("aria-label"):
-            found.append(element.get("aria-label"))
-    return "\n".join(filter(None, found))
-
-
-def bibliography(content: bytes) -> str:
-    """A block for each entry: kind, key and its fields."""
-    blocks = []
-    for kind, key, body in re.findall(r"@(\w+)\s*\{\s*([^,\s]+)\s*,(.*?)\n\s*\}", decode(content), re.S):
-        fields = re.findall(r"(\w+)\s*=\s*[{\"](.*?)[}\"]\s*,?\s*(?=\n|$)", body, re.S)
-        blocks.append("\n".join([f"[{kind.upper()}] {key}", *(f"{n.lower()}: {' '.join(v.split())}" for n, v in fields)]))
-    return "\n\n".join(blocks)
-
-
-def lines(content: bytes) -> str:
-    """Lines of four characters or more that are mostly printable; a mark for binary content."""
-    kept = [x for x in decode(content).splitlines() if len(x.strip()) >= 4 and sum(c.isprintable() for c in x) >= 0.7 * len(x)]
-    return "\n".join(kept) or f"[BINARY FILE: {len(content)} bytes]"
-
-
-def parse(filename: str, content: bytes) -> str:
-    """The text of a file by its extension; empty if it can't be parsed."""
-    extension = filename.rpartition(".")[2].lower()
-    try:
-        if extension in ("png", "jpg", "jpeg", "gif", "bmp", "tif", "tiff", "webp"):
-            return f"[IMAGE FILE: {filename}]"
-        if extension in ("csv", "tsv"):
-            return delimited(content, extension)
-        if extension in ("txt", "md", "log", "py", "r", "sh", "yaml", "yml", "tex", "html", "htm"):
-            return decode(content)
-        by = {"json": pretty_json, "jsonl": json_lines, "ipynb": notebook, "toml": toml, "svg": svg, "bib": bibliography}
-        return by.get(extension, lines)(content)
-    except Exception:  # any damaged file is an empty text
-        return ""
+from sparvane.sources.formats import parse
 
 
 def inventory(files: DataFrame, root: str) -> DataFrame:
-    """``agent, run, path, filename, extension, file_type, size_bytes`` from ``path`` and ``length``; files without a run are left out."""
-    relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(re.sub("^file:/*", "/", root).rstrip("/")) + "/+", "")
-    name = F.element_at(F.split(relative, "/"), -1)
-    rows = files.filter(~paths.ignored(F.col("path")) & ~name.startswith(".")).withColumn("__relative", relative).withColumn("filename", name)
-    run = F.coalesce(paths.run_of(F.when(F.size(F.split("__relative", "/")) > 2, F.element_at(F.split("__relative", "/"), 2))), paths.run_of(F.col("__relative")))
+    """``agent, run, path, filename, extension, file_type, size_bytes`` from ``path`` and ``length``; files without producer or run are left out."""
+    where = re.sub("^file:/*", "/", root).rstrip("/")
+    relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(where) + "/+", "")
+    rows = files.withColumn("__below", relative).filter(~paths.ignored(F.col("__below")))
+    below = F.col("__below")
     out = rows.select(
-        paths.agent_of(F.col("__relative")).alias("agent"), run.alias("run"), "path", "filename", F.lower(F.regexp_extract("filename", r"\.([^.]+)$", 1)).alias("extension"),
-        paths.file_type_of(F.col("filename")).alias("file_type"), F.col("length").alias("size_bytes"), *[c for c in files.columns if c == "content"],
+        paths.agent_of(below).alias("agent"), paths.run_number(below).alias("run"), "path", paths.filename(below).alias("filename"), paths.extension(below).alias("extension"),
+        paths.file_type_of(below).alias("file_type"), F.col("length").alias("size_bytes"), *[c for c in files.columns if c == "content"],
     )
-    return out.filter("run is not null")
+    return out.filter("agent is not null and run is not null")
+
+
+def grouped(records: DataFrame) -> DataFrame:
+    """Per producer and run its records by file name (a run's files are few)."""
+    record = F.struct("filename", "path", "file_type", "size_bytes")
+    return records.groupBy("agent", "run").agg(F.count("*").alias("n_files"), F.array_sort(F.collect_list(record)).alias("records"))
+
+
+def _with_empty(files: DataFrame) -> DataFrame:
+    """A scan with the files of no content, which scans leave out, from the listing that the driver has made for it."""
+    bare = F.regexp_replace("path", "^file:/*", "/")
+    listed = files.sparkSession.createDataFrame([(unquote(p),) for p in files.inputFiles()], "path string").withColumn("__bare", bare)
+    empty = listed.join(files.select(bare.alias("__bare")), "__bare", "left_anti")
+    found = files.select("path", "length", "content")
+    return found.unionByName(empty.select("path", F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content")))
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """The inventory of a tree with ``file_id`` and ``text``."""
+    """The inventory of a tree with ``file_id`` (which leaves out folders below the run) and ``text``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rows = inventory(files, root).withColumn("file_id", F.concat_ws("__", "agent", F.concat(F.lit("run"), "run"), "filename"))
+    rows = inventory(_with_empty(files), root).withColumn("file_id", F.concat_ws("__", "agent", F.concat(F.lit("run"), "run"), "filename"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -185,3 +59,60 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
 
     kept = [f for f in rows.schema if f.name != "content"]
     return rows.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", text string")
+
+
+TRUE_WORDS = ("1", "true", "yes", "y", "t")
+FLAGS = ("interactive_mode", "asked_additional_questions", "requested_metadata", "additional_metadata_provided")
+
+
+def _csv(spark: SparkSession, path: str) -> DataFrame | None:
+    """A CSV file with its header and all cells as text; None where there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
+def manual_scores(spark: SparkSession, path: str) -> DataFrame | None:
+    """``agent, run, R, P, D`` of a CSV file of scores given by hand; None without the file or one of these columns."""
+    table = _csv(spark, path)
+    if table is None or not {"agent", "run", "R", "P", "D"} <= set(table.columns):
+        return None
+    return table.select(F.trim("agent").alias("agent"), F.col("run").try_cast("int").alias("run"), *(F.col(c).try_cast("double").alias(c) for c in "RPD"))
+
+
+def truth(flag: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(flag.cast("string"))).isin(*TRUE_WORDS), F.lit(False))
+
+
+def run_registry(spark: SparkSession, path: str) -> DataFrame | None:
+    """``agent, run``, the flags (false where the column is absent or says nothing) and ``notes``; None without the file or its keys."""
+    table = _csv(spark, path)
+    if table is None or not {"agent", "run"} <= set(table.columns):
+        return None
+    flags = [(truth(F.col(c)) if c in table.columns else F.lit(False)).alias(c) for c in FLAGS]
+    notes = F.coalesce(F.col("notes"), F.lit("")) if "notes" in table.columns else F.lit("")
+    return table.select(F.trim("agent").alias("agent"), F.col("run").try_cast("int").alias("run"), *flags, notes.alias("notes"))
+
+
+def intensities(spark: SparkSession, path: str, feature: str = "Molecule", control: str = "Contr", case: str = "Fibr", quality: str = "QC") -> DataFrame:
+    """``feature, sample, grp, pair, v`` in long form from a wide table of features by samples.
+
+    Samples are told by their names: ``quality`` anywhere is a quality control, else a name
+    that begins with ``control`` or ``case``; others are left out.  ``pair`` is the number
+    at a name's end.  Features named "nan" are dropped, a name that comes again gets ``#k``
+    in the file's order; cells that are no numbers are null.
+    """
+    wide = _csv(spark, path)
+    if wide is None or feature not in wide.columns:
+        raise ValueError(f"{path} has no column {feature}")
+    samples = [c for c in wide.columns if c != feature]
+    cells = F.array(*(F.struct(F.lit(c).alias("sample"), F.col(f"`{c}`").try_cast("double").alias("v")) for c in samples))
+    named = wide.withColumn("__row", F.monotonically_increasing_id()).withColumn("__name", F.trim(F.col(f"`{feature}`")))
+    named = named.filter(F.col("__name").isNotNull() & (F.lower("__name") != "nan"))
+    again = F.row_number().over(Window.partitionBy("__name").orderBy("__row")) - 1
+    unique = named.withColumn("feature", F.when(again == 0, F.col("__name")).otherwise(F.concat("__name", F.lit("#"), again)))
+    name = F.col("sample")
+    group = F.when(name.contains(quality), "qc").when(name.startswith(control), "control").when(name.startswith(case), "case")
+    pair = F.nullif(F.regexp_extract(name, r"(\d+)\s*$", 1), F.lit("")).try_cast("int")
+    return unique.select("feature", F.inline(cells)).select("feature", "sample", group.alias("grp"), pair.alias("pair"), F.when(~F.isnan("v"), F.col("v")).alias("v")).filter("grp is not null")

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from sparvane.plans import catalogue, matrix, resampling, shapes  # noqa: F401
+from sparvane.plans import audit, catalogue, consensus, matrix, resampling, shapes, trees  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
