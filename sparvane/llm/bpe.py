@@ -38,6 +38,8 @@ _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-ö
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"\s")
 _TO_LAST = re.compile(r"(?s).*\s")
+#: Texts on which splitting by words must agree with the library, or the vocabulary is refused.
+_PROBES = ("Hello  World's 12 we'll\n", "ab-c É1x!?(…)\tß", " the quick brown fox, 3.14 ")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -72,6 +74,10 @@ class WordEncoder:
         self.model, self.most, self.letters = self.tokenizer.model, most, _byte_letters()
         self.pieces, self.known = _Table(self.piece), _Table(self.word)
         self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(True))]
+        for text in _PROBES:
+            ids = self.whole(text)
+            if self.words(text) != ids or self.decode(ids) != self.tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False):
+                raise ValueError(f"{name} is not a vocabulary of words split at white space: its ids would be wrong here")
 
     def whole(self, text: str) -> bytes:
         """The library's own ids."""

@@ -237,6 +237,7 @@ def _messages(rows: list[tuple[int, str, object]]) -> pa.RecordBatch:
 
 def _received(batches: Iterator[pa.RecordBatch]) -> list[tuple[int, str, object]]:
     """All messages of a task, ordered by target and source."""
+    _LOGS.clear()  # what an earlier task of this worker has remembered
     rows = [(t, s, d) for b in batches for t, s, d in zip(*(b.column(i).to_pylist() for i in range(3)))]
     return [(t, s, loaded(d)) for t, s, d in sorted(rows, key=lambda r: (r[0], r[1]))]
 
@@ -578,6 +579,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], task: int) -> Iterator[tuple[str,
 
 
 def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[pa.RecordBatch]]]:
+    _LOGS.clear()
     name, parts = "", []
     for block, batch in _blocks(batches, TaskContext.get().partitionId()):
         if block != name and parts:
@@ -611,7 +613,10 @@ class Model:
         self.letters, self.tables, self.customers = [Letters()], [0], [0]
 
     def _sent(self, df: DataFrame, run: Callable) -> DataFrame:
-        return df.mapInArrow(run, MESSAGE).repartitionById(self.tasks, F.col("target"))
+        return self._dealt(df.mapInArrow(run, MESSAGE))
+
+    def _dealt(self, messages: DataFrame) -> DataFrame:
+        return messages.repartitionById(self.tasks, F.col("target"))
 
     def _numbers(self) -> DataFrame:
         return self.spark.range(0, self.tasks, 1, self.tasks)
@@ -817,7 +822,7 @@ class Model:
                 store.put("customers2", got[0][0], list(sums))
                 yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["n"])
 
-        self._sent(self._answers(1).mapInArrow(sweep, MESSAGE), lambda batches: batches).mapInArrow(receive, "n long").agg(F.sum("n")).first()
+        self._dealt(self._answers(1).mapInArrow(sweep, MESSAGE)).mapInArrow(receive, "n long").agg(F.sum("n")).first()
         hot = self.split.hot
 
         def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -851,6 +856,7 @@ class Model:
                 yield _messages([(int(block.split("-")[0]) % tasks, block, (b, check, scores[place], _small(known[place])))])
 
         def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _LOGS.clear()
             name, parts, written = None, {}, 0
             for batch in batches:
                 for block, data in zip(batch.column("source").to_pylist(), batch.column("data").to_pylist()):
@@ -863,7 +869,7 @@ class Model:
                 store.put("answers", name, parts)
             yield pa.RecordBatch.from_arrays([pa.array([written + bool(parts)], pa.int64())], names=["n"])
 
-        self._sent(self._answers(2).mapInArrow(answer, MESSAGE), lambda batches: batches).sortWithinPartitions("source").mapInArrow(receive, "n long").agg(F.sum("n")).first()
+        self._dealt(self._answers(2).mapInArrow(answer, MESSAGE)).sortWithinPartitions("source").mapInArrow(receive, "n long").agg(F.sum("n")).first()
 
     def scored(self) -> DataFrame:
         """The scores of all rows, written."""

@@ -18,42 +18,52 @@ URL_RULES = [
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids, their digest and the decoded text's digest of every document; null texts are empty, very long ones are encoded chunk by chunk, repeated rows stay.  An empty table gives no rows; other columns are ignored."""
     return bpe.digests(read(spark, sf_dir, "documents"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document; null texts are empty, very long ones are searched whole, repeated rows stay.  An empty table gives no rows; other columns are ignored."""
     return pii.find(read(spark, sf_dir, "documents"))
 
 
 def op3_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document under a model of the rows that aren't held out; a null or empty text is its end alone, repeated rows count and are scored each.  An empty table gives no rows; other columns are ignored."""
     return hpylm.score(read(spark, sf_dir, "documents"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece of every document with its place in a sequence of at most 4096 tokens; a null text is its end token, longer ones are cut, repeated rows are packed each.  An empty table gives no rows; other columns are ignored."""
     return packing.pack(read(spark, sf_dir, "documents"), capacity=4096)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document, learned from labelled rows that aren't held out; null and empty texts have a score too, repeated rows stay.  An empty table gives no rows; other columns are ignored."""
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url by the longest rule that fits; a null url has an empty host and path and is allowed, repeated rows stay.  An empty table gives no rows; other columns are ignored."""
     return urlfilter.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest integer inner products of each vector whose id is divisible by 100; unusable vectors take no part, ties go to the smaller id.  An empty table gives no rows; other columns are ignored."""
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
 def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the id and the size of its class of near-duplicates; null texts are empty and equal, repeated rows stay.  An empty table gives no rows; other columns are ignored."""
     return neardup.classes(read(spark, sf_dir, "documents"))
 
 
 def op9_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found of each whose id is divisible by 50; unusable and zero vectors take no part, ties go to the smaller id.  An empty table gives no rows; other columns are ignored."""
     return annsearch.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each page as it is read back from its archive; null html is an empty payload, repeated payloads of 100 bytes or more are revisits, very long ones are one record.  An empty table gives no rows; other columns are ignored."""
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 

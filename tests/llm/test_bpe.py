@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from sparvane.llm import bpe
 
@@ -41,3 +42,8 @@ def test_encode_decode_frames(spark):
     digest = bpe.digests(docs).toPandas()
     assert digest[digest.doc_id == 2].ids_sha256.tolist() == [hashlib.sha256(b"").hexdigest()]
     assert bpe.encode(docs.limit(0)).count() == 0
+
+
+def test_vocabularies_of_another_kind_are_refused():
+    with pytest.raises(ValueError, match="not a vocabulary of words"):
+        bpe.WordEncoder("byte_bpe_50k.json")

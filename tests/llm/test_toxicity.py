@@ -64,3 +64,66 @@ def test_kneser_ney_sums_to_one_and_backs_off_alike():
         p = model._step(level, grams[n], contexts[n], p)
     assert 0 < sum({grams[3][i]: p[i] for i in last}.values()) <= 1 + 1e-9
     assert all(math.isfinite(x) for x in model.ratios(["", "a", "zzz", "ß" * 300]))
+
+
+def slow_ratios(classes, words):
+    """Log-likelihood ratios by dictionaries of letter tuples."""
+    def grams(word, n):
+        s = [toxicity._START] * (toxicity.ORDER + 1) + list(map(ord, word)) + [toxicity._END]
+        return [tuple(s[i - n + 1 : i + 1]) for i in range(toxicity.ORDER + 1, len(s))]
+
+    def level(counts):
+        totals, kinds = {}, {}
+        for g, c in counts.items():
+            totals[g[:-1]] = totals.get(g[:-1], 0) + c
+            kinds[g[:-1]] = kinds.get(g[:-1], 0) + 1
+        return counts, totals, kinds
+
+    shared = []
+    for n in range(1, toxicity.SHARED + 1):
+        longer = {g for c in classes for w in c for g in grams(w, n + 1)}
+        counts = {}
+        for g in longer:
+            counts[g[1:]] = counts.get(g[1:], 0) + 1
+        shared.append(level(counts))
+    tops = []
+    for c in classes:
+        own = []
+        for n in range(toxicity.SHARED + 1, toxicity.ORDER + 1):
+            counts = {}
+            for w, k in c.items():
+                for g in grams(w, n):
+                    counts[g] = counts.get(g, 0) + k
+            own.append(level(counts))
+        tops.append(own)
+
+    def chance(word, own):
+        total = 0.0
+        for i in range(len(word) + 1):
+            p = 1 / (max(2, len(shared[0][0])) + 1)
+            for n, (counts, totals, kinds) in enumerate([*shared, *own], 1):
+                g = grams(word, n)[i]
+                if g[:-1] in totals:
+                    p = max(counts.get(g, 0) - toxicity.DISCOUNT, 0) / totals[g[:-1]] + toxicity.DISCOUNT * kinds[g[:-1]] / totals[g[:-1]] * p
+            total += math.log(p)
+        return total
+
+    return [chance(w, tops[0]) - chance(w, tops[1]) for w in words]
+
+
+def test_ratios_equal_brute_force_however_words_arrive():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdé", k=rng.randint(1, 7)))
+    toxic, ordinary = ({word(): rng.randint(1, 5) for _ in range(150)} for _ in range(2))
+    asked = [word() for _ in range(200)] + ["", "zzz", *list(toxic)[:20]]
+    wanted = slow_ratios((toxic, ordinary), asked)
+    assert np.allclose(toxicity.KneserNey(toxic, ordinary).ratios(asked), wanted)
+    model, both = toxicity.KneserNey(), sorted({*toxic, *ordinary})
+    for w in both:  # one by one, documents of a word in two parts
+        t, o = toxic.get(w, 0), ordinary.get(w, 0)
+        model.add([w], [t // 2], [o // 2])
+        if rng.random() < 0.1:
+            model._count()
+        model.add([w], [t - t // 2], [o - o // 2])
+    model.finish()
+    assert np.allclose(model.ratios(asked), wanted)
