@@ -141,15 +141,15 @@ def fairness_summary(spark, sf):
     return per.unionByName(groups.withColumn("agent", F.lit("__GROUP_CONTRAST__")), allowMissingColumns=True)
 
 
-@query(f"""WITH {EV}, man0 AS (SELECT upper(agent) AS agent, run, purchases * 1.0::DOUBLE AS manual FROM sc WHERE run % 2 = 1 UNION ALL SELECT upper(agent), run, 0 FROM sc WHERE run = 3),
-man AS (SELECT lower(agent) AS agent, run, max(manual) AS manual FROM man0 GROUP BY ALL)
+@query(f"""WITH {EV}, man0 AS (SELECT upper(agent) AS agent, run, purchases * 1.0::DOUBLE AS manual, 0 AS pos FROM sc WHERE run % 2 = 1 UNION ALL SELECT upper(agent), run, 1000, 1 FROM sc WHERE run = 3),
+man AS (SELECT lower(agent) AS agent, run, arg_min(manual, pos) AS manual FROM man0 GROUP BY ALL)
 SELECT sc.agent, sc.run, coalesce(manual, score) AS score, CASE WHEN manual IS NULL THEN 'proxy' ELSE 'manual' END AS score_type,
  rank() OVER (ORDER BY score DESC) AS proxy_rank, rank() OVER (ORDER BY coalesce(manual, score) DESC) AS final_rank,
  abs(rank() OVER (ORDER BY score DESC) - rank() OVER (ORDER BY coalesce(manual, score) DESC)) > 4 AS disagrees FROM sc LEFT JOIN man ON sc.agent = man.agent AND sc.run = man.run""")
 def manual_vs_proxy(spark, sf):
     runs = event_scores(spark, sf)
-    manual = runs.filter("run % 2 = 1").select(F.upper("agent").alias("agent"), "run", F.col("purchases").cast("double").alias("manual")).unionByName(runs.filter("run = 3").select(F.upper("agent").alias("agent"), "run", F.lit(0.0).alias("manual")))
-    manual = manual.groupBy(F.lower("agent").alias("agent"), "run").agg(F.max("manual").alias("manual"))
+    manual = runs.filter("run % 2 = 1").select(F.upper("agent").alias("agent"), "run", F.col("purchases").cast("double").alias("manual"), F.lit(0).alias("pos")).unionByName(runs.filter("run = 3").select(F.upper("agent").alias("agent"), "run", F.lit(1000.0).alias("manual"), F.lit(1).alias("pos")))
+    manual = manual.groupBy(F.lower("agent").alias("agent"), "run").agg(F.min_by("manual", "pos").alias("manual"))  # the first row given for a run counts
     rows = runs.join(manual, ["agent", "run"], "left").withColumn("final", F.coalesce("manual", "score"))
     proxy, final = F.rank().over(Window.orderBy(F.desc("score"))).cast("bigint"), F.rank().over(Window.orderBy(F.desc("final"))).cast("bigint")
     return rows.select("agent", "run", F.col("final").alias("score"), F.when(F.col("manual").isNull(), "proxy").otherwise("manual").alias("score_type"), proxy.alias("proxy_rank"), final.alias("final_rank"), (F.abs(proxy - final) > 4).alias("disagrees"))
