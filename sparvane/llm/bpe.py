@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparvane.llm.common import map_batches
+from sparvane.llm.common import forgettable, map_batches
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -123,6 +123,9 @@ def encoder(name: str = VOCABULARY) -> WordEncoder:
     return WordEncoder(name)
 
 
+forgettable(encoder.cache_clear)
+
+
 def cuts(text: str, bits: int = 10) -> list[int]:
     """Ends of the content-defined chunks: 2**bits characters apart on average.
 

@@ -78,6 +78,20 @@ def steady_scans(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+_CACHES: list[Callable[[], object]] = []
+
+
+def forgettable(clear: Callable[[], object]) -> None:
+    """Registers how to empty what a module remembers in a worker beyond a task."""
+    _CACHES.append(clear)
+
+
+def forget() -> None:
+    """Empties them: workers go from one operator's tasks to another's, and memory is for the one at work."""
+    for clear in _CACHES:
+        clear()
+
+
 def map_batches(df: DataFrame, work: Callable[[], Callable[[dict], dict]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with a state made once per task.
 

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparvane.llm.common import fresh_folder, remove_folder, steady_scans
+from sparvane.llm.common import forget, forgettable, fresh_folder, remove_folder, steady_scans
 from sparvane.llm.neardup import _mix
 
 BLOCK_BYTES = 8_000_000
@@ -237,7 +237,7 @@ def _messages(rows: list[tuple[int, str, object]]) -> pa.RecordBatch:
 
 def _received(batches: Iterator[pa.RecordBatch]) -> list[tuple[int, str, object]]:
     """All messages of a task, ordered by target and source."""
-    _LOGS.clear()  # what an earlier task of this worker has remembered
+    forget()
     rows = [(t, s, d) for b in batches for t, s, d in zip(*(b.column(i).to_pylist() for i in range(3)))]
     return [(t, s, loaded(d)) for t, s, d in sorted(rows, key=lambda r: (r[0], r[1]))]
 
@@ -513,6 +513,7 @@ def letter_table(parts: tuple[np.ndarray, ...]) -> np.ndarray:
 
 
 _LOGS: dict[tuple, np.ndarray] = {}
+forgettable(_LOGS.clear)
 
 
 def log_table(key: tuple, parts: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -579,7 +580,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], task: int) -> Iterator[tuple[str,
 
 
 def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[pa.RecordBatch]]]:
-    _LOGS.clear()
+    forget()
     name, parts = "", []
     for block, batch in _blocks(batches, TaskContext.get().partitionId()):
         if block != name and parts:
@@ -856,7 +857,7 @@ class Model:
                 yield _messages([(int(block.split("-")[0]) % tasks, block, (b, check, scores[place], _small(known[place])))])
 
         def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            _LOGS.clear()
+            forget()
             name, parts, written = None, {}, 0
             for batch in batches:
                 for block, data in zip(batch.column("source").to_pylist(), batch.column("data").to_pylist()):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparvane.llm.common import CHECK, ROW, all_there, cut_lineage, fresh_folder, map_batches, numbered, pick_rows, remove_folder, steady_scans, write_row_sets
+from sparvane.llm.common import CHECK, ROW, all_there, cut_lineage, forget, fresh_folder, map_batches, numbered, pick_rows, remove_folder, steady_scans, write_row_sets
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -127,6 +127,8 @@ def _signed(docs: DataFrame) -> DataFrame:
     """``row, check, doc_id, key, weight, bands`` of numbered documents: no bands for a text without words."""
 
     def work():
+        forget()
+
         def step(batch: dict) -> dict:
             found = [units(t.as_py()) for t in batch["text"]]
             full = [i for i, u in enumerate(found) if len(u)]

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sparvane.llm.common import cut_lineage, fresh_folder, map_batches
+from sparvane.llm.common import cut_lineage, forget, fresh_folder, map_batches
 
 ORDER, SHARED, DISCOUNT, WINDOW, SAMPLE = 6, 4, 0.75, 4, 1500
 _WORD = re.compile(r"[^\W\d_]+")
@@ -295,6 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
         return Scorer(None, np.zeros(4))
 
     def work():
+        forget()
         ratios = [Ratios(_load(folder, f)) for f in (0, 1)]
 
         def step(batch: dict) -> dict:
@@ -314,6 +315,7 @@ def _scored(docs: DataFrame, scorer: Scorer, columns: list[Column]) -> DataFrame
     """Adds ``score`` (of column ``text``) to the chosen columns."""
 
     def work():
+        forget()
         ratios = scorer.ratios()
 
         def step(batch: dict) -> dict:
