@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparvane.llm import neardup, packing, pii, toxicity
-from sparvane.llm.common import fresh_folder, read
+from sparvane.llm.common import fresh_folder, read, remove_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -43,11 +43,20 @@ ORACLE_SQL = None  # trained models and packing are beyond SQL; tests hold the s
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; what each returns is written as Parquet and read again."""
+    """Applies the stages to ``documents``; what each returns is written as Parquet and read again, then what it read is removed.
+
+    Null texts count as empty ones: they are ordinary, equal to each other, hold nothing
+    personal and pack as their end token.  Very long texts go through whole.  Of repeated rows and near copies one
+    document stays, that of the smallest id; null ids come last.  Further columns travel
+    along up to the packing, whatever their names.  An empty table gives no rows.
+    """
     docs = read(spark, sf_dir, "documents")
-    folder = fresh_folder(spark, "pipeline")
+    folder, before = fresh_folder(spark, "pipeline"), None
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+        if before:
+            remove_folder(spark, f"{folder}/{before}")
+        before = name
     return docs
