@@ -162,10 +162,12 @@ def write_row_sets(rows: DataFrame) -> tuple[str, int]:
     return folder, dealt.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def pick_rows(numbered_df: DataFrame, folder: str) -> DataFrame:
+def pick_rows(numbered_df: DataFrame, folder: str, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str | None = None) -> DataFrame:
     """Those rows of a numbered scan that :func:`write_row_sets` wrote; fails if a number stands for other content.
 
     Rows that this scan lacks show in the number of rows only: see :func:`all_there`.
+    ``then`` turns each batch of picked rows into one of ``schema``, in the same worker: two
+    functions in a row would hold two workers a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +185,10 @@ def pick_rows(numbered_df: DataFrame, folder: str) -> DataFrame:
             picked = chosen[at, 0] == numbers if len(chosen) else np.zeros(len(numbers), bool)
             if (chosen[at[picked], 1] != batch.column(CHECK).to_numpy()[picked]).any():
                 raise RuntimeError("two scans number the rows differently: a chosen number stands for other content")
-            yield batch.filter(pa.array(picked))
+            kept = batch.filter(pa.array(picked))
+            yield then(kept) if then else kept
 
-    return numbered_df.mapInArrow(run, numbered_df.schema).drop(ROW, CHECK)
+    return numbered_df.mapInArrow(run, schema) if then else numbered_df.mapInArrow(run, numbered_df.schema).drop(ROW, CHECK)
 
 
 def all_there(picked: DataFrame, n: int) -> DataFrame:

@@ -148,13 +148,14 @@ def _signed(docs: DataFrame) -> DataFrame:
 def _units_of(docs: DataFrame, signed: DataFrame, keys: DataFrame) -> DataFrame:
     """``key, units`` (sorted, packed) of the texts with these keys: a second scan picks a row for each."""
 
-    def work():
-        return lambda batch: {"key": batch["key"], "units": [units(t.as_py()).tobytes() for t in batch["text"]]}
+    def taken(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = pa.array([units(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column("key"), found], names=["key", "units"])
 
     rows = signed.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.struct(ROW, CHECK)).alias("first")).select("first.*")
     texts = docs.select(ROW, CHECK, text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
     folder, n = write_row_sets(rows)
-    found = all_there(cut_lineage(map_batches(pick_rows(texts, folder), work, "key binary, units binary")), n)
+    found = all_there(cut_lineage(pick_rows(texts, folder, taken, "key binary, units binary")), n)
     remove_folder(docs.sparkSession, folder)
     return found
 
