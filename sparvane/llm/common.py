@@ -57,6 +57,19 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Tables:
+    """Tables in a folder of their own in the shared folder; each is read again instead of being computed twice."""
+
+    def __init__(self, spark: SparkSession, kind: str) -> None:
+        self.spark, self.folder, self.count = spark, fresh_folder(spark, kind), 0
+
+    def keep(self, rows: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+
 @contextmanager
 def steady_scans(spark: SparkSession) -> Iterator[None]:
     """Meanwhile all scans of a table split it alike, whatever executors come and go, batches for Python stay small, and shuffle files go when their job ends."""

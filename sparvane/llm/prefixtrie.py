@@ -23,29 +23,16 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparvane.llm.common import fresh_folder, map_batches, remove_folder
+from sparvane.llm.common import Tables, map_batches, remove_folder
 
 PRIMES, FAMILY, LENT, PIECE = (2147483647, 2147483629), 20, 3, 4096
 TURN = ["d1", "d2", "d3", "d4"]
 KEY = ["depth", "fp", "split"]
 
 
-class Tables:
-    """Tables in a folder of their own in the shared folder; each is read again instead of being computed twice."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.folder, self.count = spark, fresh_folder(spark, "trie"), 0
-
-    def keep(self, rows: DataFrame) -> DataFrame:
-        self.count += 1
-        path = f"{self.folder}/{self.count}"
-        rows.write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
-
-
 def content(rows: DataFrame) -> DataFrame:
     """``conv_id, turn, d1..d4, words``: the SHA-256 of each turn's role and text as four numbers, and how many words its text has."""
     def work():
@@ -234,7 +221,7 @@ def nodes(conversations: DataFrame, primes: tuple[int, int] = PRIMES) -> DataFra
     a root; other columns are ignored.
     """
     spark = conversations.sparkSession
-    tables, tasks = Tables(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tables, tasks = Tables(spark, "trie"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     hashed = tables.keep(content(conversations)).withColumn("row", F.monotonically_increasing_id())
     # Rows that are equal in all else are told apart by their number, so that they may lie in several partitions.
     dealt = hashed.repartitionByRange(tasks, "conv_id", F.asc_nulls_first("turn"), "d1", "row").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), *TURN)
@@ -254,6 +241,6 @@ def nodes(conversations: DataFrame, primes: tuple[int, int] = PRIMES) -> DataFra
     above = found.select((F.col("depth") + 1).alias("depth"), F.col("fp").alias("prev"), F.col("split").alias("psplit"), F.col("owner").alias("parent_conv_id"))
     out = found.join(summed(found, rows, tables), KEY).join(end_digests(ends), KEY, "left").join(above, ["depth", "prev", "psplit"], "left")
     out = out.select(F.col("owner").alias("conv_id"), "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(hashlib.sha256().hexdigest())).alias("ends_sha256"))
-    result = Tables(spark).keep(out)
+    result = Tables(spark, "nodes").keep(out)
     remove_folder(spark, tables.folder)
     return result

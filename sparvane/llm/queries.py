@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparvane.llm import annsearch, bpe, hpylm, neardup, packing, pii, prefixtrie, topk, toxicity, urlfilter, warc, whitening
+from sparvane.llm import annsearch, bpe, hpylm, neardup, orderhash, packing, pii, prefixtrie, topk, toxicity, urlfilter, warc, whitening
 from sparvane.llm.common import read
 
 URL_RULES = [
@@ -67,6 +67,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
+def op11_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and of its edited form, with their likeness; null texts are empty, repeated rows come out as often as they went in, a document without doc_id comes after the smallest.  An empty table gives no rows; other columns are ignored."""
+    return orderhash.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes of the trie of rebuilt conversations; null roles and texts are empty, turns of equal number follow by a digest of role and text, rows without a conv_id are left out.  An empty table gives no rows; other columns are ignored."""
     return prefixtrie.nodes(read(spark, sf_dir, "conversations"))
@@ -77,7 +82,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"), components=16, scale=64, shift=1_000_000)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_hpylm, op4_best_fit_packing, op5_toxicity, op6_url_filter, op7_exact_top_k, op8_dart_minhash, op9_additive_ann, op10_warc, op12_prefix_trie, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_hpylm, op4_best_fit_packing, op5_toxicity, op6_url_filter, op7_exact_top_k, op8_dart_minhash, op9_additive_ann, op10_warc, op11_order_minhash, op12_prefix_trie, op13_whitening)}
 
 ORACLE_SQL = {
     "op6_url_filter": """
