@@ -48,6 +48,12 @@ def normal_two_sided(z: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - area * 0.7978845608028654)
 
 
+def normal_two_sided_sql(z: str) -> str:
+    size = f"least(abs({z}), 12.0)"
+    area = f"list_sum(list_transform(generate_series(0, {STEPS}), lambda i: (CASE WHEN i = 0 OR i = {STEPS} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-(({size} / {STEPS} * i) ** 2) / 2))) * ({size} / {STEPS}) / 3"
+    return f"greatest(0.0, 1 - {area} * 0.7978845608028654)"
+
+
 @cache
 def rank_sums(n: int, m: int) -> list[int]:
     """In how many ways n of n + m items get each value of U = rank sum - n (n + 1) / 2."""

@@ -19,9 +19,13 @@ def quality(cells: DataFrame, most_missing: float = 0.5, most_cv: float = 0.30)
     return stats.withColumn("kept", (F.col("missing") <= most_missing) & (F.col("missing") < 1) & (F.coalesce("cv", F.lit(0.0)) <= most_cv))
 
 
-def quality_filter(cells: DataFrame, **limits: float) -> DataFrame:
-    """Biological samples of the features that pass :func:`quality`."""
-    return cells.filter("grp <> 'qc'").join(quality(cells, **limits).filter("kept").select("feature"), "feature", "left_semi")
+def quality_filter(cells: DataFrame, most_missing: float = 0.5, most_cv: float = 0.30) -> DataFrame:
+    """Biological samples of the features that pass :func:`quality`, by windows over one scan."""
+    w = Window.partitionBy("feature")
+    qc = F.when(F.col("grp") == "qc", F.col("v"))
+    lost = F.avg(F.when(F.col("grp") != "qc", F.col("v").isNull().cast("double"))).over(w)
+    cv = F.try_divide(F.stddev_samp(qc).over(w), F.avg(qc).over(w))
+    return cells.withColumns({"__lost": lost, "__cv": cv}).filter((F.col("grp") != "qc") & (F.col("__lost") <= most_missing) & (F.col("__lost") < 1) & (F.coalesce("__cv", F.lit(0.0)) <= most_cv)).drop("__lost", "__cv")
 
 
 def impute(cells: DataFrame, how: str) -> DataFrame:
@@ -107,20 +111,53 @@ def scale(cells: DataFrame, how: str | None) -> DataFrame:
     return cells.withColumn("v", F.coalesce(F.try_divide(F.col("v") - F.avg("v").over(w), by), F.lit(0.0)))
 
 
-def group_tests(cells: DataFrame) -> DataFrame:
-    """Per feature: log2 fold change of means, Welch's t and degrees of freedom, and Cohen's d on the log scale."""
-    logged = cells.withColumn("l", log("v", "log2"))
-    pick = lambda c, g: F.when(F.col("grp") == g, F.col(c))
-    stats = logged.groupBy("feature").agg(
-        F.log2(F.try_divide(F.avg(pick("v", "case")), F.avg(pick("v", "control")))).alias("log2fc"),
-        *(f(pick("l", g)).alias(f"{n}{i}") for i, g in ((1, "case"), (0, "control")) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))),
-    )
+def _of(group: str, column: str) -> Column:
+    return F.when(F.col("grp") == group, F.col(column))
+
+
+def _group_sums() -> list[Column]:
+    """Aggregates of rows with ``v`` and its logarithm ``l``."""
+    means = [F.avg(_of(g, "v")).alias(f"mean_{g}") for g in ("control", "case")]
+    return means + [f(_of(g, "l")).alias(f"{n}{i}") for i, g in ((1, "case"), (0, "control")) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))]
+
+
+def _group_stats() -> dict[str, Column]:
     a, b = F.col("v1") / F.col("n1"), F.col("v0") / F.col("n0")
     pooled = F.sqrt(((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0")) / (F.col("n1") + F.col("n0") - 2))
-    return stats.select(
-        "feature", "n1", "n0", "log2fc", F.try_divide(F.col("m1") - F.col("m0"), F.sqrt(a + b)).alias("welch_t"),
-        F.try_divide((a + b) * (a + b), a * a / (F.col("n1") - 1) + b * b / (F.col("n0") - 1)).alias("df"), F.try_divide(F.col("m1") - F.col("m0"), pooled).alias("cohens_d"),
-    )
+    return {
+        "log2fc": F.log2(F.try_divide("mean_case", "mean_control")), "welch_t": F.try_divide(F.col("m1") - F.col("m0"), F.sqrt(a + b)),
+        "df": F.try_divide((a + b) * (a + b), a * a / (F.col("n1") - 1) + b * b / (F.col("n0") - 1)), "cohens_d": F.try_divide(F.col("m1") - F.col("m0"), pooled),
+    }
+
+
+def group_tests(cells: DataFrame) -> DataFrame:
+    """Per feature: log2 fold change of means, Welch's t and degrees of freedom, and Cohen's d on the log scale."""
+    stats = cells.withColumn("l", log("v", "log2")).groupBy("feature").agg(*_group_sums())
+    return stats.select("feature", "n1", "n0", *(c.alias(n) for n, c in _group_stats().items()))
+
+
+def _ranked(cells: DataFrame) -> DataFrame:
+    """Adds each value's rank ``r`` within its feature and how many are the ``same``; missing ones come last and don't count."""
+    below = F.rank().over(Window.partitionBy("feature").orderBy(F.asc_nulls_last("v")))
+    same = F.count("v").over(Window.partitionBy("feature", "v"))
+    return cells.withColumn("same", same).withColumn("r", F.when(F.col("v").isNotNull(), below + (F.col("same") - 1) / 2.0))
+
+
+def _rank_sums() -> list[Column]:
+    sizes = [F.count(_of(g, "v")).alias(n) for g, n in (("case", "ranked1"), ("control", "ranked0"))]
+    return [F.sum(_of("case", "r")).alias("r1"), *sizes, F.sum(F.when(F.col("v").isNotNull(), F.col("same") * F.col("same") - 1)).cast("double").alias("ties")]
+
+
+def _rank_stats(sums: DataFrame) -> DataFrame:
+    n1, n0 = F.col("ranked1"), F.col("ranked0")
+    rows = sums.withColumn("u", (F.col("r1") - n1 * (n1 + 1) / 2).cast("double"))
+    most, n = F.greatest(F.col("u"), n1 * n0 - F.col("u")), n1 + n0
+    ways = {100 * a + b: special.rank_sums(a, b) for a in range(1, EXACT_RANKS + 1) for b in range(1, EXACT_RANKS + 1)}
+    exact = special.exact_tail(most, 100 * n1 + n0, ways)
+    spread = F.sqrt(n1 * n0 / 12.0 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
+    normal = special.normal_two_sided(F.try_divide(most - n1 * n0 / 2.0 - 0.5, spread))
+    p = F.when(F.col("ties") == 0, F.coalesce(exact, normal)).otherwise(normal)
+    return rows.withColumn("p_nonparam", F.when((n1 > 0) & (n0 > 0), p))
 
 
 def rank_test(cells: DataFrame) -> DataFrame:
@@ -129,18 +166,8 @@ def rank_test(cells: DataFrame) -> DataFrame:
     Exact without ties for groups of up to EXACT_RANKS, else by the normal approximation
     with corrections for ties and continuity.
     """
-    ranks = cells.filter("v is not null").select("feature", "grp", average_rank("v", ["feature"]).alias("r"), F.count("*").over(Window.partitionBy("feature", "v")).alias("same"))
-    n1, n0 = (F.count_if(F.col("grp") == g).alias(n) for g, n in (("case", "n1"), ("control", "n0")))
-    sums = ranks.groupBy("feature").agg(F.sum(F.when(F.col("grp") == "case", F.col("r"))).alias("r1"), n1, n0, F.sum(F.col("same") * F.col("same") - 1).cast("double").alias("ties"))
-    u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
-    rows = sums.withColumn("u", u).withColumn("__most", F.greatest("u", F.col("n1") * F.col("n0") - F.col("u")))
-    ways = {100 * a + b: special.rank_sums(a, b) for a in range(1, EXACT_RANKS + 1) for b in range(1, EXACT_RANKS + 1)}
-    exact = special.exact_tail(F.col("__most"), 100 * F.col("n1") + F.col("n0"), ways)
-    n = F.col("n1") + F.col("n0")
-    spread = F.sqrt(F.col("n1") * F.col("n0") / 12.0 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
-    z = F.try_divide(F.col("__most") - F.col("n1") * F.col("n0") / 2.0 - 0.5, spread)
-    p = F.when(F.col("ties") == 0, F.coalesce(exact, special.normal_two_sided(z))).otherwise(special.normal_two_sided(z))
-    return rows.select("feature", F.col("u").cast("double").alias("u"), F.when((F.col("n1") > 0) & (F.col("n0") > 0), p).alias("p_nonparam"))
+    sums = _ranked(cells.filter("v is not null")).groupBy("feature").agg(*_rank_sums())
+    return _rank_stats(sums).select("feature", "u", "p_nonparam")
 
 
 def signed_rank_test(pairs: DataFrame) -> DataFrame:
@@ -159,11 +186,9 @@ def differential(cells: DataFrame, alpha: float = 0.05, threshold: float = 1.0,
 
     Features with fewer than ``least`` values in a group are left out.
     """
-    pick = lambda g: F.when(F.col("grp") == g, F.col("v"))
-    means = cells.groupBy("feature").agg(F.avg(pick("control")).alias("mean_control"), F.avg(pick("case")).alias("mean_case"))
-    ranked = rank_test(cells)
-    rows = group_tests(cells).filter((F.col("n1") >= least) & (F.col("n0") >= least)).join(means, "feature").join(ranked, "feature")
-    share = F.try_divide(F.col("u"), F.col("n1") * F.col("n0"))
+    sums = _ranked(cells.withColumn("l", log("v", "log2"))).groupBy("feature").agg(*_group_sums(), *_rank_sums())  # all tests from one pass
+    rows = _rank_stats(sums).withColumns(_group_stats()).filter((F.col("n1") >= least) & (F.col("n0") >= least))
+    share = F.try_divide(F.col("u"), F.col("ranked1") * F.col("ranked0"))
     p = special.t_two_sided(F.col("welch_t"), F.col("df"))
     rows = rows.select(
         "feature", "mean_control", "mean_case", "log2fc", F.try_divide("mean_case", "mean_control").alias("fold_change"), p.alias("p_param"), "p_nonparam", "cohens_d",

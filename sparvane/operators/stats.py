@@ -39,12 +39,11 @@ def interval(value: str) -> list[Column]:
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p", q: str = "q") -> DataFrame:
     """Adds step-up adjusted values; null p stay null.  One window over all tests: features, never raw rows."""
-    known = tests.filter(F.col(p).isNotNull())
-    ranked = known.withColumn("__i", F.row_number().over(Window.orderBy(p, *[c for c in tests.columns if c != p][:1])))
-    total = F.count("*").over(Window.partitionBy())
-    adjusted = ranked.withColumn("__a", F.col(p) * total / F.col("__i"))
-    stepped = adjusted.withColumn(q, F.least(F.lit(1.0), F.min("__a").over(Window.orderBy(F.desc("__i")).rowsBetween(Window.unboundedPreceding, 0))))
-    return stepped.drop("__i", "__a").unionByName(tests.filter(F.col(p).isNull()).withColumn(q, F.lit(None).cast("double")))
+    order = Window.orderBy(F.asc_nulls_last(p), *[c for c in tests.columns if c != p][:1])
+    ranked = tests.withColumn("__i", F.row_number().over(order))
+    adjusted = ranked.withColumn("__a", F.col(p) * F.count(p).over(Window.partitionBy()) / F.col("__i"))
+    least = F.min("__a").over(Window.orderBy(F.desc("__i")).rowsBetween(Window.unboundedPreceding, 0))
+    return adjusted.withColumn(q, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), least))).drop("__i", "__a")
 
 
 def cosine(a: str, b: str) -> Column:

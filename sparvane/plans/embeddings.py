@@ -65,5 +65,5 @@ def run_principal_components(spark, sf):
 @query(None)
 def discriminant_importance(spark, sf):
     """Importance of features in a partial least squares fit of case against control, with R2 and leave-one-out Q2 (no SQL twin; see the tests)."""
-    scaled = M.scale(M.normalise(X.imputed(spark, sf), "pqn").withColumn("v", M.log("v", "log2")), "pareto")
+    scaled = M.scale(X.normalised(spark, sf).withColumn("v", M.log("v", "log2")), "pareto")
     return V.discriminate(scaled).orderBy(F.desc("vip"))

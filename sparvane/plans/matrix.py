@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparvane.functions import special
 from sparvane.operators import matrix as M
 from sparvane.operators import names as N
+from sparvane.operators.settled import settled
 from sparvane.operators import stats as T
 from sparvane.plans.catalogue import query, table
 
@@ -34,7 +35,12 @@ def raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def imputed(spark: SparkSession, sf: str) -> DataFrame:
-    return M.impute(M.quality_filter(raw(spark, sf)), "half_min")
+    """The filtered matrix without gaps: several steps read it, so it is computed once."""
+    return settled(M.impute(M.quality_filter(raw(spark, sf)), "half_min"))
+
+
+def normalised(spark: SparkSession, sf: str, how: str = "pqn") -> DataFrame:
+    return settled(M.normalise(imputed(spark, sf), how))
 
 
 @query(f"WITH {QC} SELECT feature, n_qc, round_even(cv, 6) AS cv, round_even(missing, 6) AS missing, missing <= 0.5 AND missing < 1 AND coalesce(cv, 0) <= 0.30 AS kept FROM qc")
@@ -50,13 +56,13 @@ def half_min_impute(spark, sf):
 
 @query(f"WITH {PQN} SELECT feature, sample, round_even(v, 4) AS v FROM pqn")
 def pqn_normalise(spark, sf):
-    return M.normalise(imputed(spark, sf), "pqn").select("feature", "sample", F.bround("v", 4).alias("v"))
+    return normalised(spark, sf).select("feature", "sample", F.bround("v", 4).alias("v"))
 
 
 for _kind, _agg in (("sum", "sum"), ("median", "median")):
 
     def _normalise(spark, sf, kind=_kind):
-        return M.normalise(imputed(spark, sf), kind).select("feature", "sample", F.bround("v", 4).alias("v"))
+        return normalised(spark, sf, kind).select("feature", "sample", F.bround("v", 4).alias("v"))
 
     _normalise.__name__ = f"{_kind}_normalise"
     query(f"""WITH {IMP}, f AS (SELECT sample, {_agg}(v) AS f FROM imp GROUP BY sample), g AS (SELECT sample, f / (SELECT median(f) FROM f) AS f FROM f)
@@ -65,7 +71,7 @@ SELECT feature, imp.sample, round_even(v / coalesce(nullif(f, 0), 1), 4) AS v FR
 for _kind, _div in (("auto", "nullif(stddev_samp(l) OVER w, 0)"), ("pareto", "nullif(sqrt(stddev_samp(l) OVER w), 0)"), ("range", "nullif(max(l) OVER w - min(l) OVER w, 0)")):
 
     def _scale(spark, sf, kind=_kind):
-        logged = M.normalise(imputed(spark, sf), "pqn").withColumn("v", M.log("v", "log2"))
+        logged = normalised(spark, sf).withColumn("v", M.log("v", "log2"))
         return M.scale(logged, kind).select("feature", "sample", F.bround("v", 6).alias("v"))
 
     _scale.__name__ = f"{_kind}_scale"
@@ -73,7 +79,7 @@ for _kind, _div in (("auto", "nullif(stddev_samp(l) OVER w, 0)"), ("pareto", "nu
 
 
 def tests(spark: SparkSession, sf: str) -> DataFrame:
-    return M.group_tests(M.normalise(imputed(spark, sf), "pqn"))
+    return M.group_tests(normalised(spark, sf))
 
 
 @query(f"""WITH {TESTS} SELECT feature, n1, n0, round_even(log2fc, 6) AS log2fc, round_even((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 5) AS welch_t,
@@ -87,7 +93,7 @@ def differential_statistics(spark, sf):
 a AS (SELECT feature, (sum(r) FILTER (grp = 'case') - count(*) FILTER (grp = 'case') * (count(*) FILTER (grp = 'case') + 1) / 2.0) / (count(*) FILTER (grp = 'case') * count(*) FILTER (grp = 'control')) AS a FROM r GROUP BY feature)
 SELECT feature, round_even(CAST(greatest(a, 1 - a) AS DOUBLE), 6) AS auc FROM a""")
 def feature_auc(spark, sf):
-    rows = M.normalise(imputed(spark, sf), "pqn").select("feature", "grp", T.average_rank("v", ["feature"]).alias("r"))
+    rows = normalised(spark, sf).select("feature", "grp", T.average_rank("v", ["feature"]).alias("r"))
     n1, n0 = F.count_if(F.col("grp") == "case"), F.count_if(F.col("grp") == "control")
     a = (F.sum(F.when(F.col("grp") == "case", F.col("r"))) - n1 * (n1 + 1) / 2.0)
     a = F.try_divide(a, n1 * n0)
@@ -112,10 +118,12 @@ def bh_sql(source: str, p: str, q: str) -> str:
 
 WELCH, WELCH_DF = "((m1 - m0) / sqrt(v1 / n1 + v0 / n0))", "((v1 / n1 + v0 / n0) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v0 / n0) ** 2 / (n0 - 1)))"
 # All groups have four samples: U's exact distribution by the 70 ways to choose four of eight ranks.
-RANKED = TESTS + """, rk AS (SELECT feature, grp, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS r FROM lg),
+# With ties: the normal approximation, corrected for ties and continuity.
+_TIED = special.normal_two_sided_sql("((greatest(mw.u, 16 - mw.u) - 8.5) / sqrt(16 / 12.0::DOUBLE * (9 - ties / 56.0::DOUBLE)))")
+RANKED = TESTS + f""", rk AS (SELECT feature, grp, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY feature, v) AS same FROM lg),
 ways AS (SELECT list_sum(list_transform(generate_series(0, 7), lambda i: ((m >> i) & 1) * (i + 1))) - 10 AS u FROM (SELECT unnest(generate_series(0, 255)) AS m) WHERE bit_count(m) = 4),
-mw AS (SELECT feature, CAST(sum(r) FILTER (grp = 'case') - 10 AS DOUBLE) AS u FROM rk GROUP BY feature),
-np AS (SELECT feature, mw.u, least(1.0, 2 * count_if(ways.u >= greatest(mw.u, 16 - mw.u)) / 70.0::DOUBLE) AS p_nonparam FROM mw, ways GROUP BY feature, mw.u)"""
+mw AS (SELECT feature, CAST(sum(r) FILTER (grp = 'case') - 10 AS DOUBLE) AS u, CAST(sum(same * same - 1) AS DOUBLE) AS ties FROM rk GROUP BY feature),
+np AS (SELECT feature, mw.u, CASE WHEN ties = 0 THEN least(1.0, 2 * count_if(ways.u >= greatest(mw.u, 16 - mw.u)) / 70.0::DOUBLE) ELSE {_TIED} END AS p_nonparam FROM mw, ways GROUP BY feature, mw.u, ties)"""
 DIFF = RANKED + f""", d0 AS (SELECT st.feature, mc AS mean_control, mk AS mean_case, log2fc, mk / mc AS fold_change, {special.t_two_sided_sql(WELCH, WELCH_DF)} AS p_param, p_nonparam,
  (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)) AS cohens_d, greatest(u / 16, 1 - u / 16) AS auc, n0 AS n_control, n1 AS n_case
  FROM st JOIN np ON st.feature = np.feature JOIN (SELECT feature, avg(v) FILTER (grp = 'control') AS mc, avg(v) FILTER (grp = 'case') AS mk FROM lg GROUP BY feature) x ON x.feature = st.feature WHERE n1 >= 3 AND n0 >= 3),
@@ -131,7 +139,7 @@ def diff_sql(alpha: float = 0.05, change: float = 1.0) -> str:
 
 
 def differential_frame(spark: SparkSession, sf: str, **limits: float) -> DataFrame:
-    return M.differential(M.normalise(imputed(spark, sf), "pqn"), **limits)
+    return M.differential(normalised(spark, sf), **limits)
 
 
 @query(f"WITH {diff_sql()} SELECT {_DIFF_COLUMNS} FROM diff ORDER BY q_value, p_value")
@@ -182,7 +190,7 @@ def feature_quality(spark, sf):
 @query(f"""WITH {TESTS}, sd AS (SELECT feature, avg(l) AS m, nullif(stddev_samp(l), 0) AS s FROM lg GROUP BY feature), q AS (SELECT feature, sample, coalesce(v, min(v) OVER (PARTITION BY feature), 0) AS v FROM raw WHERE grp = 'qc')
 SELECT q.feature, q.sample, round_even(coalesce((log2(greatest(v, 0) + 1) - m) / sqrt(s), 0), 5) AS v FROM q JOIN sd ON q.feature = sd.feature""")
 def qc_projection(spark, sf):
-    logged = M.normalise(imputed(spark, sf), "pqn").withColumn("v", M.log("v", "log2"))
+    logged = normalised(spark, sf).withColumn("v", M.log("v", "log2"))
     return M.scale_like(raw(spark, sf).filter("grp = 'qc'"), logged, "pareto").select("feature", "sample", F.bround("v", 5).alias("v"))
 
 
@@ -190,7 +198,7 @@ def qc_projection(spark, sf):
 z AS (SELECT feature, sample, (v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0) AS z FROM sc WINDOW w AS (PARTITION BY feature)) SELECT sample, count(*) AS n, round_even(sum(z), 5) AS total, md5(string_agg(feature, ',' ORDER BY feature)) AS features_md5 FROM z GROUP BY sample""")
 def sample_rows(spark, sf):
     """The matrix turned: per sample its features with their row z-scores."""
-    scaled = M.scale(M.normalise(imputed(spark, sf), "pqn").withColumn("v", M.log("v", "log2")), "pareto")
+    scaled = M.scale(normalised(spark, sf).withColumn("v", M.log("v", "log2")), "pareto")
     w = Window.partitionBy("feature")
     z = scaled.withColumn("z", F.try_divide(F.col("v") - F.avg("v").over(w), F.stddev_samp("v").over(w)))
     return z.groupBy("sample").agg(F.count("*").alias("n"), F.bround(F.sum("z"), 5).alias("total"), F.md5(F.array_join(F.array_sort(F.collect_list("feature")), ",")).alias("features_md5"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparvane.functions import special
 from sparvane.functions.omics import MODALITIES
 from sparvane.operators import matrix as M
 from sparvane.operators import stats as T
@@ -69,7 +70,7 @@ def fisher_enrichment(spark, sf):
 @query(f"""WITH {X.TESTS}, p AS (SELECT a.feature, b.l - a.l AS d FROM lg a JOIN lg b ON a.feature = b.feature AND a.sample + 4 = b.sample)
 SELECT feature, count(*) AS n, round_even(avg(d) / nullif(stddev_samp(d) / sqrt(count(*)), 0), 5) AS t, round_even(avg(d) / nullif(stddev_samp(d), 0), 5) AS d FROM p GROUP BY feature""")
 def paired_tests(spark, sf):
-    logged = M.normalise(X.imputed(spark, sf), "pqn").select("feature", "sample", M.log("v", "log2").alias("l"))
+    logged = X.normalised(spark, sf).select("feature", "sample", M.log("v", "log2").alias("l"))
     case = logged.select("feature", (F.col("sample") - 4).alias("sample"), F.col("l").alias("l1"))
     pairs = logged.join(case, ["feature", "sample"]).withColumn("x", F.col("l1") - F.col("l"))
     t = F.try_divide(F.avg("x"), F.stddev_samp("x") / F.sqrt(F.count("*")))
@@ -78,16 +79,20 @@ def paired_tests(spark, sf):
 
 @query(f"WITH {X.RANKED} SELECT feature, u, round_even(p_nonparam, 8) AS p_nonparam FROM np")
 def mann_whitney(spark, sf):
-    return M.rank_test(M.normalise(X.imputed(spark, sf), "pqn")).select("feature", "u", F.bround("p_nonparam", 8).alias("p_nonparam"))
+    return M.rank_test(X.normalised(spark, sf)).select("feature", "u", F.bround("p_nonparam", 8).alias("p_nonparam"))
+
+
+# At most four pairs: the sum of positive ranks by the ways to give them signs; with ties the normal approximation, corrected for them.
+_SIGNED_TIES = special.normal_two_sided_sql("((greatest(w, n * (n + 1) / 2.0::DOUBLE - w) - n * (n + 1) / 4.0::DOUBLE) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24.0::DOUBLE))")
 
 
-# Four pairs: the sum of positive ranks by the 16 ways to give them signs.
 @query(f"""WITH {X.TESTS}, p AS (SELECT a.feature, b.l - a.l AS x FROM lg a JOIN lg b ON a.feature = b.feature AND a.sample + 4 = b.sample),
-r AS (SELECT feature, x, rank() OVER (PARTITION BY feature ORDER BY abs(x)) AS r FROM p WHERE x <> 0), w AS (SELECT feature, CAST(coalesce(sum(r) FILTER (x > 0), 0) AS DOUBLE) AS w FROM r GROUP BY feature),
-s AS (SELECT list_sum(list_transform(generate_series(0, 3), lambda i: ((m >> i) & 1) * (i + 1))) AS s FROM (SELECT unnest(generate_series(0, 15)) AS m))
-SELECT feature, w, least(1.0, 2 * count_if(s >= greatest(w, 10 - w)) / 16.0::DOUBLE) AS p FROM w, s GROUP BY feature, w""")
+r AS (SELECT feature, x, rank() OVER (PARTITION BY feature ORDER BY abs(x)) + (count(*) OVER (PARTITION BY feature, abs(x)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY feature, abs(x)) AS same FROM p WHERE x <> 0),
+w AS (SELECT feature, CAST(coalesce(sum(r) FILTER (x > 0), 0) AS DOUBLE) AS w, count(*) AS n, CAST(sum(same * same - 1) AS DOUBLE) AS ties FROM r GROUP BY feature),
+s AS (SELECT m, list_sum(list_transform(generate_series(0, 3), lambda i: ((m >> i) & 1) * (i + 1))) AS s FROM (SELECT unnest(generate_series(0, 15)) AS m))
+SELECT feature, w, CASE WHEN ties = 0 THEN least(1.0, 2 * count_if(m < 2 ** n AND s >= greatest(w, n * (n + 1) / 2 - w)) / 2.0::DOUBLE ** n) ELSE {_SIGNED_TIES} END AS p FROM w, s GROUP BY feature, w, n, ties""")
 def signed_ranks(spark, sf):
-    logged = M.normalise(X.imputed(spark, sf), "pqn").select("feature", "sample", M.log("v", "log2").alias("l"))
+    logged = X.normalised(spark, sf).select("feature", "sample", M.log("v", "log2").alias("l"))
     case = logged.select("feature", (F.col("sample") - 4).alias("sample"), F.col("l").alias("l1"))
     return M.signed_rank_test(logged.join(case, ["feature", "sample"]).select("feature", (F.col("l1") - F.col("l")).alias("x")))
 

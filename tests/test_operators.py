@@ -130,3 +130,12 @@ def test_nearest_imputation_by_hand(spark):
 def test_names_without_any_rule_stay_unmapped(spark):
     rows = names.annotate(spark.createDataFrame([("zz",), ("L-Serine",)], "name string"), spark.createDataFrame([("P", "serine")], "pathway string, metabolite string")).collect()
     assert sorted((r.name, r.n_pathways, r.mapped) for r in rows) == [("L-Serine", 1, True), ("zz", 0, False)]
+
+
+def test_the_matrix_is_computed_once(spark):
+    from sparvane.plans import catalogue, matrix
+
+    assert matrix  # it registers its queries
+    for name in ("differential_abundance", "regulation_flags", "differential_summary"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan ") <= 2 and "Join" not in plan
