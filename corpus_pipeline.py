@@ -12,23 +12,32 @@ from sparvane.llm.common import fresh_folder, read, remove_folder
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Batches for Python stay small while a stage's result is written: a very long text may come with many others."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7 stay, unchanged; the models learn from the labelled ones among ``docs``."""
+    _small_batches(spark)
     return toxicity.keep_ordinary(docs, read(spark, sf_dir, "labels"), threshold=0.7)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest doc_id stays."""
+    _small_batches(spark)
     return neardup.keep_one(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; spans of personal data become their kind in angle brackets."""
+    _small_batches(spark)
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document with its place in a sequence of at most 4096 tokens."""
+    _small_batches(spark)
     return packing.pack(docs, capacity=4096)
 
 
