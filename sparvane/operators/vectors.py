@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparvane.operators.moments import Axes, enough, moments, project  # noqa: F401
 from sparvane.operators.stats import mean_vector
 
 TERMS, COMPONENTS, BLOCK = 20_000, 128, 500
@@ -42,18 +43,45 @@ def sparse_rows(weights: DataFrame) -> tuple[DataFrame, list[str]]:
     names = [r.term for r in weights.select("term").distinct().orderBy("term").collect()]
     spark = weights.sparkSession
     numbers = spark.createDataFrame(pd.DataFrame({"term": names, "n": np.arange(len(names))}), "term string, n int")
-    numbered = weights.join(F.broadcast(numbers), "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("row"))
-    return numbered.select("id", F.transform("row", lambda r: r.n).alias("at"), F.transform("row", lambda r: r.w).alias("w")), names
+    return numbered_rows(weights.join(F.broadcast(numbers), "term")), names
 
 
-def _times(batch: pa.RecordBatch, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows times the basis, with the flat places, weights and owners of the rows' entries."""
+def numbered_rows(weights: DataFrame) -> DataFrame:
+    """``id, at, w`` arrays of ``id, n, w`` with the terms' numbers."""
+    rows = weights.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("row"))
+    return rows.select("id", F.transform("row", lambda r: r.n).alias("at"), F.transform("row", lambda r: r.w).alias("w"))
+
+
+ENTRIES = 16_384
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First and last row of about ENTRIES entries of sparse rows, with the entries' places, weights and owners."""
     at, w = (batch.column(c).flatten().to_numpy() for c in ("at", "w"))
-    sizes = np.diff(batch.column("at").offsets.to_numpy())
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    out = np.zeros((len(sizes), basis.shape[1]))
-    np.add.at(out, owner, basis[at] * w[:, None])
-    return out, at, w, owner
+    ends = np.cumsum(np.diff(batch.column("at").offsets.to_numpy()))
+    first = 0
+    while first < len(ends):
+        begin = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, begin + ENTRIES, "right")))
+        span = slice(begin, int(ends[last - 1]))
+        yield first, last, at[span], w[span], np.searchsorted(ends, np.arange(span.start, span.stop), "right") - first
+        first = last
+
+
+def _summed(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, and the sums of the rows of each."""
+    order = np.argsort(keys, kind="stable")
+    found, starts = np.unique(keys[order], return_index=True)
+    return found, np.add.reduceat(values[order], starts, axis=0) if len(found) else values[:0]
+
+
+def _times(batch: pa.RecordBatch, basis: np.ndarray) -> np.ndarray:
+    """Rows times the basis."""
+    out = np.zeros((batch.num_rows, basis.shape[1]))
+    for first, _, at, w, owner in _pieces(batch):
+        rows, sums = _summed(basis[at] * w[:, None], owner)
+        out[first + rows] = sums
+    return out
 
 
 def fit_components(rows: DataFrame, width: int, components: int = COMPONENTS, rounds: int = 6, seed: int = 42) -> np.ndarray:
@@ -73,10 +101,12 @@ def fit_components(rows: DataFrame, width: int, components: int = COMPONENTS, ro
         def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, seen = np.zeros(shared.value.shape), 0
             for batch in batches:
-                out, at, w, owner = _times(batch, shared.value)
-                np.add.at(total, at, out[owner] * w[:, None])
+                out = _times(batch, shared.value)
+                for first, _, at, w, owner in _pieces(batch):
+                    places, sums = _summed(out[first + owner] * w[:, None], at)
+                    total[places] += sums
                 seen += len(out)
-            starts = range(0, len(total) if seen else 0, BLOCK)
+            starts = [s for s in range(0, len(total) if seen else 0, BLOCK) if total[s : s + BLOCK].any()]  # blocks of terms that this task's rows have
             yield pa.RecordBatch.from_arrays([pa.array([s // BLOCK for s in starts], pa.int32()), pa.array([total[s : s + BLOCK].tobytes() for s in starts], pa.binary())], names=["block", "data"])
 
         def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +119,9 @@ def fit_components(rows: DataFrame, width: int, components: int = COMPONENTS, ro
 
         blocks = -(-width // BLOCK)
         parts = rows.mapInArrow(products, "block int, data binary").repartitionById(blocks, F.col("block")).mapInArrow(added, "block int, data binary").collect()
-        image = np.concatenate([np.frombuffer(r.data) for r in sorted(parts, key=lambda r: r.block)]).reshape(width, -1)
+        image = np.zeros(basis.shape)
+        for r in parts:
+            image[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.data).reshape(-1, basis.shape[1])
         shared.unpersist()
         small = basis.T @ image
         values, turn = np.linalg.eigh((small + small.T) / 2)
@@ -104,7 +136,7 @@ def embed(rows: DataFrame, components: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = _times(batch, shared.value)[0]
+            out = _times(batch, shared.value)
             size = np.linalg.norm(out, axis=1, keepdims=True)
             unit = (out / np.where(size == 0, 1, size)).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(unit), pa.list_(pa.float32()))], names=["id", "embedding"])
@@ -135,21 +167,16 @@ def principal(matrix: np.ndarray, components: int, scaled: bool = True) -> tuple
     return (u * s * sign)[:, :k], share[:k]
 
 
-def enough(shares: np.ndarray, wanted: float = 0.95) -> int:
-    """How many components explain the wanted share."""
-    return int(np.searchsorted(np.cumsum(shares), wanted)) + 1
-
-
 def run_components(runs: DataFrame, vector: str, components: int = 3, scaled: bool = True) -> DataFrame:
-    """``agent, run, pc, x, explained``: principal components of run vectors, one group (agents times runs, a few hundred)."""
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["agent", "run"])
-        x, share = principal(np.stack(rows[vector].to_numpy()).astype(float), components, scaled)
-        n, k = x.shape
-        return pd.DataFrame({"agent": np.repeat(rows["agent"].to_numpy(), k), "run": np.repeat(rows["run"].to_numpy(), k), "pc": np.tile(np.arange(1, k + 1), n), "x": x.ravel(), "explained": np.tile(share, n)})
-
-    agent, run = (runs.schema[c].dataType.simpleString() for c in ("agent", "run"))
-    return runs.select("agent", "run", F.col(vector).alias(vector), F.lit("runs").alias("__all")).groupBy("__all").applyInPandas(work, f"agent {agent}, run {run}, pc int, x double, explained double")
+    """``agent, run, pc, x, explained``: principal components of run vectors, from their moments."""
+    m = moments(runs, vector)
+    kinds = [runs.select(c).schema[c].dataType.simpleString() for c in ("agent", "run")]
+    if m is None:
+        return runs.sparkSession.createDataFrame([], f"agent {kinds[0]}, run {kinds[1]}, pc int, x double, explained double")
+    axes = Axes.fit(m, components, scaled)
+    shares = F.array(*(F.lit(float(x)) for x in axes.shares))
+    placed = project(runs.select("agent", "run", vector), vector, axes).select("agent", "run", F.posexplode("coordinates").alias("at", "x"))
+    return placed.select("agent", "run", (F.col("at") + 1).alias("pc"), "x", F.get(shares, F.col("at")).alias("explained"))
 
 
 def partial_least_squares(x: np.ndarray, y: np.ndarray, components: int = 2, rounds: int = 500) -> dict[str, np.ndarray]:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparvane.operators import embedding as E
 from sparvane.operators import matrix as M
 from sparvane.operators import vectors as V
+from sparvane.operators.settled import fresh_folder
 from sparvane.plans import catalogue as C
 from sparvane.plans import matrix as X
 from sparvane.plans.catalogue import query, table
@@ -67,3 +69,64 @@ def discriminant_importance(spark, sf):
     """Importance of features in a partial least squares fit of case against control, with R2 and leave-one-out Q2 (no SQL twin; see the tests)."""
     scaled = M.scale(X.normalised(spark, sf).withColumn("v", M.log("v", "log2")), "pareto")
     return V.discriminate(scaled).orderBy(F.desc("vip"))
+
+
+# Chunks of 800 words of all documents fit the model; benchmark items are texts that come later.
+_WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
+CHUNKS = f"""cw AS (SELECT doc_id, {_WORDS} AS w FROM documents), ck AS (SELECT doc_id, w, unnest(generate_series(0, greatest(CAST(ceil((len(w) - 800) / 650.0::DOUBLE) AS BIGINT), 0))) AS k FROM cw WHERE len(w) > 0),
+ch AS (SELECT doc_id || '/' || k AS id, array_to_string(w[k * 650 + 1 : k * 650 + 800], ' ') AS text FROM ck)"""
+
+
+def _terms_sql(name: str, source: str) -> str:
+    words = f"SELECT id, regexp_extract_all(lower(text), '{V.WORD}') AS w FROM {source}"
+    pairs = "SELECT id, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS term"
+    return f"{name} AS (SELECT id, term, count(*) AS tf FROM ({pairs} FROM ({words})) GROUP BY ALL)"
+
+
+_MODEL = f"""{CHUNKS}, {_terms_sql('c', 'ch')}, top AS (SELECT term, sum(tf) AS total, count(*) AS df FROM c GROUP BY term ORDER BY total DESC, term LIMIT {V.TERMS}), n AS (SELECT count(*) AS n FROM ch),
+model AS (SELECT term, ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1 AS idf FROM top, n)"""
+
+
+def _scored_sql(counts: str) -> str:
+    weights = f"SELECT id, {counts}.term, (1 + ln(tf)) * idf AS w FROM {counts} JOIN model ON {counts}.term = model.term"
+    return f"SELECT id, count(term) AS n_terms, coalesce(round_even(max(w), 6), 0) AS largest, coalesce(round_even(sum(w), 5), 0) AS total FROM ids LEFT JOIN (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM ({weights})) USING (id) GROUP BY id"
+
+
+def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """``id, text, agent, run, doc_id`` of all documents' chunks."""
+    files = table(spark, sf, "documents").select("doc_id", F.col("source").alias("agent"), (1 + F.floor(F.col("doc_id") / 20) % 8).cast("int").alias("run"), "text")
+    return E.chunked(files, F.col("text")).select(F.concat_ws("/", "doc_id", "chunk").alias("id"), F.col("chunk_text").alias("text"), "agent", "run", "doc_id")
+
+
+def chunk_model(spark: SparkSession, sf: str, components: int = V.COMPONENTS) -> E.TermModel:
+    return E.fitted(chunk_rows(spark, sf).select("id", "text"), fresh_folder(spark, "terms"), components=components)
+
+
+def _scored(model: E.TermModel, texts: DataFrame) -> DataFrame:
+    found = model.weights(texts).groupBy("id").agg(F.count("*").alias("n_terms"), F.bround(F.max("w"), 6).alias("largest"), F.bround(F.sum("w"), 5).alias("total"))
+    return texts.select("id").join(found, "id", "left").select("id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_terms", "largest", "total")))
+
+
+@query(f"WITH {_MODEL}, ids AS (SELECT id FROM ch) {_scored_sql('c')}")
+def chunk_weights(spark, sf):
+    """What a model that is fitted on all chunks finds in each of them; chunks without its terms stay, with zeros."""
+    return _scored(chunk_model(spark, sf, 0), chunk_rows(spark, sf).select("id", "text"))
+
+
+@query(f"WITH {_MODEL}, b AS (SELECT item_id AS id, text FROM benchmark), {_terms_sql('cb', 'b')}, ids AS (SELECT id FROM b) {_scored_sql('cb')}")
+def reused_weights(spark, sf):
+    """What the model of the documents' chunks, written and loaded again, finds in texts that it has not seen."""
+    model = E.TermModel.load(spark, chunk_model(spark, sf, 0).folder)
+    return _scored(model, table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"))
+
+
+@query(None)
+def chunk_agent_similarity(spark, sf):
+    """Cosines of producers by their chunks' embeddings, pooled to files, runs and producers (no SQL twin: a decomposition; see the tests)."""
+    from sparvane.operators.stats import cosine
+
+    chunks = chunk_rows(spark, sf)
+    vectors = chunk_model(spark, sf).encode(chunks.select("id", "text")).join(chunks.drop("text"), "id")
+    agents = V.pooled(vectors, [["agent", "run", "doc_id"], ["agent", "run"], ["agent"]])
+    a, b = (agents.select(*(F.col(c).alias(f"{c}_{x}") for c in agents.columns)) for x in "ab")
+    return a.join(b, F.col("agent_a") < F.col("agent_b")).select("agent_a", "agent_b", F.bround(cosine("embedding_a", "embedding_b"), 6).alias("cosine_sim"))
