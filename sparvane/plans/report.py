@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from sparvane.operators import matrix as M
 from sparvane.operators import report as P
 from sparvane.operators import stats as T
+from sparvane.operators.settled import fresh_folder
 from sparvane.plans import catalogue as C
 from sparvane.plans import matrix as X
 from sparvane.plans import resampling as R
 from sparvane.plans.catalogue import query, table
+from sparvane.sources import results
 
 # Pathways are part types by size, metabolites are brands; those of even number are hits.  Each type is a theme of its pathways; some have metabolites of their own.
 NAMED = [("PROMO", "metabolite", "brand#5"), ("SMALL", "metabolite", " Brand#4 "), ("charge", "falls", "Brand#2"), ("charge", "falls", "Brand#8"), ("charge", "falls", "Brand#11"), ("charge", "falls", "Brand#20"), ("silent", "metabolite", "Brand#7")]
@@ -84,3 +86,12 @@ def agent_summary(spark, sf):
     final = runs.join(manual, ["agent", "run"], "left").select("agent", "run", F.coalesce("manual", "score").alias("score"), F.when(F.col("manual").isNull(), "proxy").otherwise("manual").alias("score_type"))
     means = T.bootstrap_means(final, "score", R.DRAWS).withColumn("m", F.bround("m", 9))
     return P.agent_summary(final, "score", means).withColumns({c: F.bround(c, 6) for c in _SUMMARY})
+
+
+@query("SELECT source AS agent, CAST(1 + (doc_id // 20) % 8 AS INTEGER) AS run, lang AS file_type, count(*) AS n FROM documents GROUP BY ALL")
+def kept_inventory(spark, sf):
+    """The inventory's summary, written to a result folder and read back by its manifest."""
+    folder = fresh_folder(spark, "results")
+    rows = C.inventory_summary(spark, sf)
+    results.write_table(rows, folder, "inventory_summary")
+    return results.read_table(spark, folder, "inventory_summary", rows.schema)
