@@ -24,13 +24,19 @@ def without_stereo(name: Column) -> Column:
     return F.regexp_replace(name, "^[ld]-", "")
 
 
+def _pieces(text: Column, n: int) -> Column:
+    """All different substrings of n characters."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(n))))
+
+
 def pathways_of(names: DataFrame, members: DataFrame) -> DataFrame:
     """``name, pathway`` of the ``names``, from ``members`` (``pathway, metabolite``).
 
     The first rule that finds something holds: a lipid's name parts; the same normal form,
     with or without its stereo mark; one form within the other, for known forms of SHORTEST
-    characters or more.  Known names are few and broadcast if they are small; the equi-join
-    comes before the search within names.
+    characters or more.  What lies within another name shares its first letters with a piece
+    of that, so that all rules are joins by equality.
     """
     forms = names.select("name").distinct().withColumn("form", normal_form(F.col("name")))
     known = members.select("pathway", normal_form(F.col("metabolite")).alias("key"))
@@ -41,8 +47,11 @@ def pathways_of(names: DataFrame, members: DataFrame) -> DataFrame:
     both = rest.select("name", F.explode(F.array_distinct(F.array("form", without_stereo(F.col("form"))))).alias("key"))
     by_form = both.join(known, "key").select("name", "pathway")
     left = rest.join(by_form, "name", "left_anti")
-    within = F.col("form").contains(F.col("key")) | F.col("key").contains(F.col("form"))
-    by_part = left.join(known.filter(F.length("key") >= SHORTEST), within).select("name", "pathway")
+    long = known.filter(F.length("key") >= SHORTEST)
+    in_form = left.withColumn("piece", F.explode(_pieces(F.col("form"), SHORTEST))).join(long.withColumn("piece", F.substring("key", 1, SHORTEST)), "piece").filter(F.col("form").contains(F.col("key")))
+    all_pieces = F.concat(F.array(F.lit("")), *(_pieces(F.col("key"), n) for n in range(1, SHORTEST + 1)))
+    in_key = left.withColumn("piece", F.substring("form", 1, SHORTEST)).join(long.withColumn("piece", F.explode(all_pieces)), "piece").filter(F.col("key").contains(F.col("form")))
+    by_part = in_form.select("name", "pathway").unionByName(in_key.select("name", "pathway"))
     return by_lipid.unionByName(by_form).unionByName(by_part).distinct()
 
 

@@ -239,25 +239,24 @@ def unique_names(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.when(number == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit("#"), number)).alias("name"))
 
 
-# A knowledge base and names that meet every rule of the mapping.
-KNOWN = [("Glycine, serine and threonine metabolism", "L-Serine"), ("Glycine, serine and threonine metabolism", "Glycine"), ("Taurine metabolism", "Taurine"), ("Carnitine shuttle", "Carnitine"), ("Carnitine shuttle", "Acetylcarnitine"), ("Purine metabolism", "Hypoxanthine"), ("Purine metabolism", "Uric acid"), ("TCA cycle", "Citrate"), ("Short", "Urea")]
-NAMES = ["L-Serine", "serine", "D-Serine", "DL-Serine_(principal)", "Glycine (qualifier)", "taurine#1", "Carnitine-d3", "octanoylcarnitine", "PC(34:1)", "SM 18:0", "Ceramide d18:1", "LysoPC 16:0", "Hypoxanthine pool", "uric  acid", "acid", "citr", "urea", "x-urea", "unknown", "  TAURINE ", "CL(72:8) with ceramide"]
+# Names as instruments report them, from parts, in forms that meet every rule of the mapping; every third part is known, its type is the pathway.
+_SPELT = ["p_name", "'L-' || p_name", "p_name || '_(principal)'", "p_name || ' (qualifier)'", "upper(p_name) || '#1'", "p_name || '-d3'", "'SM ' || p_size || ':0'", "'PC(' || p_size || ':1)'", "'DL-' || p_name || ' pool'", "split_part(p_name, ' ', 2)", "'x ' || p_name || '  y'", "'Ceramide d' || p_size", "p_type", "'  ' || p_name || ' '", "'lysoPC ' || p_name"]
+_KNOWN = "CASE WHEN p_partkey % 2 = 0 THEN 'D-' || p_name ELSE p_name END"
+_NAMES_SQL = "SELECT DISTINCT CASE p_partkey % 15 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_SPELT)) + " END AS name FROM part"
 
 
-def _rows_sql(rows: list, *columns: str) -> str:
-    quoted = ", ".join("(" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in (r if isinstance(r, tuple) else (r,))) + ")" for r in rows)
-    return f"SELECT * FROM (VALUES {quoted}) t({', '.join(columns)})"
+def reported(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select(F.expr("CASE p_partkey % 15 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_SPELT)) + " END").alias("name")).distinct()
 
 
 def _form_sql(column: str) -> str:
-    out = f"lower(trim({column}))"
-    for pattern, new in N.STEPS:
-        out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
-    return f"trim({out})"
+    out = f"regexp_replace(regexp_replace(lower(trim({column})), '_\\((principal|qualifier)\\)', '', 'g'), '\\s*\\((principal|qualifier)\\)', '', 'g')"
+    return f"trim(regexp_replace(replace(regexp_replace(regexp_replace(replace({out}, '#', ' '), '-d\\d+\\b', '', 'g'), '\\s+pool\\b', '', 'g'), 'dl-', ''), '\\s+', ' ', 'g'))"
 
 
-_LIPID_SQL = " UNION ALL ".join(f"SELECT name, '{p}' AS pathway FROM f WHERE " + " OR ".join(f"contains(form, '{x}')" for x in parts) for p, parts in N.LIPIDS.items())
-MAPPED = f"""kb AS ({_rows_sql(KNOWN, 'pathway', 'metabolite')}), nm AS ({_rows_sql(NAMES, 'name')}), f AS (SELECT name, {_form_sql('name')} AS form FROM nm),
+_LIPID_SQL = """SELECT name, 'Sphingolipid metabolism' AS pathway FROM f WHERE contains(form, 'sm(') OR contains(form, 'sm ') OR contains(form, 'ceramide') OR contains(form, 'sphingo')
+ UNION ALL SELECT name, 'Glycerophospholipid metabolism' FROM f WHERE regexp_matches(form, 'pc\\(|pe\\(|ps\\(|pg\\(|pi\\(|pa\\(|lysopc|plasmalogen|bmp\\(|cl\\(')"""
+MAPPED = f"""kb AS (SELECT DISTINCT p_type AS pathway, {_KNOWN} AS metabolite FROM part WHERE p_partkey % 3 = 0 AND p_size > 45), nm AS ({_NAMES_SQL}), f AS (SELECT name, {_form_sql('name')} AS form FROM nm),
 k0 AS (SELECT pathway, {_form_sql('metabolite')} AS key FROM kb), k AS (SELECT DISTINCT pathway, key FROM (SELECT * FROM k0 UNION ALL SELECT pathway, regexp_replace(key, '^[ld]-', '') FROM k0)),
 lip AS ({_LIPID_SQL}), eq AS (SELECT DISTINCT name, pathway FROM f JOIN k ON key = form OR key = regexp_replace(form, '^[ld]-', '')), sub AS (SELECT DISTINCT name, pathway FROM f JOIN k ON length(key) >= 5 AND (contains(form, key) OR contains(key, form))),
 maps AS (SELECT * FROM lip UNION ALL SELECT * FROM eq WHERE name NOT IN (SELECT name FROM lip) UNION ALL SELECT * FROM sub WHERE name NOT IN (SELECT name FROM lip) AND name NOT IN (SELECT name FROM eq))"""
@@ -265,9 +264,10 @@ maps AS (SELECT * FROM lip UNION ALL SELECT * FROM eq WHERE name NOT IN (SELECT
 
 @query(f"WITH {MAPPED} SELECT nm.name, count(pathway) AS n_pathways, coalesce(string_agg(pathway, '; ' ORDER BY pathway), '') AS pathways, count(pathway) > 0 AS mapped FROM nm LEFT JOIN maps ON nm.name = maps.name GROUP BY nm.name")
 def metabolite_annotation(spark, sf):
-    return N.annotate(spark.createDataFrame([(n,) for n in NAMES], "name string"), spark.createDataFrame(KNOWN, "pathway string, metabolite string"))
+    known = table(spark, sf, "part").filter("p_partkey % 3 = 0 AND p_size > 45").select(F.col("p_type").alias("pathway"), F.expr(_KNOWN).alias("metabolite")).distinct()
+    return N.annotate(reported(spark, sf), known)
 
 
 @query(f"WITH {MAPPED} SELECT name, form FROM f")
 def name_forms(spark, sf):
-    return spark.createDataFrame([(n,) for n in NAMES], "name string").select("name", N.normal_form(F.col("name")).alias("form"))
+    return reported(spark, sf).select("name", N.normal_form(F.col("name")).alias("form"))
