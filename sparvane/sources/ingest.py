@@ -1,7 +1,8 @@
 """Reads a tree ``<producer>/<run>/<file>`` into one row per file with its text, and the tables beside it.
 
 Paths decide which files count and where they belong (:mod:`sparvane.sources.paths`);
-contents are parsed on the executors (:mod:`sparvane.sources.formats`).  Spark's listing
+contents become texts by column expressions (:mod:`sparvane.sources.texts`) and, where a
+format needs one, by a parser (:mod:`sparvane.sources.formats`).  Spark's listing
 leaves out names that begin with an underscore.
 """
 
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparvane.sources import paths
-from sparvane.sources.formats import parse
+from sparvane.sources.formats import READERS, parse
+from sparvane.sources.texts import text_of
 
 
 def inventory(files: DataFrame, root: str) -> DataFrame:
@@ -54,11 +56,12 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [parse(n, bytes(c)) for n, c in zip(batch["filename"], batch["content"])]
-            yield batch.drop(columns="content").assign(text=texts)
+            batch["parsed"] = [parse(e, n, bytes(c)) if e in READERS else None for e, n, c in zip(batch["extension"], batch["filename"], batch["content"])]
+            yield batch
 
-    kept = [f for f in rows.schema if f.name != "content"]
-    return rows.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", text string")
+    parsed = rows.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", parsed string")
+    text = text_of(F.col("filename"), F.col("extension"), F.col("content"), F.col("parsed"), list(READERS))
+    return parsed.withColumn("text", text).drop("content", "parsed")
 
 
 TRUE_WORDS = ("1", "true", "yes", "y", "t")

@@ -71,9 +71,9 @@ def test_tree_with_many_formats(spark, tmp_path):
 
 
 def test_long_tables_are_cut_with_a_mark():
-    text = formats.parse("t.tsv", b"a\tb\n" * 10_001)
+    text = formats.parse(".tsv", "t.tsv", b"a\tb\n" * 10_001)
     assert text.count("\n") == 10_000 and text.endswith("[... truncated after 10000 rows ...]")
-    assert formats.parse("x.toml", None) == "" and formats.generic("g", b"\x00\x01\x02\x03\x04") == "[BINARY FILE: g — no readable text found]"
+    assert formats.parse(".toml", "x.toml", None) == ""
 
 
 def test_score_and_registry_tables(spark, tmp_path):
@@ -106,3 +106,23 @@ def test_stream_equals_batch(spark, tmp_path):
     query = runs.run_totals(runs.stream_corpus(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("totals").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(map(tuple, spark.table("totals").collect())) == sorted(map(tuple, runs.run_totals(rows).collect()))
+
+
+def test_texts_as_columns(spark):
+    from pyspark.sql import functions as F
+
+    from sparvane.sources import texts
+
+    cases = {
+        ("plain", "a\r\nb\rc é".encode()): "a\nb\nc é", ("plain", b"caf\xe9\r"): "café\n", ("plain", b""): "",
+        ("generic", b"\x00\x01\x02\x03\x04"): "[BINARY FILE: g — no readable text found]", ("generic", b"abc\nabcd  \n\x00\x01ab\nab\x00\xff cdefgh\n   \t  \n"): "abcd\nab\x00\ufffd cdefgh",
+        ("anything", b" \n\t"): "[BINARY FILE: g — no readable text found]", ("anything", b"one"): "one",
+        ("latex_toc", b"\\contentsline {section}{\\numberline {1}A \\LaTeX b}{3}\n\\contentsline{Chapter}{C}{9}"): "[LATEX TOC: g | entries=2]\n  section: A b (p.3)\n  Chapter: C (p.9)", ("latex_toc", b"none"): "none",
+        ("latex_aux", b"\\citation{b, a}\\citation{a}\\newlabel{x}{{1}{7}}"): "[LATEX AUX: g]\nCitations (2): a, b\n\nCross-reference labels (1):\n  x → page 1", ("latex_aux", b"z"): "z",
+        ("latex_out", b"\\BOOKMARK [1][-]{s.1}{\\376\\377\\000A\\000\\040\\000b}{}\n\\BOOKMARK [-1][-]{s}{\\bf }{}"): "[LATEX BOOKMARKS: g | entries=2]\nDocument outline:\n  A b",
+        ("bibliography", b"@Article{k,\n year = 2001,\n note = {x {y}\nz},\n Title = \"T\",\n title = {U}\n}\n"): "[BIBTEX FILE: g | entries=1]\n\n@ARTICLE {k}\n  title: U\n  year: 2001\n  note: x {y} z", ("bibliography", b"@"): "@",
+    }
+    frame = spark.createDataFrame([(i, "g", c) for i, (_, c) in enumerate(cases)], "i int, name string, content binary")
+    for i, ((reader, _), wanted) in enumerate(cases.items()):
+        args = [F.col("content")] if reader == "plain" else [F.col("name"), F.col("content")]
+        assert frame.filter(F.col("i") == i).select(getattr(texts, reader)(*args)).first()[0] == wanted, (i, reader)
