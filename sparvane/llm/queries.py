@@ -116,5 +116,23 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
 FROM f
+""",
+    # CRC-32 by its table of 256 remainders; turns are compared as they stand.
+    "op12_prefix_trie": """
+WITH crc AS (SELECT list_transform(generate_series(0, 255), lambda n: list_reduce([CAST(n AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+own AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, turns, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 4 AS h FROM own, crc),
+built AS (SELECT o.conv_id, list_concat(coalesce(b.turns[1:o.h], []), o.turns[o.h + 1:]) AS p FROM h o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+pre AS (SELECT conv_id, p[1:d] AS q, d, len(p) = d AS ends FROM (SELECT conv_id, p, unnest(generate_series(0, len(p))) AS d FROM built)),
+node AS (SELECT q, d, min(conv_id) AS owner, count(*) AS n, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+    CASE WHEN d > 0 THEN len(regexp_extract_all(q[d].t, '[^\\x20\\x09-\\x0D]+')) ELSE 0 END AS words FROM pre GROUP BY q, d),
+child AS (SELECT q[1:d - 1] AS q, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+own_sums AS (SELECT node.q, node.d, CAST(child.n IS NULL AS BIGINT) AS leaf, (node.n - 1) * words AS saved FROM node LEFT JOIN child ON node.d = child.d AND node.q = child.q),
+tree AS (SELECT q[1:k] AS q, k AS d, sum(leaf) AS leaves, sum(saved) AS saved FROM (SELECT *, unnest(generate_series(0, d)) AS k FROM own_sums) GROUP BY ALL)
+SELECT node.owner AS conv_id, CAST(node.d AS BIGINT) AS depth, above.owner AS parent_conv_id, node.n AS n_convs, coalesce(child.n, 0) AS n_children,
+  CAST(tree.leaves AS BIGINT) AS n_leaves, CAST(tree.saved AS BIGINT) AS saved_tokens, node.ends_sha256
+FROM node JOIN tree ON tree.d = node.d AND tree.q = node.q LEFT JOIN child ON child.d = node.d AND child.q = node.q LEFT JOIN node above ON above.d = node.d - 1 AND above.q = node.q[1:node.d - 1]
 """,
 }

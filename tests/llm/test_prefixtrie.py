@@ -55,6 +55,15 @@ def test_whole_table_equals_brute_force(spark, sf="/root/testdata/sf0.01"):
     assert found(queries.QUERIES["op12_prefix_trie"](spark, sf)) == brute_force(rows)
 
 
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_sql_equals_brute_force(sf):
+    import duckdb
+
+    conversations = duckdb.sql(f"SELECT conv_id, turn, role, text FROM '{sf}/conversations.parquet'")  # noqa: F841  the SQL names it
+    got = duckdb.sql(f"SELECT conv_id, depth, coalesce(parent_conv_id, -1), n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM ({queries.ORACLE_SQL['op12_prefix_trie']})").fetchall()
+    assert sorted(got) == brute_force(conversations.fetchall())
+
+
 def odd_rows(seed=4):
     rng = random.Random(seed)
     rows = []
