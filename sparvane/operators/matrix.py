@@ -231,3 +231,48 @@ def over_representation(members: DataFrame, hits: DataFrame) -> DataFrame:
     per = marked.groupBy("pathway").agg(F.count("*").alias("size"), F.count("hit").alias("hits"), F.array_join(F.array_sort(F.collect_set("hit")), "; ").alias("hit_list"))
     expected = F.col("size") * F.col("significant") / F.col("background")
     return per.crossJoin(F.broadcast(totals)).withColumn("ratio", F.bround(F.try_divide("hits", expected), 6)).withColumn("expected", F.bround(expected, 6))
+
+
+def trailing_number(name: Column) -> Column:
+    """The number at a name's end, by which control and case samples are pairs; null without one."""
+    return F.nullif(F.regexp_extract(name, r"(\d+)$", 1), F.lit("")).try_cast("int")
+
+
+def differential_paired(cells: DataFrame, least: int = 3) -> DataFrame:
+    """The paired form of the tests of ``feature, name, position, grp, v``: control and case samples whose names end in the same number are pairs.
+
+    Paired t and signed ranks take the pairs' differences of logarithms, if a feature has
+    ``least`` of them; Cohen's d takes differences of the groups' values in the order of their positions,
+    whatever their numbers, as long as both have as many.
+    """
+    logged = cells.filter("v is not null").withColumns({"l": log("v", "log2"), "pair": trailing_number(F.col("name"))})
+    difference = F.max(_of("case", "l")) - F.max(_of("control", "l"))
+    pairs = logged.filter("pair is not null").groupBy("feature", "pair").agg(difference.alias("x")).filter("x is not null")
+    sums = pairs.groupBy("feature").agg(F.count("*").alias("n_pairs"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
+    some = F.col("n_pairs") >= least
+    t = F.try_divide(F.col("m"), F.nullif(F.col("s"), F.lit(0.0)) / F.sqrt("n_pairs"))
+    tested = sums.select("feature", "n_pairs", F.when(some, t).alias("t")).withColumn("p_param", special.t_two_sided(F.col("t"), (F.col("n_pairs") - 1).cast("double")))
+    signed = signed_rank_test(pairs).select("feature", F.col("p").alias("p_signed"))
+    placed = logged.withColumn("place", F.row_number().over(Window.partitionBy("feature", "grp").orderBy("position")))
+    by_place = placed.groupBy("feature", "place").agg(difference.alias("x"), F.count("*").alias("both"))
+    paired_d = by_place.groupBy("feature").agg(F.when(F.min("both") == 2, F.try_divide(F.avg("x"), F.nullif(F.stddev_samp("x"), F.lit(0.0)))).alias("paired_d"), (F.min("both") == 2).alias("even"))
+    stats = group_tests(cells).filter((F.col("n1") >= least) & (F.col("n0") >= least))
+    rows = stats.join(tested, "feature", "left").join(signed, "feature", "left").join(paired_d, "feature", "left")
+    p_nonparam = F.when(F.col("n_pairs") >= least, F.col("p_signed"))
+    d = F.when(F.col("even") & (F.col("n1") > 1), F.col("paired_d")).otherwise(F.col("cohens_d"))
+    out = rows.select("feature", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "log2fc", "t", "p_param", p_nonparam.alias("p_nonparam"), d.alias("cohens_d"))
+    return benjamini_hochberg(out.withColumn("p_value", F.coalesce("p_param", "p_nonparam")), "p_value", "q_value")
+
+
+def enrichment(members: DataFrame, hits: DataFrame, changes: DataFrame, smallest: int = 3, alpha: float = 0.05) -> DataFrame:
+    """Pathways of ``smallest`` members or more: size, hits, expected hits, ratio, Fisher's p and its q, the hits' mean log2 change, and whether they are enriched.  ``changes``: ``metabolite, log2fc``."""
+    sized = over_representation(members, hits).filter(F.col("size") >= smallest).withColumn("p_value", hypergeometric_tail("hits", "size", "significant", "background"))
+    means = members.join(hits, "metabolite").join(changes, "metabolite").groupBy("pathway").agg(F.avg("log2fc").alias("mean_log2fc_sig"))
+    rows = benjamini_hochberg(sized.select("pathway", "size", "hits", "expected", "ratio", "hit_list", F.bround("p_value", 10).alias("p_value")), "p_value", "q_value")
+    return rows.join(means, "pathway", "left").withColumn("enriched", F.coalesce(F.col("q_value") < alpha, F.lit(False)))
+
+
+def nominate_genes(members: DataFrame, hits: DataFrame, genes: DataFrame, enriched: DataFrame) -> DataFrame:
+    """Genes (``pathway, gene``) of pathways with a hit: their pathways and hits, and the least q of these pathways."""
+    rows = members.join(hits, "metabolite").join(genes, "pathway").join(enriched.select("pathway", "q_value"), "pathway", "left")
+    return rows.groupBy("gene").agg(F.count_distinct("pathway").alias("n_pathways"), F.count_distinct("metabolite").alias("n_metabolites"), F.min("q_value").alias("best_pathway_q"))

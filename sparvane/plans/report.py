@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparvane.functions import special
 from sparvane.operators import matrix as M
 from sparvane.operators import report as P
 from sparvane.operators import stats as T
@@ -95,3 +96,58 @@ def kept_inventory(spark, sf):
     rows = C.inventory_summary(spark, sf)
     results.write_table(rows, folder, "inventory_summary")
     return results.read_table(spark, folder, "inventory_summary", rows.schema)
+
+
+# Pathways of three members or more, ranked by p, then by ratio; genes by their hits, then by their best q.
+RANKED = f"""{X.TESTS}, mem AS (SELECT DISTINCT p_type || ' ' || p_size AS pathway, p_brand AS metabolite FROM part), even AS (SELECT DISTINCT metabolite FROM mem WHERE TRY_CAST(regexp_extract(metabolite, '(\\d+)', 1) AS INTEGER) % 2 = 0),
+tot AS (SELECT CAST(count(DISTINCT metabolite) AS INTEGER) AS n FROM mem), sg AS (SELECT CAST(count(*) AS INTEGER) AS g FROM even),
+k AS (SELECT pathway, CAST(count(*) AS INTEGER) AS size, CAST(count(even.metabolite) AS INTEGER) AS hits, coalesce(string_agg(even.metabolite, '; ' ORDER BY even.metabolite), '') AS hit_list, avg(log2fc) AS mean_log2fc_sig
+  FROM mem LEFT JOIN even ON mem.metabolite = even.metabolite LEFT JOIN st ON st.feature = even.metabolite GROUP BY pathway HAVING count(*) >= 3), i AS (SELECT pathway, hits, n, g, size, unnest(generate_series(hits, least(size, g))) AS i FROM k, tot, sg),
+pv AS (SELECT pathway AS feature, round_even(least(1.0, sum(CASE WHEN g - i > n - size THEN 0 ELSE exp(lgamma(size + 1) - lgamma(i + 1) - lgamma(size - i + 1) + lgamma(n - size + 1) - lgamma(g - i + 1) - lgamma(n - size - g + i + 1) - lgamma(n + 1) + lgamma(g + 1) + lgamma(n - g + 1)) END)), 10) AS p_value FROM i GROUP BY pathway),
+q AS ({X.bh_sql('pv', 'p_value', 'q_value')}),
+enr AS (SELECT k.pathway, size, hits, size * g / CAST(n AS DOUBLE) AS expected, hits / (size * g / CAST(n AS DOUBLE)) AS ratio, hit_list, p_value, q_value, mean_log2fc_sig, q_value < 0.05 AS enriched FROM k JOIN q ON q.feature = k.pathway, tot, sg)"""
+
+
+def enrichment_frames(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    members = table(spark, sf, "part").select(F.concat_ws(" ", "p_type", "p_size").alias("pathway"), F.col("p_brand").alias("metabolite")).distinct()
+    even = members.select("metabolite").distinct().filter(F.regexp_extract("metabolite", r"(\d+)", 1).try_cast("int") % 2 == 0)
+    changes = M.group_tests(X.normalised(spark, sf)).select(F.col("feature").alias("metabolite"), "log2fc")
+    return members, even, M.enrichment(members, even, changes)
+
+
+@query(f"WITH {RANKED} SELECT pathway, size, hits, round_even(expected, 6) AS expected, round_even(ratio, 6) AS ratio, hit_list, round_even(p_value, 9) AS p_value, round_even(q_value, 8) AS q_value, round_even(mean_log2fc_sig, 8) AS mean_log2fc_sig, enriched FROM enr ORDER BY p_value, ratio DESC, pathway")
+def enrichment_ranked(spark, sf):
+    """The enrichment table with q and the hits' mean change, by p, then by ratio."""
+    rows = enrichment_frames(spark, sf)[2]
+    return rows.orderBy(F.asc_nulls_last("p_value"), F.desc("ratio"), "pathway").withColumns({"p_value": F.bround("p_value", 9), "q_value": F.bround("q_value", 8), "mean_log2fc_sig": F.bround("mean_log2fc_sig", 8)})
+
+
+@query(f"""WITH {RANKED}, g2 AS (SELECT DISTINCT p_type || ' ' || p_size AS pathway, 'gene' || (p_size % 12) AS gene FROM part)
+SELECT gene, count(DISTINCT m.pathway) AS n_pathways, count(DISTINCT m.metabolite) AS n_metabolites, round_even(min(q_value), 8) AS best_pathway_q FROM g2 JOIN mem m ON g2.pathway = m.pathway JOIN even ON even.metabolite = m.metabolite LEFT JOIN enr ON enr.pathway = m.pathway GROUP BY gene ORDER BY n_metabolites DESC, best_pathway_q, gene""")
+def gene_nomination(spark, sf):
+    """Genes by their pathways' hits, then by the best q among these pathways."""
+    members, even, enriched = enrichment_frames(spark, sf)
+    genes = table(spark, sf, "part").select(F.concat_ws(" ", "p_type", "p_size").alias("pathway"), F.concat(F.lit("gene"), F.col("p_size") % 12).alias("gene")).distinct()
+    rows = M.nominate_genes(members, even, genes, enriched)
+    return rows.orderBy(F.desc("n_metabolites"), F.asc_nulls_last("best_pathway_q"), "gene").withColumn("best_pathway_q", F.bround("best_pathway_q", 8))
+
+
+# Samples have names with a number at the end, those of cases in another order: pairs go by number, Cohen's d by position.
+_NUMBER = "CASE WHEN sample < 4 THEN sample + 1 ELSE (sample * 3) % 4 + 1 END"
+_PT = "(m / (nullif(s, 0) / sqrt(n_pairs)))"
+PAIRED = f"""{X.TESTS}, num AS (SELECT *, {_NUMBER} AS number FROM lg), px AS (SELECT feature, number, max(l) FILTER (grp = 'case') - max(l) FILTER (grp = 'control') AS x FROM num GROUP BY ALL), ps AS (SELECT feature, count(*) AS n_pairs, avg(x) AS m, stddev_samp(x) AS s FROM px GROUP BY feature),
+r AS (SELECT feature, x, rank() OVER (PARTITION BY feature ORDER BY abs(x)) + (count(*) OVER (PARTITION BY feature, abs(x)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY feature, abs(x)) AS same FROM px WHERE x <> 0),
+w AS (SELECT feature, CAST(coalesce(sum(r) FILTER (x > 0), 0) AS DOUBLE) AS w, count(*) AS n, CAST(sum(same * same - 1) AS DOUBLE) AS ties FROM r GROUP BY feature), sg AS (SELECT m, list_sum(list_transform(generate_series(0, 3), lambda i: ((m >> i) & 1) * (i + 1))) AS s FROM (SELECT unnest(generate_series(0, 15)) AS m)),
+sr AS (SELECT feature, CASE WHEN ties = 0 THEN least(1.0, 2 * count_if(m < 2 ** n AND s >= greatest(w, n * (n + 1) / 2 - w)) / 2.0::DOUBLE ** n) ELSE {special.normal_two_sided_sql("((greatest(w, n * (n + 1) / 2.0::DOUBLE - w) - n * (n + 1) / 4.0::DOUBLE) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24.0::DOUBLE))")} END AS p_nonparam FROM w, sg GROUP BY feature, w, n, ties),
+pd AS (SELECT a.feature, avg(b.l - a.l) / nullif(stddev_samp(b.l - a.l), 0) AS cohens_d FROM lg a JOIN lg b ON a.feature = b.feature AND a.sample + 4 = b.sample GROUP BY a.feature),
+al AS (SELECT ps.feature, n_pairs, log2fc, {_PT} AS t, {special.t_two_sided_sql(_PT, "CAST(n_pairs - 1 AS DOUBLE)")} AS p_param, p_nonparam, cohens_d FROM ps JOIN st ON st.feature = ps.feature JOIN pd ON pd.feature = ps.feature LEFT JOIN sr ON sr.feature = ps.feature WHERE n1 >= 3 AND n0 >= 3),
+pp AS (SELECT *, coalesce(p_param, p_nonparam) AS p_value FROM al), pq AS ({X.bh_sql('pp', 'p_value', 'q_value')})"""
+_PAIRED = {"log2fc": 6, "t": 5, "p_param": 6, "p_nonparam": 6, "cohens_d": 5, "p_value": 6, "q_value": 6}
+
+
+@query(f"WITH {PAIRED} SELECT feature, n_pairs, " + ", ".join(f"round_even({c}, {n}) AS {c}" for c, n in _PAIRED.items()) + " FROM pq")
+def paired_differential(spark, sf):
+    """Differential tests of pairs by the number at the samples' names' ends."""
+    cells = X.normalised(spark, sf).withColumn("name", F.concat("grp", F.lit("_"), F.expr(_NUMBER).cast("string")))
+    found = M.differential_paired(cells.select("feature", "name", F.col("sample").alias("position"), "grp", "v"))
+    return found.withColumns({c: F.bround(c, n) for c, n in _PAIRED.items()})

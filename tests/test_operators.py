@@ -139,3 +139,33 @@ def test_the_matrix_is_computed_once(spark):
     for name in ("differential_abundance", "regulation_flags", "differential_summary"):
         plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Scan ") <= 2 and "Join" not in plan
+
+
+def test_paired_tests_go_by_number_and_cohens_d_by_position(spark):
+    import numpy as np
+
+    from sparvane.operators import matrix as M
+
+    rng = np.random.default_rng(5)
+    names = {"control": ["c_3", "c_1", "c_2", "c_10", "c_x"], "case": ["k_1", "k_10", "k_3", "k_2", "k_7"]}
+    cells, values = [], {}
+    for feature in ("f", "gaps", "few"):
+        for grp, listed in names.items():
+            for i, name in enumerate(listed):
+                v = float(rng.uniform(1, 9))
+                v = None if feature == "gaps" and name == "k_3" or feature == "few" and grp == "case" and i > 1 else v
+                values[feature, name] = v
+                cells.append((feature, name, i, grp, v))
+    rows = {r["feature"]: r for r in M.differential_paired(spark.createDataFrame(cells, "feature string, name string, position int, grp string, v double")).collect()}
+    assert set(rows) == {"f", "gaps"}
+    for feature, row in rows.items():
+        log = lambda n: None if values[feature, n] is None else np.log2(values[feature, n] + 1)  # noqa: E731, B023
+        x = np.array([log(f"k_{i}") - log(f"c_{i}") for i in (1, 2, 3, 10) if log(f"k_{i}") is not None])
+        assert row["n_pairs"] == len(x) and np.isclose(row["t"], x.mean() / (x.std(ddof=1) / np.sqrt(len(x))))
+        case, control = (np.array([log(n) for n in names[g] if log(n) is not None]) for g in ("case", "control"))
+        if len(case) == len(control):
+            d = case - control
+            wanted = d.mean() / d.std(ddof=1)
+        else:
+            wanted = (case.mean() - control.mean()) / np.sqrt(((len(case) - 1) * case.var(ddof=1) + (len(control) - 1) * control.var(ddof=1)) / (len(case) + len(control) - 2))
+        assert np.isclose(row["cohens_d"], wanted) and 0 <= row["p_param"] <= 1 and 0 < row["p_nonparam"] <= 1
