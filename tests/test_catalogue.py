@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from sparvane.plans import audit, catalogue, consensus, embeddings, errors, matrix, montecarlo, reductions, report, resampling, shapes, trees  # noqa: F401
+from sparvane.plans import answers, audit, catalogue, consensus, embeddings, errors, matrix, montecarlo, reductions, report, resampling, shapes, trees  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
