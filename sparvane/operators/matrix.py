@@ -97,8 +97,8 @@ def normalise(cells: DataFrame, how: str | None) -> DataFrame:
 
 
 def log(value: str, how: str) -> Column:
-    """log2 or log10 of 1 + max(v, 0), or its natural logarithm (``ln``)."""
-    raised = F.greatest(F.col(value), F.lit(0.0)) + 1
+    """log2 or log10 of 1 + max(v, 0), or its natural logarithm (``ln``); null stays null."""
+    raised = F.when(F.col(value).isNotNull(), F.greatest(F.col(value), F.lit(0.0))) + 1
     return {"log2": F.log2, "log10": F.log10, "ln": F.log}[how](raised)
 
 
