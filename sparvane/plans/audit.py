@@ -9,6 +9,7 @@ from sparvane.functions import special
 from sparvane.operators import robust
 from sparvane.operators import scoring as S
 from sparvane.operators import stats as T
+from sparvane.operators.settled import settled
 from sparvane.plans import catalogue as C
 from sparvane.plans import resampling as R
 from sparvane.plans.catalogue import query
@@ -68,7 +69,7 @@ SENS = f"{C.PARTS}{C.scores_sql('scores')}{C.scores_sql('less', S.VOLUME)}{C.gra
 
 def means(spark: SparkSession, sf: str, penalised: bool = False) -> DataFrame:
     """``definition, agent, v``: each definition's mean by agent; ``penalised`` adds F, which SQL can't state."""
-    features = C.run_features_frame(spark, sf)
+    features = settled(C.run_features_frame(spark, sf))  # read by every definition
     parts = S.components(features)
     scores, less = S.run_scores(parts), S.run_scores(parts, S.VOLUME)
     sims = C.run_similarities(spark, sf).filter("agent_a = agent_b").groupBy(F.concat(F.lit("src"), "agent_a").alias("agent"))

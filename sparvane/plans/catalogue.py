@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparvane.functions import lexicon as L
 from sparvane.operators import scoring as S
 from sparvane.operators import stats as T
+from sparvane.operators.settled import settled
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -52,10 +53,10 @@ ascii AS (SELECT *, regexp_replace(text, '[\\x{{80}}-\\x{{10FFFF}}]', 'x', 'g')
 
 def features(spark: SparkSession, sf: str, lexicons: tuple = L.ALL, entity: str = "gene") -> DataFrame:
     """Per file the structural counts, the terms of all families, and how often entities and pathways are named."""
-    rows = corpus(spark, sf)
-    columns = L.structure(F.col("text"))
+    rows = corpus(spark, sf).withColumn("clues", L.clues(F.col("text"), lexicons))  # a column of its own: found once, not for each pattern
+    columns = L.structure(F.col("text"), F.col("clues"))
     for lexicon in lexicons:
-        columns |= lexicon.counts(F.col("text"))
+        columns |= lexicon.counts(F.col("text"), F.col("clues"))
     counted = rows.select("agent", "run", "file_id", *(c.alias(n) for n, c in columns.items()))
     return counted.withColumns({f"n_{entity}_mentions": F.col(f"bio_{entity}"), "n_pathway_mentions": F.col("bio_pathway")})
 
@@ -178,8 +179,9 @@ def agent_ranking(spark, sf):
 LONG = RUNS + ", long AS (" + " UNION ALL ".join(f"SELECT agent, run, '{n.partition('_')[0]}' AS family, '{n.partition('_')[2]}' AS term, \"{n}\" AS cnt FROM runs" for n in _TERM_SQL) + ")"
 
 
-def long_terms(spark: SparkSession, sf: str) -> DataFrame:
-    runs = run_features_frame(spark, sf)
+def long_terms(spark: SparkSession, sf: str, runs: DataFrame | None = None) -> DataFrame:
+    """One row per agent, run and term; the runs' features are computed once, however often the rows are read."""
+    runs = settled(run_features_frame(spark, sf)) if runs is None else runs
     pairs = F.array(*(F.struct(F.lit(n.partition("_")[0]).alias("family"), F.lit(n.partition("_")[2]).alias("term"), F.col(f"`{n}`").alias("cnt")) for n in _TERM_SQL))
     return runs.select("agent", "run", F.inline(pairs))
 

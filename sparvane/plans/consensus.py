@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparvane.operators import stats as T
+from sparvane.operators.settled import settled
 from sparvane.plans import catalogue as C
 from sparvane.plans import resampling as R
 from sparvane.plans.catalogue import query
@@ -82,9 +83,9 @@ def alignment(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("agent", "run", F.bround("cos", 4).alias("cosine_sim_to_global"), F.bround("so", 4).alias("strict_term_overlap"), F.bround("ro", 4).alias("robust_term_overlap"), _score(40 * (F.col("cos") + 1) / 2 + 30 * F.col("so") + 30 * F.col("ro")).alias("score"))
 
 
-def distinctiveness(spark: SparkSession, sf: str) -> DataFrame:
+def distinctiveness(spark: SparkSession, sf: str, runs: DataFrame | None = None) -> DataFrame:
     """``agent, run``, distance from all, terms of this agent alone, share of terms that not all have, and the score they make."""
-    terms = C.long_terms(spark, sf)
+    terms = C.long_terms(spark, sf, runs)
     roles = term_roles(terms)
     strict = F.broadcast(roles.filter("strict").select("term").distinct().withColumn("strict", F.lit(True)))
     own = roles.filter("specific").select(F.col("owner").alias("agent"), "term").distinct()
@@ -107,8 +108,9 @@ def consensus_alignment_error(spark, sf):
 
 @query(f"WITH {APART}{C.parts_sql(C._TERM_SQL, C.S.TRANSCRIPTS)}{C.scores_sql('scores')} SELECT ap.agent, ap.run, cosine_dist_to_global, agent_specific_terms_present, agent_specific_term_frac, nonconsensus_frac, score AS distinctiveness_score, round_even(AgentScore, 6) AS AgentScore FROM ap LEFT JOIN scores ON scores.agent = ap.agent AND scores.run = ap.run")
 def distinctiveness_scores(spark, sf):
-    scores = C.scores_frame(spark, sf).select("agent", "run", F.bround("AgentScore", 6).alias("AgentScore"))
-    return distinctiveness(spark, sf).withColumnRenamed("score", "distinctiveness_score").join(scores, ["agent", "run"], "left")
+    runs = settled(C.run_features_frame(spark, sf))  # for terms and scores alike
+    scores = C.S.run_scores(C.S.components(runs)).select("agent", "run", F.bround("AgentScore", 6).alias("AgentScore"))
+    return distinctiveness(spark, sf, runs).withColumnRenamed("score", "distinctiveness_score").join(scores, ["agent", "run"], "left")
 
 
 @query(f"WITH {APART}, {error_sql('ap', 'mean_distinctiveness')}")
