@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparvane.operators import terms as W
 from sparvane.operators import vectors as V
 from sparvane.operators.settled import settled
 
@@ -29,16 +30,13 @@ class TermModel:
     def fit(chunks: DataFrame, folder: str, most: int = V.TERMS, components: int = V.COMPONENTS) -> TermModel:
         """Fits ``id, text`` rows and writes the model to ``folder``; without ``components`` it has weights only."""
         spark = chunks.sparkSession
-        counts = chunks.select("id", F.explode(V.terms(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-        top = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(most)
-        n = chunks.agg(F.count("*").alias("n"))  # one row
-        idf = top.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-        names = [(r["term"], float(r["idf"])) for r in idf.orderBy("term").collect()]  # ``most`` of them
-        numbered = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(names)], "n int, term string, idf double")
+        texts = W.worded(chunks)
+        names, idf = V.inverse_frequencies(texts, most, chunks.count())
         found = np.zeros((len(names), 0))
         if names and components:
-            found = V.fit_components(settled(V.numbered_rows(_weights(chunks, numbered))), len(names), components)  # read in each round
-        table = spark.createDataFrame([(i, t, x, found[i].tolist()) for i, (t, x) in enumerate(names)], "n int, term string, idf double, components array<double>")
+            rows = W.weighed(texts, names, idf).filter(F.size("at") > 0)
+            found = V.fit_components(settled(rows), len(names), components)  # read in each round
+        table = spark.createDataFrame([(i, t, x, found[i].tolist()) for i, (t, x) in enumerate(zip(names, idf))], "n int, term string, idf double, components array<double>")
         table.write.mode("overwrite").parquet(folder)
         return TermModel.load(spark, folder)
 
@@ -46,25 +44,21 @@ class TermModel:
     def load(spark: SparkSession, folder: str) -> TermModel:
         return TermModel(folder, spark.read.parquet(folder))
 
+    def sparse(self, texts: DataFrame) -> DataFrame:
+        """``id, at, w`` of every id of ``id, text``: the numbers and weights of the model's terms in its text, empty without any."""
+        known = self.terms.select("term", "idf").orderBy("n").collect()  # V.TERMS terms at most
+        return W.weighed(W.worded(texts), [r["term"] for r in known], [r["idf"] for r in known])
+
     def weights(self, texts: DataFrame) -> DataFrame:
         """``id, n, term, w``: the weights of the model's terms in ``id, text``."""
-        return _weights(texts, self.terms.select("n", "term", "idf"))
+        rows = self.sparse(texts).select("id", F.inline(F.arrays_zip(F.col("at").alias("n"), "w")))
+        return rows.join(F.broadcast(self.terms.select("n", "term")), "n").select("id", "n", "term", "w")
 
     def encode(self, texts: DataFrame) -> DataFrame:
-        """``id, embedding`` of length 1 for every text; a text without any of the model's terms has zeros."""
+        """``id, embedding`` of length 1 for every id; a text without any of the model's terms has zeros."""
         known = self.terms.orderBy("n").select("components").collect()
         components = np.array([r["components"] for r in known], float) if known else np.zeros((0, 1))
-        width = components.shape[1] if components.ndim == 2 else 1
-        found = V.embed(V.numbered_rows(self.weights(texts)), components)
-        zeros = F.array_repeat(F.lit(0.0).cast("float"), width)
-        return texts.select("id").join(found, "id", "left").withColumn("embedding", F.coalesce("embedding", zeros))
-
-
-def _weights(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    counts = texts.select("id", F.explode(V.terms(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    rows = counts.join(F.broadcast(terms), "term").select("id", "n", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))  # V.TERMS terms at most
-    norms = rows.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return rows.join(norms, "id").select("id", "n", "term", (F.col("w") / F.col("norm")).alias("w"))
+        return V.embed(self.sparse(texts), components)
 
 
 BACKENDS: dict[str, Callable[..., TermModel]] = {TermModel.name: TermModel.fit}
@@ -79,5 +73,6 @@ def chunked(texts: DataFrame, text: Column, size: int = 800, overlap: int = 150)
     """The rows of ``texts`` for each chunk of ``size`` words of its text, with ``chunk`` (from 0) and ``chunk_text``; none for a text without words."""
     words = texts.withColumn("__w", F.filter(F.split(text, r"\s+"), lambda x: x != "")).withColumn("__n", F.size("__w")).filter("__n > 0")
     step = size - overlap
-    rows = words.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil((F.col("__n") - size) / step), F.lit(0)).cast("int"))))
-    return rows.withColumn("chunk_text", F.array_join(F.slice("__w", F.col("chunk") * step + 1, F.lit(size)), " ")).drop("__w", "__n")
+    places = F.sequence(F.lit(0), F.greatest(F.ceil((F.col("__n") - size) / step), F.lit(0)).cast("int"))
+    pieces = F.transform(places, lambda k: F.struct(k.alias("chunk"), F.array_join(F.slice("__w", k * step + 1, F.lit(size)), " ").alias("chunk_text")))
+    return words.select(*texts.columns, F.inline(pieces))  # the words themselves don't go along with each chunk

@@ -2,40 +2,52 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparvane.operators import terms as W
 from sparvane.operators.moments import Axes, enough, moments, project  # noqa: F401
 from sparvane.operators.stats import mean_vector
 
 TERMS, COMPONENTS, BLOCK = 20_000, 128, 500
-WORD = r"[\p{L}\p{N}_]{2,}"
+WORD = W.WORD
 
 
 def terms(text: Column) -> Column:
     """Lower-case words of two characters or more, then neighbouring pairs of them."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    words = W.words(text)
     pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
     return F.concat(words, F.array_compact(pairs))
 
 
-def tfidf(rows: DataFrame, most: int = TERMS) -> DataFrame:
-    """``id, term, w`` of ``id, text``: (1 + ln tf) (1 + ln((1 + n) / (1 + df))) over the ``most`` frequent terms, each text's weights of length 1.
+def inverse_frequencies(texts: DataFrame, most: int, n: int) -> tuple[list[str], list[float]]:
+    """The ``most`` frequent terms of worded texts by name, and 1 + ln((1 + n) / (1 + df)) of each."""
+    top = W.frequent(texts, most)
+    return [t for t, _ in top], [math.log((1 + n) / (1 + df)) + 1 for _, df in top]
 
-    Counts are combined before they are shuffled, by (text, term) and by term.
-    """
-    counts = rows.select("id", F.explode(terms(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    n = rows.agg(F.count("*").alias("n"))  # one row
-    top = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(most)
-    idf = top.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weights = counts.join(F.broadcast(idf), "term").select("id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))  # most terms at most
-    norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weights.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
+
+def sparse_tfidf(rows: DataFrame, most: int = TERMS) -> tuple[DataFrame, list[str]]:
+    """``id, at, w`` arrays of :func:`tfidf`'s weights, and the terms by their number; no text is shuffled."""
+    texts = W.worded(rows)
+    names, idf = inverse_frequencies(texts, most, rows.count())
+    return W.weighed(texts, names, idf).filter(F.size("at") > 0), names
+
+
+def named(names: list[str], spark: SparkSession) -> DataFrame:
+    """``at, term``: names by their number (``TERMS`` at most)."""
+    return F.broadcast(spark.createDataFrame(pd.DataFrame({"at": np.arange(len(names)), "term": pd.Series(names, dtype=object)}), "at int, term string"))
+
+
+def tfidf(rows: DataFrame, most: int = TERMS) -> DataFrame:
+    """``id, term, w`` of ``id, text``: (1 + ln tf) (1 + ln((1 + n) / (1 + df))) over the ``most`` frequent terms, each text's weights of length 1."""
+    found, names = sparse_tfidf(rows, most)
+    return found.select("id", F.inline(F.arrays_zip("at", "w"))).join(named(names, rows.sparkSession), "at").select("id", "term", "w")
 
 
 def sparse_rows(weights: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -151,6 +163,13 @@ def pooled(rows: DataFrame, levels: list[list[str]], vector: str = "embedding")
     return rows
 
 
+def mean_of_few(rows: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:
+    """Like a level of :func:`pooled`, for groups of a few rows: whole vectors are shuffled, not a row for each of their numbers."""
+    few = rows.groupBy(*keys).agg(F.collect_list(F.transform(vector, lambda x: x.cast("double"))).alias("v"))
+    total = F.aggregate("v", F.transform(F.get("v", F.lit(0)), lambda x: F.lit(0.0)), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+    return few.select(*keys, F.transform(total, lambda x: x / F.size("v")).alias(vector))
+
+
 def principal(matrix: np.ndarray, components: int, scaled: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates and explained shares of the leading principal components; of standardised columns, if ``scaled`` (constant ones count as 0).
 

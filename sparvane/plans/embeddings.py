@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparvane.operators import embedding as E
 from sparvane.operators import matrix as M
 from sparvane.operators import vectors as V
-from sparvane.operators.settled import fresh_folder
+from sparvane.operators.settled import fresh_folder, settled
 from sparvane.plans import catalogue as C
 from sparvane.plans import matrix as X
 from sparvane.plans.catalogue import query, table
@@ -20,11 +20,17 @@ x AS (SELECT doc_id, c.term, (1 + ln(tf)) * (ln((1 + n) / CAST(1 + df AS DOUBLE)
 u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM x)"""
 
 
+def _sum(values: str) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
 @query(f"WITH {TFIDF} SELECT doc_id, count(*) AS n_terms, round_even(max(w), 6) AS largest, arg_max(term, (round(w, 9), term)) AS top_term, round_even(sum(w), 5) AS total FROM u GROUP BY doc_id")
 def tfidf_weights(spark, sf):
     """Per document its terms among the most frequent, their largest and their summed weight."""
-    rows = V.tfidf(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
-    return rows.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_terms"), F.bround(F.max("w"), 6).alias("largest"), F.max_by("term", F.struct(F.round("w", 9), "term")).alias("top_term"), F.bround(F.sum("w"), 5).alias("total"))
+    rows, names = V.sparse_tfidf(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    best = F.array_max(F.zip_with("w", "at", lambda w, at: F.struct(F.round(w, 9).alias("w"), at.alias("at"))))["at"]  # terms are numbered by name
+    found = rows.select(F.col("id").alias("doc_id"), F.size("at").cast("bigint").alias("n_terms"), F.bround(F.array_max("w"), 6).alias("largest"), best.alias("at"), F.bround(_sum("w"), 5).alias("total"))
+    return found.join(V.named(names, spark), "at").select("doc_id", "n_terms", "largest", F.col("term").alias("top_term"), "total")
 
 
 # Chunks are vectors, 24 files a producer, file modulo 8 is the run.
@@ -43,8 +49,9 @@ def pooled_centroids(spark, sf):
 def embedded_runs(spark: SparkSession, sf: str, components: int = V.COMPONENTS) -> DataFrame:
     """``agent, run, embedding`` from texts: terms, components, means over files and runs."""
     files = C.corpus(spark, sf)
-    rows, names = V.sparse_rows(V.tfidf(files.select(F.col("file_id").alias("id"), "text")))
-    vectors = V.embed(rows, V.fit_components(rows, len(names), components)).join(files.select(F.col("file_id").alias("id"), "agent", "run"), "id")
+    rows, names = V.sparse_tfidf(files.select(F.struct("file_id", "agent", "run").alias("id"), "text"))
+    rows = settled(rows)  # read in each round of the fit
+    vectors = V.embed(rows, V.fit_components(rows, len(names), components)).select("id.*", "embedding")
     return V.pooled(vectors, [["agent", "run"]])
 
 
@@ -103,8 +110,8 @@ def chunk_model(spark: SparkSession, sf: str, components: int = V.COMPONENTS) ->
 
 
 def _scored(model: E.TermModel, texts: DataFrame) -> DataFrame:
-    found = model.weights(texts).groupBy("id").agg(F.count("*").alias("n_terms"), F.bround(F.max("w"), 6).alias("largest"), F.bround(F.sum("w"), 5).alias("total"))
-    return texts.select("id").join(found, "id", "left").select("id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_terms", "largest", "total")))
+    largest = F.coalesce(F.bround(F.array_max("w"), 6), F.lit(0.0))
+    return model.sparse(texts).select("id", F.size("at").cast("bigint").alias("n_terms"), largest.alias("largest"), F.bround(_sum("w"), 5).alias("total"))
 
 
 @query(f"WITH {_MODEL}, ids AS (SELECT id FROM ch) {_scored_sql('c')}")
@@ -126,7 +133,7 @@ def chunk_agent_similarity(spark, sf):
     from sparvane.operators.stats import cosine
 
     chunks = chunk_rows(spark, sf)
-    vectors = chunk_model(spark, sf).encode(chunks.select("id", "text")).join(chunks.drop("text"), "id")
-    agents = V.pooled(vectors, [["agent", "run", "doc_id"], ["agent", "run"], ["agent"]])
+    vectors = chunk_model(spark, sf).encode(chunks.select(F.struct("id", "agent", "run", "doc_id").alias("id"), "text")).select("id.*", "embedding")
+    agents = V.pooled(V.mean_of_few(vectors, ["agent", "run", "doc_id"]), [["agent", "run"], ["agent"]])
     a, b = (agents.select(*(F.col(c).alias(f"{c}_{x}") for c in agents.columns)) for x in "ab")
     return a.join(b, F.col("agent_a") < F.col("agent_b")).select("agent_a", "agent_b", F.bround(cosine("embedding_a", "embedding_b"), 6).alias("cosine_sim"))
