@@ -64,35 +64,30 @@ def numbered_rows(weights: DataFrame) -> DataFrame:
     return rows.select("id", F.transform("row", lambda r: r.n).alias("at"), F.transform("row", lambda r: r.w).alias("w"))
 
 
-ENTRIES = 16_384
+ENTRIES, ROWS = 16_384, 64
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """First and last row of about ENTRIES entries of sparse rows, with the entries' places, weights and owners."""
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Sparse rows some at a time (about ENTRIES entries, ROWS rows at most): which rows, the terms they have, and their weights as a dense matrix."""
     at, w = (batch.column(c).flatten().to_numpy() for c in ("at", "w"))
     ends = np.cumsum(np.diff(batch.column("at").offsets.to_numpy()))
     first = 0
     while first < len(ends):
         begin = int(ends[first - 1]) if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, begin + ENTRIES, "right")))
-        span = slice(begin, int(ends[last - 1]))
-        yield first, last, at[span], w[span], np.searchsorted(ends, np.arange(span.start, span.stop), "right") - first
+        last = min(first + ROWS, max(first + 1, int(np.searchsorted(ends, begin + ENTRIES, "right"))))
+        stop = int(ends[last - 1])
+        terms, column = np.unique(at[begin:stop], return_inverse=True)
+        dense = np.zeros((last - first, len(terms)))
+        dense[np.searchsorted(ends, np.arange(begin, stop), "right") - first, column] = w[begin:stop]
+        yield slice(first, last), terms, dense
         first = last
 
 
-def _summed(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different keys, and the sums of the rows of each."""
-    order = np.argsort(keys, kind="stable")
-    found, starts = np.unique(keys[order], return_index=True)
-    return found, np.add.reduceat(values[order], starts, axis=0) if len(found) else values[:0]
-
-
 def _times(batch: pa.RecordBatch, basis: np.ndarray) -> np.ndarray:
     """Rows times the basis."""
     out = np.zeros((batch.num_rows, basis.shape[1]))
-    for first, _, at, w, owner in _pieces(batch):
-        rows, sums = _summed(basis[at] * w[:, None], owner)
-        out[first + rows] = sums
+    for rows, terms, dense in _pieces(batch):
+        out[rows] = dense @ basis[terms]
     return out
 
 
@@ -113,11 +108,9 @@ def fit_components(rows: DataFrame, width: int, components: int = COMPONENTS, ro
         def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, seen = np.zeros(shared.value.shape), 0
             for batch in batches:
-                out = _times(batch, shared.value)
-                for first, _, at, w, owner in _pieces(batch):
-                    places, sums = _summed(out[first + owner] * w[:, None], at)
-                    total[places] += sums
-                seen += len(out)
+                for _, terms, dense in _pieces(batch):
+                    total[terms] += dense.T @ (dense @ shared.value[terms])
+                seen += batch.num_rows
             starts = [s for s in range(0, len(total) if seen else 0, BLOCK) if total[s : s + BLOCK].any()]  # blocks of terms that this task's rows have
             yield pa.RecordBatch.from_arrays([pa.array([s // BLOCK for s in starts], pa.int32()), pa.array([total[s : s + BLOCK].tobytes() for s in starts], pa.binary())], names=["block", "data"])
 

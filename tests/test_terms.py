@@ -46,3 +46,20 @@ def test_frequent_terms_and_weights_equal_plain_counts(spark, bits):
 def test_texts_terms_are_not_shuffled(spark, name):
     plan = getattr(embeddings, name)(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan  # before: by (id, term), by term and by id
+
+
+def test_a_fit_reads_texts_before_its_rounds_only(spark, monkeypatch):
+    from sparvane.operators import vectors as V
+
+    seen = []
+    fit = V.fit_components
+    monkeypatch.setattr(V, "fit_components", lambda rows, *a, **k: seen.append(rows._jdf.queryExecution().optimizedPlan().toString()) or fit(rows, *a, **{**k, "rounds": 1}))
+    embeddings.embedded_runs(spark, SF, 2)
+    assert len(seen) == 1 and "parquet" not in seen[0] and "regexp" not in seen[0]  # before: terms were found anew in every round
+
+
+def test_means_of_few_vectors(spark):
+    from sparvane.operators import vectors as V
+
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 6.0]), (2, [5.0, 7.0])], "k int, embedding array<float>")
+    assert sorted(map(tuple, V.mean_of_few(rows, ["k"]).collect())) == sorted(map(tuple, V.pooled(rows, [["k"]]).collect()))
