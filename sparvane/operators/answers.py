@@ -18,8 +18,10 @@ def listed(agent: str, *text: Column | str) -> Column:
 
 
 def fixed(value: str, places: int = 2) -> Column:
-    """A number with so many decimal places; halves go to the even neighbour."""
-    return F.format_string(f"%.{places}f", F.bround(value, places))
+    """A number with so many decimal places; halves go to the even neighbour, and a negative one that rounds to nothing keeps its sign."""
+    rounded = F.bround(value, places)
+    lost = (F.col(value) < 0) & (rounded == 0)  # Spark rounds decimals, which have no negative zero
+    return F.concat(F.when(lost, "-").otherwise(""), F.format_string(f"%.{places}f", rounded))
 
 
 def _row(names: tuple, frame: DataFrame, *values: Column | str) -> DataFrame:
