@@ -53,10 +53,11 @@ ascii AS (SELECT *, regexp_replace(text, '[\\x{{80}}-\\x{{10FFFF}}]', 'x', 'g')
 
 def features(spark: SparkSession, sf: str, lexicons: tuple = L.ALL, entity: str = "gene") -> DataFrame:
     """Per file the structural counts, the terms of all families, and how often entities and pathways are named."""
-    rows = corpus(spark, sf).withColumn("clues", L.clues(F.col("text"), lexicons))  # a column of its own: found once, not for each pattern
-    columns = L.structure(F.col("text"), F.col("clues"))
+    rows = corpus(spark, sf).repartition("file_id")  # a file of one row group is one task's work otherwise
+    rows = rows.withColumn("read", L.reading(F.col("text"), lexicons))  # a column of its own: found once, not for each pattern
+    columns = L.structure(F.col("text"), F.col("read.held"), F.col("read"))
     for lexicon in lexicons:
-        columns |= lexicon.counts(F.col("text"), F.col("clues"))
+        columns |= lexicon.counts(F.col("read.near"), F.col("read.held"))
     counted = rows.select("agent", "run", "file_id", *(c.alias(n) for n, c in columns.items()))
     return counted.withColumns({f"n_{entity}_mentions": F.col(f"bio_{entity}"), "n_pathway_mentions": F.col("bio_pathway")})
 
