@@ -123,11 +123,13 @@ def folded(text: Column) -> Column:
     return F.when(odd, F.lower(F.translate(text, "\u017f\u212a\u0131\u0130", "skii"))).otherwise(F.lower(text))
 
 
-SEPARATORS = dict.fromkeys(range(0x1C, 0x20), "~")  # white space in Python, but not in Unicode and in patterns; any sign that is neither
-GRAM, BITS, TOGETHER = 4, 5, 1 << 20  # letters of a part that are looked up, bits of each, characters looked up at once
-CODES = np.zeros(256, np.uint32)  # letters in either case; digits share five codes; all else is 0
+GRAM, BITS, TOGETHER = 4, 5, 1 << 18  # letters of a part that are looked up, bits of each, characters looked up at once
+CODES = bytearray(256)  # letters in either case; digits share five codes; all else is 0
 for _c in range(36):
-    CODES[[ord(x) for x in ("0123456789abcdefghijklmnopqrstuvwxyz"[_c], "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[_c])]] = _c - 9 if _c > 9 else 27 + _c % 5
+    for _x in ("0123456789abcdefghijklmnopqrstuvwxyz"[_c], "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[_c]):
+        CODES[ord(_x)] = _c - 9 if _c > 9 else 27 + _c % 5
+WHITE, ASCII = b"\t\n\x0b\x0c\r ", bytes(range(128))
+KINDS = bytes(0 if c in WHITE else 2 if chr(c) in "0123456789" else 1 for c in range(256))  # white space, digits, all else
 
 
 class Finder:
@@ -143,16 +145,13 @@ class Finder:
         self.table = np.zeros(1 << GRAM * BITS, bool)
         self.table[list(self.by_code)] = True
 
-    def held(self, lows: list[str]) -> list[set[str]]:
+    def held(self, lows: list[str], data: list[bytes]) -> list[set[str]]:
+        """The parts of each of ``lows``; ``data``: the same in UTF-8."""
         found: list[set[str]] = [set() for _ in lows]
-        data = [t.encode("utf-8", "replace") for t in lows]
-        codes = CODES[np.frombuffer(b"".join(x + b"\n" * GRAM for x in data) + b"\n" * GRAM, np.uint8)]
-        n = len(codes) - GRAM + 1
-        grams = codes[:n].copy()
-        for i in range(1, GRAM):
-            grams <<= BITS
-            grams |= codes[i : n + i]
-        at = np.flatnonzero(self.table[grams])
+        codes = np.frombuffer((b"".join(x + b"\n" * GRAM for x in data) + b"\n" * GRAM).translate(CODES), np.uint8)
+        pairs = np.left_shift(codes[:-1], BITS, dtype=np.uint16) | codes[1:]
+        grams = np.left_shift(pairs[:-2], 2 * BITS, dtype=np.intp) | pairs[2:]
+        at = np.flatnonzero(self.table.take(grams))
         texts = np.searchsorted(np.cumsum([len(x) + GRAM for x in data]), at, "right")
         for key in np.unique(texts.astype(np.int64) << GRAM * BITS | grams[at]).tolist():
             k = key >> GRAM * BITS
@@ -161,6 +160,35 @@ class Finder:
         return found
 
 
+def spaced(low: str, data: bytes) -> bytes | None:
+    """``data``, a text in UTF-8, with ASCII white space alone; None if it has digits beyond ASCII."""
+    if low.isascii():
+        return data
+    odd = set(data.translate(None, ASCII).decode("utf-8", "replace"))
+    if any(c.isdecimal() for c in odd):
+        return None
+    for c in odd:
+        if c.isspace():
+            low, data = low.replace(c, " "), b""
+    return data or low.encode("utf-8", "replace")
+
+
+def worded(data: list[bytes]) -> tuple[list[str], list[int]]:
+    """Of each text in UTF-8 without white space beyond ASCII, the words with digits, and how many words there are."""
+    kinds = np.frombuffer(b"".join(x + b"\n" for x in data).translate(KINDS), np.uint8)
+    ends = np.flatnonzero(kinds == 0)
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    bounds = np.cumsum([len(x) + 1 for x in data])
+    real = np.concatenate([[0], np.cumsum(ends > begins)])[np.searchsorted(ends, bounds - 1, "right")]
+    digits = np.unique(np.searchsorted(ends, np.flatnonzero(kinds == 2)))
+    starts = np.concatenate([[0], bounds[:-1]])
+    owners = np.searchsorted(bounds, begins[digits], "right")
+    found: list[list[bytes]] = [[] for _ in data]
+    for k, i, j in zip(owners.tolist(), (begins[digits] - starts[owners]).tolist(), (ends[digits] - starts[owners]).tolist()):
+        found[k].append(data[k][i:j])
+    return [b" ".join(x).decode("utf-8", "replace") for x in found], np.diff(real, prepend=0).tolist()
+
+
 def fold(t: str) -> str:
     """:func:`folded` of a string, in so far as ASCII letters go."""
     return t.lower() if t.isascii() else t.replace("\u0130", "i").lower().replace("\u017f", "s").replace("\u0131", "i")
@@ -179,11 +207,11 @@ def sentences(t: str, low: str, parts: list[str]) -> str:
 
 
 def reading(text: Column, lexicons: tuple[Lexicon, ...]) -> Column:
-    """What one pass over a text finds: ``held, near, numbers, n_words``.
+    """What one pass over a text finds: ``held, near, numbers, n_words, n_chars, n_lines``.
 
     ``held``: the literal parts of the families' patterns, and of structures, that the text holds, in lower case.  ``near``:
     its sentences that hold a part of a family's pattern, of n_pvalues or n_fdr; as no match goes beyond a full stop, these
-    have as many matches as all of the text.  ``numbers``: the words with digits.  Python and NumPy, as Spark's ``contains``
+    have as many matches as all of the text.  ``numbers``: the words with digits, in lower case.  Python and NumPy, as Spark's ``contains``
     compares byte by byte, and a pattern that takes all cases of Unicode some 30 ns a character.
     """
     patterns = [p for x in lexicons for patterns in x.terms.values() for p in patterns]
@@ -192,22 +220,25 @@ def reading(text: Column, lexicons: tuple[Lexicon, ...]) -> Column:
     words_of = {x: re.findall("[a-z]+", x) for needs in NEEDS.values() for x in needs}
     hints = {x: w[0] for x, w in words_of.items() if w and x not in parts}
     signs = [x for x, w in words_of.items() if not w]
-    digit = re.compile(r"\d")
+    digit, white = re.compile(r"\d"), re.compile(r"[^\S\x1c-\x1f]+")  # the four are white space in Python, but not in Unicode and in patterns
 
-    @F.pandas_udf("held string, near string, numbers string, n_words bigint")
+    @F.pandas_udf("held string, near string, numbers string, n_words bigint, n_chars bigint, n_lines bigint")
     def read(texts: pd.Series) -> pd.DataFrame:
         finder, values, rows = Finder(sorted(parts | set(hints.values()))), ["" if t is None else t for t in texts], []
         bounds = np.cumsum([0] + [len(t) for t in values]) // TOGETHER
         for chunk in np.split(np.arange(len(values)), np.flatnonzero(np.diff(bounds[:-1])) + 1):
             lows = [fold(values[i]) for i in chunk]
-            for i, low, found in zip(chunk, lows, finder.held(lows)):
+            data = [low.encode("utf-8", "replace") for low in lows]
+            plain = [spaced(*x) for x in zip(lows, data)]
+            for i, low, found, text, numbers, n_words in zip(chunk, lows, finder.held(lows, data), plain, *worded([x or b"" for x in plain])):
                 t = values[i]
                 held = sorted(found & parts)
-                words = (t.translate(SEPARATORS) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t).split()
                 marks = [x for x, hint in hints.items() if hint in found and x in low] + [x for x in signs if x in t]
-                numbers = " ".join([w for w in words if not w.isalpha() and digit.search(w)])
-                rows.append(("\n".join(held + marks), sentences(t, low, held) if apart else t, numbers, len(words)))
-        return pd.DataFrame(rows, columns=["held", "near", "numbers", "n_words"])
+                if text is None:
+                    words = white.split(low)
+                    numbers, n_words = " ".join([w for w in words if digit.search(w)]), sum(map(bool, words))
+                rows.append(("\n".join(held + marks), sentences(t, low, held) if apart else t, numbers, n_words, len(t), t.count("\n") + 1 if t else 0))
+        return pd.DataFrame(rows, columns=["held", "near", "numbers", "n_words", "n_chars", "n_lines"])
 
     return read(F.coalesce(text, F.lit("")))
 
@@ -266,10 +297,13 @@ def structure(text: Column, low: Column | None = None, read: Column | None = Non
     counts = {name: count(p, parts.get(name, text)) for name, p in STRUCTURE.items()}
     found = {name: F.coalesce(F.when(holds(name), c) if name in NEEDS else c, F.lit(0).cast("bigint")) for name, c in counts.items()}
     sheets, marks = found.pop("n_sheets"), found.pop("n_marks")
-    return {
+    plain = {
         "n_chars": F.coalesce(F.char_length(text).cast("bigint"), F.lit(0).cast("bigint")),
-        "n_words": F.coalesce(count(r"\S+") if read is None else read["n_words"], F.lit(0).cast("bigint")),
+        "n_words": F.coalesce(count(r"\S+"), F.lit(0).cast("bigint")),
         "n_lines": F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0).cast("bigint"),
+    }
+    return {
+        **(plain if read is None else {n: read[n] for n in plain}),
         "n_sheets": sheets,
         "n_tables": F.when(sheets > 0, sheets).otherwise(marks),
         **found,

@@ -55,3 +55,19 @@ def test_a_file_of_one_row_group_is_shared_out(spark):
     assert spark.read.parquet(f"{SF}/documents.parquet").rdd.getNumPartitions() == 1
     plan = C.run_features_frame(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("RepartitionByExpression") < plan.index("Relation")  # before: the file's one task did all
+
+
+def test_the_pass_over_a_text_counts_characters_and_lines_too(spark):
+    plan = C.run_features_frame(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"\b(replace|length|char_length)\(text", plan)  # before: three more passes over each text
+
+
+def test_words_by_bytes_are_those_by_patterns():
+    rng = random.Random(6)
+    bits = ["12", "a1", "1,000.25", "x", "é", "é3", "Σ", "🙂", "🙂7", "�", "", "\x1c", "\x1f9", "٣"]
+    texts = ["", " ", "7", "\n7\n", *("".join(rng.choice(bits) + rng.choice(["", " ", "\n", "\t\r", "\x0b", "\x0c ", "\u0085", " ", " ", "　"]) for _ in range(rng.randint(0, 12))) for _ in range(500))]
+    plain = [L.spaced(t, t.encode()) for t in texts]
+    assert all((x is None) == ("٣" in t) for t, x in zip(texts, plain)) and L.worded([]) == ([], [])
+    for t, x, numbers, n_words in zip(texts, plain, *L.worded([x or b"" for x in plain])):
+        words = re.findall(r"[\S\x1c-\x1f]+", t)
+        assert x is None or (numbers, n_words) == (" ".join(w for w in words if re.search(r"\d", w)), len(words))
