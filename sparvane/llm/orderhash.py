@@ -1,15 +1,16 @@
 """Order MinHash: fingerprints whose likeness falls with the edit distance of texts, in DataFrame functions only.
 
-A text's k-mers are the K code points from each word's start on.  Equal ones are numbered by
-their occurrence, and the hash of k-mer and number gives each a bin and a rank.  Bins take
-their minimum, which keeps its place in the text in its lower bits.  A coordinate of the
-signature is the tuple of a bin's minimum and that of the next bin that has one, in the order
-of the text.  So two texts share a coordinate if they share both k-mers and have them in the
-same order; a short text has as many coordinates as it has filled bins.
-
-An edited text shares its first part with the text itself: k-mers within it are cut out,
-numbered and hashed once for both.  A text is shuffled once, and all of this happens where it
-lies then.
+A text's k-mers are the K code points from each of its positions on, fewer at its end.  Equal
+ones are numbered by their occurrence, and the hash of k-mer and number gives each a bin and a
+rank.  Bins take their minimum, which keeps its place in the text in its lower bits.  A
+coordinate of the signature is the tuple of a bin's minimum and that of the next bin that has
+one, in the order of the text.  So two texts share a coordinate if they share both k-mers and
+have them in the same order; a short text has as many coordinates as it has filled bins.
+
+An edited text shares its first part with the text itself: k-mers within it are hashed once for
+both.  A text is shuffled once, and all of this happens where it lies then.  Its k-mers become
+one sorted array of numbers, 34 bits of a k-mer's hash above its place, in which equal k-mers
+are neighbours: only those that have one are sorted as rows, to be numbered.
 """
 
 from __future__ import annotations
@@ -20,45 +21,68 @@ from pyspark.sql import functions as F
 from sparvane.llm.common import Tables, remove_folder
 
 K, BINS, PLACES, LATER = 12, 64, 30, 1 << 29
-SPACE, TUPLE_BITS = r"\x20\x09-\x0D", 26
+STEP, TUPLE_BITS = 32, 26
 NO_ID = -(2**63)
 KEY = ["id", "content"]
 
 
-def kmers(text: Column, fewest: int) -> Column:
-    """From each word start but the text's own first character on, the next K code points, if there are ``fewest``."""
-    pattern = rf"(?<=[{SPACE}])(?=([^{SPACE}](?s:.){{{fewest - 1},{K - 1}}}))[^{SPACE}]+"
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+def what(code: Column) -> Column:
+    """The hash above the place."""
+    return F.shiftright(code, PLACES)
 
 
-def parts(text: Column, edited: Column, kept: Column) -> Column:
-    """K-mers of both texts in their first ``kept`` code points, of the text only and of the edited text only."""
-    start = F.greatest(kept + 1 - (K - 1), F.lit(1))  # the code point before the first k-mer that isn't wholly among the kept
-    rest = lambda t: kmers(F.concat(F.lit(" "), t).substr(start, F.length(t) + 1), 1)
-    return F.array(*(F.struct(F.lit(i).alias("part"), k.alias("kmers")) for i, k in enumerate((kmers(F.concat(F.lit(" "), text.substr(F.lit(1), kept)), K), rest(text), rest(edited)))))
+def place(code: Column) -> Column:
+    return code.bitwiseAND(F.lit((1 << PLACES) - 1))
+
+
+def codes(texts: DataFrame) -> DataFrame:
+    """``id, content, cut, codes`` of ``id, content, text, edited, kept``: sorted k-mers of both texts; no row where both are empty.
+
+    Places below ``cut`` are of both texts, the others below LATER of the text only, those from LATER on of the edited text only.
+    """
+    cut = F.greatest(F.col("kept") - (K - 1), F.lit(0))  # the first k-mer that isn't wholly among the kept
+    wide = lambda t: F.encode(t, "UTF-32")  # noqa: E731  four bytes a code point: any k-mer is found at once
+    sides = F.array(*(F.struct(F.lit(first).cast("bigint").alias("first"), t.alias("wide")) for first, t in ((0, wide(F.col("text"))), (LATER, wide(F.substr("edited", cut + 1))))))
+    rows = texts.select(*KEY, cut.alias("cut"), F.inline(sides)).withColumn("n", F.shiftright(F.octet_length("wide"), 2)).filter("n > 0")
+    rows = rows.select(*KEY, "cut", "first", "wide", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(STEP))).alias("at"))
+    kmer = lambda j: F.xxhash64(F.substring("wide", F.shiftleft(F.col("at") + j, 2) + 1, 4 * K))
+    some = F.array(*(F.shiftleft(kmer(j), PLACES).bitwiseOR(F.col("first") + F.col("at") + j) for j in range(STEP)))
+    pieces = rows.select(*KEY, "cut", F.slice(some, F.lit(1), F.least(F.col("n") - F.col("at"), F.lit(STEP))).alias("piece"))
+    return pieces.groupBy(*KEY, "cut").agg(F.sort_array(F.flatten(F.collect_list("piece"))).alias("codes"))
+
+
+def ranked(kmer: Column, number: Column, at: Column) -> tuple[Column, Column]:
+    """The bin of a numbered k-mer and its rank there above its place."""
+    h = F.xxhash64(kmer, number)
+    return F.pmod(F.shiftright(h, 40), F.lit(BINS)).cast("int"), F.shiftleft(h.bitwiseAND(F.lit((1 << (63 - PLACES)) - 1)), PLACES).bitwiseOR(at)
 
 
 def signatures(texts: DataFrame) -> DataFrame:
-    """``id, content, own, edited``: signatures of ``id, content, text, edited, kept``, which lie by id and content; no row where neither text has words."""
-    rows = texts.select(*KEY, F.inline(parts(F.col("text"), F.col("edited"), F.col("kept")))).select(*KEY, "part", F.posexplode("kmers").alias("place", "kmer"))
-    rows = rows.select(*KEY, "part", (F.col("place") + F.when(F.col("part") > 0, LATER).otherwise(0)).alias("place"), F.xxhash64("kmer").alias("kmer"))
-    upto = Window.partitionBy(*KEY, "kmer").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    number = F.when(F.col("part") == 2, F.count_if(F.col("part") != 1).over(upto)).otherwise(F.count_if(F.col("part") != 2).over(upto))
-    hashed = rows.select(*KEY, "part", "place", F.xxhash64("kmer", number).alias("h"))
-    value = F.shiftleft(F.col("h").bitwiseAND(F.lit((1 << (63 - PLACES)) - 1)), PLACES).bitwiseOR(F.col("place").cast("bigint"))
-    binned = hashed.select(*KEY, "part", F.pmod(F.shiftright("h", 40), F.lit(BINS)).cast("int").alias("bin"), value.alias("v"))
-    least = binned.groupBy(*KEY, "bin").agg(*(F.min(F.when(F.col("part") != other, F.col("v"))).alias(n) for n, other in (("own", 2), ("edited", 1))))
-    found = least.groupBy(*KEY).agg(*(F.sort_array(F.collect_list(F.when(F.col(n).isNotNull(), F.struct("bin", F.col(n).alias("v"))))).alias(n) for n in ("own", "edited")))
-    return found.select(*KEY, *(tuples(F.col(n)).alias(n) for n in ("own", "edited")))
+    """``id, content, own, edited``: signatures of ``id, content, text, edited, kept``, which lie by id and content; no row where both texts are empty."""
+    rows = codes(texts).select(*KEY, "cut", "codes", F.posexplode("codes").alias("i", "code"))
+    same = lambda i: what(F.get("codes", i)).eqNullSafe(what(F.col("code")))
+    rows = rows.select(*KEY, "cut", "code", (same(F.col("i") - 1) | same(F.col("i") + 1)).alias("repeated"))
+    code, sides = F.col("code"), (("own", 2), ("edited", 1))
+    part = F.when(place(code) >= LATER, 2).when(place(code) >= F.col("cut"), 1).otherwise(0)
+    once, value = ranked(what(code), F.lit(1).cast("bigint"), place(code))
+    single = rows.select(*KEY, "cut", F.when(~F.col("repeated"), once).alias("bin"), F.when(F.col("repeated"), code).alias("code"), F.when(~F.col("repeated"), value).alias("v"), part.alias("part"))
+    few = single.groupBy(*KEY, "cut", "bin", "code").agg(*(F.min(F.when(F.col("part") != other, F.col("v"))).alias(n) for n, other in sides))
+    upto = Window.partitionBy(*KEY, what(code)).orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
+    number = F.when(part == 2, F.count_if(part != 1).over(upto)).otherwise(F.count_if(part != 2).over(upto))
+    again, value = ranked(what(code), F.col("number"), place(code))
+    numbered = few.withColumn("number", number)
+    binned = numbered.select(*KEY, F.coalesce("bin", again).alias("bin"), *(F.when(code.isNull(), F.col(n)).when(part != other, value).alias(n) for n, other in sides))
+    least = binned.groupBy(*KEY, "bin").agg(*(F.min(n).alias(n) for n, _ in sides))
+    found = least.groupBy(*KEY).agg(*(F.sort_array(F.collect_list(F.when(F.col(n).isNotNull(), F.struct("bin", F.col(n).alias("v"))))).alias(n) for n, _ in sides))
+    return found.select(*KEY, *(tuples(F.col(n)).alias(n) for n, _ in sides))
 
 
 def tuples(minima: Column) -> Column:
     """For each filled bin its number and the hash of its minimum and the next bin's, in the order of the text."""
-    place = lambda x: x["v"].bitwiseAND(F.lit((1 << PLACES) - 1))
-    what = lambda x: F.shiftright(x["v"], PLACES)
 
     def coordinate(a: Column, b: Column) -> Column:
-        hashed = F.when(place(a) <= place(b), F.hash(what(a), what(b))).otherwise(F.hash(what(b), what(a)))
+        v, w = a["v"], b["v"]
+        hashed = F.when(place(v) <= place(w), F.hash(what(v), what(w))).otherwise(F.hash(what(w), what(v)))
         return F.shiftleft(a["bin"], TUPLE_BITS).bitwiseOR(hashed.bitwiseAND(F.lit((1 << TUPLE_BITS) - 1)))
 
     following = F.concat(F.slice(minima, 2, BINS), F.slice(minima, 1, 1))
@@ -66,7 +90,7 @@ def tuples(minima: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of the bins that either text fills, the share with equal coordinates; texts without words are like each other and unlike all others."""
+    """Of the bins that either text fills, the share with equal coordinates; empty texts are like each other and unlike all others."""
     a, b = (F.coalesce(x, F.array().cast("array<int>")) for x in (a, b))
     bins = lambda x: F.transform(x, lambda c: F.shiftrightunsigned(c, TUPLE_BITS))
     either = F.size(F.array_union(bins(a), bins(b)))
@@ -97,8 +121,7 @@ def followers(ids: DataFrame, tables: Tables) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of each document (see the contract of op11).
 
-    Null texts are empty and have empty fingerprints, as have texts of white space alone.
-    Texts of any length are taken whole.  Repeated rows are one document and come out as
+    Null texts are empty and have empty fingerprints.  Texts are taken whole, white space too.  Repeated rows are one document and come out as
     often as they went in; of several texts of one doc_id that with the least hash is the next
     document of its predecessor.  Rows without a doc_id come after the smallest one.  An empty
     table gives no rows; other columns are ignored.
