@@ -15,7 +15,10 @@ are neighbours: only those that have one are sorted as rows, to be numbered.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparvane.llm.common import Tables, remove_folder
@@ -24,6 +27,18 @@ K, BINS, PLACES, LATER = 12, 64, 30, 1 << 29
 STEP, TUPLE_BITS = 32, 26
 NO_ID = -(2**63)
 KEY = ["id", "content"]
+HASHED = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+
+
+@contextmanager
+def text_by_text(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile lists are collected from sorted rows: by hashing, a task would hold the k-mers of up to 128 texts at once, however long."""
+    before = spark.conf.get(HASHED, None)
+    spark.conf.set(HASHED, "1")
+    try:
+        yield
+    finally:
+        spark.conf.unset(HASHED) if before is None else spark.conf.set(HASHED, before)
 
 
 def what(code: Column) -> Column:
@@ -140,7 +155,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     kept = F.length("text") - F.col("need")
     both = whole.join(heads, KEY).select(*KEY, "text", kept.alias("kept"), F.concat(F.col("text").substr(F.lit(1), kept), F.col("head")).alias("edited"))
     digests = both.select(*KEY, F.sha2("edited", 256).alias("edited_sha256"))
-    found = tables.keep(signatures(both).unionByName(digests, allowMissingColumns=True))  # one job: the texts' shuffles serve both
+    with text_by_text(spark):
+        found = tables.keep(signatures(both).unionByName(digests, allowMissingColumns=True))  # one job: the texts' shuffles serve both
     signed = found.filter("edited_sha256 is null").select(*KEY, "own", "edited")
     following = signed.select(F.col("id").alias("next_id"), F.col("content").alias("next_content"), F.col("own").alias("following"))
     rows = facts.join(found.filter("edited_sha256 is not null").select(*KEY, "edited_sha256"), KEY).join(signed, KEY, "left").join(following, ["next_id", "next_content"], "left")

@@ -70,3 +70,10 @@ def test_what_differs_within_a_long_word_is_seen(spark):
     assert 0.3 < got[10][3] < 1.0  # 29 letters more in 3,000
     assert got[8][3] < 0.2  # nothing in common but the first 20 of 170 letters
     assert 0.05 < got[10][2] < 0.7  # half of it was replaced
+
+
+def test_long_texts_are_collected_one_at_a_time(spark, monkeypatch):
+    seen, keep, before = [], orderhash.Tables.keep, spark.conf.get(orderhash.HASHED)
+    monkeypatch.setattr(orderhash.Tables, "keep", lambda self, rows: seen.append(("edited_sha256" in rows.columns and "own" in rows.columns, spark.conf.get(orderhash.HASHED))) or keep(self, rows))
+    orderhash.fingerprints(spark.createDataFrame([(1, "some text"), (2, "another")], "doc_id long, text string"))
+    assert (True, "1") in seen and spark.conf.get(orderhash.HASHED) == before
